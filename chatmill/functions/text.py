@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chatmill.functions.arrays import let, token_counts
+
 # What str.strip()/str.split() treat as white space, as the inside of a regex character class.
 WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ASCII_PUNCT = r"""!-/:-@\[-`{-~"""
@@ -57,7 +59,7 @@ def remove_thinking(c: Column) -> Column:
 
 def last_code_block(c: Column) -> Column:
     """Body of the last fenced block, null when there is none."""
-    return F.element_at(F.regexp_extract_all(c, F.lit(r"(?s)```[^\n]*\n(.*?)```"), 1), -1)
+    return strip(F.get(F.slice(F.regexp_extract_all(c, F.lit(r"(?s)```(?:python)?(.*?)```"), 1), -1, 1), F.lit(0)))
 
 
 def sentences(c: Column) -> Column:
@@ -81,33 +83,44 @@ def replace_all(c: Column, pairs) -> Column:
     return c
 
 
-def token_bag(tokens: Column) -> Column:
-    """map token -> count for one row's token array, linear in the array via sort + run lengths."""
-    s = F.array_sort(tokens)
-    n = F.size(s)
-    idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(idx, lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
-    return F.map_from_arrays(
-        F.transform(starts, lambda i: F.get(s, i - 1)),
-        F.transform(starts, lambda i, p: F.get(ends, p) - i),
-    )
-
-
 def token_f1(prediction: Column, truth: Column) -> Column:
     """Multiset token F1 of two normalised texts; 0 when they share nothing."""
-    p, t = words(normalise_answer(prediction)), words(normalise_answer(truth))
-    bag_p, bag_t = token_bag(p), token_bag(t)
-    same = F.aggregate(
-        F.map_keys(bag_t),
-        F.lit(0),
-        lambda acc, k: acc + F.least(F.coalesce(bag_p[k], F.lit(0)), bag_t[k]),
-    ).cast("double")
-    return F.when(same > 0, 2.0 * same / (F.size(p) + F.size(t))).otherwise(F.lit(0.0))
+
+    def score(p, t):
+        counts = lambda tp: let(token_counts(p), lambda bag: F.aggregate(
+            F.map_entries(tp), F.lit(0), lambda acc, e: acc + F.least(F.coalesce(F.try_element_at(bag, e["key"]), F.lit(0)), e["value"])
+        ))
+        same = let(token_counts(t), counts)
+        return let(same, lambda n: F.when(n > 0, 2.0 * n / (F.size(p) + F.size(t))).otherwise(F.lit(0.0)))
+
+    return let(words(normalise_answer(prediction)), lambda p: let(words(normalise_answer(truth)), lambda t: score(p, t)))
 
 
 def final_answer(c: Column) -> Column:
-    """Answer span by the first rule that fires: answer tag, boxed span, 'final answer' sentence, last number, text."""
-    tag = F.regexp_extract(c, r"(?is)<answer>(.*?)</answer>", 1)
-    boxed = F.element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{([^{}]*)\}"), 1), -1)
-    return F.coalesce(F.nullif(strip(tag), F.lit("")), boxed, strip(c))
+    """Answer tag if there is one, else the text after the first closing think tag, else the text
+    without assistant markers (trimmed only when a marker was removed)."""
+    after_think = F.substring(c, F.instr(c, "</think>") + 8, F.length(c))
+    unmarked = F.replace(c, F.lit("<|assistant|>"), F.lit(""))
+    return (
+        F.when(c.rlike(r"(?s)<answer>.*?</answer>"), strip(F.regexp_extract(c, r"(?s)<answer>(.*?)</answer>", 1)))
+        .when(c.contains("</think>"), strip(after_think))
+        .when(unmarked != c, strip(unmarked))
+        .otherwise(c)
+    )
+
+
+def user_query(c: Column) -> Column:
+    """Last user turn of a rendered chat that precedes an opened assistant think block; the text when none."""
+    tags = r"(?s)<\|user\|>\n(.*?)\n<\|assistant\|>\n<think>"
+    im = (
+        r"(?s)<\|im_start\|>user\n((?:(?!<\|im_end\|>).)*?)(?:\n<functions>(?:(?!</functions>).)*</functions>)?<\|im_end\|>\n"
+        r"(?=.*?<\|im_start\|>assistant\n<think>)"
+    )
+    last = lambda p: F.get(F.slice(F.regexp_extract_all(c, F.lit(p), 1), -1, 1), F.lit(0))
+    return strip(F.coalesce(F.when(c.rlike(tags), last(tags)), F.when(c.rlike(im), last(im)), c))
+
+
+def salvage_json(c: Column) -> Column:
+    """Outermost braces of a model response, code fences removed; null when there are none."""
+    body = F.regexp_replace(c, r"```(?:json)?", "")
+    return F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
