@@ -15,7 +15,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def last(c: Column) -> Column:
     """Last element, null when empty."""
-    return F.try_element_at(c, F.lit(-1))
+    return F.get(c, F.size(c) - 1)
 
 
 def indices(n: Column) -> Column:
