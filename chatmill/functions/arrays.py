@@ -13,6 +13,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pipe(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Apply steps in turn, each to the bound result of the one before."""
+    for step in steps:
+        value = let(value, step)
+    return value
+
+
 def last(c: Column) -> Column:
     """Last element, null when empty."""
     return F.get(c, F.size(c) - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatmill.functions import text as X
-from chatmill.functions.arrays import indices, let
+from chatmill.functions.arrays import indices, let, pipe
 
 # Fixed values. Substitutions applied in this order to a final answer.
 SUBSTITUTIONS = [
@@ -61,8 +61,8 @@ def last_boxed(c: Column) -> Column:
     spaced = X.before_first(X.after_last(c, "\\boxed "), "$")
     # position of the last marker = length of everything before the last piece
     before = F.length(c) - F.length(X.after_last(c, "\\boxed{"))
-    end = braces_close(c, before - 1)
-    braced = F.when(c.contains("\\boxed{") & end.isNotNull(), c.substr(before + 1, end - before))
+    closed = lambda b: let(braces_close(c, b - 1), lambda end: F.when(end.isNotNull(), c.substr(b + 1, end - b)))
+    braced = F.when(c.contains("\\boxed{"), let(before, closed))
     return F.when(c.contains("\\boxed "), spaced).otherwise(braced)
 
 
@@ -74,14 +74,17 @@ def final_answer_span(c: Column) -> Column:
 
 
 def normalise_final_answer(c: Column) -> Column:
-    c = X.after_last(c, "=")
-    c = X.replace_all(c, SUBSTITUTIONS)
-    c = X.replace_all(c, [(e, "") for e in REMOVED])
-    for pattern, new in REWRITES:
-        c = F.regexp_replace(c, pattern, new)
-    c = F.replace(c, F.lit("$"), F.lit(""))
-    bare = F.replace(c, F.lit(","), F.lit(""))
-    return F.when(bare.rlike(r"(?U)^\d+$"), bare).otherwise(c)
+    def rewrite(x):
+        x = X.replace_all(X.after_last(x, "="), SUBSTITUTIONS + [(e, "") for e in REMOVED])
+        for pattern, new in REWRITES:
+            x = F.regexp_replace(x, pattern, new)
+        return F.replace(x, F.lit("$"), F.lit(""))
+
+    def join_digits(x):
+        bare = F.replace(x, F.lit(","), F.lit(""))
+        return F.when(bare.rlike(r"(?U)^\d+$"), bare).otherwise(x)
+
+    return pipe(c, rewrite, join_digits)
 
 
 def _fix_fracs(c: Column) -> Column:
@@ -91,16 +94,26 @@ def _fix_fracs(c: Column) -> Column:
 
 def strip_form(c: Column) -> Column:
     """Second normal form."""
-    c = X.replace_all(c, STRIP_REPLACEMENTS)
-    c = F.when(F.size(F.split(c, r"\\text\{ ")) == 2, X.before_first(c, "\\text{ ")).otherwise(c)
-    c = X.replace_all(c, [("\\%", ""), (" .", " 0."), ("{.", "{0.")])
-    c = F.when(c.startswith("."), F.concat(F.lit("0"), c)).otherwise(c)
-    parts = F.split(c, "=")
-    c = F.when((F.size(parts) == 2) & (F.length(F.get(parts, F.lit(0))) <= 2), F.get(parts, F.lit(1))).otherwise(c)
-    c = F.regexp_replace(c, r"\\sqrt([^{])", r"\\sqrt{$1}")
-    c = _fix_fracs(F.replace(c, F.lit(" "), F.lit("")))
-    c = F.when(c == "0.5", F.lit("\\frac{1}{2}")).otherwise(c)
-    return F.regexp_replace(c, r"^(-?(?:0|[1-9][0-9]*))/(-?(?:0|[1-9][0-9]*))$", r"\\frac{$1}{$2}")
+
+    def units(x):
+        return F.when(F.size(F.split(x, r"\\text\{ ")) == 2, X.before_first(x, "\\text{ ")).otherwise(x)
+
+    def leading_zero(x):
+        return F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x)
+
+    def right_side(x):
+        return let(F.split(x, "="), lambda p: F.when((F.size(p) == 2) & (F.length(F.get(p, F.lit(0))) <= 2), F.get(p, F.lit(1))).otherwise(x))
+
+    def braces(x):
+        return _fix_fracs(F.replace(F.regexp_replace(x, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit("")))
+
+    def fractions(x):
+        half = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
+        return F.regexp_replace(half, r"^(-?(?:0|[1-9][0-9]*))/(-?(?:0|[1-9][0-9]*))$", r"\\frac{$1}{$2}")
+
+    return pipe(
+        X.replace_all(c, STRIP_REPLACEMENTS), units, lambda x: X.replace_all(x, [("\\%", ""), (" .", " 0."), ("{.", "{0.")]), leading_zero, right_side, braces, fractions
+    )
 
 
 def same_answer(a: Column, b: Column) -> Column:
@@ -115,20 +128,21 @@ def last_dollar_span(c: Column) -> Column:
 
 
 def math_candidates(c: Column) -> Column:
-    boxed = last_boxed(c)
-    stated = F.when(final_answer_span(c).isNotNull(), normalise_final_answer(final_answer_span(c)))
-    dollars = F.when(last_dollar_span(c).isNotNull(), normalise_final_answer(last_dollar_span(c)))
-    found = F.filter(F.array(boxed, stated), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).when(dollars.isNotNull(), F.array(dollars)).otherwise(F.array(normalise_final_answer(c), c))
+    """Answers to compare: boxed and stated spans, else the last dollar span, else the whole text."""
+    plain = lambda span: let(span, lambda x: F.when(x.isNotNull(), normalise_final_answer(x)))
+    found = F.filter(F.array(last_boxed(c), plain(final_answer_span(c))), lambda x: x.isNotNull())
+    dollars = F.filter(F.array(plain(last_dollar_span(c))), lambda x: x.isNotNull())
+    return pipe(
+        found,
+        lambda f: F.when(F.size(f) > 0, f).otherwise(dollars),
+        lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(normalise_final_answer(c), c)),
+    )
 
 
 def math_score(prediction: Column, label: Column) -> Column:
-    return F.exists(math_candidates(prediction), lambda a: same_answer(a, label)).cast("double")
+    return let(strip_form(label), lambda s: F.exists(math_candidates(prediction), lambda a: F.coalesce((a == label) | (strip_form(a) == s), F.lit(False)))).cast("double")
 
 
 def strict_math_score(prediction: Column, label: Column) -> Column:
-    span = final_answer_span(prediction)
-    answer = normalise_final_answer(F.coalesce(span, prediction))
-    return same_answer(answer, label).cast("double")
-
-
+    answer = normalise_final_answer(F.coalesce(final_answer_span(prediction), prediction))
+    return let(answer, lambda a: same_answer(a, label)).cast("double")
