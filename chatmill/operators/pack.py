@@ -298,7 +298,7 @@ def _next_fit(df: DataFrame, index: str, lengths: list[str], rule, block_rows: i
         summarise, "block long, prefix array<long>, count array<long>, left array<long>, total array<long>, m long"
     )
     # one short row per block: rows / block_rows of them
-    chained = summaries.groupBy(F.lit(0)).applyInPandas(lambda pdf: _chain(pdf, rule), "block long, first long, packs long")
+    chained = summaries.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda pdf: _chain(pdf, rule), "block long, first long, packs long")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
@@ -322,9 +322,10 @@ def pack_next_fit(df: DataFrame, index: str, length: str, pack_length: int, min_
     return _next_fit(df, index, [length], _Sums([pack_length]), block_rows, "pack")
 
 
-def token_budget_batches(df: DataFrame, index: str, chosen: str, rejected: str, budget: int, block_rows: int = 250_000) -> DataFrame:
+def token_budget_batches(df: DataFrame, index: str, chosen: str, rejected: str, budget: int | tuple[int, int], block_rows: int = 250_000) -> DataFrame:
     """(index, batch): greedy batches within the budget on both sides, at least one row each."""
-    return _next_fit(df, index, [chosen, rejected], _Sums([budget, budget]), block_rows, "batch")
+    limits = list(budget) if isinstance(budget, tuple) else [budget, budget]
+    return _next_fit(df, index, [chosen, rejected], _Sums(limits), block_rows, "batch")
 
 
 def batch_by_max_tokens(df: DataFrame, order_by, length: str, budget: int, block_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
