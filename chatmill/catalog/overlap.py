@@ -115,7 +115,7 @@ def _centroids(spark, sf):
 
     e = table(spark, sf, "embeddings").withColumn("n", norm(F.col("embedding")))
     parts = e.select("label", F.posexplode("embedding").alias("i", "x"), "n").groupBy("label", "i").agg(F.sum(F.col("x").cast("double") / F.col("n")).alias("s"))
-    packed = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("p"))
+    packed = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("p"))
     return packed.select(F.col("label").alias("item"), F.transform("p", lambda p: p["s"]).alias("embedding"))
 
 

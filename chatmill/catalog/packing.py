@@ -222,7 +222,7 @@ def packed_rollouts(spark, sf):
 def gae(spark, sf):
     """PK16 over trajectories of 20 events."""
     e = table(spark, sf, "events").withColumn("g", F.floor(F.col("event_id") / 20)).withColumn("r", (F.col("event_type") == "click").cast("double"))
-    rows = e.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("event_id", "value", "r"))).alias("s"))
+    rows = e.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("event_id", "value", "r"))).alias("s"))
     v, r = F.transform("s", lambda x: x["value"]), F.transform("s", lambda x: x["r"])
     a = rows.select("g", K.gae(0.99, 0.95)(v, r).alias("a"))
     return a.select("g", F.posexplode("a").alias("t", "x")).select("g", F.col("t").cast("long").alias("t"), F.round("x", 6).alias("advantage"))

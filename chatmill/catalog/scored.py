@@ -249,7 +249,7 @@ def keep_stop_only(spark, sf):
 def keep_passed_tests(spark, sf):
     """JN19: tests per order, results joined in."""
     li = table(spark, sf, "lineitem")
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag")))
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag")))
     g = li.groupBy("l_orderkey").agg(rows.alias("r"))
     tests = g.select("l_orderkey", F.transform("r", lambda x: F.concat(x["l_partkey"].cast("string"), F.lit("/"), x["l_linenumber"].cast("string"))).alias("tests"))
     results = g.select("l_orderkey", F.transform("r", lambda x: (x["l_returnflag"] != "R").cast("int")).alias("passed"))

@@ -52,7 +52,7 @@ def token_counts(tokens: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(tokens), build)
+    return let(F.sort_array(tokens), build)
 
 
 def dot(a: Column, b: Column) -> Column:

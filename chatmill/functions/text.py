@@ -7,29 +7,31 @@ from pyspark.sql import functions as F
 
 from chatmill.functions.arrays import let, token_counts
 
-# What str.strip()/str.split() treat as white space, as the inside of a regex character class.
-WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# White space as str.strip() and str.split() see it: the Unicode property plus four separators. Regular
+# expressions name the property, which Java tests far faster than a list of ranges.
+WS = r"\s\x1c-\x1f"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ASCII_PUNCT = r"""!-/:-@\[-`{-~"""
 # Separators of the phrase analyzer: space , . ? ! : ; ( ) " - newline backslash
 PHRASE_SEPARATORS = r'[ ,.?!:;()"\-\n\\]+'
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
-    return c.isNull() | ~c.rlike(f"[^{WS}]")
+    return c.isNull() | ~c.rlike(f"(?U)[^{WS}]")
 
 
 def words(c: Column) -> Column:
     """White-space separated words; an empty text has none."""
-    return F.filter(F.split(c, f"[{WS}]+"), lambda w: w != "")
+    return F.filter(F.split(c, f"(?U)[{WS}]+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{WS}]+"))
+    return F.regexp_count(c, F.lit(f"(?U)[^{WS}]+"))
 
 
 def phrase_tokens(c: Column) -> Column:
@@ -40,7 +42,7 @@ def normalise_answer(c: Column) -> Column:
     """Lower case, drop ASCII punctuation, drop articles, squeeze white space."""
     c = F.regexp_replace(F.lower(c), f"[{ASCII_PUNCT}]", "")
     c = F.regexp_replace(c, r"(?U)\b(a|an|the)\b", " ")
-    return F.regexp_replace(strip(c), f"[{WS}]+", " ")
+    return F.regexp_replace(strip(c), f"(?U)[{WS}]+", " ")
 
 
 def after_last(c: Column, marker: str) -> Column:

@@ -206,11 +206,15 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 
 def judge_score(kind: Column, c: Column, extractors=None) -> Column:
     """Score of a judgement by its kind; a ``general-`` prefix on the kind is ignored."""
-    name, out = F.regexp_replace(kind, "^general-", ""), None
-    body = judge_text(c)
-    for k, f in (extractors or EXTRACTORS).items():
-        out = F.when(name == k, f(body)) if out is None else out.when(name == k, f(body))
-    return F.coalesce(out, F.lit(0.0))
+    name, table = F.regexp_replace(kind, "^general-", ""), extractors or EXTRACTORS
+
+    def pick(body):
+        out = F.when(F.lit(False), F.lit(0.0))
+        for f in dict.fromkeys(table.values()):
+            out = out.when(name.isin([k for k, g in table.items() if g is f]), f(body))
+        return out.otherwise(F.lit(0.0))
+
+    return F.coalesce(let(judge_text(c), pick), F.lit(0.0))
 
 
 def rating_list(c: Column, typed: bool) -> Column:

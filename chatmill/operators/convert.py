@@ -172,7 +172,7 @@ def few_shot_prompt(queries: DataFrame, exemplars: DataFrame, task: str, k: int,
     picked = top_n_per_key(exemplars, task, k, [hash_key(seed, ids), F.col(ids)])
     block = F.concat(F.lit("Input:\n"), X.strip(F.col("input")), F.lit("\nOutput:\n"), X.strip(F.col("output")), F.lit("\n\n"))
     shots = picked.groupBy(task).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(hash_key(seed, ids).alias("h"), F.col(ids).alias("i"), block.alias("b")))), lambda s: s["b"]), "").alias("_shots")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(hash_key(seed, ids).alias("h"), F.col(ids).alias("i"), block.alias("b")))), lambda s: s["b"]), "").alias("_shots")
     )
     joined = queries.join(shots, task, "left")
     head = F.lit(constant_prefix) if constant_prefix else F.concat(X.strip(F.col("instruction")), F.lit("\n\n"))
@@ -228,7 +228,7 @@ def multiple_choice(correct, wrongs: list) -> tuple[Column, Column]:
     """(letter of the correct choice, rendered ``A: …`` list); choices sorted without regard to case,
     in the given order among equals."""
     options = F.array(*[F.struct(F.lower(_c(c)).alias("k"), F.lit(i).alias("i"), _c(c).alias("v")) for i, c in enumerate([correct, *wrongs])])
-    ordered = F.transform(F.array_sort(options), lambda o: o["v"])
+    ordered = F.transform(F.sort_array(options), lambda o: o["v"])
     letter = F.char(F.lit(64) + F.array_position(ordered, _c(correct)))
     shown = F.array_join(F.transform(ordered, lambda v, i: F.concat(F.char(F.lit(65) + i), F.lit(": "), v)), ", ")
     return letter, shown

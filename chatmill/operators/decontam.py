@@ -39,16 +39,24 @@ def eval_fields(evals: DataFrame, item: str, fields: list[str]) -> DataFrame:
     return complete.select(F.col(item).alias("item"), F.explode(rows).alias("r")).select("item", "r.field", X.phrase_tokens(F.col("r.t")).alias("tokens"))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """array<struct<p, g1, g2>> of all n-token runs."""
+def _grams(tokens: Column, sizes: int | list[int]) -> Column:
+    """array<struct<p, n, g1, g2>> of all token runs of the given sizes. Tokens are hashed once; a run is
+    hashed from its token hashes."""
+    sizes = [sizes] if isinstance(sizes, int) else sizes
 
-    def build(t):
-        def one(i):
-            return let(F.array_join(F.slice(t, i + 1, F.lit(n)), " "), lambda g: F.struct(i.alias("p"), F.xxhash64(g).alias("g1"), F.xxhash64(g, F.lit(1)).alias("g2")))
+    def build(h):
+        def of(n):
+            def one(i):
+                return let(
+                    F.slice(h, i + 1, F.lit(n)),
+                    lambda run: F.struct(i.alias("p"), F.lit(n).alias("n"), F.xxhash64(run).alias("g1"), F.xxhash64(run, F.lit(1)).alias("g2")),
+                )
 
-        return F.transform(indices(F.size(t) - n + 1), one)
+            return F.transform(indices(F.size(h) - n + 1), one)
 
-    return let(tokens, build)
+        return of(sizes[0]) if len(sizes) == 1 else F.concat(*[of(n) for n in sizes])
+
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), build)
 
 
 def _slices(keys: DataFrame, limit: int) -> int:
@@ -68,26 +76,25 @@ def phrase_matches(docs: DataFrame, evals: DataFrame, ids: str, item: str, field
     """(ids, msg, item) for every message that contains all fields of the item as token phrases.
 
     A phrase of L tokens is in a message exactly when its L-k+1 shingles match on one diagonal, that is
-    at a constant distance between message and phrase position. k is 8, or the phrase's own length if shorter.
+    at a constant distance between message and phrase position. k is 8, or for shorter phrases 4, 2 or 1.
     """
     phrases = eval_fields(evals, item, fields).withColumn("n_fields", F.lit(len(fields))).withColumn("len", F.size("tokens")).filter("len > 0")
-    sizes = [r["k"] for r in phrases.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect()]  # at most `shingle` values
-    tokens = docs.select(ids, "msg", X.phrase_tokens(F.col("text")).alias("tokens"))
-    found = []
-    for k in sorted(sizes):
-        mine = phrases.filter(F.least("len", F.lit(shingle)) == k)
-        postings = mine.select("item", "field", (F.col("len") - k + 1).alias("need"), F.explode(_grams(F.col("tokens"), k)).alias("g")).select(
-            "item", "field", "need", F.col("g.p").alias("q"), "g.g1", "g.g2"
-        )
-        grams = tokens.select(ids, "msg", F.explode(_grams(F.col("tokens"), k)).alias("g")).select(ids, "msg", "g.p", "g.g1", "g.g2")
-        hits = _broadcast_slices(grams, postings, limit)
-        diagonals = hits.groupBy(ids, "msg", "item", "field", (F.col("p") - F.col("q")).alias("d")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
-        found.append(diagonals.filter("n = need").select(ids, "msg", "item", "field"))
-    if not found:
+    ladder = [k for k in (8, 4, 2, 1) if k <= shingle]
+    phrases = phrases.withColumn("k", F.coalesce(*[F.when(F.col("len") >= k, k) for k in ladder]))
+    sizes = sorted(r["k"] for r in phrases.select("k").distinct().collect())  # at most four values
+    if not sizes:
         return docs.select(ids, "msg", F.lit(None).cast(evals.schema[item].dataType).alias("item")).limit(0)
+    own = lambda k: F.filter(_grams(F.col("tokens"), sizes), lambda g: g["n"] == k)
+    postings = phrases.select("item", "field", (F.col("len") - F.col("k") + 1).alias("need"), F.explode(own(F.col("k"))).alias("g")).select(
+        "item", "field", "need", F.col("g.p").alias("q"), "g.g1", "g.g2"
+    )
+    # one pass over the messages for all sizes: a hash pair belongs to runs of one length
+    grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), sizes)).alias("g")).select(ids, "msg", "g.p", "g.g1", "g.g2")
+    hits = _broadcast_slices(grams, postings, limit)
+    diagonals = hits.groupBy(ids, "msg", "item", "field", (F.col("p") - F.col("q")).alias("d")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    found = diagonals.filter("n = need").select(ids, "msg", "item", "field")
     return (
-        reduce(DataFrame.unionByName, found)
-        .distinct()
+        found.distinct()
         .groupBy(ids, "msg", "item")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") == len(fields))
@@ -106,7 +113,7 @@ def exact_item_scores(matches: DataFrame, evals: DataFrame, item: str, fields: l
 def covered_tokens(positions: Column, n: int) -> Column:
     """Number of token positions covered by n-grams that start at the given positions."""
     return F.aggregate(
-        F.array_sort(positions),
+        F.sort_array(positions),
         F.struct(F.lit(0).alias("total"), F.lit(0).alias("end")),
         lambda a, p: F.struct((a["total"] + p + n - F.greatest(a["end"], p)).alias("total"), (p + n).alias("end")),
         lambda a: a["total"],
@@ -126,7 +133,7 @@ class NgramOverlap:
         # an n-gram repeated inside a field stands for its last position only
         postings = (
             self.fields.select("item", "field", "len", F.explode(_grams(F.col("tokens"), n)).alias("g"))
-            .select("item", "field", "len", "g.*")
+            .select("item", "field", "len", "g.p", "g.g1", "g.g2")
             .groupBy("item", "field", "len", *GRAM)
             .agg(F.max("p").alias("p"))
         )
@@ -135,7 +142,7 @@ class NgramOverlap:
         shared = _broadcast_slices(grams, vocabulary, limit)
         self.units = (
             shared.groupBy(ids, "msg")
-            .agg(F.array_sort(F.collect_set(F.struct(*GRAM))).alias("grams"))
+            .agg(F.sort_array(F.collect_set(F.struct(*GRAM))).alias("grams"))
             .withColumn("sig", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64("grams", F.lit(1)).alias("b")))
         )
         signatures = self.units.groupBy("sig").agg(F.first("grams").alias("grams"), F.count("*").alias("n_units"))

@@ -353,7 +353,7 @@ def packed_arrays(rows: DataFrame, packs: DataFrame, index: str = "index", query
         fields["lp"] = F.concat(F.array_repeat(F.lit(float("nan")), n_q), F.col(logprobs).cast("array<double>"))
     j = rows.join(packs, index)
     member = F.struct(F.col(index), *[c.alias(k) for k, c in fields.items()])
-    g = j.groupBy("pack").agg(F.array_sort(F.collect_list(member)).alias("m"))  # bounded by the pack length
+    g = j.groupBy("pack").agg(F.sort_array(F.collect_list(member)).alias("m"))  # bounded by the pack length
     flat = lambda k: F.flatten(F.transform("m", lambda x: x[k]))
     out = {
         "query_responses": flat("ids"),
@@ -392,7 +392,7 @@ def flatten_batch(df: DataFrame, batch: str, order_by: str, ids: str = "input_id
     """Concatenate the examples of a batch: ids, labels with the separator in place of each first label,
     cumulative lengths, longest length, position ids, sequence numbers; right-padded to ``max_len``."""
     member = F.struct(order_by, F.col(ids).alias("i"), F.col(labels).alias("l"))
-    g = df.groupBy(batch).agg(F.array_sort(F.collect_list(member)).alias("m"))  # bounded by the batch budget
+    g = df.groupBy(batch).agg(F.sort_array(F.collect_list(member)).alias("m"))  # bounded by the batch budget
     flat = lambda f: F.flatten(F.transform("m", f))
     shifted = lambda x: F.concat(F.array(F.lit(separator)), F.slice(x["l"], F.lit(2), F.greatest(F.size(x["l"]) - 1, F.lit(0))))
     sizes = F.transform("m", lambda x: F.size(x["i"]))

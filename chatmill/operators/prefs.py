@@ -144,7 +144,7 @@ def sample_k_models(df: DataFrame, prompt: str, model: str, text: str, seed, k:
     """k random completions of different models per prompt, as aligned arrays; prompts with fewer go."""
     picked = top_n_per_key(df, prompt, k, [hash_key(seed, prompt, model), F.col(model)], min_rows=k)
     row = F.struct(hash_key(seed, prompt, model).alias("h"), F.col(model).alias("m"), F.col(text).alias("t"))
-    return picked.groupBy(prompt).agg(F.array_sort(F.collect_list(row)).alias("_r")).select(
+    return picked.groupBy(prompt).agg(F.sort_array(F.collect_list(row)).alias("_r")).select(
         prompt, F.transform("_r", lambda x: x["m"]).alias("models"), F.transform("_r", lambda x: x["t"]).alias("completions")
     )
 
@@ -152,7 +152,7 @@ def sample_k_models(df: DataFrame, prompt: str, model: str, text: str, seed, k:
 def collect_candidates(df: DataFrame, prompt: str, model: str, text: str, query: str) -> DataFrame:
     """Per prompt the completions and models in model order, and the prompt text. Groups are as large
     as the number of models."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col(text).alias("t"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(model).alias("m"), F.col(text).alias("t"))))
     return df.groupBy(prompt).agg(rows.alias("_r"), F.min_by(query, model).alias(query)).select(
         prompt, query, F.transform("_r", lambda x: x["t"]).alias("completions"), F.transform("_r", lambda x: x["m"]).alias("models")
     )

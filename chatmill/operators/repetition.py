@@ -114,8 +114,8 @@ def repeated_units(units: Column, min_length: int, min_count: int = 2) -> Column
 
         return let(group_starts(F.transform(r, lambda x: x["u"])), group)
 
-    found = let(let(F.array_sort(occurrences), repeated), summarise)
-    return F.array_sort(F.filter(found, lambda f: f["total"] >= min_count))
+    found = let(let(F.sort_array(occurrences), repeated), summarise)
+    return F.sort_array(F.filter(found, lambda f: f["total"] >= min_count))
 
 
 def repetition_reason(

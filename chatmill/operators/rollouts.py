@@ -151,7 +151,7 @@ def merge_metrics(df: DataFrame, key: str, step: str, number: str | None = None,
     if number:
         aggs.append(F.avg(number).alias(number))
     if values:
-        aggs.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(step, values))), lambda s: s[values])).alias(values))
+        aggs.append(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(step, values))), lambda s: s[values])).alias(values))
     if text:
         aggs.append(F.max_by(text, step).alias(text))
     return df.groupBy(key).agg(*aggs)

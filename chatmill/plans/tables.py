@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from chatmill.catalog.registry import table
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a text table that arrives in fewer splits than there are cores, as one small file does. Inputs
+    of many splits, the normal case on a cluster, are left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per message: conv_id, turn, role, content."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
@@ -15,7 +22,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collect_messages(long: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """Turn rows to one ``messages`` array per conversation, in turn order."""
-    grouped = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "role", "content"))).alias("_m"))
+    grouped = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "role", "content"))).alias("_m"))
     return grouped.select(
         key, F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")
     )
@@ -26,7 +33,7 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return balanced(table(spark, sf_dir, "documents"))
 
 
 def doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def prune_rubrics(buffer: DataFrame, stats: DataFrame, max_active: int, key: Cal
     flat = lambda r: F.coalesce(std(r) == 0, F.lit(False))
     j = j.withColumn("_flat", F.filter("active", flat)).withColumn("active", F.filter("active", lambda r: ~flat(r)))
     # the lowest deviation that is still kept; among equals earlier rubrics win
-    ranked = F.array_sort(F.filter(F.transform("active", lambda r, i: F.struct((-std(r)).alias("s"), i.alias("i"), make(F.col("query"), r).alias("k"))), lambda x: x["s"].isNotNull()))
+    ranked = F.sort_array(F.filter(F.transform("active", lambda r, i: F.struct((-std(r)).alias("s"), i.alias("i"), make(F.col("query"), r).alias("k"))), lambda x: x["s"].isNotNull()))
     j = j.withColumn("_keep", F.transform(F.slice(ranked, 1, max_active), lambda x: x["k"]))
     over = F.size("active") > max_active
     keep = lambda r: std(r).isNull() | F.array_contains(F.col("_keep"), make(F.col("query"), r))
