@@ -56,7 +56,7 @@ def token_counts(tokens: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.arrays_zip(a.alias("x"), b.alias("y")), F.lit(0.0), lambda s, p: s + p["0"].cast("double") * p["1"].cast("double"))
+    return F.aggregate(F.arrays_zip(a.alias("x"), b.alias("y")), F.lit(0.0), lambda s, p: s + p["x"].cast("double") * p["y"].cast("double"))
 
 
 def norm(a: Column) -> Column:

@@ -343,8 +343,8 @@ def _(t, a):
 @rule("detectable_format:sentence_hyphens")
 def _(t, a):
     gold, parts = sentences(F.replace(t, F.lit("-"), F.lit(" "))), F.split(t, "-")
-    pairs = F.filter(F.arrays_zip(parts.alias("p"), gold.alias("g")), lambda z: z["0"].isNotNull() & z["1"].isNotNull())
-    return F.forall(pairs, lambda z: (X.strip(z["0"]) == z["0"]) & (z["0"] == z["1"]))
+    pairs = F.filter(F.arrays_zip(parts.alias("p"), gold.alias("g")), lambda z: z["p"].isNotNull() & z["g"].isNotNull())
+    return F.forall(pairs, lambda z: (X.strip(z["p"]) == z["p"]) & (z["p"] == z["g"]))
 
 
 @rule("keywords:no_adjacent_consecutive")

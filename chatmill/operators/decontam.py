@@ -232,7 +232,7 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "v
         q_blocks = -(-size["n"] // block_rows)
         t_blocks = max(1, -(-train.count() // block_rows))
         t = train.select(train_id, vector).withColumn("tb", F.pmod(F.xxhash64(train_id), F.lit(t_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        q = queries.select(item, vector).withColumn("qb", F.pmod(F.xxhash64(item), F.lit(q_blocks)).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).cast("long"))
+        q = queries.select(item, vector).withColumn("qb", F.pmod(F.xxhash64(item), F.lit(q_blocks)).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))))
 
         def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):

@@ -76,7 +76,14 @@ def encoder(vocab: DataFrame, unknown: int = 0) -> Callable[[Column], Column]:
         ids = table.value
         return s.map(lambda toks: None if toks is None else [ids.get(t, unknown) for t in toks])
 
-    return encode
+    # filters on the ids must stay above the projection that makes them
+    return encode.asNondeterministic()
+
+
+def _computed_once(c: Column) -> Column:
+    """``c`` itself, which Catalyst neither moves nor copies into later expressions: an Arrow function over
+    it then gets a plain column, and the pieces are rendered once."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
 # -- label masks ----------------------------------------------------------------------------------
@@ -114,7 +121,8 @@ def chat_pieces(messages: Column, template: str | Template, eos: str = "<eos>",
                 end, tail = F.lit(suffix), F.lit("")
             body_end = F.when(mine, end).otherwise(body_end)
             trail = F.when(mine, tail).otherwise(trail)
-        body = F.concat(F.coalesce(m["content"], F.lit("")), body_end)
+        shown = m["role"].isin(list(t.wrap))
+        body = F.when(shown, F.concat(F.coalesce(m["content"], F.lit("")), body_end)).otherwise(F.lit(""))
         if mode == "assistant":
             flags = (is_bot & ((i == 0) | before_bot), is_bot, is_bot & (is_last | next_bot))
         elif mode == "last_turn":
@@ -143,7 +151,7 @@ def encode_chat(df: DataFrame, encode: Callable[[Column], Column], messages: str
     pairs = F.flatten(F.transform(pieces, lambda p: F.transform(tokens(p["text"]), lambda k: F.struct(k.alias("k"), p["train"].alias("train")))))
     if max_len is not None:
         pairs = F.slice(pairs, 1, max_len)
-    out = df.withColumn("_p", pairs)
+    out = df.withColumn("_p", _computed_once(pairs))
     out = out.withColumn(f"{prefix}input_ids", encode(F.transform("_p", lambda p: p["k"])))
     labels = F.zip_with(f"{prefix}input_ids", "_p", lambda i, p: F.when(p["train"], i).otherwise(F.lit(IGNORE)))
     return out.withColumns(
@@ -165,7 +173,7 @@ def encode_verifiable(df: DataFrame, encode, messages: str = "messages", templat
 
     prompt = df.withColumn("_prompt", split_prompt(messages, system_override=system))
     text = render_chat(F.col("_prompt"), template, eos, add_generation_prompt=True)
-    out = prompt.withColumn("input_ids_prompt", encode(tokens(text)))
+    out = prompt.withColumn("_t", _computed_once(tokens(text))).withColumn("input_ids_prompt", encode(F.col("_t"))).drop("_t")
     if pad_id is not None:
         out = out.withColumn("input_ids_prompt", F.filter("input_ids_prompt", lambda i: i != pad_id))
     return normalise_verifier_lists(out.withColumn("raw_prompt", messages_to_text("_prompt", "lines")).drop("_prompt"))
@@ -352,7 +360,7 @@ def packed_arrays(rows: DataFrame, packs: DataFrame, index: str = "index", query
     if logprobs:
         fields["lp"] = F.concat(F.array_repeat(F.lit(float("nan")), n_q), F.col(logprobs).cast("array<double>"))
     j = rows.join(packs, index)
-    member = F.struct(F.col(index), *[c.alias(k) for k, c in fields.items()])
+    member = F.struct(F.col(index).alias("_index"), *[c.alias(k) for k, c in fields.items()])
     g = j.groupBy("pack").agg(F.sort_array(F.collect_list(member)).alias("m"))  # bounded by the pack length
     flat = lambda k: F.flatten(F.transform("m", lambda x: x[k]))
     out = {
@@ -391,17 +399,17 @@ def spread(mask: Column, values: Column) -> Column:
 def flatten_batch(df: DataFrame, batch: str, order_by: str, ids: str = "input_ids", labels: str = "labels", max_len: int | None = None, separator: int = IGNORE) -> DataFrame:
     """Concatenate the examples of a batch: ids, labels with the separator in place of each first label,
     cumulative lengths, longest length, position ids, sequence numbers; right-padded to ``max_len``."""
-    member = F.struct(order_by, F.col(ids).alias("i"), F.col(labels).alias("l"))
+    member = F.struct(order_by, F.col(ids).alias("_ids"), F.col(labels).alias("_labels"))
     g = df.groupBy(batch).agg(F.sort_array(F.collect_list(member)).alias("m"))  # bounded by the batch budget
     flat = lambda f: F.flatten(F.transform("m", f))
-    shifted = lambda x: F.concat(F.array(F.lit(separator)), F.slice(x["l"], F.lit(2), F.greatest(F.size(x["l"]) - 1, F.lit(0))))
-    sizes = F.transform("m", lambda x: F.size(x["i"]))
+    shifted = lambda x: F.concat(F.array(F.lit(separator)), F.slice(x["_labels"], F.lit(2), F.greatest(F.size(x["_labels"]) - 1, F.lit(0))))
+    sizes = F.transform("m", lambda x: F.size(x["_ids"]))
     cu = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(last(a) + n)))
     cols = {
-        "input_ids": (flat(lambda x: x["i"]), 0),
+        "input_ids": (flat(lambda x: x["_ids"]), 0),
         "labels": (flat(shifted), IGNORE),
-        "position_ids": (flat(lambda x: indices(F.size(x["i"]))), 0),
-        "seq_idx": (F.flatten(F.transform("m", lambda x, k: F.array_repeat(k, F.size(x["i"])))), -1),
+        "position_ids": (flat(lambda x: indices(F.size(x["_ids"]))), 0),
+        "seq_idx": (F.flatten(F.transform("m", lambda x, k: F.array_repeat(k, F.size(x["_ids"])))), -1),
     }
     padded = lambda c, p: c if max_len is None else F.concat(c, F.array_repeat(F.lit(p), F.greatest(F.lit(max_len) - F.size(c), F.lit(0))))
     return g.select(batch, *[padded(c, p).alias(k) for k, (c, p) in cols.items()], cu.alias("cu_seq_lens"), F.array_max(sizes).alias("max_length"))

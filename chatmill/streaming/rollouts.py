@@ -14,7 +14,7 @@ from chatmill.operators.ordering import dense_index
 from chatmill.plans.cache import exists
 
 GROUP_SCHEMA = "prompt_id string, group_no long, complete boolean, rollout_id long, reward double, advantage double"
-STATE_SCHEMA = "group_no long, ids array<long>, rewards array<double>"
+STATE_SCHEMA = "group_no long, ids array<long>, rewards array<double>, latest long"
 
 
 def group_advantages(rewards: np.ndarray, mode: str = "standard") -> np.ndarray:
@@ -39,29 +39,31 @@ def assemble_groups(stream: DataFrame, n: int, mode: str = "standard", watermark
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            no, ids, rewards = state.get
+            no, ids, rewards, _ = state.get
             state.remove()
             if len(ids):
                 yield rows(key[0], no, False, list(ids), list(rewards))
             return
-        no, ids, rewards = state.get if state.exists else (0, [], [])
+        no, ids, rewards, latest = state.get if state.exists else (0, [], [], 0)
         ids, rewards = list(ids), list(rewards)
         for b in batches:
             ids += b["rollout_id"].tolist()
             rewards += b["reward"].tolist()
+            latest = max(latest, int(b["ts_ms"].max()))
             while len(ids) >= n:
                 g_ids, g_rewards = ids[:n], rewards[:n]
                 ids, rewards = ids[n:], rewards[n:]
                 if not (drop_zero_std and min(g_rewards) == max(g_rewards)):
                     yield rows(key[0], no, True, g_ids, g_rewards)
                 no += 1
-        state.update((no, ids, rewards))
+        state.update((no, ids, rewards, latest))
         if watermark:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + wait)
+            state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
 
     wait = int(pd.Timedelta(watermark).total_seconds() * 1000) if watermark else 0
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    s = stream.withWatermark("ts", watermark) if watermark else stream
+    s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    s = (s.withWatermark("ts", watermark) if watermark else s).withColumn("ts_ms", F.unix_millis("ts"))
     return s.groupBy("prompt_id").applyInPandasWithState(step, GROUP_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
