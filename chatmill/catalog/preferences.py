@@ -97,27 +97,25 @@ def random_per_parent(spark, sf):
 
 @query(
     "sample_k_models",
-    f"""WITH d AS (SELECT o_custkey, 'model' || o_orderkey AS model, o_orderpriority AS text FROM orders),
- r AS (SELECT *, {S.hash_key(4, 'o_custkey', 'model')} AS h, row_number() OVER (PARTITION BY o_custkey ORDER BY {S.hash_key(4, 'o_custkey', 'model')}, model) AS r FROM d)
+    f"""WITH d AS (SELECT o_custkey, o_orderpriority AS model, max(o_orderkey)::VARCHAR AS text FROM orders GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {S.hash_key(4, 'o_custkey', 'model')}, model) AS r FROM d)
  SELECT o_custkey, string_agg(model, ',' ORDER BY r) AS models, string_agg(text, ',' ORDER BY r) AS completions FROM r WHERE r <= 4 GROUP BY 1 HAVING count(*) = 4""",
 )
 def sample_k_models(spark, sf):
-    """WIN13."""
-    d = table(spark, sf, "orders").select("o_custkey", F.concat(F.lit("model"), F.col("o_orderkey")).alias("model"), F.col("o_orderpriority").alias("text"))
+    """WIN13: order priorities stand for models, one completion each."""
+    d = table(spark, sf, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("model")).agg(F.max("o_orderkey").cast("string").alias("text"))
     k = R.sample_k_models(d, "o_custkey", "model", "text", 4)
     return k.select("o_custkey", F.array_join("models", ",").alias("models"), F.array_join("completions", ",").alias("completions"))
 
 
 @query(
     "collect_candidates",
-    """SELECT o_custkey, string_agg('model' || o_orderkey, ',' ORDER BY 'model' || o_orderkey) AS models, string_agg(o_orderpriority, ',' ORDER BY 'model' || o_orderkey) AS completions,
-  min_by(o_orderstatus, 'model' || o_orderkey) AS query FROM orders GROUP BY 1""",
+    """WITH d AS (SELECT o_custkey, o_orderpriority AS model, min(o_orderkey::VARCHAR) AS text, min(o_orderstatus) AS query FROM orders GROUP BY 1, 2)
+ SELECT o_custkey, string_agg(model, ',' ORDER BY model) AS models, string_agg(text, ',' ORDER BY model) AS completions, min_by(query, model) AS query FROM d GROUP BY 1""",
 )
 def collect_candidates(spark, sf):
     """AGG19."""
-    d = table(spark, sf, "orders").select(
-        "o_custkey", F.concat(F.lit("model"), F.col("o_orderkey")).alias("model"), F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("query")
-    )
+    d = table(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("model"), F.col("o_orderkey").cast("string").alias("text"), F.col("o_orderstatus").alias("query"))
     c = R.collect_candidates(d, "o_custkey", "model", "text", "query")
     return c.select("o_custkey", F.array_join("models", ",").alias("models"), F.array_join("completions", ",").alias("completions"), "query")
 
@@ -139,19 +137,16 @@ def one_side_pairs(spark, sf):
 
 @query(
     "include_reference_candidate",
-    """SELECT l_orderkey AS prompt_id, 1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS sample_idx, l_partkey::VARCHAR AS model_completion FROM lineitem
+    """SELECT l_orderkey AS prompt_id, l_linenumber + 1 AS sample_idx, l_partkey::VARCHAR AS model_completion FROM lineitem JOIN orders ON o_orderkey = l_orderkey
  UNION ALL SELECT o_orderkey, 0, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
 )
 def include_reference_candidate(spark, sf):
-    """JN14."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
-    li = table(spark, sf, "lineitem").withColumn("sample_idx", F.row_number().over(w) - 1)
+    """JN14: line items are completions of an order, the order's priority is the reference."""
+    li = table(spark, sf, "lineitem")
     c = li.join(table(spark, sf, "orders"), li.l_orderkey == F.col("o_orderkey")).select(
-        F.col("l_orderkey").alias("prompt_id"), "sample_idx", F.col("l_partkey").cast("string").alias("model_completion"), F.col("o_orderpriority").alias("reference_completion")
+        F.col("l_orderkey").alias("prompt_id"), F.col("l_linenumber").alias("sample_idx"), F.col("l_partkey").cast("string").alias("model_completion"), F.col("o_orderpriority").alias("reference_completion")
     )
-    return J.include_reference_candidate(c).select("prompt_id", F.col("sample_idx").cast("long").alias("sample_idx"), "model_completion")
+    return J.include_reference_candidate(c).select("prompt_id", "sample_idx", "model_completion")
 
 
 @query(

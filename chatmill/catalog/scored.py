@@ -243,17 +243,13 @@ def keep_stop_only(spark, sf):
 
 @query(
     "keep_passed_tests",
-    """WITH t AS (SELECT l_orderkey, list(l_partkey::VARCHAR || '/' || l_linenumber ORDER BY l_linenumber, l_partkey, l_extendedprice) AS tests, list((l_returnflag <> 'R')::INTEGER ORDER BY l_linenumber, l_partkey, l_extendedprice) AS p FROM lineitem GROUP BY 1)
- SELECT l_orderkey, array_to_string(list_transform(list_filter(list_zip(tests, p), lambda z: z[2] = 1), lambda z: z[1]), ',') AS tests FROM t WHERE list_sum(p) >= 0.8 * len(p)""",
+    """WITH t AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag <> 'R') >= 0.8 * count(*))
+ SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem JOIN t USING (l_orderkey) WHERE l_returnflag <> 'R'""",
 )
 def keep_passed_tests(spark, sf):
-    """JN19: tests per order, results joined in."""
-    li = table(spark, sf, "lineitem")
-    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag")))
-    g = li.groupBy("l_orderkey").agg(rows.alias("r"))
-    tests = g.select("l_orderkey", F.transform("r", lambda x: F.concat(x["l_partkey"].cast("string"), F.lit("/"), x["l_linenumber"].cast("string"))).alias("tests"))
-    results = g.select("l_orderkey", F.transform("r", lambda x: (x["l_returnflag"] != "R").cast("int")).alias("passed"))
-    return J.keep_passed_tests(tests, results, "l_orderkey").select("l_orderkey", F.array_join("tests", ",").alias("tests"))
+    """JN19 in long form: line items are tests of an order, returned ones failed."""
+    r = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_returnflag") != "R").alias("passed"))
+    return J.passed_tests(r, "l_orderkey").drop("passed")
 
 
 @query(

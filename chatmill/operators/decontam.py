@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from chatmill.functions import text as X
 from chatmill.functions.arrays import indices, let
 from chatmill.operators.ordering import join_stats
+from chatmill.session import materialise
 
 GRAM = ["g1", "g2"]  # two independent 64-bit hashes identify an n-gram
 BROADCAST_GRAMS = 4_000_000
@@ -140,10 +141,12 @@ class NgramOverlap:
         vocabulary = postings.select(*GRAM).distinct()
         grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), n)).alias("g")).select(ids, "msg", "g.g1", "g.g2")
         shared = _broadcast_slices(grams, vocabulary, limit)
-        self.units = (
+        # written once: the only pass over the training texts, and only messages that share something remain
+        self.units = materialise(
             shared.groupBy(ids, "msg")
             .agg(F.sort_array(F.collect_set(F.struct(*GRAM))).alias("grams"))
-            .withColumn("sig", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64("grams", F.lit(1)).alias("b")))
+            .withColumn("sig", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64("grams", F.lit(1)).alias("b"))),
+            "overlap",
         )
         signatures = self.units.groupBy("sig").agg(F.first("grams").alias("grams"), F.count("*").alias("n_units"))
         per_field = (
@@ -269,7 +272,8 @@ def decontaminate(train: DataFrame, bad_ids: list[DataFrame], ids: str = "origin
 
 
 def removal_report(train: DataFrame, kept: DataFrame) -> DataFrame:
-    return train.agg(F.count("*").alias("total")).join(kept.agg(F.count("*").alias("kept")), F.lit(True)).select(
+    left = kept.agg(F.count("*").alias("kept")).scalar()
+    return train.agg(F.count("*").alias("total")).withColumn("kept", left).select(
         "total", "kept", (F.col("total") - F.col("kept")).alias("removed"), (100.0 * F.col("kept") / F.col("total")).alias("kept_pct")
     )
 

@@ -258,6 +258,13 @@ def count_guard(n_in: int, n_out: int, max_rel_diff: float = 0.01) -> None:
         raise ValueError(f"output count {n_out} deviates from input count {n_in} by more than {max_rel_diff:.0%}")
 
 
+def keep_equal(df: DataFrame, **values) -> DataFrame:
+    """Rows whose columns hold the given values."""
+    for c, v in values.items():
+        df = df.filter(F.col(c) == v)
+    return df
+
+
 def keep_stop_only(df: DataFrame, column: str = "finish_reason") -> DataFrame:
     return df.filter(F.col(column) == "stop")
 

@@ -119,6 +119,13 @@ def keep_passed_tests(df: DataFrame, results: DataFrame, ids: str, tests: str =
     return j.filter((n_ok >= ratio * F.size(tests)) & (n_ok > 0)).withColumn(tests, kept).drop(passed)
 
 
+def passed_tests(results: DataFrame, ids: str, passed: str = "passed", ratio: float = 0.8) -> DataFrame:
+    """The same over one row per test: the passed tests of ids that pass at least ``ratio`` of theirs."""
+    ok = F.col(passed).cast("double") == 1
+    rate = results.groupBy(ids).agg(F.count("*").alias("_n"), F.count_if(ok).alias("_ok")).filter((F.col("_ok") >= ratio * F.col("_n")) & (F.col("_ok") > 0))
+    return join_stats(results.filter(ok), rate, ids, "_n").drop("_n", "_ok")
+
+
 def tree_paths(nodes: DataFrame, top_k: int | None = None, max_depth: int = 64, every: int = 8) -> DataFrame:
     """Every root-to-leaf path that ends in an assistant message: (leaf, messages).
 

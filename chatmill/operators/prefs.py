@@ -150,10 +150,10 @@ def sample_k_models(df: DataFrame, prompt: str, model: str, text: str, seed, k:
 
 
 def collect_candidates(df: DataFrame, prompt: str, model: str, text: str, query: str) -> DataFrame:
-    """Per prompt the completions and models in model order, and the prompt text. Groups are as large
-    as the number of models."""
+    """Per prompt the completions and models in model order, and the prompt text. One completion per
+    model is kept first, so a list is never longer than the number of models."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(model).alias("m"), F.col(text).alias("t"))))
-    return df.groupBy(prompt).agg(rows.alias("_r"), F.min_by(query, model).alias(query)).select(
+    return df.groupBy(prompt, model).agg(F.min(text).alias(text), F.min(query).alias(query)).groupBy(prompt).agg(rows.alias("_r"), F.min_by(query, model).alias(query)).select(
         prompt, query, F.transform("_r", lambda x: x["t"]).alias("completions"), F.transform("_r", lambda x: x["m"]).alias("models")
     )
 

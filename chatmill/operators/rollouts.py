@@ -111,7 +111,7 @@ def per_verifier_metrics(scores: DataFrame, verifier: str = "verifier", reward:
 def tool_statistics(df: DataFrame, calls: str = "tool_calls", tools: list[str] = ()) -> DataFrame:
     """Per tool and overall (tool null): calls per rollout, failure rate, mean runtime. The denominator
     counts rollouts without calls too. Tools named in ``tools`` appear even when never called."""
-    total = df.agg(F.count("*").alias("rollouts"))
+    rollouts = df.agg(F.count("*").alias("rollouts")).scalar()
     c = df.select(F.explode(calls).alias("c")).select("c.*")
     per = c.rollup("tool_name").agg(
         F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("failures"), F.sum("runtime").alias("runtime")
@@ -121,8 +121,8 @@ def tool_statistics(df: DataFrame, calls: str = "tool_calls", tools: list[str] =
         unused = named.join(per, "tool_name", "left_anti").select("tool_name", F.lit(0).alias("calls"), F.lit(0).alias("failures"), F.lit(0.0).alias("runtime"))
         per = per.unionByName(unused)
     rate = lambda a: F.when(F.col("calls") > 0, F.col(a) / F.col("calls")).otherwise(F.lit(0.0))
-    return per.join(F.broadcast(total)).select(
-        "tool_name", (F.col("calls") / F.col("rollouts")).alias("avg_calls_per_rollout"), rate("failures").alias("failure_rate"), rate("runtime").alias("avg_runtime")
+    return per.select(
+        "tool_name", (F.col("calls") / rollouts).alias("avg_calls_per_rollout"), rate("failures").alias("failure_rate"), rate("runtime").alias("avg_runtime")
     )
 
 

@@ -48,7 +48,10 @@ def message_stats(long: DataFrame, key: str, length: Column, by: list[str] = ())
     per_instance = inst.groupBy(*by).agg(
         F.count("*").alias("num_instances"), *describe(F.col("turns"), "turns"), *describe(F.col("total_length"), "total"), *over_thresholds(F.col("total_length"))
     )
-    return per_instance.join(per_message, list(by)) if by else per_instance.join(per_message)
+    if by:
+        return per_instance.join(per_message, list(by))
+    one = F.lit(1).alias("_one")  # both sides are a single row
+    return per_instance.select("*", one).join(per_message.select("*", one), "_one").drop("_one")
 
 
 def prompt_completion_stats(df: DataFrame, prompt: Column, completion: Column, by: list[str] = ()) -> DataFrame:
@@ -87,10 +90,10 @@ def output_stats(df: DataFrame, source: str, tokens: Column, trainable: Column)
     per = df.select(source, tokens.cast("long").alias("t"), trainable.cast("long").alias("l")).rollup(source).agg(
         F.count("*").alias("instances"), F.sum("t").alias("tokens"), F.sum("l").alias("trainable_tokens"), F.count_if(F.col("l") == 0).alias("no_label")
     )
-    total = per.agg(F.max("instances").alias("_i"), F.max("tokens").alias("_t"))
-    return per.join(F.broadcast(total)).select(
+    most = lambda c: per.agg(F.max(c).alias("m")).scalar()  # the grand-total row holds the maximum
+    return per.select(
         source, "instances", "tokens", "trainable_tokens", "no_label",
-        (100.0 * F.col("tokens") / F.col("_t")).alias("pct_tokens"), (100.0 * F.col("instances") / F.col("_i")).alias("pct_instances"),
+        (100.0 * F.col("tokens") / most("tokens")).alias("pct_tokens"), (100.0 * F.col("instances") / most("instances")).alias("pct_instances"),
     )
 
 
