@@ -31,6 +31,7 @@ HEADLINE = [
     "score_ifeval",
     "score_string_f1",
     "encode_chat",
+    "encode_plain",
     "pack_next_fit",
     "packed_rollouts",
     "stream_advantages",
@@ -51,7 +52,7 @@ def main() -> None:
             start = time.time()
             queries[name](spark, sf_dir).write.mode("overwrite").format("noop").save()
             run[name] = round(time.time() - start, 3)
-    rows = {"repetition_filter": "documents", "length_filter": "documents", "score_ifeval": "documents", "drop_provider_identity": "conversations", "encode_chat": "conversations"}
+    rows = {"repetition_filter": "documents", "length_filter": "documents", "score_ifeval": "documents", "drop_provider_identity": "conversations", "encode_chat": "conversations", "encode_plain": "documents"}
     rates = {
         n: round(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() / times[n] / int(cpus)) for n, t in rows.items() if n in times
     }

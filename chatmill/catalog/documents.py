@@ -8,7 +8,7 @@ from chatmill.catalog import sqlparts as S
 from chatmill.catalog.registry import query, table
 from chatmill.functions import text as X
 from chatmill.functions import wordlists as L
-from chatmill.functions.arrays import ngrams
+from chatmill.functions.arrays import computed_once, ngrams
 from chatmill.operators import convert as C
 from chatmill.operators import filters as P
 from chatmill.operators import repetition as R
@@ -153,7 +153,7 @@ def drop_tags(spark, sf):
 
 @query("length_filter", f"SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4000 AND {S.n_words('text')} <= 512")
 def length_filter(spark, sf):
-    df = documents(spark, sf).withColumn("tokens", X.words(F.col("text")))
+    df = documents(spark, sf).withColumn("tokens", computed_once(X.words(F.col("text"))))
     return P.length_filter(df, {"tokens": 512, "n_chars": 4000}).select("doc_id", "n_chars")
 
 

@@ -269,3 +269,52 @@ def fit_context(spark, sf):
     spoken = F.filter("f", lambda m: m["role"] != "system")
     words = F.aggregate(spoken, F.lit(0).cast("long"), lambda a, m: a + X.word_count(m["content"]))
     return c.select("conv_id", F.size("f").alias("n"), words.alias("words"))
+
+
+@query(
+    "encode_plain",
+    f"""WITH t AS (SELECT unnest({_TOKENS}) AS token FROM documents), cn AS (SELECT token, count(*) AS n FROM t GROUP BY 1),
+ v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM cn ORDER BY n DESC, token LIMIT 2000),
+ x AS (SELECT doc_id, unnest({_HEAD.replace("role", "'user'")} || {_TOKENS} || [chr(10)]) AS token FROM documents)
+ SELECT doc_id, count(*)::INTEGER AS n, sum(coalesce(id, 0))::BIGINT AS id_sum, count(*) FILTER (WHERE id IS NULL)::INTEGER AS unknown FROM x LEFT JOIN v USING (token) GROUP BY 1""",
+)
+def encode_plain(spark, sf):
+    """PK2 and PK5: whole documents encoded, nothing masked."""
+    from chatmill.plans.tables import doc_messages
+
+    vocab = K.build_vocab(documents(spark, sf), K.tokens(F.col("text")), 2000)
+    e = K.encode_chat(doc_messages(spark, sf), K.encoder(vocab), mode="none")
+    total = F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x)
+    return e.select(
+        F.col("original_id").alias("doc_id"), F.size("input_ids").alias("n"), total.alias("id_sum"), F.size(F.filter("input_ids", lambda i: i == 0)).alias("unknown")
+    )
+
+
+_TURN_TOKENS = f"""t AS (SELECT conv_id, turn, role, len({_TOKENS}) + CASE WHEN role = 'assistant' THEN 3 ELSE 1 END AS body,
+   max(turn) OVER (PARTITION BY conv_id) AS top, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+ c AS (SELECT conv_id, sum(6 + body + (role = 'assistant' AND turn < top)::INTEGER) AS total, max(CASE WHEN turn = top THEN body + CASE WHEN role = 'assistant' AND n > 1 THEN 0 ELSE 6 END END) AS last_turn,
+   max(CASE WHEN turn = top AND n > 1 THEN body + CASE WHEN role = 'assistant' THEN 0 ELSE 6 END ELSE 0 END) AS prompt FROM t GROUP BY 1)"""
+
+
+@query("encode_label_modes", f"WITH {_TURN_TOKENS} SELECT conv_id, total::INTEGER AS n, last_turn::INTEGER AS n_last_turn, prompt::INTEGER AS n_prompt FROM c")
+def encode_label_modes(spark, sf):
+    """PK4, PK5 and PK6: trainable tokens when all but the last turn, or the prompt, is masked."""
+    pair = chat(spark, sf).select("conv_id", F.col("messages").alias("chosen"), F.col("messages").alias("rejected"))
+    ids = lambda toks: F.transform(toks, lambda t: F.lit(1))  # any encoder will do for counting
+    e = K.encode_preference(pair, ids, mode="last_turn")
+    e = K.encode_chat(e, ids, "rejected", mode="prompt", prefix="masked_")
+    kept = lambda c: F.size(F.filter(c, lambda x: x != -100))
+    return e.select("conv_id", F.size("chosen_input_ids").alias("n"), kept("chosen_labels").alias("n_last_turn"), kept("masked_labels").alias("n_prompt"))
+
+
+@query(
+    "encode_verifiable",
+    f"""WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS top, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+ p AS (SELECT * FROM m WHERE NOT (turn = top AND n > 1 AND role = 'assistant')), q AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS ptop FROM p)
+ SELECT conv_id, (sum(6 + len({_TOKENS}) + CASE WHEN role = 'assistant' THEN 3 + (turn < ptop)::INTEGER ELSE 1 END) + 6)::INTEGER AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS raw_prompt, 'gsm8k' AS verifier FROM q GROUP BY 1""",
+)
+def encode_verifiable(spark, sf):
+    """PK7 and CNV23: prompt ids with the generation header, raw prompt, list-valued verifier."""
+    df = chat(spark, sf).withColumns({"ground_truth": F.lit("1"), "dataset": F.lit("gsm8k")})
+    e = K.encode_verifiable(df, lambda toks: F.transform(toks, lambda t: F.lit(1)), pad_id=0)
+    return e.select("conv_id", F.size("input_ids_prompt").alias("n"), "raw_prompt", F.col("dataset")[0].alias("verifier"))

@@ -13,6 +13,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(c: Column) -> Column:
+    """``c`` as a column that Catalyst neither pushes down nor copies into later expressions. For costly
+    expressions that a filter and a projection both use, and as plain input of Arrow functions."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def pipe(value: Column, *steps: Callable[[Column], Column]) -> Column:
     """Apply steps in turn, each to the bound result of the one before."""
     for step in steps:

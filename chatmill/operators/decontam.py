@@ -1,8 +1,8 @@
 """Decontamination: exact phrases, n-gram overlap and vector similarity against evaluation sets.
 
 The evaluation side is small next to the training side, but its size is checked, not assumed: its n-grams
-are joined in slices that each fit a broadcast, so training n-grams are never shuffled and a frequent
-n-gram cannot overload a task. Training messages that match the same set of n-grams are folded into one
+are counted and joined by broadcast, whole or in slices, so training n-grams are not shuffled and a frequent
+n-gram cannot overload a task; only a very large evaluation side is shuffled. Training messages that match the same set of n-grams are folded into one
 signature before items are scored, so copies and shared boilerplate cost one row.
 """
 
@@ -22,6 +22,7 @@ from chatmill.session import materialise
 
 GRAM = ["g1", "g2"]  # two independent 64-bit hashes identify an n-gram
 BROADCAST_GRAMS = 4_000_000
+MAX_SLICES = 8
 BROADCAST_BYTES = 256 << 20
 
 
@@ -60,15 +61,15 @@ def _grams(tokens: Column, sizes: int | list[int]) -> Column:
     return let(F.transform(tokens, lambda t: F.xxhash64(t)), build)
 
 
-def _slices(keys: DataFrame, limit: int) -> int:
-    return max(1, -(-keys.count() // limit))
-
-
-def _broadcast_slices(big: DataFrame, small: DataFrame, limit: int) -> DataFrame:
-    """Inner join on the gram with ``small`` sent to every task in slices of at most ``limit`` rows."""
-    n = _slices(small, limit)
+def _join_grams(big: DataFrame, small: DataFrame, limit: int) -> DataFrame:
+    """Inner join on the gram. ``small`` is counted: up to ``limit`` rows are broadcast, up to MAX_SLICES
+    times as many are broadcast slice by slice, and beyond that both sides are shuffled and adaptive
+    execution splits the partitions of frequent grams."""
+    n = max(1, -(-small.count() // limit))
     if n == 1:
         return big.join(F.broadcast(small), GRAM)
+    if n > MAX_SLICES:
+        return big.join(small, GRAM)
     parts = [big.join(F.broadcast(small.filter(F.pmod("g1", F.lit(n)) == i)), GRAM) for i in range(n)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -91,7 +92,7 @@ def phrase_matches(docs: DataFrame, evals: DataFrame, ids: str, item: str, field
     )
     # one pass over the messages for all sizes: a hash pair belongs to runs of one length
     grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), sizes)).alias("g")).select(ids, "msg", "g.p", "g.g1", "g.g2")
-    hits = _broadcast_slices(grams, postings, limit)
+    hits = _join_grams(grams, postings, limit)
     diagonals = hits.groupBy(ids, "msg", "item", "field", (F.col("p") - F.col("q")).alias("d")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
     found = diagonals.filter("n = need").select(ids, "msg", "item", "field")
     return (
@@ -140,7 +141,7 @@ class NgramOverlap:
         )
         vocabulary = postings.select(*GRAM).distinct()
         grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), n)).alias("g")).select(ids, "msg", "g.g1", "g.g2")
-        shared = _broadcast_slices(grams, vocabulary, limit)
+        shared = _join_grams(grams, vocabulary, limit)
         # written once: the only pass over the training texts, and only messages that share something remain
         self.units = materialise(
             shared.groupBy(ids, "msg")
@@ -152,7 +153,9 @@ class NgramOverlap:
         per_field = (
             signatures.select("sig", F.explode("grams").alias("g"))
             .select("sig", "g.*")
-            .join(postings, GRAM)
+        )
+        per_field = (
+            _join_grams(per_field, postings, limit)
             .groupBy("sig", "item", "field", "len")
             .agg(F.collect_set("p").alias("at"))
         )

@@ -60,7 +60,7 @@ def resample(df: DataFrame, target: int, size: int, seed, ids) -> DataFrame:
 def resample_by_source(df: DataFrame, sizes: DataFrame, source: str, seed, ids) -> DataFrame:
     """``resample`` of every source of one table at once. ``sizes``: (source, size, target), one row per source.
     A source may hold most of the table: copies are generated in place and only extras are ranked, in hash buckets."""
-    j = df.join(F.broadcast(sizes.select(source, "size", "target")), source)
+    j = df.join(sizes.select(source, "size", "target"), source)
     copies = F.floor(F.col("target") / F.col("size")).cast("int")
     whole = j.withColumn("_k", copies).filter("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
     extra = sample_exact(j, F.col("target") % F.col("size"), seed, ids, [source]).withColumn("copy", copies + 1)

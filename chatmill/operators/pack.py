@@ -13,11 +13,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatmill.functions import text as X
-from chatmill.functions.arrays import indices, last, let
+from chatmill.functions.arrays import computed_once, indices, last, let
 from chatmill.operators.ordering import dense_index, prefix_sum
 from chatmill.operators.templates import TEMPLATES, Template
 
@@ -69,23 +71,20 @@ def encoder(vocab: DataFrame, unknown: int = 0) -> Callable[[Column], Column]:
     rows = vocab.select("token", "id").limit(MAX_VOCABULARY + 1).toPandas()
     if len(rows) > MAX_VOCABULARY:
         raise ValueError("vocabulary too large to broadcast")
-    table = vocab.sparkSession.sparkContext.broadcast(dict(zip(rows["token"], rows["id"].tolist())))
+    table = vocab.sparkSession.sparkContext.broadcast((pa.array(rows["token"], pa.string()), pa.array(rows["id"].astype("int32"))))
 
-    @F.pandas_udf("array<int>")
-    def encode(s: pd.Series) -> pd.Series:
-        ids = table.value
-        return s.map(lambda toks: None if toks is None else [ids.get(t, unknown) for t in toks])
+    @F.arrow_udf("array<int>")
+    def encode(lists: pa.Array) -> pa.Array:
+        known, ids = table.value
+        flat = lists.flatten()
+        found = pc.fill_null(pc.take(ids, pc.index_in(flat.cast(pa.string()), value_set=known)), pa.scalar(unknown, pa.int32()))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), found)
 
     # filters on the ids must stay above the projection that makes them
     return encode.asNondeterministic()
 
 
-def _computed_once(c: Column) -> Column:
-    """``c`` itself, which Catalyst neither moves nor copies into later expressions: an Arrow function over
-    it then gets a plain column, and the pieces are rendered once."""
-    return F.when(F.monotonically_increasing_id() >= 0, c)
-
-
 # -- label masks ----------------------------------------------------------------------------------
 
 
@@ -151,7 +150,7 @@ def encode_chat(df: DataFrame, encode: Callable[[Column], Column], messages: str
     pairs = F.flatten(F.transform(pieces, lambda p: F.transform(tokens(p["text"]), lambda k: F.struct(k.alias("k"), p["train"].alias("train")))))
     if max_len is not None:
         pairs = F.slice(pairs, 1, max_len)
-    out = df.withColumn("_p", _computed_once(pairs))
+    out = df.withColumn("_p", computed_once(pairs))
     out = out.withColumn(f"{prefix}input_ids", encode(F.transform("_p", lambda p: p["k"])))
     labels = F.zip_with(f"{prefix}input_ids", "_p", lambda i, p: F.when(p["train"], i).otherwise(F.lit(IGNORE)))
     return out.withColumns(
@@ -173,7 +172,7 @@ def encode_verifiable(df: DataFrame, encode, messages: str = "messages", templat
 
     prompt = df.withColumn("_prompt", split_prompt(messages, system_override=system))
     text = render_chat(F.col("_prompt"), template, eos, add_generation_prompt=True)
-    out = prompt.withColumn("_t", _computed_once(tokens(text))).withColumn("input_ids_prompt", encode(F.col("_t"))).drop("_t")
+    out = prompt.withColumn("_t", computed_once(tokens(text))).withColumn("input_ids_prompt", encode(F.col("_t"))).drop("_t")
     if pad_id is not None:
         out = out.withColumn("input_ids_prompt", F.filter("input_ids_prompt", lambda i: i != pad_id))
     return normalise_verifier_lists(out.withColumn("raw_prompt", messages_to_text("_prompt", "lines")).drop("_prompt"))
@@ -317,7 +316,7 @@ def _next_fit(df: DataFrame, index: str, lengths: list[str], rule, block_rows: i
             i = int(nxt[i])
         return pd.DataFrame({index: pdf[index].to_numpy(), name: pdf["packs"].iloc[0] - 1 + np.cumsum(opened)})
 
-    return rows.join(F.broadcast(chained), "block").groupBy("block").applyInPandas(assign, f"{index} long, {name} long")
+    return rows.join(chained, "block").groupBy("block").applyInPandas(assign, f"{index} long, {name} long")
 
 
 def pack_next_fit(df: DataFrame, index: str, length: str, pack_length: int, min_batches: int = 1, total: int | None = None, block_rows: int = 250_000) -> DataFrame:

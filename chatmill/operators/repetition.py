@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatmill.functions import text as X
-from chatmill.functions.arrays import group_starts, indices, last, let
+from chatmill.functions.arrays import computed_once, group_starts, indices, last, let
 
 # Fixed values. Any of these characters marks math or code.
 MATH_SYMBOLS = r"[=+\-*/^()\[\]{}<>|&~!@#$%\\]"
@@ -177,7 +177,7 @@ def last_assistant(messages: Column) -> Column:
 
 def flag_repetition(df: DataFrame, text: Column, **thresholds) -> DataFrame:
     """Add ``repetition_reason``; a kept row has none."""
-    return df.withColumn("repetition_reason", repetition_reason(text, **thresholds))
+    return df.withColumn("repetition_reason", computed_once(repetition_reason(text, **thresholds)))
 
 
 def repetition_filter(df: DataFrame, messages: str = "messages", **thresholds) -> DataFrame:

@@ -50,8 +50,8 @@ def message_stats(long: DataFrame, key: str, length: Column, by: list[str] = ())
     )
     if by:
         return per_instance.join(per_message, list(by))
-    one = F.lit(1).alias("_one")  # both sides are a single row
-    return per_instance.select("*", one).join(per_message.select("*", one), "_one").drop("_one")
+    row = per_message.select(F.struct("*").alias("m")).scalar()  # a single row
+    return per_instance.withColumn("_m", row).select("*", "_m.*").drop("_m")
 
 
 def prompt_completion_stats(df: DataFrame, prompt: Column, completion: Column, by: list[str] = ()) -> DataFrame:
@@ -119,7 +119,7 @@ def length_histogram(df: DataFrame, category: str, value: Column, edges: list[fl
     by (category, bin), then a second over its few rows."""
     cells = df.groupBy(F.col(category).alias("category"), bin_number(value, edges).alias("bin")).agg(F.count("*").alias("n"))
     sizes = cells.groupBy("category").agg(F.sum("n").alias("_size"))
-    folded = cells.join(F.broadcast(sizes), "category").withColumn("category", F.when(F.col("_size") >= min_count, F.col("category")).otherwise("Other"))
+    folded = cells.join(sizes, "category").withColumn("category", F.when(F.col("_size") >= min_count, F.col("category")).otherwise("Other"))
     return folded.filter("bin is not null").groupBy("category", "bin").agg(F.sum("n").alias("n"))
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from chatmill.catalog.registry import table
 
 
-def balanced(df: DataFrame) -> DataFrame:
+def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread a text table that arrives in fewer splits than there are cores, as one small file does. Inputs
     of many splits, the normal case on a cluster, are left where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced(table(spark, sf_dir, "documents"))
+    return balanced(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
