@@ -47,6 +47,7 @@ _LONG_KEPT = f"""WITH flags AS (SELECT conv_id, bool_or({EMPTY_SQL} OR ({SELF_SQ
  SELECT * FROM (SELECT count(*) AS num_instances, {S.describe('turns', 'turns')}, {S.describe('total', 'total')},
    {', '.join(f'count(*) FILTER (WHERE total > {t}) AS n_gt_{t}' for t in ST.THRESHOLDS)} FROM i),
  (SELECT {S.describe('n', 'user', "role = 'user'")}, {S.describe('n', 'assistant', "role = 'assistant'")} FROM m)""",
+    approx=["turns_mean", "turns_std", "total_mean", "total_std", "user_mean", "user_std", "assistant_mean", "assistant_std"],
 )
 def clean_chat_stats(spark, sf):
     """AGG1 over conversations that pass FLT1 and FLT3: flags are aggregated per conversation and anti-joined,

@@ -355,6 +355,7 @@ _OVER = ", ".join(f"count(*) FILTER (WHERE p + c > {t}) AS n_gt_{t}" for t in ST
 @query(
     "prompt_completion_stats",
     f"""WITH l AS (SELECT length(url) AS p, length(html) AS c FROM pages) SELECT count(*) AS num_instances, {S.describe('p', 'prompt')}, {S.describe('c', 'completion')}, {S.describe('p + c', 'total')}, {_OVER} FROM l""",
+    approx=["prompt_mean", "prompt_std", "completion_mean", "completion_std", "total_mean", "total_std"],
 )
 def prompt_completion_stats(spark, sf):
     return ST.prompt_completion_stats(table(spark, sf, "pages"), F.length("url").cast("long"), F.length("html").cast("long"))

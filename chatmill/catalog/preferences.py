@@ -202,6 +202,7 @@ def pivot_aspects(spark, sf):
     "pair_eval",
     """SELECT avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS accuracy, avg(ln(1 + exp(-m))) AS loss, avg(a) AS chosen_score, avg(b) AS rejected_score, avg(m) AS margin
  FROM (SELECT l_quantity / 10 AS a, l_discount * 20 AS b, l_quantity / 10 - l_discount * 20 AS m FROM lineitem)""",
+    approx=["accuracy", "loss", "chosen_score", "rejected_score", "margin"],
 )
 def pair_eval(spark, sf):
     """AGG30."""

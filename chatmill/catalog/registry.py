@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import functions as F
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+DIGITS = 6
+
 
+def query(name: str, sql: str | None = None, approx: Sequence[str] = ()):
+    """Register a query. Columns in ``approx`` are sums of fractions whose last digits depend on the order
+    of addition; both sides round them."""
 
-def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+        if approx:
+
+            def run(spark, sf_dir):
+                return fn(spark, sf_dir).withColumns({c: F.round(c, DIGITS) for c in approx})
+
+            QUERIES[name] = run
+        else:
+            QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            rounded = ", ".join(f'round("{c}", {DIGITS}) AS "{c}"' for c in approx)
+            ORACLES[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if approx else sql
         return fn
 
     return register

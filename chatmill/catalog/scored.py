@@ -66,6 +66,7 @@ def zero_std_filter(spark, sf):
     f"""WITH p AS ({_PAIRS}), g AS (SELECT prompt_id, avg(reward) AS m, min(reward) AS lo, max(reward) AS hi FROM p GROUP BY 1)
  SELECT count(*) AS total_prompts, avg(m) FILTER (WHERE lo < hi) AS percent_solved_mean, count(*) FILTER (WHERE lo = hi) AS filtered_prompts, count(*) FILTER (WHERE lo = hi AND lo = 0) AS filtered_prompts_zero,
   count(*) FILTER (WHERE lo = hi AND lo = 1) AS filtered_prompts_solved, count(*) FILTER (WHERE lo = hi AND lo NOT IN (0, 1)) AS filtered_prompts_nonzero, count(*) FILTER (WHERE m >= 0.5) AS no_resampled_prompts FROM g""",
+    approx=["percent_solved_mean"],
 )
 def batch_statistics(spark, sf):
     """AGG9."""
@@ -90,6 +91,7 @@ def passrate(spark, sf):
  SELECT avg(value) AS scores, count(*) / 20000 AS real_batch_size_ratio, count(*) FILTER (WHERE value < 20) / count(*) AS unsolved_batch_size_ratio, count(*) / 8 AS total_reward_groups, avg(n) AS sequence_lengths,
   min(n) AS sequence_lengths_min, max(n) AS sequence_lengths_max, coalesce(avg(n) FILTER (WHERE value = 0), 0) AS sequence_lengths_unsolved, coalesce(avg(n) FILTER (WHERE value = 20), 0) AS sequence_lengths_solved,
   avg((event_type <> 'error')::INTEGER) AS stop_rate, round(avg(adv), 6) AS advantages_mean, round(min(adv), 6) AS advantages_min, round(max(adv), 6) AS advantages_max FROM a""",
+    approx=["scores"],
 )
 def step_metrics(spark, sf):
     """AGG10."""
@@ -102,6 +104,7 @@ def step_metrics(spark, sf):
 @query(
     "per_verifier_metrics",
     "SELECT event_type AS verifier, avg(value) AS mean_reward, avg((value > 0)::INTEGER) AS correct_rate FROM events GROUP BY ROLLUP (event_type)",
+    approx=["mean_reward", "correct_rate"],
 )
 def per_verifier_metrics(spark, sf):
     """AGG11."""
@@ -116,6 +119,7 @@ _CALLS = """c AS (SELECT event_type AS tool, value > 5 AS ok, value / 10 AS runt
     "tool_statistics",
     f"""WITH {_CALLS}, g AS (SELECT tool, count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS f, sum(runtime) AS rt FROM c GROUP BY ROLLUP (tool) UNION ALL SELECT 'browser', 0, 0, 0)
  SELECT tool AS tool_name, calls / n AS avg_calls_per_rollout, CASE WHEN calls > 0 THEN f / calls ELSE 0 END AS failure_rate, CASE WHEN calls > 0 THEN rt / calls ELSE 0 END AS avg_runtime FROM g, n""",
+    approx=["avg_calls_per_rollout", "failure_rate", "avg_runtime"],
 )
 def tool_statistics(spark, sf):
     """AGG12: rollouts without calls count in the denominator, unused tools are listed."""
@@ -130,6 +134,7 @@ def tool_statistics(spark, sf):
 @query(
     "env_metrics",
     """SELECT event_type AS env, 'k' AS key, avg((props::JSON->>'$.k')::DOUBLE) AS mean FROM events GROUP BY 1 UNION ALL SELECT event_type, 'value', avg(value) FROM events GROUP BY 1""",
+    approx=["mean"],
 )
 def env_metrics(spark, sf):
     """AGG13."""
@@ -141,6 +146,7 @@ def env_metrics(spark, sf):
     "rubric_metrics",
     """WITH w AS (SELECT l_returnflag = 'A' AS ev, (l_linenumber % 3) * (l_quantity - 25) AS w FROM lineitem)
  SELECT avg(w) FILTER (WHERE ev) AS avg_evolving_reward, stddev_pop(w) FILTER (WHERE ev) AS std_evolving_reward, avg(w) FILTER (WHERE NOT ev) AS avg_persistent_reward, stddev_pop(w) FILTER (WHERE NOT ev) AS std_persistent_reward FROM w""",
+    approx=["avg_evolving_reward", "std_evolving_reward", "avg_persistent_reward", "std_persistent_reward"],
 )
 def rubric_metrics(spark, sf):
     """AGG14."""
@@ -151,6 +157,7 @@ def rubric_metrics(spark, sf):
 @query(
     "merge_metrics",
     """SELECT event_type, avg(value) AS value, arg_max(props, event_id) AS props FROM events GROUP BY 1""",
+    approx=["value"],
 )
 def merge_metrics(spark, sf):
     """AGG15: numbers averaged, text of the last step."""
@@ -189,6 +196,7 @@ def token_counts(spark, sf):
     "baseline_projections",
     """WITH b AS (SELECT user_id, event_type AS layer, avg(value) AS b FROM events GROUP BY 1, 2)
  SELECT layer, count(*) AS prompts, avg(b) AS mean, stddev_pop(b) AS std, min(b) AS min, max(b) AS max FROM b GROUP BY 1""",
+    approx=["mean", "std", "min", "max"],
 )
 def baseline_projections(spark, sf):
     """AGG24."""

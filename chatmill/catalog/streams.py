@@ -79,6 +79,7 @@ def stream_dedup(spark, sf):
 @query(
     "stream_step_metrics",
     """SELECT event_type, 0 AS step, avg(value) AS mean_reward, avg((value > 0)::INTEGER) AS correct_rate FROM events GROUP BY ROLLUP (event_type)""",
+    approx=["mean_reward", "correct_rate"],
 )
 def stream_step_metrics(spark, sf):
     """STR6: metrics per micro-batch; the batch number is the step."""

@@ -18,7 +18,7 @@ def write_parquet(df: DataFrame, path: str, partition_by=(), mode: str = "overwr
 def score_matrix(scores: DataFrame, row: str, column: str, value: str, columns: list[str] | None = None) -> DataFrame:
     """Means as strings with four decimals, one row per ``row`` and one column per ``column``."""
     m = scores.groupBy(row).pivot(column, columns).agg(F.avg(value))
-    return m.select(row, *[F.format_string("%.4f", F.col(c)).alias(c) for c in m.columns if c != row])
+    return m.select(row, *[F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).alias(c) for c in m.columns if c != row])
 
 
 def write_tsv_matrix(scores: DataFrame, path: str, row: str, column: str, value: str, columns: list[str] | None = None) -> None:

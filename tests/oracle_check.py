@@ -17,6 +17,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+DIGITS = int(os.environ.get("ORACLE_DIGITS", "9"))  # significant digits of floats that must agree
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -28,7 +29,7 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        return "nan" if math.isnan(v) else float(f"{v:.{DIGITS}g}") + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, dict):
