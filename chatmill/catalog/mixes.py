@@ -89,7 +89,7 @@ def _sources(spark, sf, names):
     return {n: d.filter(F.col("source") == n) for n in names}
 
 
-@query("mix_by_amounts", _MIX)
+@query("mix_by_amounts", _MIX, cast={"copy": "INTEGER"})
 def mix_by_amounts(spark, sf):
     """ORD1 and ORD2: proportions and counts, up- and downsampling."""
     out, _ = M.mix(_sources(spark, sf, ["src0", "src1", "src2"]), ["src0", "1.5", "src1", "20", "src2", "2.25"], "doc_id")
@@ -100,6 +100,7 @@ def mix_by_amounts(spark, sf):
     "resample_by_source",
     f"""WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_h(1)}) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
  f AS (SELECT *, floor(n * 1.3)::BIGINT AS target FROM s) SELECT doc_id, lang, unnest(range(1, target // n + 1)) AS copy FROM f UNION ALL SELECT doc_id, lang, target // n + 1 FROM f WHERE r < target % n""",
+    cast={"copy": "INTEGER"},
 )
 def resample_by_source(spark, sf):
     """ORD2 for all sources of one table in one plan."""

@@ -118,7 +118,7 @@ def _centroids(spark, sf):
     return packed.select(F.col("label").alias("item"), F.transform("p", lambda p: p["s"]).alias("embedding"))
 
 
-@query("decontam_vector_hits", _VEC + " SELECT item, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5")
+@query("decontam_vector_hits", _VEC + " SELECT item, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5", cast={"rank": "INTEGER"})
 def decontam_vector_hits(spark, sf):
     """JN3: the five nearest training vectors of every query vector."""
     hits = D.nearest(table(spark, sf, "embeddings"), _centroids(spark, sf), 5)

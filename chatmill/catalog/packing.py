@@ -231,6 +231,7 @@ def gae(spark, sf):
 @query(
     "spread",
     f"""WITH d AS (SELECT doc_id, coalesce(quality, 0) AS q, {S.n_words('text')} AS n FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, (n // 3 + (n % 3 > 1)::INTEGER) * 2.5 + (n // 3 + (n % 3 > 2)::INTEGER) * q AS total FROM d""",
+    cast={"total": "DOUBLE"},
 )
 def spread(spark, sf):
     """PK10: token masks 0, 1, 2, 0, 1, 2, … take the values of their sequence."""

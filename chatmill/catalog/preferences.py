@@ -83,6 +83,7 @@ def majority_vote(spark, sf):
 @query(
     "longest_per_parent",
     "SELECT conv_id, min_by(turn, (-length(text), turn)) AS turn, max(length(text)) AS len FROM conversations GROUP BY 1",
+    cast={"len": "INTEGER"},
 )
 def longest_per_parent(spark, sf):
     """WIN4."""

@@ -11,9 +11,9 @@ ORACLES: dict = {}
 DIGITS = 6
 
 
-def query(name: str, sql: str | None = None, approx: Sequence[str] = ()):
+def query(name: str, sql: str | None = None, approx: Sequence[str] = (), cast: dict[str, str] | None = None):
     """Register a query. Columns in ``approx`` are sums of fractions whose last digits depend on the order
-    of addition; both sides round them."""
+    of addition; both sides round them. ``cast`` gives SQL columns the type the query returns."""
 
     def register(fn):
         if name in QUERIES:
@@ -28,7 +28,9 @@ def query(name: str, sql: str | None = None, approx: Sequence[str] = ()):
             QUERIES[name] = fn
         if sql is not None:
             rounded = ", ".join(f'round("{c}", {DIGITS}) AS "{c}"' for c in approx)
-            ORACLES[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if approx else sql
+            typed = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in (cast or {}).items())
+            changes = ", ".join(x for x in (rounded, typed) if x)
+            ORACLES[name] = f"SELECT * REPLACE ({changes}) FROM ({sql})" if changes else sql
         return fn
 
     return register

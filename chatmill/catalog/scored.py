@@ -92,6 +92,7 @@ def passrate(spark, sf):
   min(n) AS sequence_lengths_min, max(n) AS sequence_lengths_max, coalesce(avg(n) FILTER (WHERE value = 0), 0) AS sequence_lengths_unsolved, coalesce(avg(n) FILTER (WHERE value = 20), 0) AS sequence_lengths_solved,
   avg((event_type <> 'error')::INTEGER) AS stop_rate, round(avg(adv), 6) AS advantages_mean, round(min(adv), 6) AS advantages_min, round(max(adv), 6) AS advantages_max FROM a""",
     approx=["scores"],
+    cast={"sequence_lengths_min": "INTEGER", "sequence_lengths_max": "INTEGER"},
 )
 def step_metrics(spark, sf):
     """AGG10."""

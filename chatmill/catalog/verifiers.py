@@ -35,6 +35,7 @@ _TEXT = "'<think>about 1,234 maybe ' || o_orderpriority || '</think> <answer>The
     "score_rule_verifiers",
     f"""SELECT o_orderkey, (o_orderkey % 2 = 0)::INTEGER::DOUBLE AS gsm8k, (o_orderkey % 3 = 0)::INTEGER::DOUBLE AS flan, (o_orderkey % 5 < 3)::INTEGER::DOUBLE AS string_matcher,
   1 - abs(length({_TEXT}) - (80 + o_orderkey % 50)) / 100.0 AS max_length, CASE WHEN length({_TEXT}) < 80 + o_orderkey % 50 THEN 1.0 ELSE 1 - (length({_TEXT}) - (80 + o_orderkey % 50)) / 100.0 END AS up_to_max_length, 0.0 AS passthrough FROM orders""",
+    cast={"passthrough": "DOUBLE"},
 )
 def score_rule_verifiers(spark, sf):
     """VER1, VER6, VER7, VER12–VER14 on every completion; labels are right for a known part of the rows."""
@@ -87,6 +88,7 @@ def per_verifier_rewards(spark, sf):
 @query(
     "judge_override",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN 1.0 ELSE 0.0 END AS reward FROM orders""",
+    cast={"reward": "DOUBLE"},
 )
 def judge_override(spark, sf):
     """VER21: one verifier for all rows whatever they name."""
@@ -120,6 +122,7 @@ def score_string_f1(spark, sf):
     "score_search_f1",
     _F1.replace("SELECT conv_id, turn, coalesce(2.0::DOUBLE * same / (len(p) + len(t)), 0) AS f1", "")
     + """SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 0.0 WHEN coalesce(same, 0) = 0 THEN 0.1 ELSE 2.0::DOUBLE * same / (len(p) + len(t)) END AS f1, CASE WHEN turn % 4 = 3 THEN 0.0 ELSE 1.0 END AS exact FROM j LEFT JOIN c USING (conv_id, turn)""",
+    cast={"exact": "DOUBLE"},
 )
 def score_search_f1(spark, sf):
     """VER10 and VER11: answers in finish tags against JSON label lists."""
@@ -144,6 +147,7 @@ def score_puzzle(spark, sf):
 @query(
     "score_math",
     """SELECT p_partkey, 1.0 AS boxed, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS dollars, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 0.0 END AS stated, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 0.0 END AS strict FROM part""",
+    cast={"boxed": "DOUBLE", "dollars": "DOUBLE", "stated": "DOUBLE", "strict": "DOUBLE"},
 )
 def score_math(spark, sf):
     """VER2 and VER3 on answers written in different notations."""

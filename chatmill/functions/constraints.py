@@ -38,6 +38,9 @@ def argument(args: Column, name: str) -> Column:
 # Fixed values. Answers of the closed-choice constraint.
 FIXED_RESPONSES = ["My answer is yes.", "My answer is no.", "My answer is maybe."]
 
+# Fixed value. Sentence ends of the function form: after . or ? but not inside abbreviations.
+SENTENCE_BREAK = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
+
 Rule = Callable[[Column, Callable[[str], Column]], Column]
 RULES: dict[str, Rule] = {}
 
@@ -463,7 +466,7 @@ def _(t, a):
 
 @rule("verify_sentence_constraint")
 def _(t, a):
-    n = F.size(F.split(t, r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"))
+    n = F.size(F.split(t, SENTENCE_BREAK))
     return quantify(n, a("quantifier"), a("N"), F.abs(n - a("N")) <= 1)
 
 

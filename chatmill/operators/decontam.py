@@ -21,7 +21,7 @@ from chatmill.operators.ordering import join_stats
 from chatmill.session import materialise
 
 GRAM = ["g1", "g2"]  # two independent 64-bit hashes identify an n-gram
-BROADCAST_GRAMS = 4_000_000
+BROADCAST_GRAMS = 2_000_000
 MAX_SLICES = 8
 BROADCAST_BYTES = 256 << 20
 

@@ -7,8 +7,14 @@ buckets, so no task ever sees more than its bucket whatever the size of the tabl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatmill.functions.rand import hash_key, hash_unit
 from chatmill.session import checkpointed
@@ -86,12 +92,11 @@ def _sorted_parts(df: DataFrame, order_by) -> DataFrame:
     return checkpointed(df.orderBy(*order_by)).withColumn("_part", F.spark_partition_id())
 
 
-def _with_offsets(parts: DataFrame, measure: Column) -> DataFrame:
-    """Add ``_offset``: total of ``measure`` over all earlier partitions. One row per partition is windowed."""
+def _offsets(parts: DataFrame, measure: Column) -> DataFrame:
+    """(_part, _offset): total of ``measure`` over all earlier partitions. One row per partition."""
     sums = parts.groupBy("_part").agg(F.sum(measure).alias("_sum"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("long")).alias("_offset"))
-    return parts.join(F.broadcast(offsets), "_part")
+    return sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("long")).alias("_offset"))
 
 
 def dense_index(df: DataFrame, order_by, name: str = "index") -> DataFrame:
@@ -99,18 +104,29 @@ def dense_index(df: DataFrame, order_by, name: str = "index") -> DataFrame:
     parts = _sorted_parts(df, order_by).withColumn("_mono", F.monotonically_increasing_id())
     # the low 33 bits of monotonically_increasing_id are the row's place inside its partition
     local = F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
-    return _with_offsets(parts, F.lit(1).cast("long")).withColumn(name, F.col("_offset") + local).drop("_part", "_mono", "_offset")
+    offsets = F.broadcast(_offsets(parts, F.lit(1).cast("long")))
+    return parts.join(offsets, "_part").withColumn(name, F.col("_offset") + local).drop("_part", "_mono", "_offset")
 
 
 def prefix_sum(df: DataFrame, order_by, value: str, start: str = "start", end: str = "end") -> DataFrame:
     """Half-open [start, end) of every row over the running total of ``value`` in ``order_by`` order."""
-    parts = _sorted_parts(df, order_by).withColumn("_mono", F.monotonically_increasing_id())
-    local = Window.partitionBy("_part").orderBy("_mono").rowsBetween(Window.unboundedPreceding, 0)
+    parts = _sorted_parts(df, order_by)
+    schema = T.StructType([*parts.schema.fields, T.StructField("_running", T.LongType())])
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0  # rows of a partition arrive in order, so no shuffle is needed to sum along them
+        for b in batches:
+            sums = total + np.cumsum(pc.fill_null(b.column(value), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            total = int(sums[-1]) if len(sums) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64())], names=[*b.schema.names, "_running"])
+
+    summed = parts.mapInArrow(running, schema)
+    offsets = _offsets(parts, F.col(value).cast("long"))
     return (
-        _with_offsets(parts, F.col(value).cast("long"))
-        .withColumn(end, F.col("_offset") + F.sum(F.col(value).cast("long")).over(local))
-        .withColumn(start, F.col(end) - F.col(value).cast("long"))
-        .drop("_part", "_mono", "_offset")
+        summed.join(F.broadcast(offsets), "_part")  # one row per partition
+        .withColumn(end, F.col("_offset") + F.col("_running"))
+        .withColumn(start, F.col(end) - F.coalesce(F.col(value).cast("long"), F.lit(0)))
+        .drop("_part", "_running", "_offset")
     )
 
 
