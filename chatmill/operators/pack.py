@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chatmill.functions import text as X
 from chatmill.functions.arrays import computed_once, indices, last, let
 from chatmill.operators.ordering import dense_index, prefix_sum
-from chatmill.operators.templates import TEMPLATES, Template
+from chatmill.operators.templates import NO_FUNCTIONS, TEMPLATES, Template, head_text, message_content
 
 IGNORE = -100
 MAX_VOCABULARY = 2_000_000
@@ -117,11 +117,11 @@ def chat_pieces(messages: Column, template: str | Template, eos: str = "<eos>",
                 else:
                     end, tail = F.lit(eos), F.when(is_last, F.lit(t.after_last_eos)).otherwise(F.lit(t.after_eos))
             else:
-                end, tail = F.lit(suffix), F.lit("")
+                end, tail = F.lit(NO_FUNCTIONS + suffix if t.functions and role == "system" else suffix), F.lit("")
             body_end = F.when(mine, end).otherwise(body_end)
             trail = F.when(mine, tail).otherwise(trail)
         shown = m["role"].isin(list(t.wrap))
-        body = F.when(shown, F.concat(F.coalesce(m["content"], F.lit("")), body_end)).otherwise(F.lit(""))
+        body = F.when(shown, F.concat(message_content(t, m, is_last), body_end)).otherwise(F.lit(""))
         if mode == "assistant":
             flags = (is_bot & ((i == 0) | before_bot), is_bot, is_bot & (is_last | next_bot))
         elif mode == "last_turn":
@@ -137,7 +137,9 @@ def chat_pieces(messages: Column, template: str | Template, eos: str = "<eos>",
     def build(ms):
         nonlocal messages, n
         messages, n = ms, F.size(ms)
-        return F.flatten(F.transform(ms, one))
+        # what comes before the first message shares the fate of a masked first message
+        opens = F.lit(mode == "none") if mode != "assistant" else F.coalesce(F.get(ms, F.lit(0))["role"] == "assistant", F.lit(False))
+        return F.concat(F.array(piece(head_text(ms, t), opens)), F.flatten(F.transform(ms, one)))
 
     pieces = let(messages, build)
     return F.filter(pieces, lambda p: p["text"] != "")

@@ -99,7 +99,7 @@ def _capitalised(role: Column) -> Column:
     return F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substring(role, 2, 1 << 30)))
 
 
-def _content(t: Template, m: Column, last: Column) -> Column:
+def message_content(t: Template, m: Column, last: Column) -> Column:
     c = F.coalesce(m["content"], F.lit(""))
     if t.thinking == "last_only":
         return F.when(m["role"] == "assistant", X.after_last(c, "</think>")).otherwise(c)
@@ -112,7 +112,7 @@ def _content(t: Template, m: Column, last: Column) -> Column:
 
 def render_message(t: Template, m: Column, i: Column, n: Column, eos: str, generation: bool, fields: set[str]) -> Column:
     """Text of message ``i`` of ``n``, separators and eos included."""
-    last, content = i == n - 1, _content(t, m, i == n - 1)
+    last, content = i == n - 1, message_content(t, m, i == n - 1)
     eos_text = F.lit(eos)
 
     def one(role_prefix: str, suffix: str, role: str | None) -> Column:
@@ -149,6 +149,15 @@ def render_message(t: Template, m: Column, i: Column, n: Column, eos: str, gener
     return body
 
 
+def head_text(messages: Column, t: Template, default_system: str | None = None) -> Column:
+    """Preamble, and the default system turn of conversations that have none."""
+    system = default_system if default_system is not None else t.default_system
+    if system is None:
+        return F.lit(t.preamble)
+    own = F.exists(messages, lambda m: m["role"] == "system")
+    return F.concat(F.lit(t.preamble), F.when(own, F.lit("")).otherwise(F.lit("<|im_start|>system\n" + system + END)))
+
+
 def render_chat(
     messages: Column,
     template: str | Template,
@@ -161,27 +170,7 @@ def render_chat(
     t = TEMPLATES[template] if isinstance(template, str) else template
     n = F.size(messages)
     body = F.array_join(F.transform(messages, lambda m, i: render_message(t, m, i, n, eos, add_generation_prompt, set(fields))), "")
-    parts = [F.lit(t.preamble)] if t.preamble else []
-    system = default_system if default_system is not None else t.default_system
-    if system is not None:
-        parts.append(F.when(F.exists(messages, lambda m: m["role"] == "system"), F.lit("")).otherwise(F.lit("<|im_start|>system\n" + system + END)))
-    parts.append(body)
+    parts = [head_text(messages, t, default_system), body]
     if add_generation_prompt and t.generation:
         parts.append(F.when(n > 0, F.lit(t.generation)).otherwise(F.lit("")))
     return F.concat(*parts)
-
-
-def render_pieces(messages: Column, template: str | Template, eos: str = "<|endoftext|>", default_system: str | None = None) -> Column:
-    """Array of (text, role) pieces whose texts concatenate to the rendered chat. The preamble and a
-    default system prompt come first as pieces with role ``prefix``."""
-    t = TEMPLATES[template] if isinstance(template, str) else template
-    n = F.size(messages)
-    pieces = F.transform(
-        messages, lambda m, i: F.struct(render_message(t, m, i, n, eos, False, {"role", "content"}).alias("text"), m["role"].alias("role"))
-    )
-    system = default_system if default_system is not None else t.default_system
-    head = F.lit(t.preamble)
-    if system is not None:
-        head = F.concat(head, F.when(F.exists(messages, lambda m: m["role"] == "system"), F.lit("")).otherwise(F.lit("<|im_start|>system\n" + system + END)))
-    first = F.array(F.struct(head.alias("text"), F.lit("prefix").alias("role")))
-    return F.concat(F.filter(first, lambda p: p["text"] != ""), pieces)

@@ -22,13 +22,17 @@ def group_advantages(rewards: np.ndarray, mode: str = "standard") -> np.ndarray:
     return centred / (rewards.std() + 1e-8) if mode == "standard" else centred
 
 
-def assemble_groups(stream: DataFrame, n: int, mode: str = "standard", watermark: str | None = None, drop_zero_std: bool = False) -> DataFrame:
+def assemble_groups(
+    stream: DataFrame, n: int, mode: str = "standard", watermark: str | None = None, drop_zero_std: bool = False, salts: int = 1
+) -> DataFrame:
     """Emit the samples of a prompt, with their advantages, as soon as ``n`` have arrived.
 
     ``stream``: prompt_id string, rollout_id long, reward double, ts timestamp. State per prompt is at most
     n - 1 waiting samples; samples are taken batch by batch, so a busy prompt is not held in memory. With a
     watermark, waiting samples of a prompt that stays incomplete for that long are emitted with
     ``complete = false``. ``drop_zero_std`` leaves out complete groups whose rewards are all equal.
+    ``salts`` spreads a prompt that returns in huge numbers over several tasks; any n of its samples make
+    a group, so groups stay valid and only the number of waiting samples grows.
     """
     columns = ["prompt_id", "group_no", "complete", "rollout_id", "reward", "advantage"]
 
@@ -42,7 +46,7 @@ def assemble_groups(stream: DataFrame, n: int, mode: str = "standard", watermark
             no, ids, rewards, _ = state.get
             state.remove()
             if len(ids):
-                yield rows(key[0], no, False, list(ids), list(rewards))
+                yield rows(key[0], no * salts + key[1], False, list(ids), list(rewards))
             return
         no, ids, rewards, latest = state.get if state.exists else (0, [], [], 0)
         ids, rewards = list(ids), list(rewards)
@@ -54,7 +58,7 @@ def assemble_groups(stream: DataFrame, n: int, mode: str = "standard", watermark
                 g_ids, g_rewards = ids[:n], rewards[:n]
                 ids, rewards = ids[n:], rewards[n:]
                 if not (drop_zero_std and min(g_rewards) == max(g_rewards)):
-                    yield rows(key[0], no, True, g_ids, g_rewards)
+                    yield rows(key[0], no * salts + key[1], True, g_ids, g_rewards)
                 no += 1
         state.update((no, ids, rewards, latest))
         if watermark:
@@ -64,7 +68,8 @@ def assemble_groups(stream: DataFrame, n: int, mode: str = "standard", watermark
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     s = (s.withWatermark("ts", watermark) if watermark else s).withColumn("ts_ms", F.unix_millis("ts"))
-    return s.groupBy("prompt_id").applyInPandasWithState(step, GROUP_SCHEMA, STATE_SCHEMA, "append", timeout)
+    s = s.withColumn("_salt", F.pmod(F.xxhash64("rollout_id"), F.lit(salts)))
+    return s.groupBy("prompt_id", "_salt").applyInPandasWithState(step, GROUP_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def dedup(stream: DataFrame, key: str, watermark: str, ts: str = "ts") -> DataFrame:

@@ -135,9 +135,9 @@ def test_pieces_join_to_the_rendered_chat(spark):
     from chatmill.operators.templates import TEMPLATES, render_chat
 
     for name, t in TEMPLATES.items():
-        if t.wrap and not t.functions and not t.preamble and t.thinking == "keep":
-            text, _ = trained(spark, "none", template=name)
-            assert text == chat_df(spark).select(render_chat(F.col("messages"), name, "<eos>").alias("x")).first()["x"], name
+        for turns in (CHAT, CHAT[1:]) if t.wrap else ():
+            text, kept = trained(spark, "none", turns, name)
+            assert text == kept == chat_df(spark, turns).select(render_chat(F.col("messages"), name, "<eos>").alias("x")).first()["x"], name
 
 
 def test_encode_and_filter(spark):

@@ -49,6 +49,15 @@ def test_zero_spread_groups_are_dropped(spark, tmp_path):
     assert {r["prompt_id"] for r in spark.read.parquet(out).collect()} == {"b"}
 
 
+def test_salted_groups_hold_one_prompt_each(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    feed(spark, src, "1", [("hot", i, float(i), at(0)) for i in range(60)] + [("b", 100, 0.0, at(0))])
+    s = readers.read_stream(spark, src, spark.createDataFrame([], SCHEMA).schema)
+    ST.run_available(ST.assemble_groups(s, 4, salts=3), ck, out)
+    sizes = [r["count"] for r in spark.read.parquet(out).groupBy("prompt_id", "group_no").count().collect()]
+    assert set(sizes) == {4} and 60 - 3 * 3 <= sum(sizes) <= 60
+
+
 def test_trace_shards_continue(spark, tmp_path):
     path = str(tmp_path / "trace")
     sink = ST.trace_sink(path, "id", 10)
