@@ -415,3 +415,40 @@ def token_usage_cost(spark, sf):
 )
 def ngram_count(spark, sf):
     return documents(spark, sf).select("doc_id", F.size(ngrams(X.words(F.col("text")), 5)).alias("n"))
+
+
+@query(
+    "resolve_tools",
+    """SELECT event_id, CASE event_type WHEN 'view' THEN 'search,code' WHEN 'click' THEN 'search' WHEN 'error' THEN 'search,code' END AS tools FROM events""",
+)
+def resolve_tools(spark, sf):
+    """CNV24: named tools, all when none are named, null when none match."""
+    defs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("{}").alias("parameters")) for n in ("search", "code")])
+    named = F.when(F.col("event_type") == "view", F.array(F.lit("code"), F.lit("search"))).when(F.col("event_type") == "click", F.array(F.lit("search")))
+    named = F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.coalesce(named, F.array(F.lit("browser"))))
+    e = table(spark, sf, "events").withColumn("t", C.resolve_tools(defs, named))
+    return e.select("event_id", F.array_join(F.transform("t", lambda d: d["name"]), ",").alias("tools"))
+
+
+@query(
+    "merge_env_config",
+    """SELECT event_id, 'env_name=' || CASE WHEN event_type = 'click' THEN 'own' ELSE 'base' END || ',k=' || coalesce(props::JSON->>'$.k', 'none') || ',limit=5' AS config FROM events""",
+)
+def merge_env_config(spark, sf):
+    """CNV25: row entries over base entries."""
+    own = F.from_json("props", "map<string,string>")
+    row = F.when(F.col("event_type") == "click", F.map_concat(own, F.create_map(F.lit("env_name"), F.lit("own")))).otherwise(own)
+    e = table(spark, sf, "events").withColumn("c", C.merge_env_config({"env_name": "base", "limit": "5", "k": "none"}, row))
+    pairs = F.transform(F.sort_array(F.map_entries("c")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return e.select("event_id", F.array_join(pairs, ",").alias("config"))
+
+
+@query(
+    "unused_tools",
+    "SELECT t AS tool FROM (SELECT unnest(['click', 'view', 'error', 'signup', 'purchase', 'refund']) AS t) WHERE t NOT IN (SELECT event_type FROM events)",
+)
+def unused_tools(spark, sf):
+    """FLT24: every tool in the data is configured; configured ones that never occur are reported."""
+    known = ["click", "view", "error", "signup", "purchase", "refund"]
+    unused = P.validate_tools(table(spark, sf, "events").select(F.array("event_type").alias("tools")), known)
+    return spark.createDataFrame([(t,) for t in unused], "tool string")

@@ -235,3 +235,43 @@ def mix_statistics(spark, sf):
     tok = mixed.withColumn("input_ids", F.transform(X.words(F.col("text")), lambda w, i: i))
     tok = tok.withColumn("labels", F.transform("input_ids", lambda i: F.when(i < 5, -100).otherwise(i))).filter(F.size("input_ids") >= 20)
     return ST.mix_stats(tok, sizes.withColumn("is_upsampled", F.col("initial_instances") > F.col("original_size")), "source")
+
+
+@query(
+    "built_mix",
+    f"""WITH s AS (SELECT doc_id, source, text, n_chars, row_number() OVER (PARTITION BY source ORDER BY {_h(42)}) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IN ('src0', 'src1')),
+ f AS (SELECT *, CASE source WHEN 'src0' THEN floor(1.5 * n)::BIGINT ELSE 20 END AS target FROM s),
+ c AS (SELECT doc_id, source, n_chars, unnest(range(1, target // n + 1)) AS copy FROM f UNION ALL SELECT doc_id, source, n_chars, target // n + 1 FROM f WHERE r < target % n)
+ SELECT doc_id, source, copy::INTEGER AS copy, row_number() OVER (ORDER BY source, copy, doc_id) - 1 AS index FROM c WHERE n_chars <= 5000""",
+)
+def built_mix(spark, sf):
+    """UDF1, ORD1, ORD5 and SNK7: a specification to an indexed table kept under its hash; the second build reads the cache."""
+    import uuid
+
+    from chatmill.plans.transforms import MixSpec, build_mix
+    from chatmill.session import shared_dir
+
+    root = f"{shared_dir(spark).rstrip('/')}/mix-{uuid.uuid4().hex}"
+    d = documents(spark, sf).select("doc_id", "source", "n_chars")
+    sources = {n: d.filter(F.col("source") == n) for n in ("src0", "src1")}
+    spec = MixSpec(("src0", "1.5", "src1", "20"), steps=(("max_length", {"n_chars": 5000}),), keep=("n_chars",), ids="doc_id")
+    build_mix(spark, spec, sources, root=root)
+    rows, _ = build_mix(spark, spec, {}, root=root)
+    return rows.select("doc_id", "source", "copy", "index")
+
+
+@query(
+    "mix_stats_file",
+    """SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1""",
+)
+def mix_stats_file(spark, sf):
+    """SNK6 then SRC1: statistics written as JSON and read back."""
+    import uuid
+
+    from chatmill.session import shared_dir
+    from chatmill.sources.writers import write_stats
+
+    path = f"{shared_dir(spark).rstrip('/')}/stats-{uuid.uuid4().hex}"
+    stats = documents(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    write_stats(stats, path, "source")
+    return spark.read.schema("source string, n long, chars long").json(path)
