@@ -61,9 +61,5 @@ def token_counts(tokens: Column) -> Column:
     return let(F.sort_array(tokens), build)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.arrays_zip(a.alias("x"), b.alias("y")), F.lit(0.0), lambda s, p: s + p["x"].cast("double") * p["y"].cast("double"))
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chatmill.functions.arrays import let
 from chatmill.functions.rand import hash_key, hash_pick
-from chatmill.operators.ordering import first_per_key, join_stats, top_n_per_key
+from chatmill.operators.ordering import first_per_key, top_n_per_key
 
 
 def mean_of(columns: list[str]) -> Column:
@@ -206,8 +206,3 @@ def pair_eval(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
         F.avg(rejected).alias("rejected_score"),
         F.avg(m).alias("margin"),
     )
-
-
-def attach_group_size(df: DataFrame, prompt: str) -> DataFrame:
-    counts = df.groupBy(prompt).agg(F.count("*").alias("n_candidates"))
-    return join_stats(df, counts, prompt, "n_candidates")

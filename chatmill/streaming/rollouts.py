@@ -131,11 +131,13 @@ def quota_sink(path: str, quota: int, active_sampling: bool, key: str = "prompt_
     prompts. Filtered prompts count towards it unless active sampling is on."""
 
     def sink(batch: DataFrame, step: int) -> None:
+        batch = batch.persist()  # read by both writes
         g = batch.groupBy(key).agg((F.min(reward) < F.max(reward)).alias("kept"))
         counted = F.count_if("kept") if active_sampling else F.count("*")
         stats = g.agg(counted.alias("counted"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("filtered"))
         write_step(stats.withColumn("full", F.col("counted") >= quota), f"{path}/progress", step)
         write_step(batch.join(g.filter("kept").select(key), key, "left_semi"), f"{path}/rollouts", step)
+        batch.unpersist()
 
     return sink
 

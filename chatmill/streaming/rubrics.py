@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatmill.functions.arrays import let
 from chatmill.schema import RUBRIC
 
 RUBRICS = f"array<{RUBRIC.simpleString()}>"
@@ -73,10 +72,6 @@ def ground_truth(answers: DataFrame, buffer: DataFrame) -> DataFrame:
     return j.withColumns({"rubrics": F.when(failed, F.col("rubrics")).otherwise(F.concat(base, extra)), "rubric_types": F.when(failed, own).otherwise(kinds)}).drop("_p", "_a", "_b")
 
 
-def count_rubrics(column: str) -> Column:
-    return let(F.col(column), F.size)
-
-
 def buffer_sink(path: str, max_active: int) -> Callable[[DataFrame, int], None]:
     """foreachBatch function over rows (query, position, positive, negative, key, std): version v of the
     buffer is read from ``path/v=<batch id>`` and the next version written."""

@@ -133,6 +133,11 @@ def test_answer_extraction(spark):
     assert one(spark, X.user_query(F.col("t")), t="plain") == "plain"
 
 
+def test_salvage_json(spark):
+    assert one(spark, X.salvage_json(F.col("t")), t='note ```json {"a": {"b": 1}} ``` end') == '{"a": {"b": 1}}'
+    assert one(spark, X.salvage_json(F.col("t")), t="none") is None
+
+
 def test_combine_rewards(spark):
     def run(**kw):
         return one(spark, SC.combine_rewards(F.lit(3.0), **kw), x=1)
