@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chatmill.functions import text as X
 from chatmill.functions.arrays import last
-from chatmill.functions.wordlists import ANY_ROLE_KEYWORDS, CUTOFF_PATTERN, SELF_REFERENCE_KEYWORDS, identity_pattern
+from chatmill.functions.wordlists import ANY_ROLE_KEYWORDS, CUTOFF_PATTERN, PROVIDERS, SELF_REFERENCE_KEYWORDS, identity_pattern
 
 MessagePredicate = Callable[[Column, Column], Column]
 
@@ -41,7 +41,9 @@ def is_empty_message(role: Column, content: Column) -> Column:
 
 def claims_provider_identity(include_user: bool = False) -> MessagePredicate:
     roles = ["assistant", "user"] if include_user else ["assistant"]
-    return lambda role, content: role.isin(roles) & (content.isNull() | content.rlike(identity_pattern()))
+    # every pattern names a provider, so a plain search spares most texts the long patterns
+    named = lambda content: X.literal_any(content, [*PROVIDERS, "Alibaba"])
+    return lambda role, content: role.isin(roles) & (content.isNull() | (named(content) & content.rlike(identity_pattern())))
 
 
 def mentions_cutoff(role: Column, content: Column) -> Column:
