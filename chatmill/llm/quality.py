@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Features of a text are hashed words (runs of bytes that are not white space) and hashed byte 3- and 4-grams inside
-them. Each has a learned vector; a text is the average of its features' vectors and a softmax over two classes reads
+Features of a text are hashed words (runs of bytes that are not white space), hashed byte 3- and 4-grams inside them,
+and a marker for each word that repeats the one before it. Each has a learned vector; a text is the average of its features' vectors and a softmax over two classes reads
 it. Vectors and output are trained by numpy stochastic gradient descent on a bounded sample (``max_rows`` labelled
 rows, half of each class, whole texts). Since the average is linear, scoring needs one number per feature.
 
@@ -27,13 +27,16 @@ from chatmill.llm.common import NOT_SPACE, append_columns, blocks, bounded_label
 MAX_ROWS = 3000
 BUCKET_BITS = 14
 GRAMS = (3, 4)
+REPEAT = 77  # bucket of the marker
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(byte position, bucket) of the words, then of the byte n-grams of each length."""
+    """(byte position, bucket) of the words, of the words that repeat the last one, and of the byte n-grams of each length."""
     shift = np.uint32(32 - BUCKET_BITS)
     starts, _, hashes = words(data, NOT_SPACE)
     yield starts, ((hashes >> np.uint64(32)).astype(np.uint32) * np.uint32(2654435761)) >> shift
+    again = starts[1:][hashes[1:] == hashes[:-1]]
+    yield again, np.full(len(again), REPEAT, dtype=np.uint32)
     inside, wide = NOT_SPACE[data], data.astype(np.uint32)
     run, rolling = inside.copy(), wide * np.uint32(0x85EBCA6B)
     for n in range(2, max(GRAMS) + 1):
@@ -81,7 +84,7 @@ def _sample_features(sample: DataFrame, text: str) -> DataFrame:
     return sample.select(F.xxhash64(text).alias("key"), "label", text).mapInArrow(run, "key long, label int, buckets binary, shares binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_rows: int = MAX_ROWS, dim: int = 16, epochs: int = 20, rate: float = 0.5, seed: int = 5) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_rows: int = MAX_ROWS, dim: int = 16, epochs: int = 5, rate: float = 0.1, seed: int = 5) -> SubwordModel:
     """Model from labelled documents. The sample is bounded by ``max_rows``; the classes' shares are counted over all labels."""
     n0, n1 = class_counts(labels, label)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0

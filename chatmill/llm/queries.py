@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatmill.llm import binary_codes, decontamination, mixing, quality, sentence_spans, sharding, toxicity, url_reputation
+from chatmill.llm import binary_codes, decontamination, mixing, near_duplicates, quality, sentence_spans, sharding, suffix_buckets, toxicity, url_reputation
 from chatmill.llm.common import remainder, table
 from chatmill.llm.registry import query
 from chatmill.llm.url_reputation import Rule
@@ -19,7 +19,7 @@ RULES = [
 ]
 
 
-def scored(df, name: str, fold: int):
+def scored(df, fold: int):
     """The columns that both classifiers return, from documents with a score and maybe more columns."""
     return df.withColumn("held_out", F.coalesce(F.col("_fold") == fold, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.7).cast("int")).drop("_fold")
 
@@ -34,7 +34,12 @@ def op1_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, training(spark, sf_dir, 3, 1), "toxic")
     df = toxicity.score(docs.select("doc_id", remainder(3).alias("_fold"), "text"), model)
-    return scored(df.select("doc_id", "_fold", "score", F.size("passages").alias("n_passages"), F.array_max("passages.score").alias("best_passage_score")), "toxic", 1)
+    return scored(df.select("doc_id", "_fold", "score", F.size("passages").alias("n_passages"), F.array_max("passages.score").alias("best_passage_score")), 1)
+
+
+@query("op2_near_duplicates")
+def op2_near_duplicates(spark, sf_dir):
+    return near_duplicates.components_of(table(spark, sf_dir, "documents"), words_per_shingle=2)
 
 
 @query("op3_mixing")
@@ -47,6 +52,11 @@ def op4_nearest(spark, sf_dir):
     return binary_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op5_suffix_buckets")
+def op5_suffix_buckets(spark, sf_dir):
+    return suffix_buckets.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 @query("op6_sharding")
 def op6_sharding(spark, sf_dir):
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -77,7 +87,7 @@ def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, training(spark, sf_dir, 4, 2), "quality")
     df = quality.score(docs.select("doc_id", remainder(4).alias("_fold"), "text"), model)
-    return scored(df.select("doc_id", "_fold", "score"), "quality", 2)
+    return scored(df.select("doc_id", "_fold", "score"), 2)
 
 
 @query("op10_decontamination")

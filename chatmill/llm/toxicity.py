@@ -1,13 +1,14 @@
 """Toxicity: maximum-scoring segments of token log-odds, judged by extreme-value statistics.
 
-Fitting (on a bounded sample of labelled rows, ``max_rows``, half for counts and half for calibration): tokens get the
+Fitting (on a bounded sample of labelled rows, ``max_rows``, two thirds for counts and one for calibration): tokens get the
 log-odds between toxic and clean texts under an informative Dirichlet prior (their pooled frequency times ``prior`` of
-the sample's size); those whose z-score passes ``least_z`` are kept, ``max_tokens`` at most. Every token pays ``drift``,
-so the expected score of clean text is negative. Scoring: one linear scan finds all maximal scoring segments of a text
+the sample's size); those whose z-score (under the stronger prior ``z_prior``) and log-odds are large enough are kept,
+``max_tokens`` at most. Tokens are words and stems (the first bytes of longer words); a word that the model does not
+know counts as its stem. Every word pays ``drift``, so the expected score of clean text is negative. Scoring: one linear scan finds all maximal scoring segments of a text
 (no segment can be extended or shortened with gain). A segment of score S in n tokens has the expected number of equals
 E = K n exp(-lambda S) in clean text (lambda solves sum p exp(lambda s) = 1 over clean tokens, K is the maximum-likelihood
 value over clean calibration texts); segments with E below ``significance`` are the toxic passages. Their -log E are
-added up and a logistic curve fitted on the calibration half turns the sum into a probability.
+added up and a logistic curve fitted on the calibration part turns the sum into a probability.
 
 Null, empty and wordless texts have no segment and the lowest score. With fewer than two classes in the labels nothing
 is learned and every score is the share of label 1 (0 without labels). Ties cannot change the set of segments; repeated
@@ -22,14 +23,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatmill.llm.common import ALNUM, LOWER, append_columns, blocks, bounded_labels, class_counts, fresh, words, words_of_rows
+from chatmill.llm.common import ALNUM, LOWER, append_columns, blocks, bounded_labels, class_counts, fresh, mix64, words, words_of_rows
 
 MAX_ROWS = 8000
 TABLE_BITS = 18
+STEM_BYTES, STEMMED_BYTES = 4, 6
+
+
+def tokens_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, word hash, stem hash) of each word; a short word is its own stem."""
+    data = LOWER[data]
+    starts, ends, hashes = words(data, ALNUM)
+    stems = hashes.copy()
+    at = np.flatnonzero(ends - starts >= STEMMED_BYTES)
+    packed = np.full(len(at), 0x5354454D, dtype=np.uint64)
+    for i in range(STEM_BYTES):
+        packed = (packed << np.uint64(8)) | data[starts[at] + i]
+    stems[at] = mix64(packed)
+    return starts, ends, hashes, stems
 
 
 @dataclass
@@ -47,8 +62,7 @@ class SegmentModel:
         self.maybe = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.maybe[self.tokens >> np.uint64(64 - TABLE_BITS)] = True
 
-    def token_scores(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the tokens that the model knows, and their indices in it."""
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - TABLE_BITS)])
         if not len(self.tokens) or not len(near):
             return near[:0], near[:0]
@@ -56,6 +70,15 @@ class SegmentModel:
         found = self.tokens[at] == hashes[near]
         return near[found], at[found]
 
+    def known(self, hashes: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words that the model knows by themselves or by their stem, and their indices in it."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        for keys in (stems, hashes):  # the word itself goes last and wins
+            at, index = self._known(keys)
+            out[at] = index
+        at = np.flatnonzero(out >= 0)
+        return at, out[at]
+
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * np.log1p(evidence), -500, 500)))
 
@@ -89,9 +112,9 @@ def maximal_segments(positions: list[int], scores: list[float], drift: float) ->
 def _rows(texts: pa.Array, model: SegmentModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each row with a known token: (row, words, word offset of the row, known positions, model indices, byte starts)."""
     for lo, _, data, offsets in blocks(texts):
-        starts, ends, hashes = words(LOWER[data], ALNUM)
+        starts, ends, hashes, stems = tokens_of(data)
         at = words_of_rows(starts, offsets)
-        known, index = model.token_scores(hashes)
+        known, index = model.known(hashes, stems)
         cut = np.searchsorted(known, at)
         for r in range(len(at) - 1):
             span = slice(cut[r], cut[r + 1])
@@ -99,16 +122,19 @@ def _rows(texts: pa.Array, model: SegmentModel) -> Iterator[tuple[int, int, np.n
 
 
 def _counts(sample: DataFrame, text: str) -> DataFrame:
-    """(token, toxic, clean): occurrences in the sample, summed per batch before the shuffle."""
+    """(token, toxic, clean): texts of the sample that hold the token, summed per block before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label = np.array(b.column(1).to_pylist(), dtype=np.int64)
             for lo, _, data, offsets in blocks(b.column(0)):
-                starts, _, hashes = words(LOWER[data], ALNUM)
+                starts, _, hashes, stems = tokens_of(data)
                 at = words_of_rows(starts, offsets)
-                toxic = np.repeat(label[lo : lo + len(at) - 1], np.diff(at))
-                tokens, index = np.unique(hashes, return_inverse=True)
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                longer = stems != hashes
+                tokens, index = np.unique(np.concatenate([hashes, stems[longer]]), return_inverse=True)
+                once = np.unique(index * (len(at) - 1) + np.concatenate([row, row[longer]]))  # each token counts once in a text
+                index, toxic = once // (len(at) - 1), label[lo + once % (len(at) - 1)]
                 n1 = np.bincount(index, weights=toxic, minlength=len(tokens)).astype(np.int64)
                 n = np.bincount(index, minlength=len(tokens))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n1), pa.array(n - n1)], names=["token", "toxic", "clean"])
@@ -116,7 +142,7 @@ def _counts(sample: DataFrame, text: str) -> DataFrame:
     return sample.select(text, "label").mapInArrow(run, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_rows: int = MAX_ROWS, prior: float = 0.01, least_z: float = 4.0, least_count: int = 6, max_tokens: int = 20_000, drift: float = 0.1, significance: float = 0.05, seed: int = 17) -> SegmentModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_rows: int = MAX_ROWS, prior: float = 0.01, z_prior: float = 0.1, least_z: float = 3.5, least_odds: float = 1.0, max_tokens: int = 20_000, drift: float = 0.1, significance: float = 0.05, seed: int = 17) -> SegmentModel:
     """Model from labelled documents. The sample is bounded by ``max_rows``; the prior share of the classes is counted over all labels."""
     n0, n1 = class_counts(labels, label)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
@@ -126,18 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_
     ids = bounded_labels(labels, label, max_rows, seed)
     # equal texts count once: a group of copies must not pass for evidence on its words
     sample = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").withColumn("_key", F.xxhash64(text)).dropDuplicates(["_key", "label"])
-    for_counts, for_curve = (sample.filter((F.pmod(F.col("_key"), F.lit(2)) == k)) for k in (0, 1))
+    for_counts, for_curve = (sample.filter(F.pmod(F.col("_key"), F.lit(3)).isin(*k)) for k in ((0, 1), (2,)))
     tokens = _counts(for_counts, text)
     sums = tokens.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     y1, y0 = sums["toxic"] or 0, sums["clean"] or 0
     if not y0 or not y1:
         return none
-    weight = prior * (y0 + y1)
-    mean = weight * (F.col("toxic") + F.col("clean")) / (y0 + y1)
-    odds = F.log((F.col("toxic") + mean) / (y1 + weight)) - F.log((F.col("clean") + mean) / (y0 + weight))
-    z = odds / F.sqrt(1 / (F.col("toxic") + mean) + 1 / (F.col("clean") + mean))
+    share_of_all = (F.col("toxic") + F.col("clean")) / (y0 + y1)
+
+    def odds(strength: float) -> tuple[Column, Column]:
+        weight = strength * (y0 + y1)
+        one, zero = F.col("toxic") + weight * share_of_all, F.col("clean") + weight * share_of_all
+        value = F.log(one / (y1 + weight)) - F.log(zero / (y0 + weight))
+        return value, value / F.sqrt(1 / one + 1 / zero)
+
     kept = (
-        tokens.filter(F.col("toxic") + F.col("clean") >= least_count).select("token", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= least_z)
+        tokens.select("token", odds(prior)[0].alias("odds"), odds(z_prior)[1].alias("z")).filter((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds))
         .orderBy(F.abs("z").desc(), "token").limit(max_tokens).toPandas().sort_values("token", key=lambda s: s.to_numpy().view(np.uint64))
     )
     model = SegmentModel(kept["token"].to_numpy(dtype=np.int64).view(np.uint64), kept["odds"].to_numpy(dtype=float), drift, significance=significance)
@@ -146,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_
 
 
 def _calibrate(model: SegmentModel, sample: DataFrame, text: str, share: float) -> None:
-    """Sets lambda, K and the logistic curve from the calibration half: at most ``max_rows`` rows of four numbers reach the driver."""
+    """Sets lambda, K and the logistic curve from the calibration part: at most ``max_rows`` rows of four numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
