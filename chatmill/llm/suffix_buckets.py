@@ -112,7 +112,8 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
             shape = (anchor[keep] - s).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)
             return mix64(join(join(hundred(four, grams, s), hundred(four, grams, s + n - 1)), shape))
 
-        yield grams[anchor] >> np.uint64(64 - ANCHOR_BITS), whole, lo + first, count
+        # anchors have small identifiers, mixing spreads them over the bucket tasks
+        yield mix64(grams[anchor]) >> np.uint64(64 - ANCHOR_BITS), whole, lo + first, count
 
 
 def strings_of(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +269,7 @@ def send_blocks(bits: int):
         keys = np.concatenate([p[1](k) for p, k in zip(parts, keep)])
         every, index, counts, _ = distinct(keys)
         state = dump(
-            np.concatenate([p[2][k] for p, k in zip(parts, keep)]).astype(np.int32), np.concatenate([p[3][k] for p, k in zip(parts, keep)]).astype(np.int32),
+            np.concatenate([p[2][k] for p, k in zip(parts, keep)]).astype(np.int32), np.concatenate([p[3][k] for p, k in zip(parts, keep)]).astype(np.uint8),
             index.astype(np.int32), size[size > 1].astype(np.uint32),
         )
         return table_of([*letters_to(page, every, counts, bits, 64), (page, -1, state, None)])
@@ -277,22 +278,22 @@ def send_blocks(bits: int):
 
 
 def send_strings(bits: int):
-    """Settles equal blocks; the first block of each kind in a mixed bucket sends its strings. State: covered ranges, string starts and indices."""
+    """Settles equal blocks; the first block of each kind in a mixed bucket sends its strings. State: repeated blocks, mixed blocks."""
 
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         state = kept_state(replies)
         if state is None or not t.num_rows:
             return table_of([])
         page = t.column("page")[0].as_py()
-        first, count, index, size = load(state, "<i4", "<i4", "<i4", "<u4")
+        first, count, index, size = load(state, "<i4", "u1", "<i4", "<u4")
         total, seen = answered(replies)
         _, _, _, again = distinct(index)
         again |= seen[index]
         mixed = ~again & (total[index] != size)
         _, data, _ = page_bytes(t)
-        starts, keys = strings_of(data, first[mixed].astype(np.int64), count[mixed])
-        every, where, counts, _ = distinct(keys)
-        left = dump(first[again], count[again], starts.astype(np.int32), where.astype(np.int32))
+        _, keys = strings_of(data, first[mixed].astype(np.int64), count[mixed])
+        every, _, counts, _ = distinct(keys)
+        left = dump(first[again], count[again], first[mixed], count[mixed])
         return table_of([*letters_to(page, every, counts, bits, 64), (page, -1, left, None)])
 
     return run
@@ -306,12 +307,13 @@ def finish(with_bytes: bool):
         change = np.zeros(len(data) + 1, dtype=np.int32)
         state = kept_state(replies)
         if state is not None:
-            first, count, starts, where = load(state, "<i4", "<i4", "<i4", "<i4")
+            first, count, mixed, strings = load(state, "<i4", "u1", "<i4", "u1")
             _, seen = answered(replies)
-            _, _, _, again = distinct(where)
-            starts = starts[again | seen[where]] if len(where) else starts
+            starts, keys = strings_of(data, mixed.astype(np.int64), strings)
+            _, where, _, again = distinct(keys)
+            starts = starts[again | seen[where]]
             np.add.at(change, first, 1)
-            np.add.at(change, first + count - 1 + LENGTH, -1)
+            np.add.at(change, first + count.astype(np.int64) - 1 + LENGTH, -1)
             np.add.at(change, starts, 1)
             np.add.at(change, starts + LENGTH, -1)
         gone = np.cumsum(change[:-1], dtype=np.int32) > 0
