@@ -1,25 +1,27 @@
 """Near-duplicate components: an inverted join over MinHash coordinates, confirmed on full shingle sets.
 
-Documents with equal shingle sets form one class and are represented by their smallest id. A class has ``COORDINATES``
-signature values; each (coordinate, value) is a posting list. Two sets of the wanted similarity agree in at least
-``MATCHES`` coordinates with all but about two chances in a million at the threshold itself, so values that no other
-class has are dropped, classes with fewer than ``MATCHES`` shared values have no partner, and the others post only their
-prefix: so many of their rarest values that two lists of ``MATCHES`` common values must meet in one. Who meets is
-compared on full sets: 100 * intersection >= threshold * union.
+Documents with equal shingle sets form one class. A class has ``COORDINATES`` signature coordinates, each made of the
+minima of two permutations; each (coordinate, value) is a posting list. Two sets of similarity 0.8 agree in a coordinate
+with probability 0.64, and in at least ``MATCHES`` of them with all but about one chance in a hundred thousand, while
+sets that merely use the same common words hardly agree at all. Values that no other class has are dropped, classes with
+fewer than ``MATCHES`` shared values have no partner, and the others post only their prefix: so many of their rarest
+values that two lists of ``MATCHES`` common values must meet in one. Who meets is compared on full sets:
+100 * intersection >= threshold * union.
 
 Links are found in three rounds, each skipping pairs that are already in one component: every class with the best hub
-of its lists (the class with the fewest values of its own), every class with the hub of each list, then all pairs of
-a list that still lie in different components. Before the last round, and only there, pairs are bounded: shingles that
-one class alone has cannot be shared, which rules out the fringe of large groups of copies without comparing it. So
-a group of n near copies costs about n comparisons, and no link between different components is left out.
+of its lists (the class with the fewest shingles of its own), every class with the hub of each list, then all pairs of
+a list that still lie in different components. Shingles that one class alone has cannot be shared, which bounds every
+intersection and rules out the fringe of large groups of copies without comparing it. So a group of n near copies costs
+about n comparisons, and no link between different components is left out.
 
 Texts without words have the empty set and are linked with nothing; fewer words than a shingle make one shingle. Rows
-that share a doc_id are one node: their links are united. Null ids take part in nothing, have a null component and are
-kept. Empty tables give no rows. Clashing extra columns are kept, working names avoid them.
+that share a doc_id tie their sets together. Null ids take part in nothing, have a null component and are kept. Empty
+tables give no rows. Clashing extra columns are kept, working names avoid them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.llm.common import LOWER, MULTIPLIER, NOT_SPACE, blocks, fresh, mix64, words, words_of_rows
-from chatmill.session import materialise
+from chatmill.session import materialise, shared_dir
 
-COORDINATES, MATCHES = 40, 20
-FACTORS = np.random.default_rng(2024).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COORDINATES, MATCHES = 32, 9
+FILTER_BITS = 26  # of the filter that thins the texts before their sets are built: 8 MB at most
+FACTORS = np.random.default_rng(2024).integers(0, 1 << 63, 2 * COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
 
@@ -57,59 +60,87 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Keys of the set's posting lists: the smallest value of each coordinate's permutation, told apart by coordinate."""
-    least = np.full(COORDINATES, ~np.uint64(0))
+    """Keys of the set's posting lists: the minima of each coordinate's two permutations, told apart by coordinate."""
+    least = np.full(2 * COORDINATES, ~np.uint64(0))
     for lo in range(0, len(shingles), 4096):  # a long text's set in pieces
         least = np.minimum(least, (FACTORS[:, None] * shingles[None, lo : lo + 4096]).min(axis=1))
-    return mix64(least ^ PLACES)
+    return mix64(mix64(least[::2] ^ PLACES) * MULTIPLIER + least[1::2])
+
+
+def name_of(shingles: np.ndarray) -> int:
+    """The set's identity, independent of order."""
+    return int(mix64(shingles ^ MULTIPLIER).sum(dtype=np.uint64).astype(np.int64)) if len(shingles) else 0
 
 
 def sign(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys): the two sums identify a set, keys are null for the empty one."""
+    """(doc_id, n_shingles, id, keys): id names the set; it and the keys are null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sums, keys = [], [], []
+            n, ids, keys = [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(b.column(1), size):
                     n.append(len(s))
-                    sums.append((mix64(s).sum(dtype=np.uint64), mix64(s ^ MULTIPLIER).sum(dtype=np.uint64)))
+                    ids.append(name_of(s) if len(s) else None)
                     keys.append(signature(s).view(np.int64) if len(s) else None)
-            one, two = (pa.array(np.array([s[i] for s in sums], dtype=np.uint64).view(np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), one, two, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "id", "keys"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, id long, keys array<long>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(id, n, key) of the prefix: the rarest of each class's shared values, enough for MATCHES common ones to meet."""
-    every = classes.select("id", "n", F.explode("keys").alias("key"))
+    """(id, n, doc, key) of the prefix: the rarest of each class's shared values, enough for MATCHES common ones to meet."""
+    every = classes.select("id", "n", "doc", F.explode("keys").alias("key"))
     lists = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("key", "_key")
-    shared = every.join(lists, F.col("key") == F.col("_key")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("v"))  # COORDINATES values
+    shared = every.join(lists, F.col("key") == F.col("_key")).groupBy("id", "n", "doc").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("v"))  # COORDINATES values
     prefix = F.slice("v", F.lit(1), F.size("v") - (MATCHES - 1))
-    return shared.filter(F.size("v") >= MATCHES).select("id", "n", F.explode(prefix).alias("p")).select("id", "n", F.col("p.key").alias("key"))
+    return shared.filter(F.size("v") >= MATCHES).select("id", "n", "doc", F.explode(prefix).alias("p")).select("id", "n", "doc", F.col("p.key").alias("key"))
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``column``: joins on it move the other side only."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def full_sets(docs: DataFrame, members: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """(id, shingles) of the given classes, from the text of the document that represents them."""
+    """(id, shingles) of the given classes (id, doc), each from the text of one document that has it.
+
+    A bit filter of fixed size over the documents' ids thins the texts in place; those it lets through wrongly are
+    dropped by the join.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+    bits = members.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {1 << FILTER_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    table[bits["w"].to_numpy(dtype=np.int64)] = bits["b"].to_numpy(dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(b.column(1), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "shingles"])
+            at = b.column(0).to_numpy()
+            keep = np.flatnonzero((shared.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            if len(keep):
+                with np.errstate(over="ignore"):
+                    sets = list(shingle_sets(b.column(2).take(pa.array(keep)), size))
+                    ids = [name_of(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep)), pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "id", "shingles"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("_text"))
-    found = source.join(members, F.col("_doc") == F.col("id")).select("id", "_text").mapInArrow(run, "id long, n long, shingles array<long>")
-    wanted = members.select(F.col("id").alias("_id"), F.col("n").alias("_n"))  # rows that share an id may have other sets
-    return found.join(wanted, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n"))).select("id", "shingles").groupBy("id").agg(F.min("shingles").alias("shingles"))
+    doc = F.col("doc_id").cast("long").alias("doc")
+    found = docs.filter(F.col("doc_id").isNotNull()).select(doc, F.col(text).alias("_text")).select(place.alias("at"), "doc", "_text").mapInArrow(run, "doc long, id long, shingles array<long>")
+    wanted = members.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"))
+    # rows of one doc_id and text are the same set: one of them
+    return found.join(wanted, (F.col("id") == F.col("_id")) & (F.col("doc") == F.col("_doc"))).select("id", "shingles").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("a_set"))
-    right = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("b_set"))
-    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+    """The pairs (a, b) whose full sets are similar enough. Only the few sets of the b side move; a hot b can be split."""
+    pairs = materialise(pairs, "pairs")
+    right = materialise(sets.join(pairs.select("b").distinct(), F.col("id") == F.col("b"), "left_semi"), "hub-sets")
+    left = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("a_set")), F.col("a") == F.col("a_id"))
+    both = left.join(right.select(F.col("id").alias("b_id"), F.col("shingles").alias("b_set")), F.col("b") == F.col("b_id"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     return both.filter(100 * common >= threshold * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
@@ -141,12 +172,12 @@ def labelled(members: DataFrame, components: DataFrame | None) -> DataFrame:
 def link(docs: DataFrame, classes: DataFrame, sure: DataFrame, size: int, threshold: int, text: str) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
     posted = materialise(postings(classes), "postings")
-    sets = materialise(full_sets(docs, posted.select("id", "n").distinct(), size, text), "sets")
+    sets = bucketed(full_sets(docs, posted.select("id", "doc").distinct(), size, text), "sets", "id")
     # values that one class alone has can be in no intersection
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
     own = alone.withColumnRenamed("id", "_id")
     lists = posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"))
-    members = posted.join(lists, F.col("key") == F.col("_key")).drop("_key").join(own, F.col("id") == F.col("_id"), "left").drop("_id").withColumn("own", F.coalesce("own", F.lit(0)))
+    members = posted.drop("doc").join(lists, F.col("key") == F.col("_key")).drop("_key").join(own, F.col("id") == F.col("_id"), "left").drop("_id").withColumn("own", F.coalesce("own", F.lit(0)))
     # all that an intersection with a set of at least threshold % of the size needs is in n - own
     members = materialise(members.filter(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n")), "members")
     hubs = materialise(members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("own"), "id", "n")).alias("hub")).select(F.col("key").alias("_key"), "hub.id", "hub.own", "hub.n").select("_key", F.col("id").alias("hub"), F.col("own").alias("hub_own"), F.col("n").alias("hub_n")), "hubs")
@@ -184,26 +215,16 @@ def components_of(docs: DataFrame, words_per_shingle: int = 5, threshold: int =
     """(doc_id, n_shingles, component_id, kept), one row per document."""
     signed = materialise(sign(docs, words_per_shingle, text), "signed")
     known = signed.filter(F.col("doc_id").isNotNull())
-    same = ["set_a", "set_b"]
-    classes = known.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = materialise(classes, "classes")
-    ids = classes.select(*[F.col(c).alias(f"_{c}") for c in same], "id")
-    rows = known.drop("keys").join(ids, all_equal(same), "left").drop("_set_a", "_set_b").withColumn("id", F.coalesce("id", "doc_id"))
-    rows = materialise(rows, "rows")
-    # a doc_id with several sets ties their classes together
-    sure = rows.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("m")).filter("b <> m").select(F.col("doc_id").alias("_d"), "b")
-    sure = rows.join(sure, F.col("doc_id") == F.col("_d")).select(F.col("id").alias("a"), "b").distinct()
-    found = labelled(rows, link(docs, classes, sure, words_per_shingle, threshold, text))
+    classes = known.filter("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    rows = known.select("doc_id", "n_shingles", "id")
+    # a doc_id with several sets ties them together
+    several = rows.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("m")).filter("b <> m").select(F.col("doc_id").alias("_d"), "b")
+    sure = rows.filter("id IS NOT NULL").join(several, F.col("doc_id") == F.col("_d")).select(F.col("id").alias("a"), "b").distinct()
+    found = labelled(rows, link(docs, materialise(classes, "classes"), sure, words_per_shingle, threshold, text))
+    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first")).withColumnRenamed("component", "_c")
+    named = found.join(first, F.col("component") == F.col("_c"), "left").withColumn("component_id", F.coalesce("first", "doc_id"))
     nulls = signed.filter(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    # ids are those of classes; the component is named by the smallest document id in it
-    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept")).unionByName(nulls)
-
-
-def all_equal(columns: list[str]):
-    out = F.lit(True)
-    for c in columns:
-        out = out & (F.col(c) == F.col(f"_{c}"))
-    return out
+    return named.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).unionByName(nulls)
 
 
 def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int = 80, text: str = "text") -> DataFrame:
