@@ -9,10 +9,9 @@ values that two lists of ``MATCHES`` common values must meet in one. Who meets i
 100 * intersection >= threshold * union.
 
 Links are found in three rounds, each skipping pairs that are already in one component: every class with the best hub
-of its lists (the class with the fewest shingles of its own), every class with the hub of each list, then all pairs of
-a list that still lie in different components. Shingles that one class alone has cannot be shared, which bounds every
-intersection and rules out the fringe of large groups of copies without comparing it. So a group of n near copies costs
-about n comparisons, and no link between different components is left out.
+of its lists (the class with the fewest values of its own), every class with the hub of each list, then whatever is
+left in lists that still hold several components, by an exact prefix join of their full sets with bounds on where they
+meet. So a group of n near copies costs about n comparisons, and no link between different components is left out.
 
 Texts without words have the empty set and are linked with nothing; fewer words than a shingle make one shingle. Rows
 that share a doc_id tie their sets together. Null ids take part in nothing, have a null component and are kept. Empty
@@ -90,12 +89,13 @@ def sign(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(id, n, doc, key) of the prefix: the rarest of each class's shared values, enough for MATCHES common ones to meet."""
+    """(id, n, doc, alone, key) of the prefix: the rarest of each class's shared values, enough for MATCHES common ones to meet."""
     every = classes.select("id", "n", "doc", F.explode("keys").alias("key"))
     lists = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("key", "_key")
     shared = every.join(lists, F.col("key") == F.col("_key")).groupBy("id", "n", "doc").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("v"))  # COORDINATES values
     prefix = F.slice("v", F.lit(1), F.size("v") - (MATCHES - 1))
-    return shared.filter(F.size("v") >= MATCHES).select("id", "n", "doc", F.explode(prefix).alias("p")).select("id", "n", "doc", F.col("p.key").alias("key"))
+    kept = shared.filter(F.size("v") >= MATCHES).select("id", "n", "doc", (COORDINATES - F.size("v")).alias("alone"), F.explode(prefix).alias("p"))
+    return kept.select("id", "n", "doc", "alone", F.col("p.key").alias("key"))
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
@@ -169,23 +169,40 @@ def labelled(members: DataFrame, components: DataFrame | None) -> DataFrame:
     return members.join(c, F.col("id") == F.col("_id"), "left").withColumn("component", F.coalesce("_component", "id")).drop("_id", "_component")
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): all pairs of members (id, component) in different components that may reach the threshold.
+
+    Shingles are ordered by rarity among the members. Sets this similar share one within a short prefix of each; where
+    the pair meets bounds the intersection, so common shingles that many copies share lead to no pair.
+    """
+    own = sets.join(members.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", "component", F.size("shingles").alias("n"), "shingles")
+    each = own.select("id", "component", "n", F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("s", "_s")
+    shared = each.join(counts, F.col("s") == F.col("_s")).groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("v"))  # a text's shingles
+    # those that one set alone has come first in the order; they take places but lead nowhere
+    placed = shared.select("id", "component", "n", F.size("v").alias("m"), F.posexplode("v").alias("i", "p")).select("id", "component", "n", F.col("p.s").alias("s"), (F.col("n") - F.col("m") + F.col("i")).alias("at"))
+    probe = materialise(placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold / 100)), "prefixes")
+    index = probe.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * threshold / (100 + threshold)))
+    y = index.select(*[F.col(c).alias(f"{c}2") for c in index.columns])
+    smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("id2") < F.col("id")))
+    room = (100 + threshold) * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= threshold * (F.col("n") + F.col("n2"))
+    near = smaller & (100 * F.col("n2") >= threshold * F.col("n")) & (F.col("component") != F.col("component2")) & room
+    return probe.join(y, (F.col("s") == F.col("s2")) & near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def link(docs: DataFrame, classes: DataFrame, sure: DataFrame, size: int, threshold: int, text: str) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
     posted = materialise(postings(classes), "postings")
     sets = bucketed(full_sets(docs, posted.select("id", "doc").distinct(), size, text), "sets", "id")
-    # values that one class alone has can be in no intersection
-    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-    own = alone.withColumnRenamed("id", "_id")
     lists = posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"))
-    members = posted.drop("doc").join(lists, F.col("key") == F.col("_key")).drop("_key").join(own, F.col("id") == F.col("_id"), "left").drop("_id").withColumn("own", F.coalesce("own", F.lit(0)))
-    # all that an intersection with a set of at least threshold % of the size needs is in n - own
-    members = materialise(members.filter(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n")), "members")
-    hubs = materialise(members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("own"), "id", "n")).alias("hub")).select(F.col("key").alias("_key"), "hub.id", "hub.own", "hub.n").select("_key", F.col("id").alias("hub"), F.col("own").alias("hub_own"), F.col("n").alias("hub_n")), "hubs")
+    members = materialise(posted.drop("doc").join(lists, F.col("key") == F.col("_key")).drop("_key"), "members")
+    hubs = members.groupBy("key").agg(F.min(F.struct("alone", "id", "n")).alias("hub"))
+    hubs = materialise(hubs.select(F.col("key").alias("_key"), F.col("hub.id").alias("hub"), F.col("hub.alone").alias("hub_alone"), F.col("hub.n").alias("hub_n")), "hubs")
     fits = (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
     met = members.join(hubs, (F.col("key") == F.col("_key")) & fits)
+    best = materialise(met.groupBy("id").agg(F.min(F.struct("hub_alone", "hub")).alias("h")).select(F.col("id").alias("a"), F.col("h.hub").alias("b")), "best")
 
     edges, components = sure, None
-    best = met.groupBy("id").agg(F.min(F.struct("hub_own", "hub")).alias("h")).select(F.col("id").alias("a"), F.col("h.hub").alias("b"))
     edges = materialise(edges.unionByName(confirmed(best, sets, threshold)), "links")
     components = connect(edges)
 
@@ -200,12 +217,8 @@ def link(docs: DataFrame, classes: DataFrame, sure: DataFrame, size: int, thresh
 
     now = materialise(labelled(members, components), "members")
     split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(F.col("key").alias("_key"))
-    left = now.join(split, F.col("key") == F.col("_key")).drop("_key")
-    right = left.select(*[F.col(c).alias(f"{c}2") for c in left.columns])
-    # threshold / (100 + threshold) of both sizes is the least intersection
-    room = (100 + threshold) * F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) >= threshold * (F.col("n") + F.col("n2"))
-    cross = left.join(right, (F.col("key") == F.col("key2")) & (F.col("id") > F.col("id2")) & (F.col("component") != F.col("component2")) & room & (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")))
-    more = materialise(confirmed(cross.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), sets, threshold), "links")
+    left = materialise(now.join(split, F.col("key") == F.col("_key")).select("id", "component").distinct(), "left")
+    more = materialise(confirmed(prefix_pairs(left, sets, threshold), sets, threshold), "links")
     if not more.isEmpty():
         components = connect(edges.unionByName(more))
     return components
