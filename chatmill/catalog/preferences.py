@@ -17,13 +17,13 @@ ORDER = ["l_orderkey", "l_linenumber", "a2", "a1", "a3", "a4"]
 
 def _binarize_sql(score: str, cond: str) -> str:
     return f"""WITH s AS (SELECT l_partkey AS prompt_id, l_orderkey, l_linenumber, l_quantity AS a1, l_extendedprice AS a2, l_discount AS a3, l_tax AS a4, {score} AS s FROM lineitem),
- r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY s DESC, l_orderkey, l_linenumber, a2, a1, a3, a4) AS up,
-   row_number() OVER (PARTITION BY prompt_id ORDER BY s, l_orderkey DESC, l_linenumber DESC, a2 DESC, a1 DESC, a3 DESC, a4 DESC) AS down, count(*) OVER (PARTITION BY prompt_id) AS n FROM s)
- SELECT c.prompt_id, c.l_orderkey AS chosen_l_orderkey, c.l_linenumber AS chosen_l_linenumber, r.l_orderkey AS rejected_l_orderkey, r.l_linenumber AS rejected_l_linenumber,
-  c.s AS chosen_score, r.s AS rejected_score FROM r c JOIN r ON c.prompt_id = r.prompt_id WHERE c.up = 1 AND r.down = 1 AND c.n >= 2 AND c.s <> r.s AND {cond}"""
+ k AS (SELECT *, {{'s': s, 'o': -l_orderkey, 'l': -l_linenumber, 'b': -a2, 'a': -a1, 'c': -a3, 'd': -a4}} AS k FROM s),
+ g AS (SELECT prompt_id, arg_max(l_orderkey, k) AS chosen_l_orderkey, arg_max(l_linenumber, k) AS chosen_l_linenumber, arg_min(l_orderkey, k) AS rejected_l_orderkey,
+  arg_min(l_linenumber, k) AS rejected_l_linenumber, max(s) AS chosen_score, min(s) AS rejected_score, count(*) AS n FROM k GROUP BY 1)
+ SELECT * EXCLUDE (n) FROM g WHERE n >= 2 AND chosen_score <> rejected_score AND {cond}"""
 
 
-@query("binarize_by_aspects", _binarize_sql("(l_quantity + l_discount + l_tax) / 3", "c.s >= 10 AND c.s - r.s >= 5"))
+@query("binarize_by_aspects", _binarize_sql("(l_quantity + l_discount + l_tax) / 3", "chosen_score >= 10 AND chosen_score - rejected_score >= 5"))
 def binarize_by_aspects(spark, sf):
     """WIN6: mean of the kept aspects, minimum score and margin."""
     return R.binarize_by_aspects(
@@ -109,10 +109,19 @@ def sample_k_models(spark, sf):
     return k.select("o_custkey", F.array_join("models", ",").alias("models"), F.array_join("completions", ",").alias("completions"))
 
 
+@query(
+    "prompts_short_of_models",
+    "SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_models FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) < 4",
+)
+def prompts_short_of_models(spark, sf):
+    """WIN13: the prompts it leaves out."""
+    return R.prompts_short_of_models(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", 4)
+
+
 @query(
     "collect_candidates",
-    """WITH d AS (SELECT o_custkey, o_orderpriority AS model, min(o_orderkey::VARCHAR) AS text, min(o_orderstatus) AS query FROM orders GROUP BY 1, 2)
- SELECT o_custkey, string_agg(model, ',' ORDER BY model) AS models, string_agg(text, ',' ORDER BY model) AS completions, min_by(query, model) AS query FROM d GROUP BY 1""",
+    """WITH d AS (SELECT o_custkey, o_orderpriority AS model, o_orderkey::VARCHAR AS text, o_orderstatus AS query FROM orders)
+ SELECT o_custkey, string_agg(model, ',' ORDER BY model, text) AS models, string_agg(text, ',' ORDER BY model, text) AS completions, arg_min(query, {'m': model, 't': text}) AS query FROM d GROUP BY 1""",
 )
 def collect_candidates(spark, sf):
     """AGG19."""

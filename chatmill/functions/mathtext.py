@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatmill.functions import text as X
-from chatmill.functions.arrays import indices, let, pipe
+from chatmill.functions.arrays import let, pipe
 
 # Fixed values. Substitutions applied in this order to a final answer.
 SUBSTITUTIONS = [
@@ -39,31 +39,29 @@ STRIP_REPLACEMENTS = [
 
 def braces_close(c: Column, start: Column) -> Column:
     """0-based position of the brace that closes the first one at or after ``start``; null when none does.
-    Walks brace positions only, not characters."""
+    Walks the pieces between braces once."""
 
     def walk(p):
-        zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"), F.lit(0).alias("at"))
 
-        def step(a, i):
-            up = F.when(p.substr(i + 1, F.lit(1)) == "{", 1).otherwise(-1)
+        def step(a, piece):
+            up = F.when(piece.startswith("{"), 1).when(piece.startswith("}"), -1).otherwise(0)
             closed = a["end"].isNull() & (a["depth"] + up == 0) & (up == -1)
-            return F.struct((a["depth"] + up).alias("depth"), F.when(closed, i).otherwise(a["end"]).alias("end"))
+            return F.struct((a["depth"] + up).alias("depth"), F.when(closed, a["at"]).otherwise(a["end"]).alias("end"), (a["at"] + F.length(piece)).alias("at"))
 
-        braces = F.filter(indices(F.length(p)), lambda i: p.substr(i + 1, F.lit(1)).isin("{", "}"))
-        return F.aggregate(braces, zero, step, lambda a: a["end"])
+        return F.aggregate(F.split(p, "(?=[{}])"), zero, step, lambda a: a["end"])
 
     tail = c.substr(start + 1, F.length(c))
     return start + let(tail, walk)
 
 
 def last_boxed(c: Column) -> Column:
-    """Content of the last boxed span, null when there is none or it is not closed."""
+    """Content of the last boxed span, else of the last framed one; null when there is none or it is not closed."""
     spaced = X.before_first(X.after_last(c, "\\boxed "), "$")
     # position of the last marker = length of everything before the last piece
-    before = F.length(c) - F.length(X.after_last(c, "\\boxed{"))
     closed = lambda b: let(braces_close(c, b - 1), lambda end: F.when(end.isNotNull(), c.substr(b + 1, end - b)))
-    braced = F.when(c.contains("\\boxed{"), let(before, closed))
-    return F.when(c.contains("\\boxed "), spaced).otherwise(braced)
+    braced = lambda mark: F.when(c.contains(mark), let(F.length(c) - F.length(X.after_last(c, mark)), closed))
+    return F.when(c.contains("\\boxed "), spaced).when(c.contains("\\boxed"), braced("\\boxed{")).otherwise(braced("\\fbox{"))
 
 
 def final_answer_span(c: Column) -> Column:

@@ -126,12 +126,13 @@ def passed_tests(results: DataFrame, ids: str, passed: str = "passed", ratio: fl
     return join_stats(results.filter(ok), rate, ids, "_n").drop("_n", "_ok")
 
 
-def tree_paths(nodes: DataFrame, top_k: int | None = None, max_depth: int = 64, every: int = 8) -> DataFrame:
+def tree_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:
     """Every root-to-leaf path that ends in an assistant message: (leaf, messages).
 
     ``nodes``: message_id, parent_id, role, text, deleted, quality. A deleted node cuts its subtree;
-    an inner node keeps its ``top_k`` best children. Level by level join; the frontier is written to
-    the shared folder every few levels so the plan stays short.
+    an inner node keeps its ``top_k`` best children. Level by level join until the frontier is empty, at any
+    depth; each level is written to the shared folder once, with its finished paths. Nodes have one parent and
+    start from roots, so a cycle is never entered; a message_id that occurs twice is an error.
     """
     from chatmill.session import materialise
 
@@ -146,15 +147,13 @@ def tree_paths(nodes: DataFrame, top_k: int | None = None, max_depth: int = 64,
     live = live.join(parents, "message_id", "left").withColumn("has_child", F.coalesce("has_child", F.lit(False)))
     msg = F.struct(F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), F.col("text").alias("content"))
     live = materialise(live.select("message_id", "parent_id", "has_child", "role", msg.alias("m")), "tree")
+    if not live.groupBy("message_id").count().filter("count > 1").isEmpty():
+        raise ValueError("a message_id occurs twice")
     frontier = live.filter("parent_id is null").select("message_id", "has_child", "role", F.array("m").alias("messages"))
     out = []
-    for depth in range(1, max_depth + 1):
+    while True:
         out.append(frontier.filter("not has_child and role = 'assistant'").select(F.col("message_id").alias("leaf"), "messages"))
         inner = frontier.filter("has_child").select(F.col("message_id").alias("parent_id"), "messages")
-        step = inner.join(live, "parent_id").select("message_id", "has_child", "role", F.concat("messages", F.array("m")).alias("messages"))
-        if depth % every == 0:
-            step = materialise(step, "frontier")
-            if step.isEmpty():
-                break
-        frontier = step
-    return reduce(DataFrame.unionByName, out)
+        frontier = materialise(inner.join(live, "parent_id").select("message_id", "has_child", "role", F.concat("messages", F.array("m")).alias("messages")), "frontier")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, out)

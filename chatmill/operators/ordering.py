@@ -194,14 +194,14 @@ def join_stats(df: DataFrame, stats: DataFrame, keys, count: str, how: str = "in
     """Attach one-row-per-key ``stats`` to every row of a possibly skewed ``df``.
 
     Keys holding at least ``hot_rows`` rows number at most rows/hot_rows, so their stats are broadcast;
-    all other keys go through a shuffle join whose partitions are bounded by construction.
+    all other keys go through a shuffle join whose partitions are bounded by construction. A null key is a key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     hot = stats.filter(F.col(count) >= hot_rows)
     cold = stats.filter(F.col(count) < hot_rows)
     hot_keys = F.broadcast(hot.select(*keys))
-    hot_part = df.join(F.broadcast(hot), keys, "inner")
-    cold_part = df.join(hot_keys, keys, "left_anti").join(cold, keys, how)
+    hot_part = _null_safe_join(df, F.broadcast(hot), keys, "inner")
+    cold_part = _null_safe_join(_null_safe_join(df, hot_keys, keys, "left_anti"), cold, keys, how)
     return hot_part.unionByName(cold_part)
 
 

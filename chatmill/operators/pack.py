@@ -55,9 +55,10 @@ def fits_context(messages: Column, completion: int, context: int, margin: int =
     return message_tokens(messages, counter) + completion + margin <= context
 
 
-def build_vocab(df: DataFrame, token_arrays: Column, max_size: int = 50_000, reserved: int = 2) -> DataFrame:
+def build_vocab(df: DataFrame, token_arrays: Column, max_size: int, reserved: int = 2) -> DataFrame:
     """(token, id, n): ids by descending frequency, ties by token, after ``reserved`` special ids. Counting
-    combines on the map side; only ``max_size`` rows reach the ranking."""
+    combines on the map side; only ``max_size`` rows reach the ranking. Rarer tokens become the unknown id:
+    ``unknown_tokens`` says how many."""
     if max_size > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary over {MAX_VOCABULARY} entries cannot be broadcast")
     counts = df.select(F.explode(token_arrays).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -66,6 +67,13 @@ def build_vocab(df: DataFrame, token_arrays: Column, max_size: int = 50_000, res
     return top.withColumn("id", (rank - 1 + reserved).cast("int"))
 
 
+def unknown_tokens(df: DataFrame, token_arrays: Column, vocab: DataFrame) -> DataFrame:
+    """One row: distinct tokens and occurrences that ``vocab`` leaves out."""
+    counts = df.select(F.explode(token_arrays).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    left = counts.join(vocab.select("token"), "token", "left_anti")
+    return left.agg(F.count("*").alias("unknown_tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("unknown_occurrences"))
+
+
 def encoder(vocab: DataFrame, unknown: int = 0) -> Callable[[Column], Column]:
     """Column function array<string> -> array<int>. The vocabulary, bounded by ``build_vocab``, is broadcast once."""
     rows = vocab.select("token", "id").limit(MAX_VOCABULARY + 1).toPandas()

@@ -141,7 +141,8 @@ def sample_n_per_id(df: DataFrame, key: str, n: int, seed, ids) -> DataFrame:
 
 
 def sample_k_models(df: DataFrame, prompt: str, model: str, text: str, seed, k: int = 4) -> DataFrame:
-    """k random completions of different models per prompt, as aligned arrays; prompts with fewer go."""
+    """k random completions of different models per prompt, as aligned arrays; prompts with fewer go
+    (``prompts_short_of_models`` lists them)."""
     picked = top_n_per_key(df, prompt, k, [hash_key(seed, prompt, model), F.col(model)], min_rows=k)
     row = F.struct(hash_key(seed, prompt, model).alias("h"), F.col(model).alias("m"), F.col(text).alias("t"))
     return picked.groupBy(prompt).agg(F.sort_array(F.collect_list(row)).alias("_r")).select(
@@ -149,11 +150,16 @@ def sample_k_models(df: DataFrame, prompt: str, model: str, text: str, seed, k:
     )
 
 
+def prompts_short_of_models(df: DataFrame, prompt: str, model: str, k: int = 4) -> DataFrame:
+    """Prompts that ``sample_k_models`` leaves out, with the number of models they have."""
+    return df.groupBy(prompt).agg(F.countDistinct(model).alias("n_models")).filter(F.col("n_models") < k)
+
+
 def collect_candidates(df: DataFrame, prompt: str, model: str, text: str, query: str) -> DataFrame:
-    """Per prompt the completions and models in model order, and the prompt text. One completion per
-    model is kept first, so a list is never longer than the number of models."""
+    """Per prompt all completions and their models, in the order of model and completion, and the prompt text. A
+    list is as long as the prompt has completions; ``mixing.distinct_by_id`` picks one per model before, if wanted."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(model).alias("m"), F.col(text).alias("t"))))
-    return df.groupBy(prompt, model).agg(F.min(text).alias(text), F.min(query).alias(query)).groupBy(prompt).agg(rows.alias("_r"), F.min_by(query, model).alias(query)).select(
+    return df.groupBy(prompt).agg(rows.alias("_r"), F.min_by(query, F.struct(model, text)).alias(query)).select(
         prompt, query, F.transform("_r", lambda x: x["t"]).alias("completions"), F.transform("_r", lambda x: x["m"]).alias("models")
     )
 

@@ -18,6 +18,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "cha
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")  # small inputs still use all cores
+        .config("spark.sql.files.maxPartitionBytes", "4m")  # and a small file is cut where its row groups allow
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")

@@ -250,7 +250,7 @@ def test_tree_paths(spark):
         ("d", "a", "prompter", "q2", False, None), ("e", "d", "assistant", "a4", False, None), ("f", "b", "prompter", "q3", False, 0.1), ("g", "c", "assistant", "x", False, 0.1),
     ]
     nodes = spark.createDataFrame(rows, "message_id string, parent_id string, role string, text string, deleted boolean, quality double")
-    paths = {r["leaf"]: [m["content"] for m in r["messages"]] for r in J.tree_paths(nodes, every=2).collect()}
+    paths = {r["leaf"]: [m["content"] for m in r["messages"]] for r in J.tree_paths(nodes).collect()}
     assert paths == {"e": ["q", "a1", "q2", "a4"]}  # b ends in a prompter's question, c is deleted
     assert {r["leaf"] for r in J.tree_paths(nodes, top_k=1).collect()} == {"e"}
 
@@ -270,3 +270,16 @@ def test_lookup_and_tests(spark):
     res = spark.createDataFrame([(1, [1, 1, 0, 1, 1]), (2, [1, 0])], "id int, passed array<int>")
     got = J.keep_passed_tests(df, res, "id").collect()
     assert [(r["id"], r["tests"]) for r in got] == [(1, ["a", "b", "d", "e"])]
+
+
+def test_tree_paths_deeper_than_any_fixed_bound(spark):
+    rows = [(str(i), str(i - 1) if i else None, "assistant" if i % 2 else "user", "t", False, 0.0) for i in range(70)]
+    nodes = spark.createDataFrame(rows, "message_id string, parent_id string, role string, text string, deleted boolean, quality double")
+    assert [(r["leaf"], len(r["messages"])) for r in J.tree_paths(nodes).collect()] == [("69", 70)]
+
+
+def test_join_stats_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
+    stats = df.groupBy("k").agg(F.count("*").alias("n"))
+    for hot in (1, 2, 100):
+        assert O.join_stats(df, stats, "k", "n", hot_rows=hot).count() == 3
