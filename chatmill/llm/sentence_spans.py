@@ -4,8 +4,8 @@ A sentence ends at a line break, or at white space after ".", "!" or "?". Every
 at least ``least_words`` words is hashed (ASCII case and white space do not count); equal runs are joined over all
 documents, and all but the first (smallest doc_id, then smallest place) mark their sentences for removal.
 
-Null and empty texts have no sentence. Rows that share a doc_id count as one place: a run that comes first there stays in
-each of them; null ids come last and are one id. Ties are settled by place. Extra columns are kept in ``remove``;
+Null and empty texts have no sentence. Rows that share doc_id and text are one document: a run that comes first there
+stays in each of them; other rows of one doc_id are ordered by a hash of their text. Null ids come last and are one id. Extra columns are kept in ``remove``;
 clashing names are avoided.
 """
 
@@ -62,35 +62,35 @@ def runs(own: np.ndarray, lens: np.ndarray, rows: np.ndarray, run: int, least_wo
 
 
 def spans(docs: DataFrame, run: int, least_words: int, text: str = "text") -> DataFrame:
-    """(span, doc_id, place) of every run in every document."""
+    """(span, id, version, place) of every run in every document; the version tells texts of one id apart."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, versions = b.column(0).to_numpy(), b.column(2).to_numpy()
             for lo, _, data, offsets in blocks(b.column(1)):
                 _, own, lens, rows = sentences(data, offsets)
                 row, place, hashed = runs(own, lens, rows, run, least_words)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[lo + row]), pa.array(place.astype(np.int32))], names=["span", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[lo + row]), pa.array(versions[lo + row]), pa.array(place.astype(np.int32))], names=["span", "id", "version", "place"])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
-    return docs.select(key, text).mapInArrow(emit, "span long, id long, place int")
+    return docs.select(key, text, F.hash(text).alias("version")).mapInArrow(emit, "span long, id long, version int, place int")
 
 
 def repeated_places(docs: DataFrame, run: int, least_words: int, text: str = "text") -> DataFrame:
-    """(id, places): sorted places of the non-first runs of each document that has any."""
+    """(id, version, places): sorted places of the non-first runs of each document that has any."""
     every = spans(docs, run, least_words, text)
-    first = every.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).filter("n > 1")
+    first = every.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "place")).alias("first")).filter("n > 1")
     shared = materialise(first.select("span", "first"), "spans").withColumnRenamed("span", "_span")
-    later = every.join(shared, F.col("span") == F.col("_span")).filter((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
-    return later.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))  # a document's own sentences
+    later = every.join(shared, F.col("span") == F.col("_span")).filter(F.struct("id", "version", "place") != F.col("first"))
+    return later.groupBy("id", "version").agg(F.sort_array(F.collect_set("place")).alias("places"))  # a document's own sentences
 
 
 def remove(docs: DataFrame, run: int = 2, least_words: int = 8, text: str = "text", names: tuple[str, ...] = ("n_sentences", "n_removed", "n_removed_words", "kept_text")) -> DataFrame:
     """``docs`` plus: sentences, those removed, their words, and the text that is left (null stays null)."""
-    key, other, places = fresh(docs, "_key", "_id", "_places")
-    marked = repeated_places(docs, run, least_words, text).select(F.col("id").alias(other), F.col("places").alias(places))
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-    joined = keyed.join(marked, F.col(key) == F.col(other), "left").drop(key, other)
+    key, version, other, its, places = fresh(docs, "_key", "_version", "_id", "_its", "_places")
+    marked = repeated_places(docs, run, least_words, text).select(F.col("id").alias(other), F.col("version").alias(its), F.col("places").alias(places))
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), version: F.hash(text)})
+    joined = keyed.join(marked, (F.col(key) == F.col(other)) & (F.col(version) == F.col(its)), "left").drop(key, other, version, its)
     pair = F.struct(F.col(text).alias("t"), F.col(places).alias("p"))
     both = fresh(joined, "_both")[0]
     fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType()), T.StructField(names[3], T.StringType())]

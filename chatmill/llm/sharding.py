@@ -15,7 +15,7 @@ names avoid them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lgamma, sqrt
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -70,9 +70,10 @@ def _labels(row: np.ndarray, seed: int, part: int) -> tuple[np.ndarray, np.ndarr
 
 
 def shard(df: DataFrame, shards: int, seed: int = 23, settled: bool = False, names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
-    """``df`` plus its shard (from 0) and its slot there (from 0, without gaps)."""
+    """``df`` plus its shard (from 0) and its slot there (from 0, without gaps); names that ``df`` has get a leading underscore."""
     spark = df.sparkSession
     df = df if settled else materialise(df, "shard-input")
+    names = tuple(fresh(df, *names))
     found = {r["p"]: r["n"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     parts, total = sorted(found), sum(found.values())
     matrix = communication_matrix([found[p] for p in parts], [total // shards + (s < total % shards) for s in range(shards)], seed)
@@ -120,6 +121,3 @@ def _cell_offsets(spark, parts: list[int], plan, shards: int, seed: int, bits: i
     return counts.select("s", "c", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
 
-def log_choose(n: int, k: int) -> float:
-    """Logarithm of the binomial coefficient, for tests of the draws."""
-    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
