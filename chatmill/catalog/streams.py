@@ -33,6 +33,19 @@ def _rollouts(spark, sf, size=8):
     )
 
 
+def _arriving(spark, sf, n_batches=4):
+    """The events as files that arrive in as many micro-batches, dealt by hash, so neighbours come at different times."""
+    work = _work(spark, "arriving")
+    e = table(spark, sf, "events")
+    e.repartition(n_batches, "event_id").write.parquet(work)
+    return readers.read_stream(spark, work, e.schema, files_per_trigger=1)
+
+
+def _one_group(events):
+    """The events of a key in a batch, taken as one whole group."""
+    return events.withColumns({"group_no": F.lit(0).cast("long"), "complete": F.lit(True)})
+
+
 @query(
     "stream_advantages",
     """SELECT event_id AS rollout_id, (event_id // 8)::VARCHAR AS prompt_id, true AS complete, round(value - avg(value) OVER (PARTITION BY event_id // 8), 9) AS advantage FROM events""",
@@ -95,13 +108,28 @@ def stream_step_metrics(spark, sf):
  SELECT count(*) FILTER (WHERE kept) AS counted, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS filtered, count(*) FILTER (WHERE kept) >= 100 AS "full", 0 AS step FROM g""",
 )
 def stream_quota(spark, sf):
-    """STR3: zero-spread prompts are left out and, with active sampling, do not count."""
+    """STR3: zero-spread prompts are left out and, with active sampling, do not count. One batch holds whole prompts."""
     work = _work(spark, "stream")
     s = _events(spark, sf).select(F.floor(F.col("event_id") / 4).alias("prompt_id"), (F.col("event_type") == "click").cast("double").alias("reward"))
-    ST.run_available(s, f"{work}/ckpt", sink=ST.quota_sink(f"{work}/out", 100, True))
+    ST.run_available(_one_group(s), f"{work}/ckpt", sink=ST.quota_sink(f"{work}/out", 100, True))
     return spark.read.parquet(f"{work}/out/progress")
 
 
+@query(
+    "stream_quota_steps",
+    """WITH g AS (SELECT event_id // 4 AS p, min(value) < max(value) AS kept FROM (SELECT event_id, (event_type = 'click')::INTEGER AS value FROM events) GROUP BY 1 HAVING count(*) = 4),
+ k AS (SELECT count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS filtered FROM g)
+ SELECT s AS train_step, least(50, kept - 50 * s) AS n_groups, 4 * least(50, kept - 50 * s) AS n_rollouts, filtered FROM k, range(100000000) r(s) WHERE 50 * s < kept""",
+)
+def stream_quota_steps(spark, sf):
+    """STR2 and STR3 over four micro-batches: prompts are split between batches, the quota of 50 runs through."""
+    work = _work(spark, "stream")
+    s = _arriving(spark, sf).select(F.floor(F.col("event_id") / 4).cast("string").alias("prompt_id"), F.col("event_id").alias("rollout_id"), (F.col("event_type") == "click").cast("double").alias("reward"), "ts")
+    ST.run_available(ST.assemble_groups(s, 4), f"{work}/ckpt", sink=ST.quota_sink(f"{work}/out", 50, True))
+    steps = spark.read.parquet(f"{work}/out/rollouts").groupBy("train_step").agg(F.count_distinct("prompt_id", "group_no").alias("n_groups"), F.count("*").alias("n_rollouts"))
+    return steps.withColumn("filtered", spark.read.parquet(f"{work}/out/progress").agg(F.max("filtered")).scalar())
+
+
 @query(
     "stream_exclude_solved",
     """WITH s AS (SELECT user_id FROM events GROUP BY 1 HAVING avg(value) / 30 >= 0.7) SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM s)""",
@@ -110,12 +138,24 @@ def stream_exclude_solved(spark, sf):
     """STR4: a first pass records solved prompts, a second one anti-joins them."""
     work = _work(spark, "stream")
     sink = ST.solved_sink(f"{work}/solved", 0.7, 30.0, "user_id", "value")
-    ST.run_available(_events(spark, sf), f"{work}/c1", sink=sink)
+    ST.run_available(_one_group(_events(spark, sf)), f"{work}/c1", sink=sink)
     kept = ST.not_excluded(_events(spark, sf), spark.read.parquet(f"{work}/solved"), "user_id").select("event_id")
     ST.run_available(kept, f"{work}/c2", f"{work}/out")
     return spark.read.parquet(f"{work}/out")
 
 
+@query(
+    "stream_solved_groups",
+    """SELECT (event_id // 8)::VARCHAR AS prompt_id FROM events GROUP BY 1 HAVING count(*) = 8 AND avg(value) / 30 >= 0.7""",
+)
+def stream_solved_groups(spark, sf):
+    """STR4 over four micro-batches: a prompt is solved by the mean of its whole group, wherever its samples arrive."""
+    work = _work(spark, "stream")
+    s = _arriving(spark, sf).select(F.floor(F.col("event_id") / 8).cast("string").alias("prompt_id"), F.col("event_id").alias("rollout_id"), F.col("value").alias("reward"), "ts")
+    ST.run_available(ST.assemble_groups(s, 8), f"{work}/ckpt", sink=ST.solved_sink(f"{work}/solved", 0.7, 30.0))
+    return spark.read.parquet(f"{work}/solved").select("prompt_id")
+
+
 @query("stream_staleness", "SELECT event_id, event_id // 1000 AS step FROM events WHERE event_id // 1000 BETWEEN 3 AND 5")
 def stream_staleness(spark, sf):
     """STR5: rollouts at most two steps behind step five."""

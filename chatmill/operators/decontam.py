@@ -23,6 +23,7 @@ from chatmill.session import materialise
 GRAM = ["g1", "g2"]  # two independent 64-bit hashes identify an n-gram
 BROADCAST_GRAMS = 2_000_000
 MAX_SLICES = 8
+TILE = 4_000_000  # scores of vectors held at once, 32 MB
 BROADCAST_BYTES = 256 << 20
 
 
@@ -205,13 +206,17 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "v
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")).first()
 
     def candidates(q_ids, q, t_ids, t):
+        rows = max(1, TILE // max(1, len(t)))  # queries whose scores are held at once
+        return pd.concat([tile(q_ids[i : i + rows], q[i : i + rows], t_ids, t) for i in range(0, len(q_ids), rows)], ignore_index=True)
+
+    def tile(q_ids, q, t_ids, t):
         scores = q @ t.T
         best = [_top_rows(row, t_ids, k) for row in scores]
         return pd.DataFrame(
             {
                 item: np.repeat(q_ids, [len(b) for b in best]),
-                train_id: np.concatenate([t_ids[b] for b in best]) if best else t_ids[:0],
-                "score": np.concatenate([row[b] for row, b in zip(scores, best)]) if best else np.empty(0),
+                train_id: np.concatenate([t_ids[b] for b in best]),
+                "score": np.concatenate([row[b] for row, b in zip(scores, best)]),
             }
         )
 

@@ -22,7 +22,7 @@ def score_matrix(scores: DataFrame, row: str, column: str, value: str, columns:
 
 
 def write_tsv_matrix(scores: DataFrame, path: str, row: str, column: str, value: str, columns: list[str] | None = None) -> None:
-    score_matrix(scores, row, column, value, columns).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
+    score_matrix(scores, row, column, value, columns).repartition(1).write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
 
 
 def write_sharded(df: DataFrame, path: str, rows_per_file: int, partition_by: str, fmt: str = "json") -> None:
@@ -43,7 +43,7 @@ def write_batch_requests(df: DataFrame, path: str, custom_id: Column, messages:
 
 def write_stats(stats: DataFrame, path: str, order_by: str, as_text: bool = False) -> None:
     """Statistics rows (one per source) as JSON, or as aligned ``name: value`` text."""
-    ordered = stats.orderBy(order_by).coalesce(1)
+    ordered = stats.repartition(1).sortWithinPartitions(order_by)
     if not as_text:
         ordered.write.mode("overwrite").json(path)
         return

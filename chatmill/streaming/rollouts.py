@@ -14,12 +14,13 @@ from chatmill.operators.ordering import dense_index
 from chatmill.plans.cache import exists
 
 GROUP_SCHEMA = "prompt_id string, group_no long, complete boolean, rollout_id long, reward double, advantage double"
-STATE_SCHEMA = "group_no long, ids array<long>, rewards array<double>, latest long"
+STATE_SCHEMA = "ids array<long>, rewards array<double>, latest long"
 
 
 def group_advantages(rewards: np.ndarray, mode: str = "standard") -> np.ndarray:
-    centred = rewards - rewards.mean()
-    return centred / (rewards.std() + 1e-8) if mode == "standard" else centred
+    """Advantages inside each group; the last axis runs over the samples of a group."""
+    centred = rewards - rewards.mean(axis=-1, keepdims=True)
+    return centred / (rewards.std(axis=-1, keepdims=True) + 1e-8) if mode == "standard" else centred
 
 
 def assemble_groups(
@@ -27,42 +28,46 @@ def assemble_groups(
 ) -> DataFrame:
     """Emit the samples of a prompt, with their advantages, as soon as ``n`` have arrived.
 
-    ``stream``: prompt_id string, rollout_id long, reward double, ts timestamp. State per prompt is at most
-    n - 1 waiting samples; samples are taken batch by batch, so a busy prompt is not held in memory. With a
-    watermark, waiting samples of a prompt that stays incomplete for that long are emitted with
-    ``complete = false``. ``drop_zero_std`` leaves out complete groups whose rewards are all equal.
-    ``salts`` spreads a prompt that returns in huge numbers over several tasks; any n of its samples make
-    a group, so groups stay valid and only the number of waiting samples grows.
+    ``stream``: prompt_id string, rollout_id long (unique within a prompt), reward double, ts timestamp.
+    ``group_no`` is the group's first rollout_id, so it stays unique when a prompt returns after its state is
+    gone. State per prompt is at most n - 1 waiting samples and is removed when none waits; samples are taken
+    batch by batch, so a busy prompt is not held in memory. With a watermark, waiting samples of a prompt that
+    stays incomplete for that long are emitted with ``complete = false``. ``drop_zero_std`` leaves out complete
+    groups whose rewards are all equal. ``salts`` spreads a prompt that returns in huge numbers over several
+    tasks; any n of its samples make a group, so groups stay valid and only the number of waiting samples grows.
     """
-    columns = ["prompt_id", "group_no", "complete", "rollout_id", "reward", "advantage"]
 
-    def rows(key, no, complete, ids, rewards):
-        r = np.asarray(rewards, float)
-        adv = group_advantages(r, mode) if complete else np.full(len(r), np.nan)
-        return pd.DataFrame({"prompt_id": key, "group_no": no, "complete": complete, "rollout_id": ids, "reward": r, "advantage": adv})[columns]
+    def rows(key, complete, ids, rewards):
+        """``ids`` and ``rewards``: a row per group."""
+        adv = group_advantages(rewards, mode) if complete else np.full(rewards.shape, np.nan)
+        return pd.DataFrame(
+            {"prompt_id": key, "group_no": np.repeat(ids[:, 0], ids.shape[1]), "complete": complete, "rollout_id": ids.ravel(), "reward": rewards.ravel(), "advantage": adv.ravel()}
+        )
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, rewards, latest = state.get if state.exists else ([], [], 0)
+        ids, rewards = np.asarray(waiting, np.int64), np.asarray(rewards, float)
         if state.hasTimedOut:
-            no, ids, rewards, _ = state.get
             state.remove()
-            if len(ids):
-                yield rows(key[0], no * salts + key[1], False, list(ids), list(rewards))
+            yield rows(key[0], False, ids[None, :], rewards[None, :])
             return
-        no, ids, rewards, latest = state.get if state.exists else (0, [], [], 0)
-        ids, rewards = list(ids), list(rewards)
         for b in batches:
-            ids += b["rollout_id"].tolist()
-            rewards += b["reward"].tolist()
+            ids, rewards = np.concatenate([ids, b["rollout_id"].to_numpy(np.int64)]), np.concatenate([rewards, b["reward"].to_numpy(float)])
             latest = max(latest, int(b["ts_ms"].max()))
-            while len(ids) >= n:
-                g_ids, g_rewards = ids[:n], rewards[:n]
-                ids, rewards = ids[n:], rewards[n:]
-                if not (drop_zero_std and min(g_rewards) == max(g_rewards)):
-                    yield rows(key[0], no * salts + key[1], True, g_ids, g_rewards)
-                no += 1
-        state.update((no, ids, rewards, latest))
-        if watermark:
-            state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
+            full = len(ids) // n * n
+            g_ids, g_rewards = ids[:full].reshape(-1, n), rewards[:full].reshape(-1, n)
+            ids, rewards = ids[full:], rewards[full:]
+            if drop_zero_std:
+                varied = g_rewards.min(axis=1) != g_rewards.max(axis=1)
+                g_ids, g_rewards = g_ids[varied], g_rewards[varied]
+            if len(g_ids):
+                yield rows(key[0], True, g_ids, g_rewards)
+        if len(ids):
+            state.update((ids.tolist(), rewards.tolist(), latest))
+            if watermark:
+                state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
 
     wait = int(pd.Timedelta(watermark).total_seconds() * 1000) if watermark else 0
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
@@ -117,26 +122,45 @@ def metrics_sink(path: str, metrics: Callable[[DataFrame], DataFrame]) -> Callab
 
 
 def solved_sink(path: str, rate: float, max_score: float, key: str = "prompt_id", reward: str = "reward") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: append prompts whose mean reward reaches the rate to the exclusion table."""
+    """foreachBatch function over assembled groups: append prompts with a complete group whose mean reward
+    reaches the rate to the exclusion table. A group is never split over batches, so its mean is final."""
 
     def sink(batch: DataFrame, step: int) -> None:
-        solved = batch.groupBy(key).agg(F.avg(reward).alias("m")).filter(F.col("m") / max_score >= rate).select(key)
-        write_step(solved, path, step)
+        means = batch.filter("complete").groupBy(key, "group_no").agg(F.avg(reward).alias("m"))
+        write_step(means.filter(F.col("m") / max_score >= rate).select(key).distinct(), path, step)
 
     return sink
 
 
 def quota_sink(path: str, quota: int, active_sampling: bool, key: str = "prompt_id", reward: str = "reward") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: keep groups with differing rewards and report progress towards the quota of
-    prompts. Filtered prompts count towards it unless active sampling is on."""
+    """foreachBatch function over assembled groups: keep complete groups with differing rewards and deal them to
+    training steps of ``quota`` groups. Filtered groups count towards the quota unless active sampling is on.
+
+    ``rollouts``: rows of the kept groups with ``train_step``, the number of full quotas before the group.
+    ``progress``: per batch, what has been counted, kept and filtered since the start, and whether the first
+    quota is full. Totals come from the batches before, so a repeated batch gives the same rows.
+    """
+    totals = ["counted", "kept", "filtered"]
+
+    def so_far(spark: SparkSession, step: int) -> dict:
+        if not exists(spark, f"{path}/progress"):
+            return dict.fromkeys(totals, 0)
+        # totals never fall, so the largest of the earlier batches are the latest
+        return spark.read.parquet(f"{path}/progress").filter(F.col("step") < step).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in totals]).first().asDict()
 
     def sink(batch: DataFrame, step: int) -> None:
-        batch = batch.persist()  # read by both writes
-        g = batch.groupBy(key).agg((F.min(reward) < F.max(reward)).alias("kept"))
-        counted = F.count_if("kept") if active_sampling else F.count("*")
-        stats = g.agg(counted.alias("counted"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("filtered"))
+        batch = batch.filter("complete").persist()  # read by both writes
+        before = so_far(batch.sparkSession, step)
+        g = batch.groupBy(key, "group_no").agg((F.min(reward) < F.max(reward)).alias("kept")).persist()
+        counted = g.filter("kept") if active_sampling else g
+        stats = g.agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("filtered"))
+        stats = stats.withColumn("counted", F.col("kept") if active_sampling else F.col("n")).select(*[(F.col(c) + before[c]).alias(c) for c in totals])
+        dealt = dense_index(counted, [key, "group_no"], "_i").filter("kept").withColumn("train_step", F.floor((F.col("_i") + before["counted"]) / quota)).drop("_i", "kept")
+        renamed = dealt.withColumnRenamed(key, "_key").withColumnRenamed("group_no", "_no")
+        # null-safe: a null prompt is a prompt
+        write_step(batch.join(renamed, F.col(key).eqNullSafe(F.col("_key")) & (F.col("group_no") == F.col("_no"))).drop("_key", "_no"), f"{path}/rollouts", step)
         write_step(stats.withColumn("full", F.col("counted") >= quota), f"{path}/progress", step)
-        write_step(batch.join(g.filter("kept").select(key), key, "left_semi"), f"{path}/rollouts", step)
+        g.unpersist()
         batch.unpersist()
 
     return sink

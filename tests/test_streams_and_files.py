@@ -58,6 +58,49 @@ def test_salted_groups_hold_one_prompt_each(spark, tmp_path):
     assert set(sizes) == {4} and 60 - 3 * 3 <= sum(sizes) <= 60
 
 
+GROUPS = "prompt_id string, group_no long, complete boolean, rollout_id long, reward double"
+
+
+def groups(spark, *rewards, prompt="p", start=0):
+    rows = [(prompt, start + 10 * g, True, start + 10 * g + i, float(r)) for g, rs in enumerate(rewards) for i, r in enumerate(rs)]
+    return spark.createDataFrame(rows, GROUPS)
+
+
+def test_solved_prompts_are_judged_by_whole_groups(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    s = lambda: ST.assemble_groups(readers.read_stream(spark, src, spark.createDataFrame([], SCHEMA).schema), 2)
+    for i, rows in enumerate([[("a", 1, 1.0, at(0)), ("b", 2, 1.0, at(0))], [("a", 3, 0.0, at(1)), ("b", 4, 1.0, at(1))], [("c", 5, 1.0, at(2))]]):
+        feed(spark, src, str(i), rows)
+        ST.run_available(s(), ck, sink=ST.solved_sink(out, 0.9, 1.0))
+    assert [r["prompt_id"] for r in spark.read.parquet(out).collect()] == ["b"]
+
+
+def test_quota_runs_through_batches(spark, tmp_path):
+    path = str(tmp_path / "quota")
+    sink = ST.quota_sink(path, 3, True)
+    sink(groups(spark, (0, 1), (1, 1), (0, 1)), 0)
+    second = groups(spark, (0, 1), (0, 1), start=100).unionByName(groups(spark, (0, 1), prompt=None, start=200))
+    sink(second, 1)
+    sink(second, 1)  # a repeated batch replaces itself
+    p = {r["step"]: (r["counted"], r["kept"], r["filtered"], r["full"]) for r in spark.read.parquet(path + "/progress").collect()}
+    assert p == {0: (2, 2, 1, False), 1: (5, 5, 1, True)}
+    steps = spark.read.parquet(path + "/rollouts").groupBy("train_step").count().collect()
+    assert {r["train_step"]: r["count"] for r in steps} == {0: 6, 1: 4}
+    every = str(tmp_path / "every")
+    ST.quota_sink(every, 3, False)(groups(spark, (0, 1), (1, 1), (0, 1), (0, 1)), 0)
+    assert spark.read.parquet(every + "/progress").first()["counted"] == 4
+
+
+def test_group_numbers_stay_unique_after_a_timeout(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    run = lambda: ST.run_available(ST.assemble_groups(readers.read_stream(spark, src, spark.createDataFrame([], SCHEMA).schema), 2, watermark="5 minutes"), ck, out)
+    for i, rows in enumerate([[("a", 1, 0.0, at(0)), ("a", 2, 1.0, at(0)), ("a", 3, 1.0, at(0))], [("z", 4, 0.0, at(30))], [("z", 5, 0.0, at(30))], [("a", 6, 0.0, at(31)), ("a", 7, 1.0, at(31))]]):
+        feed(spark, src, str(i), rows)
+        run()
+    sizes = {(r["group_no"], r["complete"]): r["count"] for r in spark.read.parquet(out).filter("prompt_id = 'a'").groupBy("group_no", "complete").count().collect()}
+    assert sizes == {(1, True): 2, (3, False): 1, (6, True): 2}
+
+
 def test_trace_shards_continue(spark, tmp_path):
     path = str(tmp_path / "trace")
     sink = ST.trace_sink(path, "id", 10)
