@@ -74,7 +74,9 @@ def string_matcher(p: Column, label: Column, n: Column = None) -> Column:
 
 
 def string_f1(p: Column, label: Column, n: Column = None) -> Column:
-    return X.token_f1(X.remove_thinking(p), label)
+    """F1 with the label, or the best one where the label is a JSON list."""
+    listed = F.when(label.rlike(r"^\s*\["), F.from_json(label, "array<string>"))
+    return let(X.remove_thinking(p), lambda t: F.when(listed.isNotNull(), best_f1(t, listed)).otherwise(X.token_f1(t, label)))
 
 
 def best_f1(p: Column, labels: Column) -> Column:

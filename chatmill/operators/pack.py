@@ -539,28 +539,42 @@ def id_type(vocab_size: int) -> str:
 
 def gae(gamma: float, lam: float, packed: bool = False) -> Callable[..., Column]:
     """Column function (values, rewards[, dones, masks]) -> array<double> of generalised advantages. The
-    packed form starts anew at done tokens and outside responses."""
-
-    def run(v, r, d=None, m=None):
-        v, r = np.asarray(v, float), np.asarray(r, float)
-        live = np.ones(len(v)) if d is None else (1 - np.clip(np.asarray(d), 0, 1)) * np.clip(np.asarray(m), 0, 1)
-        out, carry = np.zeros(len(v)), 0.0
-        for t in range(len(v) - 1, -1, -1):
-            ahead = v[t + 1] if t + 1 < len(v) else 0.0
-            carry = r[t] + gamma * ahead * live[t] - v[t] + gamma * lam * carry * live[t]
-            out[t] = carry
-        return out
+    packed form starts anew at done tokens and outside responses. Null and empty rows give an empty array.
+
+    All rows of a batch step back from their last tokens together, so a step is one vector operation.
+    """
+
+    def flat(rows: pd.Series, values: pd.Series) -> np.ndarray:
+        """The rows end to end, without those whose values are null."""
+        known = [(x, v) for x, v in zip(rows, values) if v is not None]
+        if any(x is None or len(x) != len(v) for x, v in known):
+            raise ValueError("values, rewards, dones and masks differ in length")
+        return np.concatenate([np.zeros(0), *[np.asarray(x, float) for x, _ in known]])
+
+    def run(v: pd.Series, r: pd.Series, live: np.ndarray | None = None) -> pd.Series:
+        lens = np.array([0 if x is None else len(x) for x in v], dtype=np.int64)
+        value, gain, ends = flat(v, v), flat(r, v), np.cumsum(lens)
+        live = np.ones(len(value)) if live is None else live
+        longest = np.argsort(-lens, kind="stable")
+        falling, last = -lens[longest], ends[longest] - 1
+        out, carry, ahead = np.zeros(len(value)), np.zeros(len(lens)), np.zeros(len(lens))
+        for k in range(int(lens.max(initial=0))):
+            m = np.searchsorted(falling, -k, "left")  # rows with more than k tokens
+            at = last[:m] - k
+            carry[:m] = gain[at] + gamma * ahead[:m] * live[at] - value[at] + gamma * lam * carry[:m] * live[at]
+            out[at], ahead[:m] = carry[:m], value[at]
+        return pd.Series(np.split(out, ends[:-1]) if len(lens) else [], dtype=object)
 
     if packed:
 
         @F.pandas_udf("array<double>")
         def packed_gae(v: pd.Series, r: pd.Series, d: pd.Series, m: pd.Series) -> pd.Series:
-            return pd.Series([run(*x) for x in zip(v, r, d, m)])
+            return run(v, r, (1 - np.clip(flat(d, v), 0, 1)) * np.clip(flat(m, v), 0, 1))
 
         return packed_gae
 
     @F.pandas_udf("array<double>")
     def plain_gae(v: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([run(*x) for x in zip(v, r)])
+        return run(v, r)
 
     return plain_gae

@@ -108,6 +108,19 @@ def test_gae(spark):
     assert got["b"][1] == pytest.approx(0.0 - 0.4) and got["b"][2] == pytest.approx(0.7)
 
 
+def test_gae_of_rows_of_many_lengths(spark):
+    rng = random.Random(3)
+    rows = [(i, *[[rng.random() for _ in range(n)] for _ in "vr"]) for i, n in enumerate([5, 0, 1, 9, 5, 2])] + [(6, None, None)]
+    df = spark.createDataFrame(rows, "i int, v array<double>, r array<double>").coalesce(1)
+    got = {x["i"]: x["a"] for x in df.select("i", K.gae(0.9, 0.8)("v", "r").alias("a")).collect()}
+    for i, v, r in rows:
+        want, carry = [], 0.0
+        for t in range(len(v or []) - 1, -1, -1):
+            carry = r[t] + 0.9 * (v[t + 1] if t + 1 < len(v) else 0.0) - v[t] + 0.9 * 0.8 * carry
+            want.insert(0, carry)
+        assert got[i] == pytest.approx(want)
+
+
 CHAT = [("system", "be kind"), ("user", "hi there"), ("assistant", "hello"), ("user", "bye"), ("assistant", "see you")]
 
 

@@ -25,6 +25,10 @@ CASES = [
     ("string_matcher", "dog", "dog", 0.0),
     ("string_f1", "<think>z</think> the cat sat", "cat sat down", 0.8),
     ("string_f1", "nothing", "cat", 0.0),
+    ("string_f1", "<think>z</think> the cat sat", '["dog", "cat sat down", "a cow"]', 0.8),
+    ("string_f1", "the dog", '["dog", 7]', 1.0),
+    ("string_f1", "cow", "[]", 0.0),
+    ("string_f1", "[sic] cat", "[sic] cat", 1.0),
     ("puzzle", "<think>a</think><answer>An Apple</answer>", "apple", 1.0),
     ("re_search_f1", "<finish>cat sat</finish>", '["dog", "cat sat"]', 1.0),
     ("re_search_f1", "<finish>cow</finish>", '["dog", "cat"]', 0.1),
