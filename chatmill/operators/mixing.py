@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatmill.operators.ordering import first_per_key, sample_exact
+from chatmill.operators.ordering import BUCKET, CUT, _null_safe_join, first_per_key, of_last_bucket, sample_exact, with_cut
+from chatmill.session import materialise
 
 log = logging.getLogger(__name__)
 
@@ -58,38 +59,63 @@ def resample(df: DataFrame, target: int, size: int, seed, ids) -> DataFrame:
 
 
 def resample_by_source(df: DataFrame, sizes: DataFrame, source: str, seed, ids) -> DataFrame:
-    """``resample`` of every source of one table at once. ``sizes``: (source, size, target), one row per source.
-    A source may hold most of the table: copies are generated in place and only extras are ranked, in hash buckets."""
-    j = df.join(sizes.select(source, "size", "target"), source)
+    """``resample`` of every source of one table at once. ``sizes``: (source, size, target), one row per source;
+    a null source is a source. One pass gives every row its whole copies and, where its bucket lies under the
+    quota of extras, one more; only the bucket that fills the quota is read again and ranked."""
+    j = _null_safe_join(df, materialise(sizes.select(source, "size", "target"), "sizes"), [source])
+    cut = with_cut(j, F.col("target") % F.col("size"), seed, ids, [source])
     copies = F.floor(F.col("target") / F.col("size")).cast("int")
-    whole = j.withColumn("_k", copies).filter("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
-    extra = sample_exact(j, F.col("target") % F.col("size"), seed, ids, [source]).withColumn("copy", copies + 1)
-    return whole.unionByName(extra).drop("size", "target")
+    whole = copies + F.coalesce(F.col(BUCKET) < F.col("_last"), F.lit(False)).cast("int")
+    repeated = cut.withColumn("_k", whole).filter("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
+    filling = of_last_bucket(cut, ids, [source]).withColumn("copy", copies + 1)
+    return repeated.unionByName(filling).drop("size", "target", *CUT)
+
+
+def _tagged(sources: list[DataFrame], name: str) -> DataFrame:
+    """All sources as one table, ``name`` holding the position of each in the list."""
+    return concatenate([df.withColumn(name, F.lit(i)) for i, df in enumerate(sources)])
+
+
+def _counts(sources: list[DataFrame]) -> list[int]:
+    """Rows of each source, all counted in one job."""
+    n = {r["_at"]: r["count"] for r in _tagged([df.select() for df in sources], "_at").groupBy("_at").count().collect()}  # one row per source
+    return [n.get(i, 0) for i in range(len(sources))]
 
 
 def mix(sources: dict[str, DataFrame], items: list, ids: str, seed=42, splits: list[str] | None = None, column: str = "source") -> tuple[DataFrame, list[dict]]:
     """Build a mix from an alternating name/amount list: (rows, one record of sizes per source)."""
-    parts, sizes = [], []
-    for name, amount, split in parse_mix(items, splits):
-        df = sources[name]
-        if "split" in df.columns:
-            df = df.filter(F.col("split") == split)
-        n = df.count()
+    wanted = parse_mix(items, splits)
+    tables = [_of_split(sources[name], split) for name, _, split in wanted]
+    counts, sizes = _counts(tables), []
+    for (name, amount, split), n in zip(wanted, counts):
         want = target_size(amount, n)
         check_amount(name, amount, n)
-        part = resample(df, want, n, seed, ids)
-        parts.append(part if column in part.columns else part.withColumn(column, F.lit(name)))
+        if want and not n:
+            raise ValueError("cannot sample from an empty source")
         sizes.append(
             {
                 column: name, "dataset_split": split, "initial_instances": want, "original_dataset_size": n, "amount": str(amount),
                 "is_upsampled": want > n, "upsampling_factor": want / n if n else 1.0,
             }
         )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), sizes
+    named = [df if column in df.columns else df.withColumn(column, F.lit(name)) for df, (name, _, _) in zip(tables, wanted)]
+    rows = [(i, n, s["initial_instances"]) for i, (n, s) in enumerate(zip(counts, sizes)) if n]
+    targets = named[0].sparkSession.createDataFrame(rows, "_at int, size long, target long")
+    return resample_by_source(_tagged(named, "_at"), targets, "_at", seed, ids).drop("_at"), sizes
+
 
+def _of_split(df: DataFrame, split: str) -> DataFrame:
+    return df.filter(F.col("split") == split) if "split" in df.columns else df
 
-def _first_by_hash(df: DataFrame, n: int, seed, ids) -> DataFrame:
-    return sample_exact(df, n, seed, ids)
+
+def _firsts(sources: list[DataFrame], quotas: list[int], ids: str, seed) -> DataFrame:
+    """The first rows of each source in hash order, up to its quota; all sources in the same passes."""
+    quota = F.element_at(F.array(*[F.lit(int(q)) for q in quotas]), F.col("_at") + 1)
+    return sample_exact(_tagged(sources, "_at"), quota, seed, ids, ["_at"]).drop("_at")
+
+
+def _named(sources: dict[str, DataFrame], names) -> list[DataFrame]:
+    return [sources[n] if "source" in sources[n].columns else sources[n].withColumn("source", F.lit(n)) for n in names]
 
 
 def mix_fixed(sources: dict[str, DataFrame], amounts: dict[str, int | float], ids: str, seed=42) -> DataFrame:
@@ -100,26 +126,22 @@ def mix_fixed(sources: dict[str, DataFrame], amounts: dict[str, int | float], id
     counts = any(a > 1 for a in amounts.values())
     if counts and not all(isinstance(a, int) for a in amounts.values()):
         raise NotImplementedError("fractions and counts cannot be blended")
-    parts = []
-    for name, a in amounts.items():
-        df = sources[name]
-        n = a if counts else int(a * df.count())
-        part = _first_by_hash(df, n, seed, ids)
-        parts.append(part if "source" in part.columns else part.withColumn("source", F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    tables = _named(sources, amounts)
+    quotas = list(amounts.values()) if counts else [int(a * n) for a, n in zip(amounts.values(), _counts(tables))]
+    return _firsts(tables, quotas, ids, seed)
 
 
 def combine(sources: dict[str, DataFrame], amounts: dict[str, float], ids: str, seed=42, splits: dict[str, str] | None = None) -> DataFrame:
     """Per-source split; an amount over 1.0 is a count, else a fraction. Test rows are never subsampled."""
-    parts = []
-    for name, a in amounts.items():
-        df, split = sources[name], (splits or {}).get(name, "train")
-        if "split" in df.columns:
-            df = df.filter(F.col("split") == split)
-        if split != "test":
-            df = _first_by_hash(df, int(a) if a > 1.0 else int(a * df.count()), seed, ids)
-        parts.append(df if "source" in df.columns else df.withColumn("source", F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    split = {name: (splits or {}).get(name, "train") for name in amounts}
+    tables = dict(zip(amounts, [_of_split(df, split[n]) for n, df in zip(amounts, _named(sources, amounts))]))
+    drawn = [n for n in amounts if split[n] != "test"]
+    parts = [tables[n] for n in amounts if split[n] == "test"]
+    if drawn:
+        sizes = _counts([tables[n] for n in drawn])
+        quotas = [int(amounts[n]) if amounts[n] > 1.0 else int(amounts[n] * size) for n, size in zip(drawn, sizes)]
+        parts.append(_firsts([tables[n] for n in drawn], quotas, ids, seed))
+    return concatenate(parts)
 
 
 def stratified_portions(df: DataFrame, portions: dict[str, float], total: int, column: str, seed, ids) -> DataFrame:

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatmill.functions.rand import hash_key, hash_unit
-from chatmill.session import checkpointed
+from chatmill.session import checkpointed, materialise
 
 HASH, BUCKET = "_hash", "_bucket"
+CUT = (HASH, BUCKET, "_last", "_take")
 
 
 def _hashed(df: DataFrame, seed, ids) -> DataFrame:
@@ -27,11 +28,9 @@ def _hashed(df: DataFrame, seed, ids) -> DataFrame:
     return df.withColumn(HASH, hash_key(seed, *ids)).withColumn(BUCKET, F.conv(F.substring(HASH, 1, 4), 16, 10).cast("int"))
 
 
-def _bucket_offsets(hashed: DataFrame, strata: list[str]) -> DataFrame:
-    counts = hashed.groupBy(*strata, BUCKET).agg(F.count("*").alias("_n"))
-    running = Window.partitionBy(*strata).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    # without strata this window holds at most 65 536 counts
-    running = running if strata else Window.partitionBy(F.lit(0)).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+def _running(counts: DataFrame, strata: list[str]) -> DataFrame:
+    """``_before``: the rows in earlier buckets of the stratum. Without strata the window holds at most 65 536 counts."""
+    running = Window.partitionBy(*(strata or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0).cast("long")))
 
 
@@ -50,7 +49,7 @@ def hash_rank(df: DataFrame, seed, ids, strata=(), name: str = "rank") -> DataFr
     """0-based rank of each row in the seeded permutation, per stratum. ``ids`` must be unique there."""
     strata, ids = list(strata), [ids] if isinstance(ids, str) else list(ids)
     h = _hashed(df, seed, ids)
-    offsets = _bucket_offsets(h, strata).drop("_n")
+    offsets = _running(h.groupBy(*strata, BUCKET).agg(F.count("*").alias("_n")), strata).drop("_n")
     inside = Window.partitionBy(*strata, BUCKET).orderBy(HASH, *ids)
     return (
         _null_safe_join(h, offsets, [*strata, BUCKET])
@@ -59,24 +58,46 @@ def hash_rank(df: DataFrame, seed, ids, strata=(), name: str = "rank") -> DataFr
     )
 
 
+def with_cut(df: DataFrame, n, seed, ids, strata=()) -> DataFrame:
+    """``df`` with its hash, bucket, and per stratum the bucket in which the quota is filled (``_last``) and how
+    many rows of that bucket still fit (``_take``). Rows of earlier buckets are all within the quota; both
+    columns are null where the quota is null or not positive.
+
+    Buckets are counted in one pass. The cuts, one row per stratum, are written, so Spark knows their size: it
+    broadcasts them when they are small, and no row is shuffled for them.
+    """
+    strata, ids = list(strata), [ids] if isinstance(ids, str) else list(ids)
+    h = _hashed(df, seed, ids).withColumn("_quota", (n if isinstance(n, Column) else F.lit(n)).cast("long"))
+    counts = h.groupBy(*strata, BUCKET).agg(F.count("*").alias("_n"), F.max("_quota").alias("_quota"))
+    open_ = F.col("_before") < F.col("_quota")
+    cuts = (
+        _running(counts, strata)
+        .groupBy(*strata)
+        .agg(F.max(F.when(open_, F.col(BUCKET))).alias("_last"), (F.max("_quota") - F.max(F.when(open_, F.col("_before")))).alias("_take"))
+    )
+    cuts, h = materialise(cuts, "cuts"), h.drop("_quota")
+    if strata:
+        return _null_safe_join(h, cuts, strata)
+    return h.withColumns({c: cuts.select(c).scalar() for c in ("_last", "_take")})
+
+
+def of_last_bucket(cut: DataFrame, ids, strata=()) -> DataFrame:
+    """The rows of a table made by ``with_cut`` that fill up the quota out of its last bucket."""
+    ids = [ids] if isinstance(ids, str) else list(ids)
+    inside = Window.partitionBy(*strata, BUCKET).orderBy(HASH, *ids)
+    ranked = cut.filter(F.col(BUCKET) == F.col("_last")).withColumn("_rn", F.row_number().over(inside))
+    return ranked.filter(F.col("_rn") <= F.col("_take")).drop("_rn")
+
+
 def sample_exact(df: DataFrame, n, seed, ids, strata=()) -> DataFrame:
     """Exactly ``n`` distinct rows (all when fewer) chosen by hash order, per stratum.
 
     ``n`` is a number or a column of ``df`` that is constant within a stratum. Rows in buckets that
     lie wholly under the quota are kept by a filter; only the one bucket the quota falls into is ranked.
     """
-    strata, ids = list(strata), [ids] if isinstance(ids, str) else list(ids)
-    h = _hashed(df, seed, ids).withColumn("_quota", (n if isinstance(n, Column) else F.lit(n)).cast("long"))
-    j = _null_safe_join(h, _bucket_offsets(h, strata), [*strata, BUCKET])
-    helper = [HASH, BUCKET, "_quota", "_n", "_before", "_rn"]
-    sure = j.filter(F.col("_before") + F.col("_n") <= F.col("_quota"))
-    inside = Window.partitionBy(*strata, BUCKET).orderBy(HASH, *ids)
-    edge = (
-        j.filter((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") > F.col("_quota")))
-        .withColumn("_rn", F.row_number().over(inside))
-        .filter(F.col("_before") + F.col("_rn") <= F.col("_quota"))
-    )
-    return sure.drop(*helper).unionByName(edge.drop(*helper))
+    cut = with_cut(df, n, seed, ids, strata)
+    sure = cut.filter(F.col(BUCKET) < F.col("_last"))
+    return sure.unionByName(of_last_bucket(cut, ids, strata)).drop(*CUT)
 
 
 def shuffle(df: DataFrame, seed, ids) -> DataFrame:
