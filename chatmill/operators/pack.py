@@ -2,7 +2,7 @@
 
 Packing decides on lengths only. Next-fit is sequential, yet its result does not have to be computed by one
 task: rows are cut in blocks by position, every block summarises where each possible carry-over would leave
-it (a few numbers), the summaries are chained, and the blocks then number their packs independently. The
+it (a few numbers), the summaries are chained in a tree, and the blocks then number their packs independently. The
 result is the one a single pass over the whole table gives, whatever the number of blocks.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,9 +24,11 @@ from chatmill.functions import text as X
 from chatmill.functions.arrays import computed_once, indices, last, let
 from chatmill.operators.ordering import dense_index, prefix_sum
 from chatmill.operators.templates import NO_FUNCTIONS, TEMPLATES, Template, head_text, message_content
+from chatmill.session import materialise
 
 IGNORE = -100
 MAX_VOCABULARY = 2_000_000
+FAN = 64  # block summaries that one task of next-fit holds
 
 # -- token counts and vocabulary ------------------------------------------------------------------
 
@@ -223,6 +227,10 @@ class _Sums:
     def absorb(self, carry, total):
         return carry + total
 
+    def after(self, total, prefix):
+        """Prefixes of rows that follow rows of the given state."""
+        return total + prefix
+
 
 class _MaxTimesCount:
     """Pack fits while (longest row) x (rows) stays within the budget."""
@@ -266,6 +274,9 @@ class _MaxTimesCount:
     def absorb(self, carry, total):
         return np.array([max(carry[0], total[0]), carry[1] + total[1]], dtype=np.int64)
 
+    def after(self, total, prefix):
+        return np.maximum(total[0], prefix)
+
 
 def _summary(a: np.ndarray, rule) -> dict:
     """For every row a carried pack could end at: packs started from there on, and the open pack's state."""
@@ -287,35 +298,97 @@ def _summary(a: np.ndarray, rule) -> dict:
     }
 
 
-def _chain(blocks: pd.DataFrame, rule) -> pd.DataFrame:
-    """First new pack row and number of packs opened before, per block in order."""
-    out, carry, packs = [], None, 0
-    for b in blocks.sort_values("block").itertuples():
-        rows = len(b.count)
-        prefix = np.asarray(b.prefix, np.int64).reshape(rows, -1)
-        left = np.asarray(b.left, np.int64).reshape(rows, -1)
-        first = 0 if carry is None else rule.first_start(carry, prefix, b.m)
-        out.append((b.block, first, packs))
-        if first < b.m:
-            carry, packs = left[first], packs + int(b.count[first])
-        else:
-            carry = rule.absorb(carry, np.asarray(b.total, np.int64))
-    return pd.DataFrame(out, columns=["block", "first", "packs"])
+@dataclass
+class _Node:
+    """What a run of rows does to any open pack that is carried in."""
+
+    prefix: np.ndarray
+    count: np.ndarray
+    left: np.ndarray
+    total: np.ndarray
+    m: int
+
+    @classmethod
+    def read(cls, row) -> _Node:
+        rows, total = len(row.count), np.asarray(row.total, np.int64)
+        shaped = [np.asarray(x, np.int64).reshape(rows, -1) for x in (row.prefix, row.left)]
+        return cls(shaped[0], np.asarray(row.count, np.int64), shaped[1], total, int(row.m))
+
+    def fields(self) -> dict:
+        return {"prefix": self.prefix.ravel(), "count": self.count, "left": self.left.ravel(), "total": self.total, "m": self.m}
+
+    def follow(self, carry, rule) -> tuple[int, int, np.ndarray]:
+        """(first new pack row, packs opened, state of the pack left open)."""
+        first = 0 if carry is None else rule.first_start(carry, self.prefix, self.m)
+        return (first, int(self.count[first]), self.left[first]) if first < self.m else (first, 0, rule.absorb(carry, self.total))
+
+    def then(self, other: _Node, rule) -> _Node:
+        """This run and the next one as one run."""
+        states, which = np.unique(self.left, axis=0, return_inverse=True)
+        ends = [other.follow(s, rule) for s in states]
+        which = which.reshape(-1)
+        prefix = self.prefix
+        count = self.count + np.array([e[1] for e in ends])[which]
+        left = np.stack([e[2] for e in ends])[which]
+        if len(self.count) == self.m:  # a carry may take in the whole run and end in the next
+            prefix = np.concatenate([prefix, rule.after(self.total, other.prefix)])
+            count, left = np.concatenate([count, other.count]), np.concatenate([left, other.left])
+        m = self.m + other.m
+        rows = min(rule.first_start(np.zeros_like(self.total), prefix, m) + 1, len(count))
+        return _Node(prefix[:rows], count[:rows], left[:rows], rule.absorb(self.total, other.total), m)
+
+
+def _compose(nodes: pd.DataFrame, rule, fan: int) -> pd.DataFrame:
+    """One node for a run of consecutive nodes."""
+    ordered = [_Node.read(r) for r in nodes.sort_values("node").itertuples()]
+    return pd.DataFrame([{"node": nodes["node"].iloc[0] // fan, **reduce(lambda a, b: a.then(b, rule), ordered).fields()}])
+
+
+def _chain(nodes: pd.DataFrame, rule, carry=None, packs: int = 0) -> pd.DataFrame:
+    """Per node in order: the carry that enters it, its first new pack row, the number of packs opened before."""
+    out = []
+    for r in nodes.sort_values("node").itertuples():
+        first, opened, left = _Node.read(r).follow(carry, rule)
+        out.append((r.node, carry, first, packs))
+        carry, packs = left, packs + opened
+    return pd.DataFrame(out, columns=["node", "carry", "first", "packs"])
+
+
+NODE = "node long, prefix array<long>, count array<long>, left array<long>, total array<long>, m long"
+ENTRY = "node long, carry array<long>, first long, packs long"
+
+
+def _chained(blocks: DataFrame, n: int, rule) -> DataFrame:
+    """``_chain`` over ``n`` blocks without a task that holds more than ``FAN`` of them: runs of blocks are composed to
+    nodes of the next level until one run is left, then the carries go down again, level by level."""
+
+    def descend(entered: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+        carry, packs = entered["carry"].iloc[0], int(entered["packs"].iloc[0])
+        return _chain(children, rule, None if carry is None else np.asarray(carry, np.int64), packs)
+
+    fan = FAN  # a value that goes to the tasks with the function
+    run, levels = F.floor(F.col("node") / fan), [blocks]
+    while n > fan:  # a level is used on the way up and on the way down
+        levels[-1] = materialise(levels[-1], "packing")
+        levels.append(levels[-1].groupBy(run).applyInPandas(lambda pdf: _compose(pdf, rule, fan), NODE))
+        n = -(-n // fan)
+    entered = levels.pop().groupBy(run).applyInPandas(lambda pdf: _chain(pdf, rule), ENTRY)
+    for level in reversed(levels):
+        entered = entered.groupBy("node").cogroup(level.groupBy(run)).applyInPandas(descend, ENTRY)
+    return entered
 
 
 def _next_fit(df: DataFrame, index: str, lengths: list[str], rule, block_rows: int, name: str) -> DataFrame:
     """(index, pack): global next-fit over rows in index order; ``index`` must be dense from 0."""
-    rows = df.select(index, *[F.col(c).cast("long").alias(c) for c in lengths]).withColumn("block", F.floor(F.col(index) / block_rows))
+    rows = df.select(index, *[F.col(c).cast("long").alias(c) for c in lengths]).withColumn("node", F.floor(F.col(index) / block_rows))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf.sort_values(index)[lengths].to_numpy(np.int64)
-        return pd.DataFrame([{"block": pdf["block"].iloc[0], **_summary(a, rule)}])
+        return pd.DataFrame([{"node": pdf["node"].iloc[0], **_summary(a, rule)}])
 
-    summaries = rows.groupBy("block").applyInPandas(
-        summarise, "block long, prefix array<long>, count array<long>, left array<long>, total array<long>, m long"
-    )
-    # one short row per block: rows / block_rows of them
-    chained = summaries.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda pdf: _chain(pdf, rule), "block long, first long, packs long")
+    last_block = rows.agg(F.max("node")).first()[0]
+    summaries = rows.groupBy("node").applyInPandas(summarise, NODE)
+    chained = _chained(summaries, (last_block or 0) + 1, rule).select("node", "first", "packs")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
@@ -326,7 +399,7 @@ def _next_fit(df: DataFrame, index: str, lengths: list[str], rule, block_rows: i
             i = int(nxt[i])
         return pd.DataFrame({index: pdf[index].to_numpy(), name: pdf["packs"].iloc[0] - 1 + np.cumsum(opened)})
 
-    return rows.join(chained, "block").groupBy("block").applyInPandas(assign, f"{index} long, {name} long")
+    return rows.join(chained, "node").groupBy("node").applyInPandas(assign, f"{index} long, {name} long")
 
 
 def pack_next_fit(df: DataFrame, index: str, length: str, pack_length: int, min_batches: int = 1, total: int | None = None, block_rows: int = 250_000) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -35,7 +36,16 @@ def blocks(rule, rows, size):
 
     a = np.asarray(rows, np.int64).reshape(len(rows), -1)
     parts = [a[i : i + size] for i in range(0, len(a), size)]
-    chain = K._chain(pd.DataFrame([{"block": i, **K._summary(p, rule)} for i, p in enumerate(parts)]), rule)
+    nodes = pd.DataFrame([{"node": i, **K._summary(p, rule)} for i, p in enumerate(parts)])
+    chain = K._chain(nodes, rule)
+    # runs of composed blocks take a carry where the single blocks take it
+    for lo in range(0, len(parts), 5):
+        run = [K._Node.read(r) for r in nodes.iloc[lo : lo + 5].itertuples()]
+        one, carry, packs = reduce(lambda a, b: a.then(b, rule), run), chain["carry"].iloc[lo], chain["packs"].iloc[lo]
+        _, opened, left = one.follow(carry, rule)
+        if lo + 5 < len(parts):
+            assert packs + opened == chain["packs"].iloc[lo + 5] and (left == chain["carry"].iloc[lo + 5]).all()
+    chain = chain[["node", "first", "packs"]]
     out = []
     for p, (_, first, packs) in zip(parts, chain.itertuples(index=False)):
         nxt, opened, i = rule.next_starts(p), np.zeros(len(p), np.int64), first
@@ -59,12 +69,13 @@ def test_blocks_equal_one_pass(seed):
         assert blocks(K._MaxTimesCount(limit * 2), short, size) == max_times_count(short, limit * 2)
 
 
-def test_pack_on_spark_does_not_depend_on_blocks(spark):
+def test_pack_on_spark_does_not_depend_on_blocks(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, rng.randint(1, 300)) for i in range(500)]
     df = spark.createDataFrame(rows, "index long, n long").repartition(7)
     want = next_fit([(n,) for _, n in rows], [512])
-    for size in (37, 1000):
+    monkeypatch.setattr(K, "FAN", 3)  # several levels of composed blocks
+    for size in (1, 37, 1000):
         got = [r["pack"] for r in K.pack_next_fit(df, "index", "n", 512, block_rows=size).orderBy("index").collect()]
         assert got == want
 
