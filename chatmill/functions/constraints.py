@@ -98,10 +98,6 @@ def only_ends_blank(pieces: Column, check: Callable[[Column], Column]) -> Column
     return let(pieces, body)
 
 
-def is_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
-
-
 def bare_word(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)[^\w\s]", "")
 
@@ -195,7 +191,7 @@ def _(t, a):
 @rule("detectable_format:json_format")
 def _(t, a):
     body = F.regexp_replace(F.regexp_replace(X.strip(t), r"\A```(?:json|Json|JSON)?", ""), r"```\z", "")
-    return is_json(X.strip(body))
+    return X.is_json(X.strip(body))
 
 
 @rule("detectable_format:title")
@@ -514,7 +510,7 @@ def _(t, a):
 
 @rule("validate_json_format")
 def _(t, a):
-    return is_json(t)
+    return X.is_json(t)
 
 
 @rule("validate_repeat_prompt")

@@ -126,3 +126,10 @@ def salvage_json(c: Column) -> Column:
     """Outermost braces of a model response, code fences removed; null when there are none."""
     body = F.regexp_replace(c, r"```(?:json)?", "")
     return F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def is_json(c: Column) -> Column:
+    """Whether the whole text is one JSON value. The parser stops after the first value, so the text is set in an array
+    and in an object: what closes one of them early is an error in the other."""
+    inside = lambda before, after: F.try_parse_json(F.concat(F.lit(before), c, F.lit(after))).isNotNull()
+    return inside("[", "]") & inside('{"v":', "}")

@@ -169,7 +169,7 @@ def json_score(c: Column) -> Column:
     body = X.strip(X.replace_all(body, [("\r\n", "\n"), ("\n", "\\n")]))
     parsed = F.coalesce(F.get_json_object(body, "$.SCORE").try_cast("double"), F.lit(0.0))
     found = F.regexp_extract(body, r'"SCORE"\s*:\s*"?([0-9]+(?:\.[0-9]+)?)"?', 1).try_cast("double")
-    return F.when(K.is_json(body), parsed).otherwise(F.coalesce(found, F.lit(0.0)))
+    return F.when(X.is_json(body), parsed).otherwise(F.coalesce(found, F.lit(0.0)))
 
 
 def json_score_of_ten(c: Column) -> Column:

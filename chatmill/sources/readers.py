@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatmill import schema as SC
+from chatmill.functions import text as X
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
@@ -34,7 +35,7 @@ def parse_batch_results(lines: DataFrame, column: str = "value") -> DataFrame:
     completion_tokens). Blank and corrupt lines and responses stopped by a content filter are left out;
     the time-stamp prefix of ids is removed."""
     j = lines.filter(F.col(column).rlike(r"\S")).select(
-        F.from_json(column, SC.BATCH_RESULT, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json(column).isNotNull().alias("ok")
+        F.from_json(column, SC.BATCH_RESULT, {"mode": "PERMISSIVE"}).alias("r"), X.is_json(F.col(column)).alias("ok")
     )
     choice = F.get(F.col("r.response.body.choices"), F.lit(0))
     out = j.filter(F.col("ok") & F.col("r.custom_id").isNotNull() & choice.isNotNull()).select(

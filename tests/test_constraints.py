@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from chatmill.functions import constraints as K
+from chatmill.functions import text as X
 from chatmill.functions import verifiers as V
 
 # (rule, arguments, text, met)
@@ -171,3 +172,10 @@ def test_constraint_score(spark):
     df = spark.createDataFrame([(t, label, e) for t, e in rows], "t string, l string, e double")
     got = df.select("e", V.constraints_score(F.col("t"), F.col("l"), ["punctuation:no_comma", "keywords:existence"]).alias("s")).collect()
     assert all(r["e"] == r["s"] for r in got)
+
+
+def test_whole_text_is_json(spark):
+    good = ["{}", '{"a": [1, 2]}', "[1]", "3", '"x"', " null ", '{"a": {"b": "}]"}}']
+    bad = ["", "1 2", "[1] [2]", "1] [2", "1, 2", '1, "b": 2', '1} {"v": 2', '{"a": 1} x', "{", "text", "]", "[1]]"]
+    df = spark.createDataFrame([(t, t in good) for t in good + bad], "t string, want boolean")
+    assert df.filter(X.is_json(F.col("t")) != F.col("want")).collect() == []
