@@ -1,9 +1,9 @@
 """Decontamination: exact phrases, n-gram overlap and vector similarity against evaluation sets.
 
-The evaluation side is small next to the training side, but its size is checked, not assumed: its n-grams
-are counted and joined by broadcast, whole or in slices, so training n-grams are not shuffled and a frequent
-n-gram cannot overload a task; only a very large evaluation side is shuffled. Training messages that match the same set of n-grams are folded into one
-signature before items are scored, so copies and shared boilerplate cost one row.
+The evaluation side is small next to the training side, but its size is not assumed: its n-grams are written, and
+Spark broadcasts them if they are few. If not, only training n-grams that pass a broadcast set of fixed size are
+shuffled. Training messages that match the same set of n-grams are folded into one signature before items are scored,
+so copies and shared boilerplate cost one row.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from chatmill.operators.ordering import join_stats
 from chatmill.session import materialise
 
 GRAM = ["g1", "g2"]  # two independent 64-bit hashes identify an n-gram
-BROADCAST_GRAMS = 2_000_000
-MAX_SLICES = 8
+PLACES = 1 << 21  # of the set that thins grams before a join: some 50 MB when full
 TILE = 4_000_000  # scores of vectors held at once, 32 MB
 BROADCAST_BYTES = 256 << 20
 
@@ -62,20 +61,20 @@ def _grams(tokens: Column, sizes: int | list[int]) -> Column:
     return let(F.transform(tokens, lambda t: F.xxhash64(t)), build)
 
 
-def _join_grams(big: DataFrame, small: DataFrame, limit: int) -> DataFrame:
-    """Inner join on the gram. ``small`` is counted: up to ``limit`` rows are broadcast, up to MAX_SLICES
-    times as many are broadcast slice by slice, and beyond that both sides are shuffled and adaptive
-    execution splits the partitions of frequent grams."""
-    n = max(1, -(-small.count() // limit))
-    if n == 1:
-        return big.join(F.broadcast(small), GRAM)
-    if n > MAX_SLICES:
-        return big.join(small, GRAM)
-    parts = [big.join(F.broadcast(small.filter(F.pmod("g1", F.lit(n)) == i)), GRAM) for i in range(n)]
-    return reduce(DataFrame.unionByName, parts)
+def _join_grams(big: DataFrame, small: DataFrame) -> DataFrame:
+    """Inner join on the gram. ``small`` is written, so Spark knows its size and broadcasts it when that is small.
+
+    Before that ``big`` is thinned by the set of ``small``'s hashes modulo ``PLACES``, which has at most that many rows
+    whatever the size of ``small``; so a ``small`` too large to broadcast moves the few grams that may match, not the
+    grams of all texts.
+    """
+    small = materialise(small, "grams")
+    places = F.broadcast(small.select(F.pmod("g1", F.lit(PLACES)).alias("_place")).distinct())
+    thinned = big.join(places, F.pmod("g1", F.lit(PLACES)) == F.col("_place"), "left_semi")
+    return thinned.join(small, GRAM)
 
 
-def phrase_matches(docs: DataFrame, evals: DataFrame, ids: str, item: str, fields: list[str], shingle: int = 8, limit: int = BROADCAST_GRAMS) -> DataFrame:
+def phrase_matches(docs: DataFrame, evals: DataFrame, ids: str, item: str, fields: list[str], shingle: int = 8) -> DataFrame:
     """(ids, msg, item) for every message that contains all fields of the item as token phrases.
 
     A phrase of L tokens is in a message exactly when its L-k+1 shingles match on one diagonal, that is
@@ -93,7 +92,7 @@ def phrase_matches(docs: DataFrame, evals: DataFrame, ids: str, item: str, field
     )
     # one pass over the messages for all sizes: a hash pair belongs to runs of one length
     grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), sizes)).alias("g")).select(ids, "msg", "g.p", "g.g1", "g.g2")
-    hits = _join_grams(grams, postings, limit)
+    hits = _join_grams(grams, postings)
     diagonals = hits.groupBy(ids, "msg", "item", "field", (F.col("p") - F.col("q")).alias("d")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
     found = diagonals.filter("n = need").select(ids, "msg", "item", "field")
     return (
@@ -130,7 +129,7 @@ class NgramOverlap:
     ``train_scores``: best score over items, for training rows that share an n-gram.
     """
 
-    def __init__(self, docs: DataFrame, evals: DataFrame, ids: str, item: str, fields: list[str], n: int = 8, limit: int = BROADCAST_GRAMS):
+    def __init__(self, docs: DataFrame, evals: DataFrame, ids: str, item: str, fields: list[str], n: int = 8):
         self.ids = ids
         self.fields = eval_fields(evals, item, fields).withColumn("len", F.size("tokens"))
         # an n-gram repeated inside a field stands for its last position only
@@ -142,7 +141,7 @@ class NgramOverlap:
         )
         vocabulary = postings.select(*GRAM).distinct()
         grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), n)).alias("g")).select(ids, "msg", "g.g1", "g.g2")
-        shared = _join_grams(grams, vocabulary, limit)
+        shared = _join_grams(grams, vocabulary)
         # written once: the only pass over the training texts, and only messages that share something remain
         self.units = materialise(
             shared.groupBy(ids, "msg")
@@ -156,7 +155,7 @@ class NgramOverlap:
             .select("sig", "g.*")
         )
         per_field = (
-            _join_grams(per_field, postings, limit)
+            _join_grams(per_field, postings)
             .groupBy("sig", "item", "field", "len")
             .agg(F.collect_set("p").alias("at"))
         )

@@ -32,8 +32,13 @@ def has(tokens, phrase):
 def test_exact_matches_equal_brute_force(spark):
     docs, evals, d_rows, e_rows = tables(spark)
     want = {(d, i) for d, _, t in d_rows for i, q, a in e_rows if q is not None and has(toks(t), toks(q)) and has(toks(t), toks(a))}
-    for limit in (10_000, 20, 3):  # one broadcast, a few slices, shuffle
-        got = {(r["original_id"], r["item"]) for r in D.phrase_matches(docs, evals, "original_id", "item_id", ["q", "a"], limit=limit).collect()}
+    threshold, given = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for size in (given, "-1"):  # broadcast postings, shuffled ones
+        spark.conf.set(threshold, size)
+        try:
+            got = {(r["original_id"], r["item"]) for r in D.phrase_matches(docs, evals, "original_id", "item_id", ["q", "a"]).collect()}
+        finally:
+            spark.conf.set(threshold, given)
         assert got == want and len(want) >= 40
     scores = {r["item"]: r["score"] for r in D.exact_item_scores(D.phrase_matches(docs, evals, "original_id", "item_id", ["q"]), evals, "item_id", ["q"]).collect()}
     assert 99 not in scores and set(scores.values()) <= {0.0, 1.0}
@@ -57,7 +62,7 @@ def test_ngram_scores_equal_brute_force(spark):
                 total += len(covered) / len(e)
             if total:
                 pair[d, i] = total / 2
-    o = D.NgramOverlap(docs, evals, "original_id", "item_id", ["q", "a"], n, limit=60)
+    o = D.NgramOverlap(docs, evals, "original_id", "item_id", ["q", "a"], n)
     items = {r["item"]: r["score"] for r in o.item_scores().collect()}
     train = {r["original_id"]: r["score"] for r in o.train_scores().collect()}
     for i, q, _ in e_rows:
