@@ -1,8 +1,11 @@
 """Substring removal by sliding sentence spans.
 
-A sentence ends at a line break, or at white space after ".", "!" or "?". Every run of ``run`` consecutive sentences of
-at least ``least_words`` words is hashed (ASCII case and white space do not count); equal runs are joined over all
-documents, and all but the first (smallest doc_id, then smallest place) mark their sentences for removal.
+A sentence ends at a line break, or at white space after ".", "!" or "?". These runs of consecutive sentences are hashed
+(ASCII case and white space do not count): from every sentence on, and up to every sentence, the shortest run of at least
+``run`` sentences and ``least_words`` words; every sentence of ``long_words`` words; and a text that is shorter than any
+run, as a whole. Equal runs are joined over all documents, and all but the first (smallest doc_id, then smallest place)
+mark their sentences for removal. So each sentence of a repeated passage that is long enough is inside a repeated run, and
+a copy of a document loses all. The first occurrence of a sentence always stays.
 
 Null and empty texts have no sentence. Rows that share doc_id and text are one document: a run that comes first there
 stays in each of them; other rows of one doc_id are ordered by a hash of their text. Null ids come last and are one id. Extra columns are kept in ``remove``;
@@ -44,51 +47,55 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[heads], own, lens, np.searchsorted(starts[heads], offsets)
 
 
-def runs(own: np.ndarray, lens: np.ndarray, rows: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, hash) of the runs inside rows."""
-    n = len(own) - run + 1
-    if n <= 0:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64)
-    row = np.searchsorted(rows, np.arange(n), "right") - 1
-    fits = np.arange(n) + run <= rows[row + 1]
-    total, hashed = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64)
+def runs(own: np.ndarray, lens: np.ndarray, rows: np.ndarray, run: int, least_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, sentences, hash) of the runs inside rows; no run has more than max(run, least_words) sentences."""
+    n = len(own)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    at, total = np.arange(n), np.concatenate([[0], np.cumsum(lens)])
+    stop = np.maximum(at + run, np.searchsorted(total, total[:-1] + least_words))
+    start = np.minimum(at + 1 - run, np.searchsorted(total, total[1:] - least_words, "right") - 1)
+    onward, back, alone = stop <= rows[row + 1], start >= rows[row], lens >= long_words
+    short = np.flatnonzero((np.diff(rows) > 0) & ((np.diff(rows) < run) | (total[rows[1:]] - total[rows[:-1]] < least_words)))
+    starts = np.concatenate([at[onward], start[back], at[alone], rows[short]])
+    stops = np.concatenate([stop[onward], at[back] + 1, at[alone] + 1, rows[short + 1]])
+    starts, sizes = np.divmod(np.unique(starts * (n + 1) + stops - starts), n + 1)
+    hashed = np.zeros(len(starts), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(run):
-            total += lens[i : i + n]
-            hashed = mix64(hashed * MULTIPLIER + own[i : i + n])
-    keep = np.flatnonzero(fits & (total >= least_words))
-    return row[keep], keep - rows[row[keep]], hashed[keep]
+        for i in range(int(sizes.max(initial=0))):
+            more = np.flatnonzero(sizes > i)
+            hashed[more] = mix64(hashed[more] * MULTIPLIER + own[starts[more] + i])
+    return row[starts], starts - rows[row[starts]], sizes, hashed
 
 
-def spans(docs: DataFrame, run: int, least_words: int, text: str = "text") -> DataFrame:
-    """(span, id, version, place) of every run in every document; the version tells texts of one id apart."""
+def spans(docs: DataFrame, run: int, least_words: int, long_words: int, text: str = "text") -> DataFrame:
+    """(span, id, version, place) of every run in every document; the version tells texts of one id apart, the place holds
+    the first sentence's number in its upper half and the number of sentences in its lower half."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, versions = b.column(0).to_numpy(), b.column(2).to_numpy()
             for lo, _, data, offsets in blocks(b.column(1)):
                 _, own, lens, rows = sentences(data, offsets)
-                row, place, hashed = runs(own, lens, rows, run, least_words)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[lo + row]), pa.array(versions[lo + row]), pa.array(place.astype(np.int32))], names=["span", "id", "version", "place"])
+                row, place, size, hashed = runs(own, lens, rows, run, least_words, long_words)
+                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[lo + row]), pa.array(versions[lo + row]), pa.array(place << 32 | size)], names=["span", "id", "version", "place"])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
-    return docs.select(key, text, F.hash(text).alias("version")).mapInArrow(emit, "span long, id long, version int, place int")
+    return docs.select(key, text, F.hash(text).alias("version")).mapInArrow(emit, "span long, id long, version int, place long")
 
 
-def repeated_places(docs: DataFrame, run: int, least_words: int, text: str = "text") -> DataFrame:
+def repeated_places(docs: DataFrame, run: int, least_words: int, long_words: int, text: str = "text") -> DataFrame:
     """(id, version, places): sorted places of the non-first runs of each document that has any."""
-    every = spans(docs, run, least_words, text)
+    every = spans(docs, run, least_words, long_words, text)
     first = every.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "place")).alias("first")).filter("n > 1")
     shared = materialise(first.select("span", "first"), "spans").withColumnRenamed("span", "_span")
     later = every.join(shared, F.col("span") == F.col("_span")).filter(F.struct("id", "version", "place") != F.col("first"))
     return later.groupBy("id", "version").agg(F.sort_array(F.collect_set("place")).alias("places"))  # a document's own sentences
 
 
-def remove(docs: DataFrame, run: int = 2, least_words: int = 8, text: str = "text", names: tuple[str, ...] = ("n_sentences", "n_removed", "n_removed_words", "kept_text")) -> DataFrame:
+def remove(docs: DataFrame, run: int = 2, least_words: int = 8, text: str = "text", names: tuple[str, ...] = ("n_sentences", "n_removed", "n_removed_words", "kept_text"), long_words: int = 25) -> DataFrame:
     """``docs`` plus: sentences, those removed, their words, and the text that is left (null stays null)."""
     key, version, other, its, places = fresh(docs, "_key", "_version", "_id", "_its", "_places")
-    marked = repeated_places(docs, run, least_words, text).select(F.col("id").alias(other), F.col("version").alias(its), F.col("places").alias(places))
+    marked = repeated_places(docs, run, least_words, long_words, text).select(F.col("id").alias(other), F.col("version").alias(its), F.col("places").alias(places))
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), version: F.hash(text)})
     joined = keyed.join(marked, (F.col(key) == F.col(other)) & (F.col(version) == F.col(its)), "left").drop(key, other, version, its)
     pair = F.struct(F.col(text).alias("t"), F.col(places).alias("p"))
@@ -102,9 +109,8 @@ def remove(docs: DataFrame, run: int = 2, least_words: int = 8, text: str = "tex
             starts, _, lens, rows = sentences(data, offsets)
             for r in range(hi - lo):
                 a, b = rows[r], rows[r + 1]
-                drop = np.zeros(b - a, dtype=bool)
-                for i in range(run):
-                    drop[np.asarray(marks[lo + r] or [], dtype=np.int64) + i] = True
+                place, size = np.divmod(np.asarray(marks[lo + r] or [], dtype=np.int64), 1 << 32)
+                drop = np.cumsum(np.bincount(place, minlength=b - a + 1) - np.bincount(place + size, minlength=b - a + 1))[:-1] > 0
                 n.append(int(b - a))
                 gone.append(int(drop.sum()))
                 words_gone.append(int(lens[a:b][drop].sum()))

@@ -112,6 +112,43 @@ def test_sentence_spans(spark, docs, empty):
     assert got == {1: "Start.\n" + a + "Own end.", 2: "Other start. Tail."}
 
 
+def brute_spans(texts, run=2, least=8, alone=25):
+    """Sentences of each text and which of them stay, run by run over word lists."""
+    split = [[words_of(x) for x in re.split(r"\n|(?<=[.!?])[\x20\x09-\x0D]+", lower(t)) if words_of(x)] for t in texts]
+    seen, stay = {}, []
+    for d, sents in enumerate(split):
+        every = {(i, j) for i in range(len(sents)) for j in range(i + 1, len(sents) + 1)}
+        enough = lambda i, j: j - i >= run and sum(map(len, sents[i:j])) >= least
+        cuts = {(i, j) for i, j in every if enough(i, j) and (not enough(i, j - 1) or not enough(i + 1, j))}
+        cuts |= {(i, i + 1) for i, s in enumerate(sents) if len(s) >= alone}
+        if sents and not enough(0, len(sents)):
+            cuts.add((0, len(sents)))
+        gone = set()
+        for i, j in sorted(cuts):
+            if seen.setdefault(tuple(map(tuple, sents[i:j])), (d, i)) != (d, i):
+                gone.update(range(i, j))
+        stay.append([i not in gone for i in range(len(sents))])
+    return split, stay
+
+
+def test_sentence_spans_of_any_length(spark):
+    rng = random.Random(3)
+    long = " ".join(f"l{i}" for i in range(40))
+    one, short = " ".join(f"s{i}" for i in range(12)), "Two words. Yes."
+    single = "".join(f"q{i}.\n" for i in range(160))
+    copied = [long, one, "One", short, single, "Only seven words are in here. Now.", "a. b. " * 30, "same line\n" * 9]
+    texts = copied + ["Head.\n" + long + "\nTail.", "x y. " + single + "z.", "Go. " + "".join(f"q{i}. " for i in range(20, 27)) + "End.", "Other. Yes."]
+    texts += [" ".join(f"w{rng.randrange(3)}" + rng.choice([".", "", "", "!"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)] + copied
+    rows = sentence_spans.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    split, stay = brute_spans(texts)
+    for r, sents, left in zip(rows, split, stay, strict=True):
+        assert (r["n_sentences"], r["n_removed"]) == (len(sents), left.count(False)), r
+        assert r["n_removed_words"] == sum(len(s) for s, k in zip(sents, left, strict=True) if not k)
+        assert words_of(lower(r["kept_text"])) == [w for s, k in zip(sents, left, strict=True) if k for w in s]
+    assert all(r["kept_text"] == "" for r in rows[-len(copied) :])
+    assert rows[8]["kept_text"].split() == ["Head.", "Tail."] and rows[9]["kept_text"].split() == ["x", "y.", "z."]
+
+
 def test_decontamination(spark, docs, empty):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     base = hostile()[6][1]
