@@ -30,6 +30,17 @@ DRESS = [
     "the fact.",
     "<<a b>> <<c d>>",
 ]
+# around every document's text in the second of its two rows, by doc_id modulo their number; each keeps the text
+DRESS_WHOLE = [d for d in DRESS[1:] if "{t}" in d] + [
+    '{{"a": "{t}"}}',
+    "Say *{t}* now",
+    "Twice******{t}",
+    "[{i}] [{t}]",
+    "{t} * * * two THREE FOUR",
+    "Now zero {t} or now",
+    "{t} the fact.",
+    "<<{t}>> <<c d>>",
+]
 SAMPLE = '{"a": 7}'
 
 _TOKEN = r"[\p{L}\p{M}\p{N}_]+"
@@ -132,25 +143,41 @@ RULES = [
 ]
 
 
-def _dressed_sql() -> str:
+def _dressed_sql(dress=DRESS) -> str:
     out = []
-    for i, d in enumerate(DRESS):
+    for i, d in enumerate(dress):
         text = S.q(d.replace("{{", "{").replace("}}", "}")).replace("{t}", "' || text || '").replace("{i}", "' || doc_id || '")
         out.append(f"WHEN {i} THEN {text}")
-    return f"SELECT doc_id, CASE doc_id % {len(DRESS)} {' '.join(out)} END AS t FROM documents"
+    return f"SELECT doc_id, CASE doc_id % {len(dress)} {' '.join(out)} END AS t FROM documents"
 
 
-def _dressed():
+def _dressed(dress=DRESS):
     out = None
-    for i, d in enumerate(DRESS):
+    for i, d in enumerate(dress):
         text = F.lit(d.replace("{{", "{").replace("}}", "}"))
         text = F.replace(F.replace(text, F.lit("{i}"), F.col("doc_id").cast("string")), F.lit("{t}"), F.col("text"))
-        at = F.col("doc_id") % len(DRESS) == i
+        at = F.col("doc_id") % len(dress) == i
         out = F.when(at, text) if out is None else out.when(at, text)
     return out
 
 
-_UNITS = f"SELECT doc_id, t, {_sentences('t')} AS sents, {S.words('t')} AS ws, {_tokens('t')} AS toks, regexp_extract_all(lower(t), '{_TOKEN}') AS low_words FROM ({_dressed_sql()}) WHERE t IS NOT NULL"
+def _units(rows: str, more: str = "") -> str:
+    return f"SELECT doc_id, {more}t, {_sentences('t')} AS sents, {S.words('t')} AS ws, {_tokens('t')} AS toks, regexp_extract_all(lower(t), '{_TOKEN}') AS low_words FROM ({rows}) WHERE t IS NOT NULL"
+
+
+_UNITS = _units(_dressed_sql())
+_WHOLE = _units(f"SELECT doc_id, false AS dressed, text AS t FROM documents UNION ALL SELECT doc_id, true AS dressed, t FROM ({_dressed_sql(DRESS_WHOLE)})", "dressed, ")
+
+
+def _judged(d, keys: list[str]):
+    """Per rule and ``keys``: rows, those that meet the rule, and the sum of their numbers."""
+    checks = [
+        F.struct(F.lit(r).alias("rule"), K.check(F.lit(r), F.col("t"), F.from_json(F.lit(json.dumps(a)), K.ARGS), [r]).alias("met")) for r, a, _ in RULES
+    ]
+    flat = d.select(*keys, "doc_id", F.explode(F.array(*checks)).alias("c")).select(*keys, "doc_id", "c.*")
+    return flat.groupBy("rule", *keys).agg(
+        F.count("*").alias("n"), F.count_if("met").alias("n_met"), F.coalesce(F.sum(F.when(F.col("met"), F.col("doc_id"))), F.lit(0).cast("long")).alias("met_ids")
+    )
 
 
 @query(
@@ -161,12 +188,17 @@ _UNITS = f"SELECT doc_id, t, {_sentences('t')} AS sents, {S.words('t')} AS ws, {
 )
 def constraint_rules(spark, sf):
     """2.9.1: the rules that no other query holds, in one pass over the texts; which documents meet a rule shows in the sum of
-    their numbers."""
-    d = documents(spark, sf).select("doc_id", _dressed().alias("t")).filter("t is not null")
-    checks = [
-        F.struct(F.lit(r).alias("rule"), K.check(F.lit(r), F.col("t"), F.from_json(F.lit(json.dumps(a)), K.ARGS), [r]).alias("met")) for r, a, _ in RULES
-    ]
-    flat = d.select("doc_id", F.explode(F.array(*checks)).alias("c")).select("doc_id", "c.*")
-    return flat.groupBy("rule").agg(
-        F.count("*").alias("n"), F.count_if("met").alias("n_met"), F.coalesce(F.sum(F.when(F.col("met"), F.col("doc_id"))), F.lit(0).cast("long")).alias("met_ids")
-    )
+    their numbers. Half of the documents are replaced by fixed strings here; ``constraint_rules_whole`` judges all texts."""
+    return _judged(documents(spark, sf).select("doc_id", _dressed().alias("t")).filter("t is not null"), [])
+
+
+@query(
+    "constraint_rules_whole",
+    f"WITH u AS MATERIALIZED ({_WHOLE}) SELECT rule, dressed, count(*) AS n, count(*) FILTER (WHERE met) AS n_met, coalesce(sum(doc_id) FILTER (WHERE met), 0)::BIGINT AS met_ids FROM ("
+    + " UNION ALL ".join(f"SELECT '{r}' AS rule, dressed, doc_id, coalesce(({sql}), false) AS met FROM u" for r, _, sql in RULES)
+    + ") GROUP BY 1, 2",
+)
+def constraint_rules_whole(spark, sf):
+    """2.9.1: every document's whole text by the same rules, and once more with something around it."""
+    rows = F.array(F.struct(F.lit(False).alias("dressed"), F.col("text").alias("t")), F.struct(F.lit(True).alias("dressed"), _dressed(DRESS_WHOLE).alias("t")))
+    return _judged(documents(spark, sf).select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").filter("t is not null"), ["dressed"])

@@ -179,3 +179,17 @@ def test_whole_text_is_json(spark):
     bad = ["", "1 2", "[1] [2]", "1] [2", "1, 2", '1, "b": 2', '1} {"v": 2', '{"a": 1} x', "{", "text", "]", "[1]]"]
     df = spark.createDataFrame([(t, t in good) for t in good + bad], "t string, want boolean")
     assert df.filter(X.is_json(F.col("t")) != F.col("want")).collect() == []
+
+
+def test_every_document_is_judged_whole(spark, tmp_path):
+    from chatmill.catalog import queries, rules
+
+    assert all("{t}" in d for d in rules.DRESS_WHOLE)
+    n = 2 * len(rules.DRESS) * len(rules.DRESS_WHOLE)
+    texts = [(i, "My answer is yes. So it is, [a] and [b]." if i % 2 else "Nothing of it.") for i in range(n)] + [(n, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["rule"], r["dressed"]): r for r in queries()["constraint_rules_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(r, d) for r, _, _ in rules.RULES for d in (False, True)} and all(r["n"] == n for r in got.values())
+    for rule in ("detectable_format:constrained_response", "detectable_content:number_placeholders"):
+        plain = got[rule, False]
+        assert (plain["n_met"], plain["met_ids"]) == (n // 2, sum(range(1, n, 2))) and got[rule, True]["n_met"] >= n // 2
