@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 Features of a text are hashed words (runs of bytes that are not white space), hashed byte 3- and 4-grams inside them,
-and a marker for each word that repeats the one before it. Each has a learned vector; a text is the average of its features' vectors and a softmax over two classes reads
+and a marker for each word that repeats the one before it in the same text. Each has a learned vector; a text is the average of its features' vectors and a softmax over two classes reads
 it. Vectors and output are trained by numpy stochastic gradient descent on a bounded sample (``max_rows`` labelled
 rows, half of each class, whole texts). Since the average is linear, scoring needs one number per feature.
 
@@ -35,7 +35,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     shift = np.uint32(32 - BUCKET_BITS)
     starts, _, hashes = words(data, NOT_SPACE)
     yield starts, ((hashes >> np.uint64(32)).astype(np.uint32) * np.uint32(2654435761)) >> shift
-    again = starts[1:][hashes[1:] == hashes[:-1]]
+    opens = np.diff(np.searchsorted(offsets, starts, "right")) > 0  # the first word of a row repeats none
+    again = starts[1:][(hashes[1:] == hashes[:-1]) & ~opens]
     yield again, np.full(len(again), REPEAT, dtype=np.uint32)
     inside, wide = NOT_SPACE[data], data.astype(np.uint32)
     run, rolling = inside.copy(), wide * np.uint32(0x85EBCA6B)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,14 @@ def test_classifiers_on_held_out_rows(spark, docs, empty):
     assert quality.score(docs, good, name="p").filter("p between 0 and 1").count() == docs.count()
 
 
+def test_quality_of_a_text_does_not_depend_on_its_neighbours():
+    weights = np.random.default_rng(1).normal(size=1 << quality.BUCKET_BITS)
+    texts = ["spam", "spam", None, "spam", "more spam", "spam spam", "", "spam"]
+    together = quality.SubwordModel(weights, 0.1).score(pa.array(texts))
+    alone = [quality.SubwordModel(weights, 0.1).score(pa.array([t], pa.string()))[0] for t in texts]
+    assert np.allclose(together, alone, rtol=0, atol=1e-12) and together[5] != together[0]
+
+
 def test_maximal_segments_equal_brute_force():
     rng = random.Random(2)
     for _ in range(60):
