@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatmill.llm import binary_codes, decontamination, mixing, near_duplicates, quality, sentence_spans, sharding, suffix_buckets, toxicity, url_reputation
+from chatmill.llm import binary_codes, decontamination, importance, mixing, near_duplicates, quality, sentence_spans, sharding, sqltext, suffix_buckets, toxicity, url_reputation
 from chatmill.llm.common import remainder, table
 from chatmill.llm.registry import query
 from chatmill.llm.url_reputation import Rule
@@ -95,3 +95,10 @@ def op10_decontamination(spark, sf_dir):
     found = decontamination.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     done = decontamination.digest(found, "n_words", "spans", "items")
     return done.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op11_importance", sqltext.IMPORTANCE)
+def op11_importance(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = importance.score(docs, table(spark, sf_dir, "benchmark")).drop("text")  # with single words, features are words
+    return importance.draw(scored, (10, 100), 20, names=("n_features", "n_features", "score", "rank"))
