@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatmill.llm import binary_codes, decontamination, importance, mixing, near_duplicates, quality, sentence_spans, sharding, sqltext, suffix_buckets, toxicity, url_reputation
+from chatmill.llm import binary_codes, decontamination, importance, mixing, near_duplicates, quality, secrets, sentence_spans, sharding, sqltext, suffix_buckets, toxicity, url_reputation
 from chatmill.llm.common import remainder, table
 from chatmill.llm.registry import query
 from chatmill.llm.url_reputation import Rule
@@ -102,3 +102,15 @@ def op11_importance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = importance.score(docs, table(spark, sf_dir, "benchmark")).drop("text")  # with single words, features are words
     return importance.draw(scored, (10, 100), 20, names=("n_features", "n_features", "score", "rank"))
+
+
+@query("op12_secrets", sqltext.secrets(secrets.RULES, [r.kind for r in secrets.BASE]))
+def op12_secrets(spark, sf_dir):
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.of_kinds(F.col("secrets"), [r.kind for r in secrets.BASE])
+    return found.select(
+        "doc_id",
+        *[F.size(secrets.of_kinds(F.col("secrets"), [r.kind])).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )

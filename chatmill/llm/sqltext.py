@@ -29,3 +29,29 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY s
 SELECT doc_id, n_features, weight, score,
        CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
 FROM ranked"""
+
+
+def secrets(rules, base: list[str]) -> str:
+    """Spans from the pieces between matches and the matches: a match starts where all before it ends."""
+    def one(k, r):
+        pattern = r.pattern.replace("'", "''")
+        return f"""SELECT row, {k} AS k, '{r.kind}' AS kind, string_split_regex(text, '{pattern}') AS between, regexp_extract_all(text, '{pattern}') AS found,
+                regexp_extract_all(text, '{pattern}', {r.group}) AS judged, {r.least} AS least FROM docs"""
+
+    every = " UNION ALL ".join(one(k, r) for k, r in enumerate(rules))
+    names = ", ".join(f"'{k}'" for k in base)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({every}),
+placed AS (
+  SELECT row, k, kind, length(found[i]) AS size, least, length(judged[i]) AS n,
+         list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matched)),
+spans AS (
+  SELECT row, {counts},
+         coalesce(string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, k) FILTER (kind IN ({names})), '') AS base,
+         string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, k) AS spans
+  FROM placed WHERE n >= least GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN spans USING (row)"""
