@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatmill.llm import binary_codes, decontamination, importance, mixing, near_duplicates, quality, secrets, sentence_spans, sharding, sqltext, suffix_buckets, toxicity, url_reputation
+from chatmill.llm import alignment, binary_codes, decontamination, importance, mixing, near_duplicates, quality, secrets, sentence_spans, sharding, sqltext, suffix_buckets, toxicity, url_reputation
 from chatmill.llm.common import remainder, table
 from chatmill.llm.registry import query
 from chatmill.llm.url_reputation import Rule
@@ -114,3 +114,9 @@ def op12_secrets(spark, sf_dir):
         F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
         secrets.listed(F.col("secrets")).alias("spans"),
     )
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    done = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", *alignment.NUMBERS)

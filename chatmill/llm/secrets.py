@@ -9,7 +9,7 @@ a third of all texts hold is a list of one block's rows.
 A rule's matches are its expression's leftmost, non-overlapping ones in the whole text; those whose ``group`` is shorter than
 ``least`` are dropped after matching. Spans are code points, end exclusive, ordered by start, then by rule. Null and empty
 texts have no spans; repeated rows and null ids are scanned like others; an empty table gives no rows; extra columns are
-kept. Expressions with an unbounded part after a frequent start take time by the square of a text; the rules here bound it.
+kept, and a column named as the new one makes that ``_secrets``. Expressions with an unbounded part after a frequent start take time by the square of a text; the rules here bound it.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ class Scanner:
 
 def find(docs: DataFrame, rules: Sequence[Rule] = tuple(RULES), text: str = "text", name: str = "secrets") -> DataFrame:
     """``docs`` plus, under ``name``, the spans of all rules: array of (kind, start, end)."""
-    rules, kept = list(rules), []
+    rules, kept, (name,) = list(rules), [], fresh(docs, name)
 
     def per_batch(texts: pa.Array) -> list[pa.Array]:
         if not kept:
