@@ -8,6 +8,7 @@ from chatmill.catalog import sqlparts as S
 from chatmill.catalog.registry import query, table
 from chatmill.operators import decontam as D
 from chatmill.operators import joins as J
+from chatmill.operators.metric_index import MetricIndex
 from chatmill.plans.tables import doc_messages, documents, turns
 
 TOK = f"""t AS (SELECT doc_id, {S.phrase_tokens('text')} AS w FROM documents), e AS (SELECT item_id, {S.phrase_tokens('text')} AS w FROM benchmark)"""
@@ -131,6 +132,30 @@ def decontam_vector_train(spark, sf):
     return D.vector_train_scores(hits).select("vec_id", F.round("score", 6).alias("score"))
 
 
+_MANY = """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM n),
+ s AS (SELECT q.vec_id AS item, t.vec_id, list_dot_product(q.v, t.v) AS score FROM u q, u t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)"""
+
+
+def _many(spark, sf):
+    """Every vector searches all vectors through the metric index, as a query side over any broadcast limit does."""
+    vectors = table(spark, sf, "embeddings")
+    return MetricIndex(vectors).search(vectors.select(F.col("vec_id").alias("item"), "embedding"), 5)
+
+
+@query("decontam_vector_many", _MANY + " SELECT item, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5", cast={"rank": "INTEGER"})
+def decontam_vector_many(spark, sf):
+    """JN3, large against large: the five nearest of all vectors for every vector."""
+    return _many(spark, sf)[0].select("item", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("decontam_vector_reads")
+def decontam_vector_reads(spark, sf):
+    """What the search read for each query: rings of cells, and rows in them."""
+    return _many(spark, sf)[1]
+
+
 # -- other joins ----------------------------------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from chatmill.functions import text as X
 from chatmill.functions.arrays import indices, let
+from chatmill.operators.metric_index import MetricIndex
 from chatmill.operators.ordering import join_stats
 from chatmill.session import materialise
 
@@ -195,14 +196,17 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "v
     """Exact top-k training vectors per query by cosine: (item, train_id, score, rank).
 
     A query side proven to fit ``broadcast_bytes`` goes to every task, which keeps k candidates per
-    query of its own rows. A larger one is cut in blocks, training rows are cut in blocks too, and each
-    pair of blocks is one bounded task. Either way only k candidates per query and task are shuffled.
+    query of its own rows; only those candidates are shuffled. A larger one searches a ``MetricIndex`` of the training
+    vectors, which reads only the cells that may hold one of a query's k nearest.
     ``half_open`` maps cosine c to (1 + c) / 2.
     """
     spark = train.sparkSession
     train_type, item_type = train.schema[train_id].dataType, queries.schema[item].dataType
     schema = f"{item} {item_type.simpleString()}, {train_id} {train_type.simpleString()}, score double"
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")).first()
+    if size["n"] * size["d"] * 8 > broadcast_bytes:
+        ranked = MetricIndex(train, train_id, vector, block_rows).search(queries, k, item, vector)[0]
+        return ranked.withColumn("score", (1 + F.col("score")) / 2) if half_open else ranked
 
     def candidates(q_ids, q, t_ids, t):
         rows = max(1, TILE // max(1, len(t)))  # queries whose scores are held at once
@@ -223,34 +227,20 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "v
         both = pd.concat(frames, ignore_index=True)
         return both.sort_values([item, "score", train_id], ascending=[True, False, True], kind="stable").groupby(item, sort=False).head(k)
 
-    if size["n"] * size["d"] * 8 <= broadcast_bytes:
-        pdf = queries.select(item, vector).toPandas()  # size checked above
-        shared = spark.sparkContext.broadcast((pdf[item].to_numpy(), _unit(np.stack(pdf[vector])) if len(pdf) else np.zeros((0, 1))))
-
-        def scan(batches):
-            q_ids, q = shared.value
-            kept = None
-            for b in batches:
-                if len(b) and len(q_ids):
-                    new = candidates(q_ids, q, b[train_id].to_numpy(), _unit(np.stack(b[vector])))
-                    kept = new if kept is None else merge([kept, new])
-            if kept is not None:
-                yield kept
-
-        found = train.select(train_id, vector).mapInPandas(scan, schema)
-    else:
-        q_blocks = -(-size["n"] // block_rows)
-        t_blocks = max(1, -(-train.count() // block_rows))
-        t = train.select(train_id, vector).withColumn("tb", F.pmod(F.xxhash64(train_id), F.lit(t_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        q = queries.select(item, vector).withColumn("qb", F.pmod(F.xxhash64(item), F.lit(q_blocks)).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))))
-
-        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({item: [], train_id: [], "score": []})
-            return candidates(right[item].to_numpy(), _unit(np.stack(right[vector])), left[train_id].to_numpy(), _unit(np.stack(left[vector])))
-
-        found = t.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb")).applyInPandas(pair, schema)
+    pdf = queries.select(item, vector).toPandas()  # size checked above
+    shared = spark.sparkContext.broadcast((pdf[item].to_numpy(), _unit(np.stack(pdf[vector])) if len(pdf) else np.zeros((0, 1))))
 
+    def scan(batches):
+        q_ids, q = shared.value
+        kept = None
+        for b in batches:
+            if len(b) and len(q_ids):
+                new = candidates(q_ids, q, b[train_id].to_numpy(), _unit(np.stack(b[vector])))
+                kept = new if kept is None else merge([kept, new])
+        if kept is not None:
+            yield kept
+
+    found = train.select(train_id, vector).mapInPandas(scan, schema)
     best = Window.partitionBy(item).orderBy(F.col("score").desc(), train_id)
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.withColumn("score", (1 + F.col("score")) / 2) if half_open else ranked
