@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatmill.catalog import sqlparts as S
 from chatmill.catalog.registry import query, table
+from chatmill.functions import text as X
 from chatmill.operators import decontam as D
 from chatmill.operators import joins as J
 from chatmill.operators.metric_index import MetricIndex
@@ -45,6 +46,18 @@ def decontam_exact_two_fields(spark, sf):
     return D.phrase_matches(_docs(spark, sf), bench, "original_id", "item_id", ["a", "b"]).select("original_id", "item")
 
 
+@query(
+    "decontam_exact_tokens",
+    f"""WITH t AS (SELECT doc_id, {S.phrase_tokens('text')} AS w FROM documents), e AS (SELECT item_id, {S.phrase_tokens('text')} AS w FROM benchmark)
+ SELECT doc_id AS original_id, item_id AS item FROM t JOIN e ON len(e.w) > 0 AND list_contains(t.w, e.w[1]) AND list_contains(t.w, e.w[-1])""",
+)
+def decontam_exact_tokens(spark, sf):
+    """JN1 with fields of one token each, some of them in a large share of all messages: the first and the last word of an item."""
+    w = X.phrase_tokens(F.col("text"))
+    bench = table(spark, sf, "benchmark").select("item_id", F.get(w, F.lit(0)).alias("first"), F.element_at(w, -1).alias("last"))
+    return D.phrase_matches(_docs(spark, sf), bench, "original_id", "item_id", ["first", "last"]).select("original_id", "item")
+
+
 _NGRAM = f"""WITH {TOK},
  eg AS (SELECT item_id, len(w) AS len, array_to_string(w[i:i+7], ' ') AS g, max(i) AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM e WHERE len(w) >= 8) GROUP BY ALL),
  tg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),

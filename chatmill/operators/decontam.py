@@ -19,6 +19,7 @@ from chatmill.functions import text as X
 from chatmill.functions.arrays import indices, let
 from chatmill.operators.metric_index import MetricIndex
 from chatmill.operators.ordering import join_stats
+from chatmill.operators.phrases import SLICE_TOKENS, scan
 from chatmill.session import materialise
 
 GRAM = ["g1", "g2"]  # two independent 64-bit hashes identify an n-gram
@@ -78,21 +79,29 @@ def _join_grams(big: DataFrame, small: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, evals: DataFrame, ids: str, item: str, fields: list[str], shingle: int = 8) -> DataFrame:
     """(ids, msg, item) for every message that contains all fields of the item as token phrases.
 
-    A phrase of L tokens is in a message exactly when its L-k+1 shingles match on one diagonal, that is
-    at a constant distance between message and phrase position. k is 8, or for shorter phrases 4, 2 or 1.
+    Items of a size that one automaton holds are found by it, inside the row (``phrases``). Of a larger set that goes for
+    items with a field under ``shingle`` tokens, whose shingles would be frequent, in several automata; all other items are
+    joined by their shingles. Null messages contain nothing; items with an empty field match nothing.
     """
-    phrases = eval_fields(evals, item, fields).withColumn("n_fields", F.lit(len(fields))).withColumn("len", F.size("tokens")).filter("len > 0")
-    ladder = [k for k in (8, 4, 2, 1) if k <= shingle]
-    phrases = phrases.withColumn("k", F.coalesce(*[F.when(F.col("len") >= k, k) for k in ladder]))
-    sizes = sorted(r["k"] for r in phrases.select("k").distinct().collect())  # at most four values
-    if not sizes:
-        return docs.select(ids, "msg", F.lit(None).cast(evals.schema[item].dataType).alias("item")).limit(0)
-    own = lambda k: F.filter(_grams(F.col("tokens"), sizes), lambda g: g["n"] == k)
-    postings = phrases.select("item", "field", (F.col("len") - F.col("k") + 1).alias("need"), F.explode(own(F.col("k"))).alias("g")).select(
+    phrases = eval_fields(evals, item, fields).withColumn("len", F.size("tokens")).filter("len > 0").distinct()
+    per_item = phrases.groupBy("item").agg(F.sum("len").alias("total"), F.min("len").alias("least"), F.countDistinct("field").alias("n"))
+    short = (F.col("least") < shingle) & (F.col("n") == len(fields))
+    size = per_item.agg(F.sum("total").alias("all"), F.sum(F.when(short, F.col("total"))).alias("short")).first()
+    if (size["all"] or 0) <= SLICE_TOKENS:
+        return scan(docs, phrases, ids, len(fields))
+    found = _long_phrase_matches(docs, phrases.join(per_item.filter((F.col("least") >= shingle) & (F.col("n") == len(fields))), "item", "left_semi"), ids, len(fields), shingle)
+    if not size["short"]:
+        return found
+    return found.unionByName(scan(docs, phrases.join(per_item.filter(short), "item", "left_semi"), ids, len(fields), -(-size["short"] // SLICE_TOKENS)))
+
+
+def _long_phrase_matches(docs: DataFrame, phrases: DataFrame, ids: str, n_fields: int, k: int) -> DataFrame:
+    """The same for phrases of ``k`` tokens or more: a phrase of L tokens is in a message exactly when its L-k+1 shingles
+    match on one diagonal, that is at a constant distance between message and phrase position."""
+    postings = phrases.select("item", "field", (F.col("len") - k + 1).alias("need"), F.explode(_grams(F.col("tokens"), k)).alias("g")).select(
         "item", "field", "need", F.col("g.p").alias("q"), "g.g1", "g.g2"
     )
-    # one pass over the messages for all sizes: a hash pair belongs to runs of one length
-    grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), sizes)).alias("g")).select(ids, "msg", "g.p", "g.g1", "g.g2")
+    grams = docs.select(ids, "msg", F.explode(_grams(X.phrase_tokens(F.col("text")), k)).alias("g")).select(ids, "msg", "g.p", "g.g1", "g.g2")
     hits = _join_grams(grams, postings)
     diagonals = hits.groupBy(ids, "msg", "item", "field", (F.col("p") - F.col("q")).alias("d")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
     found = diagonals.filter("n = need").select(ids, "msg", "item", "field")
@@ -100,7 +109,7 @@ def phrase_matches(docs: DataFrame, evals: DataFrame, ids: str, item: str, field
         found.distinct()
         .groupBy(ids, "msg", "item")
         .agg(F.count("*").alias("n"))
-        .filter(F.col("n") == len(fields))
+        .filter(F.col("n") == n_fields)
         .select(ids, "msg", "item")
     )
 

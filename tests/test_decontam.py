@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chatmill.operators import decontam as D
 from chatmill.operators.convert import from_pair
+from chatmill.operators.phrases import Automaton
 
 
 def tables(spark, seed=1, n_docs=120, n_items=15):
@@ -29,17 +30,19 @@ def has(tokens, phrase):
     return any(tokens[i : i + len(phrase)] == phrase for i in range(len(tokens) - len(phrase) + 1))
 
 
-def test_exact_matches_equal_brute_force(spark):
+def test_exact_matches_equal_brute_force(spark, monkeypatch):
     docs, evals, d_rows, e_rows = tables(spark)
     want = {(d, i) for d, _, t in d_rows for i, q, a in e_rows if q is not None and has(toks(t), toks(q)) and has(toks(t), toks(a))}
     threshold, given = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    for size in (given, "-1"):  # broadcast postings, shuffled ones
+    for size, tokens in ((given, D.SLICE_TOKENS), (given, 20), ("-1", 20)):  # one automaton; several and a join, broadcast or shuffled
         spark.conf.set(threshold, size)
+        monkeypatch.setattr(D, "SLICE_TOKENS", tokens)
         try:
-            got = {(r["original_id"], r["item"]) for r in D.phrase_matches(docs, evals, "original_id", "item_id", ["q", "a"]).collect()}
+            rows = D.phrase_matches(docs, evals, "original_id", "item_id", ["q", "a"]).collect()
         finally:
             spark.conf.set(threshold, given)
-        assert got == want and len(want) >= 40
+        got = {(r["original_id"], r["item"]) for r in rows}
+        assert got == want and len(got) == len(rows) and len(want) >= 40
     scores = {r["item"]: r["score"] for r in D.exact_item_scores(D.phrase_matches(docs, evals, "original_id", "item_id", ["q"]), evals, "item_id", ["q"]).collect()}
     assert 99 not in scores and set(scores.values()) <= {0.0, 1.0}
 
@@ -96,3 +99,22 @@ def test_messages_to_docs(spark):
     m = spark.createDataFrame([("t", "e1", 1.0), ("t", "e1", 0.0), ("t", "e2", 0.5)], "train_set string, eval_set string, score double")
     assert D.contamination_matrix(m, evals=["e1", "e2"]).first().asDict() == {"train_set": "t", "e1": 0.5, "e2": 0.5}
     assert m.select(D.covered_tokens(F.array(F.lit(0), F.lit(2), F.lit(9)), 3).alias("x")).first()["x"] == 8
+
+
+def test_automaton_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        patterns = list({tuple(rng.randrange(3) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 9))})
+        text = [rng.randrange(-1, 3) for _ in range(rng.randrange(0, 40))]  # -1 stands for a token of no phrase
+        places = [i for i, x in enumerate(text) if x >= 0]
+        got = Automaton(patterns, 3).find(places, [text[i] for i in places])
+        assert got == {n for n, p in enumerate(patterns) if has(text, list(p))}
+
+
+def test_common_token_gives_one_row_per_message(spark):
+    texts = [("the " * 50 + "end") if i % 3 == 0 else "a b" for i in range(60)] + [None, "", "THE\\the"]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "original_id int, msg int, text string")
+    evals = spark.createDataFrame([("x", "the"), ("y", "the end"), ("z", ""), ("w", None), ("x", "b")], "item string, q string")
+    rows = [(r["original_id"], r["item"]) for r in D.phrase_matches(docs, evals, "original_id", "item", ["q"]).collect()]
+    assert sorted(rows) == sorted([(i, "x") for i in range(60)] + [(i, "y") for i in range(0, 60, 3)] + [(62, "x")])
+    assert D.phrase_matches(docs, evals.limit(0), "original_id", "item", ["q"]).count() == 0
