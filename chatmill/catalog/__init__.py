@@ -6,7 +6,7 @@ import importlib
 
 from chatmill.catalog import registry
 
-MODULES = ["chats", "documents", "mixes", "overlap", "preferences", "scored", "verifiers", "packing", "streams", "rules", "shapes"]
+MODULES = ["chats", "documents", "mixes", "overlap", "preferences", "scored", "verifiers", "packing", "streams", "rules", "shapes", "sketched"]
 
 
 def _load() -> None:
