@@ -281,3 +281,22 @@ def tree_paths(spark, sf):
         "role", F.col("content").alias("text"), F.lit(False).alias("deleted"), F.lit(0.0).alias("quality"),
     )
     return J.tree_paths(nodes, top_k=3).select("leaf", messages_to_text("messages", "lines").alias("path"))
+
+
+@query(
+    "tree_paths_deep",
+    """WITH n AS (SELECT event_id, event_id // 4096 AS chain, CASE WHEN event_id % 2 = 1 THEN 'assistant' ELSE 'user' END AS role, event_type FROM events),
+ l AS (SELECT chain, max(event_id) AS leaf, count(*) AS n, sha256(string_agg(role || ': ' || event_type, chr(10) ORDER BY event_id)) AS path FROM n GROUP BY chain)
+ SELECT leaf, n::INTEGER AS n, path FROM l WHERE leaf % 2 = 1""",
+)
+def tree_paths_deep(spark, sf):
+    """JN20 over chains of 4 096 events, each the child of the one before."""
+    from chatmill.operators.convert import messages_to_text
+
+    nodes = table(spark, sf, "events").select(
+        F.col("event_id").alias("message_id"),
+        F.when(F.col("event_id") % 4096 > 0, F.col("event_id") - 1).alias("parent_id"),
+        F.when(F.col("event_id") % 2 == 1, "assistant").otherwise("user").alias("role"),
+        F.col("event_type").alias("text"), F.lit(False).alias("deleted"), F.lit(0.0).alias("quality"),
+    )
+    return J.tree_paths(nodes).select("leaf", F.size("messages").alias("n"), F.sha2(messages_to_text("messages", "lines").cast("binary"), 256).alias("path"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chatmill.functions.rand import hash_key, hash_unit
@@ -129,10 +129,14 @@ def passed_tests(results: DataFrame, ids: str, passed: str = "passed", ratio: fl
 def tree_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:
     """Every root-to-leaf path that ends in an assistant message: (leaf, messages).
 
-    ``nodes``: message_id, parent_id, role, text, deleted, quality. A deleted node cuts its subtree;
-    an inner node keeps its ``top_k`` best children. Level by level join until the frontier is empty, at any
-    depth; each level is written to the shared folder once, with its finished paths. Nodes have one parent and
-    start from roots, so a cycle is never entered; a message_id that occurs twice is an error.
+    ``nodes``: message_id, parent_id, role, text, deleted, quality. A deleted node cuts its subtree; an inner node keeps its
+    ``top_k`` best children. Nodes under a missing parent or on a cycle reach no root and give no path; a message_id that
+    occurs twice is an error.
+
+    Ancestors are found by pointer doubling: after round j every node knows its ancestor 2 ** j steps up, or the end of its
+    chain, so a tree of depth d takes log2(d) rounds of one join, each written once. Leaves that reach a root then list their
+    ancestors by the binary digits of the distance, through the same tables, as many rows as the paths have messages.
+    Texts are joined to those rows at the end; a node on many paths is a hot key of that join, which adaptive execution splits.
     """
     from chatmill.session import materialise
 
@@ -147,13 +151,40 @@ def tree_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:
     live = live.join(parents, "message_id", "left").withColumn("has_child", F.coalesce("has_child", F.lit(False)))
     msg = F.struct(F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), F.col("text").alias("content"))
     live = materialise(live.select("message_id", "parent_id", "has_child", "role", msg.alias("m")), "tree")
-    if not live.groupBy("message_id").count().filter("count > 1").isEmpty():
+    size = live.agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("ids")).first()
+    if size["n"] != size["ids"]:
         raise ValueError("a message_id occurs twice")
-    frontier = live.filter("parent_id is null").select("message_id", "has_child", "role", F.array("m").alias("messages"))
-    out = []
-    while True:
-        out.append(frontier.filter("not has_child and role = 'assistant'").select(F.col("message_id").alias("leaf"), "messages"))
-        inner = frontier.filter("has_child").select(F.col("message_id").alias("parent_id"), "messages")
-        frontier = materialise(inner.join(live, "parent_id").select("message_id", "has_child", "role", F.concat("messages", F.array("m")).alias("messages")), "frontier")
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+    up = _doubled_pointers(live.select("message_id", F.col("parent_id").alias("far")), size["n"])
+    # the last table holds the end of every chain: a node whose own parent is null
+    ends = up[-1].filter("not open").select(F.col("message_id").alias("leaf"), F.coalesce("far", "message_id").alias("root"))
+    leaves = live.filter("not has_child and role = 'assistant'").select(F.col("message_id").alias("leaf"))
+    roots = live.filter("parent_id is null").select(F.col("message_id").alias("root"))
+    line = leaves.join(ends, "leaf").join(roots, "root", "left_semi").select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
+    for j in reversed(range(len(up) - 1)):
+        step = up[j].filter(F.col("steps") == 1 << j).select(F.col("message_id").alias("node"), "far")
+        line = line.join(step, "node", "left").select(
+            "leaf", F.explode(F.array(F.struct("node", "above"), F.struct(F.col("far").alias("node"), (F.col("above") + (1 << j)).alias("above")))).alias("x")
+        ).filter("x.node is not null").select("leaf", "x.node", "x.above")
+    texts = live.select(F.col("message_id").alias("node"), "m")
+    path = F.sort_array(F.collect_list(F.struct(-F.col("above"), "m")))
+    return line.join(texts, "node").groupBy("leaf").agg(F.transform(path, lambda x: x["m"]).alias("messages"))
+
+
+def _doubled_pointers(parents: DataFrame, rows: int) -> list[DataFrame]:
+    """Tables (message_id, far, steps, open): ``far`` is the ancestor ``steps`` up, 2 ** j in table j or all there are. ``open``
+    says that there may be more; in the last table only nodes on or under a cycle are open. The first table is ``parents``
+    as it is, the others are written. A parent that is no node of the table ends its chain and stays in ``far``."""
+    from chatmill.session import materialise
+
+    has = F.col("far").isNotNull()
+    tables, left = [parents.select("message_id", "far", has.cast("long").alias("steps"), has.alias("open"))], 1
+    while left and (1 << (len(tables) - 1)) <= rows:
+        now, seen = tables[-1], Observation()
+        to = now.select(F.col("message_id").alias("_at"), F.col("far").alias("_far"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
+        moved = now.filter("open").join(to, F.col("far") == F.col("_at"), "left").select(
+            "message_id", F.coalesce("_far", "far").alias("far"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_open", F.lit(False)).alias("open")
+        )
+        both = moved.unionByName(now.filter("not open")).observe(seen, F.count_if("open").alias("open"))
+        tables.append(materialise(both, "tree-up"))
+        left = seen.get["open"]
+    return tables
