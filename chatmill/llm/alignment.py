@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatmill.llm.common import fresh
-from chatmill.llm.token_spans import BLOCK_BYTES, TokenizerPair, tokenizer_pair
+from chatmill.llm.token_spans import BLOCK_BYTES, TokenizerPair, stretches, tokenizer_pair
 from chatmill.session import materialise
 
 TOKENIZERS = "/opt/tokenizers"
@@ -73,18 +73,14 @@ def _blocks(pair: TokenizerPair, texts: list[bytes | None]) -> Iterator[list[tup
 
 
 def _align_block(pair: TokenizerPair, block: list[tuple[int, bytes]], rows: dict[int, _Row], with_groups: bool) -> None:
-    chunks, number, part = pair.distinct([p for _, p in block])
-    found = pair.of_chunks(chunks)
-    lens = np.array([len(e.links) for e in found], dtype=np.int64)
-    first = np.cumsum(lens) - lens
-    every = np.concatenate([e.links for e in found])
-    n = lens[number]
-    links = every[np.repeat(first[number], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    found, number, part = pair.distinct([p for _, p in block])
+    n = found.n_links[number]
+    links = found.links[stretches((np.cumsum(found.n_links) - found.n_links)[number], n)]
     cut = np.searchsorted(part, np.arange(len(block) + 1))
     ends = np.concatenate([[0], np.cumsum(n)])[cut]
-    n_a, n_b, fits = (np.array([e[i] for e in found])[number] for i in (1, 2, 0))
-    sums = [np.add.reduceat(x, cut[:-1]) for x in (n_a, n_b, ~fits)]
-    groups, numbers = [e.groups for e in found], number.tolist()
+    sums = [np.add.reduceat(x[number], cut[:-1]) for x in (found.n_a, found.n_b, (~found.fits).astype(np.int64))]
+    every, upto = found.groups.tobytes(), np.cumsum(found.group_bytes).tolist()
+    groups, numbers = [every[a:b] for a, b in zip([0, *upto], upto)], number.tolist()
     for k, (row, _) in enumerate(block):
         texts = b";".join([groups[i] for i in numbers[cut[k] : cut[k + 1]]])
         rows.setdefault(row, _Row(with_groups)).add(not sums[2][k], int(sums[0][k]), int(sums[1][k]), texts, links[ends[k] : ends[k + 1]])

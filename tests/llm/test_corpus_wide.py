@@ -257,8 +257,20 @@ def test_alignment_cuts_long_texts(monkeypatch):
 
 
 @needs_files
-def test_chunks_are_told_apart_by_bytes(monkeypatch):
-    pair = token_spans.tokenizer_pair(*alignment.read_files(*FILES))
-    monkeypatch.setattr(token_spans, "mix64", lambda x: x & np.uint64(3))  # hashes that collide
-    chunks, number, part = pair.distinct([b" a b c d", b" e f a b"])
-    assert [chunks[i] for i in number] == [b" a", b" b", b" c", b" d", b" e", b" f", b" a", b" b"] and part.tolist() == [0] * 4 + [1] * 4
+@pytest.mark.parametrize(("mask", "limit"), [(3, 100), (~0, 6), (63, 6)])
+def test_chunks_are_told_apart_by_bytes(monkeypatch, mask, limit):
+    """Hashes that collide inside a block, and with stored chunks, of which few are kept."""
+    pair = token_spans.TokenizerPair(*alignment.read_files(*FILES))
+    pair.store = token_spans.ChunkStore(limit)
+    mix = token_spans.mix64
+    monkeypatch.setattr(token_spans, "mix64", lambda x: mix(x) & np.uint64(mask & (2**64 - 1)))
+    rng = random.Random(mask & 255)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["a", "bb", "cat", "dog.", "é", "xyzzy", "Hello"]) for _ in range(rng.randrange(1, 5))) for _ in range(2)]
+        found, number, part = pair.distinct([(" " + t).encode() for t in texts])
+        for k, t in enumerate(texts):
+            mine = [found.take(np.array([i])) for i in number[part == k]]
+            assert ";".join(m.groups.tobytes().decode() for m in mine) == ";".join(whole(pair, t)[2])
+            assert (sum(int(m.n_a[0]) for m in mine), sum(int(m.n_b[0]) for m in mine)) == whole(pair, t)[:2]
+            assert [(x // pair.b_size, x % pair.b_size) for m in mine for x in m.links.tolist()] == whole(pair, t)[3]
+        assert len(pair.store.hashes) <= limit + 10
