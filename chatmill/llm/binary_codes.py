@@ -8,8 +8,9 @@ of what the task has seen. Each task returns k rows per query, which are merged.
 
 All rows are coded and all are scanned for every query; queries go to the tasks in blocks of bounded size. Vectors that
 are null, zero, or hold null or non-finite numbers take no part, nor do rows without an id. Vectors are compared with
-those of the same length only. Candidates with the query's id are left out; a repeated row is a candidate each time; a
-query id with several vectors is searched once, with the smallest. Empty tables give no rows.
+those of the same length only, and scaled by a power of two first, so that squares neither overflow nor vanish. Each row
+is a query or candidate of its own: only the query's own row is left out, and a query id with several rows has as many
+lists. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -57,22 +58,25 @@ def norms(v: np.ndarray) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 3) -> DataFrame:
-    """(vec_id, embedding, code, correction, norm) of every usable row."""
+    """(vec_id, embedding, code, correction, norm) of every usable row; vectors are scaled to a largest component in [1, 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             codes, factor, norm = [b""] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
+            scaled: list = [None] * b.num_rows
             for rows, v in _by_length(b.column(1)):
+                exponent = np.frexp(np.abs(v).max(axis=1, keepdims=True))[1] - 1
+                v = np.ldexp(np.ldexp(v, -(exponent // 2)), -(exponent - exponent // 2))  # exact, in two steps of half the size
                 norm[rows] = norms(v)
-                scale = np.abs(v).max(axis=1, keepdims=True)  # very large and very small numbers keep their direction
-                unit = v / scale
-                turned = (unit / norms(unit)[:, None]) @ rotation(v.shape[1], seed).T
+                turned = (v / norm[rows][:, None]) @ rotation(v.shape[1], seed).T
+                for r, x in zip(rows.tolist(), v):
+                    scaled[r] = x
                 factor[rows] = np.abs(turned).sum(axis=1) / np.sqrt(v.shape[1])
                 for r, bits in zip(rows.tolist(), np.packbits(turned > 0, axis=1)):
                     codes[r] = bits.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(factor), pa.array(norm)], names=["vec_id", "embedding", "code", "correction", "norm"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scaled, pa.list_(pa.float64())), pa.array(codes, pa.binary()), pa.array(factor), pa.array(norm)], names=["vec_id", "embedding", "code", "correction", "norm"])
 
     source = vectors.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("embedding"))
     return source.mapInArrow(run, "vec_id long, embedding array<double>, code binary, correction double, norm double")
@@ -100,12 +104,12 @@ class Best:
 
 
 def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, seed: int, epsilon: float):
-    """The task: queries are (ids, vectors) by length."""
+    """The task: queries are (rows, ids, vectors) by length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {n: Best(len(ids), k) for n, (ids, _) in queries.value.items()}
-        prepared = {n: (ids, v, norms(v), (v / np.abs(v).max(axis=1, keepdims=True))) for n, (ids, v) in queries.value.items()}
-        turned = {n: ((u / norms(u)[:, None]) @ rotation(n, seed).T) for n, (_, _, _, u) in prepared.items()}
+        state = {n: Best(len(ids), k) for n, (_, ids, _) in queries.value.items()}
+        prepared = {n: (own, v, norms(v)) for n, (own, _, v) in queries.value.items()}
+        turned = {n: ((v / size[:, None]) @ rotation(n, seed).T) for n, (_, v, size) in prepared.items()}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -116,25 +120,26 @@ def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, seed: int,
                     _scan_rows(b.take(pa.array(rows)), prepared[int(n)], turned[int(n)], state[int(n)], epsilon)
         for n, best in state.items():
             q, j = np.nonzero(best.score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(prepared[n][0][q]), pa.array(best.vec[q, j]), pa.array(best.score[q, j])], names=["query_id", "vec_id", "score"])
+            own, ids, _ = queries.value[n]
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[q]), pa.array(best.vec[q, j]), pa.array(best.score[q, j])], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def _scan_rows(b: pa.RecordBatch, query: tuple, turned: np.ndarray, best: Best, epsilon: float) -> None:
-    ids, vectors, lengths, _ = query
+    own, vectors, lengths = query
     n = vectors.shape[1]
-    vec = b.column("vec_id").to_numpy()
+    vec, row = b.column("vec_id").to_numpy(), b.column("row").to_numpy()
     f, norm = b.column("correction").to_numpy(), b.column("norm").to_numpy()
     bits = np.frombuffer(b"".join(b.column("code").to_pylist()), dtype=np.uint8).reshape(len(vec), -1)
     signs = np.unpackbits(bits, axis=1, count=n).astype(np.float32) * 2 - 1
     candidates = b.column("embedding").flatten().to_numpy().reshape(len(vec), n)
     error = (epsilon / np.sqrt(max(n - 1, 1)) * np.sqrt(np.maximum(1 - f * f, 0)) / f).astype(np.float32)
     scale = (1 / (f * np.sqrt(n))).astype(np.float32)
-    for lo in range(0, len(ids), TILE):
+    for lo in range(0, len(own), TILE):
         q = slice(lo, lo + TILE)
         estimate = (turned[q].astype(np.float32) @ signs.T) * scale
-        estimate[ids[q][:, None] == vec[None, :]] = -np.inf
+        estimate[own[q][:, None] == row[None, :]] = -np.inf
         floor = best.limit(q)
         if len(vec) > best.k:  # the k-th best lower bound of this batch will do as well
             sure = np.partition(estimate - error, len(vec) - best.k, axis=1)[:, len(vec) - best.k]
@@ -151,15 +156,15 @@ def _scan_rows(b: pa.RecordBatch, query: tuple, turned: np.ndarray, best: Best,
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 3, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every query row, over all rows."""
     spark = vectors.sparkSession
-    codes = materialise(encode(vectors, vec_id, vector, seed), "codes")
-    asked = codes.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    codes = materialise(encode(vectors, vec_id, vector, seed).withColumn("row", F.monotonically_increasing_id()), "codes")
+    asked = codes.filter(is_query).select("row", "vec_id", "embedding")
     total = asked.agg(F.sum(F.size("embedding") * 8 + 64).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // QUERY_BYTES))
     found = None
     for i in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()
-        by_length = {int(n): (g["vec_id"].to_numpy(), np.stack(g["embedding"].to_numpy()).astype(np.float64)) for n, g in rows.groupby(rows["embedding"].map(len))}
-        part = codes.mapInArrow(_scan(spark.sparkContext.broadcast(by_length), k, seed, epsilon), "query_id long, vec_id long, score double")
+        rows = asked.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == i).toPandas()
+        by_length = {int(n): (g["row"].to_numpy(), g["vec_id"].to_numpy(), np.stack(g["embedding"].to_numpy()).astype(np.float64)) for n, g in rows.groupby(rows["embedding"].map(len))}
+        part = codes.mapInArrow(_scan(spark.sparkContext.broadcast(by_length), k, seed, epsilon), "query_row long, query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

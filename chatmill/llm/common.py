@@ -128,6 +128,11 @@ def bounded_labels(labels: DataFrame, label: str, max_rows: int, seed: int) -> D
     return one.filter(unit < share)
 
 
+def one_text_each(sample: DataFrame, text: str) -> DataFrame:
+    """(doc_id, label, text) of a labelled sample with one row for each id, so that repeated ids do not lengthen it."""
+    return sample.groupBy("doc_id", "label").agg(F.min_by(text, F.xxhash64(text)).alias(text))
+
+
 def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:
     """How many labelled rows are 0 and 1, over all labels."""
     r = labels.agg(*[F.sum((F.col(label) == k).cast("long")).alias(f"n{k}") for k in (0, 1)]).first()

@@ -127,7 +127,7 @@ def _slices(benchmark: DataFrame, size: int) -> Iterator[pd.DataFrame]:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text", names: tuple[str, ...] = ("n_words", "spans", "items")) -> DataFrame:
     """``docs`` plus, under ``names``: number of words, covered word spans (array of [start, end)), item ids (sorted array)."""
-    n_words, spans, items = names
+    n_words, spans, items = fresh(docs, *names)
     fields = [
         T.StructField(n_words, T.LongType()),
         T.StructField(spans, T.ArrayType(T.ArrayType(T.LongType()))),
@@ -171,14 +171,16 @@ def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def digest(df: DataFrame, n_words: str, spans: str, items: str, least: int = 20) -> DataFrame:
-    """Adds n_hit, n_items, items_sha256 and contaminated (at least one word in ``least`` is hit) to the hits."""
+    """Adds n_hit, n_items, items_sha256 and contaminated (at least one word in ``least`` is hit) to the hits; a name that is
+    taken gets an underscore before it."""
+    n_hit, n_items, sha, contaminated = fresh(df, "n_hit", "n_items", "items_sha256", "contaminated")
     joined = F.array_join(items, ",")
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     return (
-        df.withColumn("n_hit", hit)
-        .withColumn("n_items", F.size(items).cast("long"))
-        .withColumn("items_sha256", F.sha2(joined.cast("binary"), 256))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col(n_words)))
+        df.withColumn(n_hit, hit)
+        .withColumn(n_items, F.size(items).cast("long"))
+        .withColumn(sha, F.sha2(joined.cast("binary"), 256))
+        .withColumn(contaminated, (F.col(n_hit) > 0) & (F.lit(least) * F.col(n_hit) >= F.col(n_words)))
     )
 
 

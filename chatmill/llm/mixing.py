@@ -7,8 +7,8 @@ for each integer that its stretch crosses: floor(r) or ceil(r) times, never more
 the words taken differ from the target by about one document's size.
 
 The line is a range-partitioned sort of (source, size, hash, id); ranks are counted inside partitions and moved on by
-partition totals, so a source with any share of all rows is spread over all tasks. Rows that share id, source and size
-share one draw. Null text has size 0; a null source is a source of its own and comes last; null ids are one id. Empty
+partition totals, so a source with any share of all rows is spread over all tasks. Repeated rows are drawn one by one:
+a group of them takes the integers that their whole stretch crosses. Null text has size 0; a null source is a source of its own and comes last; null ids are one id. Empty
 tables give no rows. Draws depend on ids and the seed only, so reruns agree. Clashing extra columns are kept, working
 names avoid them.
 """
@@ -67,9 +67,9 @@ def targets(sized: DataFrame, source: str, size: str, weights: Sequence[int], sh
     return made.withColumn("offset", unit)
 
 
-def _ranked(units: DataFrame, order: list[str]) -> DataFrame:
-    """Units with (_part, _rank): the 0-based rank inside the source and partition, in ``order`` (source first)."""
-    names = [*units.columns, "_part", "_rank"]
+def _ranked(units: DataFrame, order: list[str], part_name: str = "_part", rank_name: str = "_rank") -> DataFrame:
+    """Units with (_part, _rank): the 0-based rank inside the first column of ``order`` and the partition."""
+    names = [*units.columns, part_name, rank_name]
     at = units.columns.index(order[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,40 +89,56 @@ def _ranked(units: DataFrame, order: list[str]) -> DataFrame:
 
     line = units.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
-    return line.mapInArrow(run, f"{schema}, _part int, _rank long")
+    return line.mapInArrow(run, f"{schema}, `{part_name}` int, `{rank_name}` long")
 
 
 def draws(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), cap: Fraction = Fraction(2), seed: int = 11) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of each distinct (doc_id, source, size)."""
+    """``sized`` (doc_id, source, size, row) plus source_size, target and copies, row by row; ``row`` is unique."""
     goal = targets(sized, "source", "size", weights, share, cap, seed).withColumnRenamed("source", "_source")
-    units = sized.select("doc_id", "source", "size").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
-    ranked = materialise(_ranked(units, ["source", "size", "_h", "doc_id"]).drop("_h"), "mix-line")
+    units = sized.select("doc_id", "source", "size", "row").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    ranked = materialise(_ranked(units, ["source", "size", "_h", "doc_id", "row"]).drop("_h"), "mix-line")
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
     moved = ranked.groupBy("source", "_part").agg(F.count("*").alias("_n")).select("source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     line = _null_safe_join(ranked, moved, ["source", "_part"])
     j = F.col("_before") + F.col("_rank")
     copies = F.floor((j + 1) * F.col("rate") + F.col("offset")) - F.floor(j * F.col("rate") + F.col("offset"))
     with_goal = line.join(F.broadcast(goal), line["source"].eqNullSafe(goal["_source"]))  # MAX_SOURCES rows at most
-    return with_goal.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return with_goal.select("doc_id", "source", "size", "row", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, source, size) of each document, written once: texts are read a single time."""
-    return materialise(docs.select("doc_id", "source", size_in_words(F.col(text)).alias("size")), "mix-sizes")
+    """(doc_id, source, size, row) of each document, written once: texts are read a single time."""
+    return materialise(docs.select("doc_id", "source", size_in_words(F.col(text)).alias("size")).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sized = sizes(docs)
-    drawn = draws(sized, **options)
-    return _null_safe_join(sized, drawn, ["doc_id", "source", "size"]).withColumn("taken", F.col("copies") * F.col("size"))
+    return draws(sizes(docs), **options).withColumn("taken", F.col("copies") * F.col("size")).drop("row")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: every document as often as it was drawn, with its own columns."""
-    drawn = draws(sizes(docs), **options).filter("copies > 0")
-    size, i, s, copies = fresh(docs, "_size", "_i", "_s", "_copies")
-    right = drawn.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(f"{size}_r"), F.col("copies").alias(copies))
+    """The mixture: every document as often as it was drawn, with its own columns.
+
+    Rows of one (doc_id, source, size) are alike to the draw; they share its copies evenly, and which of them get one more
+    is dealt along their order in a written table, so a group of any size is spread over all tasks."""
+    drawn = materialise(draws(sizes(docs), **options), "mix-drawn").groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    size, i, s, n, copies, row = fresh(docs, "_size", "_i", "_s", "_n", "_copies", "_row")
+    right = materialise(drawn.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(f"{size}_r"), F.col("n").alias(n), F.col("copies").alias(copies)).filter(F.col(copies) > 0), "mix-units")
     sized = docs.withColumn(size, size_in_words(F.col("text")))
-    joined = sized.join(right, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(f"{size}_r")))
-    return joined.withColumn(i, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    alike = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(f"{size}_r"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = lambda df: df.withColumn(i, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*own)
+    out = repeated(sized.join(right.filter(F.col(n) == 1), alike))
+    several = right.filter(F.col(n) > 1)
+    if several.isEmpty():
+        return out
+    shared = materialise(sized.join(several, alike).withColumn(row, F.monotonically_increasing_id()), "mix-repeated")
+    unit = fresh(shared, "_unit")[0]
+    keyed = shared.withColumn(unit, F.xxhash64(F.col(i).isNull(), i, F.col(s).isNull(), s, f"{size}_r")).select(unit, row)  # a clash of hashes only deals two units together
+    part, place, first = fresh(shared, "_part", "_rank", "_before")
+    ranked = materialise(_ranked(keyed, [unit, row], part, place), "mix-dealt")
+    before = Window.partitionBy(unit).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    moved = ranked.groupBy(unit, part).agg(F.count("*").alias(first)).withColumn(first, F.coalesce(F.sum(first).over(before), F.lit(0)))
+    dealt = ranked.join(moved, [unit, part]).select(F.col(row).alias(f"{row}_r"), (F.col(first) + F.col(place)).alias(place))
+    mine = F.floor(F.col(copies) / F.col(n)) + (F.pmod(F.col(place), F.col(n)) < F.pmod(F.col(copies), F.col(n))).cast("long")
+    return out.unionByName(repeated(shared.join(dealt, F.col(row) == F.col(f"{row}_r")).withColumn(copies, mine)))

@@ -13,8 +13,8 @@ of its lists (the class with the fewest values of its own), every class with the
 left in lists that still hold several components, by an exact prefix join of their full sets with bounds on where they
 meet. So a group of n near copies costs about n comparisons, and no link between different components is left out.
 
-Texts without words have the empty set and are linked with nothing; fewer words than a shingle make one shingle. Rows
-that share a doc_id tie their sets together. Null ids take part in nothing, have a null component and are kept. Empty
+Texts without words have the empty set and are linked with nothing; fewer words than a shingle make one shingle. In
+``components_of`` rows that share a doc_id tie their sets together. Null ids take part in nothing, have a null component and are kept. Empty
 tables give no rows. Clashing extra columns are kept, working names avoid them.
 """
 
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chatmill.llm.common import LOWER, MULTIPLIER, NOT_SPACE, blocks, fresh, mix64, words, words_of_rows
+from chatmill.llm.common import LOWER, MULTIPLIER, NOT_SPACE, append_columns, blocks, fresh, mix64, words, words_of_rows
 from chatmill.session import materialise, shared_dir
 
 COORDINATES, MATCHES = 32, 9
@@ -224,11 +225,16 @@ def link(docs: DataFrame, classes: DataFrame, sure: DataFrame, size: int, thresh
     return components
 
 
+def _classes(known: DataFrame) -> DataFrame:
+    """The distinct sets, each with a document that has it."""
+    return known.filter("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+
+
 def components_of(docs: DataFrame, words_per_shingle: int = 5, threshold: int = 80, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document."""
     signed = materialise(sign(docs, words_per_shingle, text), "signed")
     known = signed.filter(F.col("doc_id").isNotNull())
-    classes = known.filter("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = _classes(known)
     rows = known.select("doc_id", "n_shingles", "id")
     # a doc_id with several sets ties them together
     several = rows.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("m")).filter("b <> m").select(F.col("doc_id").alias("_d"), "b")
@@ -241,9 +247,33 @@ def components_of(docs: DataFrame, words_per_shingle: int = 5, threshold: int =
 
 
 def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int = 80, text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, and all without an id; with their own columns."""
-    kept = components_of(docs, words_per_shingle, threshold, text).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(fresh(docs, "_kept")[0])).distinct()
-    name = kept.columns[0]
-    known = docs.filter(F.col("doc_id").isNotNull())
-    one = known.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each component, the one with the smallest id, and all without an id; with their own columns.
+
+    Here texts are linked, not ids: rows of one id whose texts are not alike are documents of their own. Of rows with one id
+    and the same shingles the one with the smallest text stays; rows without a shingle all stay.
+    """
+    signed = materialise(sign(docs, words_per_shingle, text), "signed")
+    known = signed.filter(F.col("doc_id").isNotNull())
+    no_ties = known.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    rows = labelled(known.select("doc_id", "id"), link(docs, materialise(_classes(known), "classes"), no_ties, words_per_shingle, threshold, text))
+    first = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("first")).select("first.doc_id", "first.id")
+    wordless = rows.filter("component IS NULL").select("doc_id", F.lit(None).cast("long").alias("id")).distinct()
+    kept = materialise(first.unionByName(wordless), "kept")
+    several = materialise(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    doc, cls = fresh(docs, "_doc", "_class")
+    own = F.col("doc_id").cast("long")
+    single = kept.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias(doc))
+    out = docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(single, own == F.col(doc), "left_semi"))
+    if several.isEmpty():
+        return out
+    again = append_columns(docs.join(several.withColumnRenamed("doc_id", doc), own == F.col(doc), "left_semi"), text, [T.StructField(cls, T.LongType())], lambda x: [_names_of(x, words_per_shingle)])
+    mine = kept.select(F.col("doc_id").alias(doc), F.col("id").alias(f"{cls}_r"))
+    left = again.join(mine, (own == F.col(doc)) & F.col(cls).eqNullSafe(F.col(f"{cls}_r")), "left_semi")
+    one = left.filter(F.col(cls).isNotNull()).groupBy("doc_id", cls).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text}`")).alias("r")).select("r.*")
+    return out.unionByName(one).unionByName(left.filter(F.col(cls).isNull()).drop(cls))
+
+
+def _names_of(texts: pa.Array, size: int) -> pa.Array:
+    """The class of each text: the name of its set, null without shingles."""
+    with np.errstate(over="ignore"):
+        return pa.array([name_of(s) if len(s) else None for s in shingle_sets(texts, size)], pa.int64())

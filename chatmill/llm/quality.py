@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatmill.llm.common import NOT_SPACE, append_columns, blocks, bounded_labels, class_counts, words
+from chatmill.llm.common import NOT_SPACE, append_columns, blocks, bounded_labels, class_counts, fresh, one_text_each, words
 
 MAX_ROWS = 3000
 BUCKET_BITS = 14
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
     if not n0 or not n1:
         return SubwordModel(np.zeros(1 << BUCKET_BITS, dtype=np.float32), 40.0 if share else -40.0)
-    sample = docs.select("doc_id", text).join(F.broadcast(bounded_labels(labels, label, max_rows, seed)), "doc_id")
+    sample = one_text_each(docs.select("doc_id", text).join(F.broadcast(bounded_labels(labels, label, max_rows, seed)), "doc_id"), text)
     rows = _sample_features(sample, text).toPandas().drop_duplicates(["key", "label"]).sort_values(["key", "label"])
     examples = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32), y) for b, s, y in zip(rows["buckets"], rows["shares"], rows["label"])]
     examples = [x for x in examples if len(x[0])]
@@ -126,6 +126,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], dim: int, epochs:
 
 
 def score(docs: DataFrame, model: SubwordModel, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` plus the probability of label 1."""
+    """``docs`` plus the probability of label 1 (under a changed name if ``docs`` has one like it)."""
+    (name,) = fresh(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BUCKET_BITS numbers
     return append_columns(docs, text, [T.StructField(name, T.DoubleType())], lambda texts: [pa.array(shared.value.score(texts))])

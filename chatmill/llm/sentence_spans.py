@@ -80,7 +80,7 @@ def spans(docs: DataFrame, run: int, least_words: int, long_words: int, text: st
                 yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[lo + row]), pa.array(versions[lo + row]), pa.array(place << 32 | size)], names=["span", "id", "version", "place"])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
-    return docs.select(key, text, F.hash(text).alias("version")).mapInArrow(emit, "span long, id long, version int, place long")
+    return docs.select(key, text, F.xxhash64(text).alias("version")).mapInArrow(emit, "span long, id long, version long, place long")
 
 
 def repeated_places(docs: DataFrame, run: int, least_words: int, long_words: int, text: str = "text") -> DataFrame:
@@ -94,9 +94,10 @@ def repeated_places(docs: DataFrame, run: int, least_words: int, long_words: int
 
 def remove(docs: DataFrame, run: int = 2, least_words: int = 8, text: str = "text", names: tuple[str, ...] = ("n_sentences", "n_removed", "n_removed_words", "kept_text"), long_words: int = 25) -> DataFrame:
     """``docs`` plus: sentences, those removed, their words, and the text that is left (null stays null)."""
+    names = tuple(fresh(docs, *names))
     key, version, other, its, places = fresh(docs, "_key", "_version", "_id", "_its", "_places")
     marked = repeated_places(docs, run, least_words, long_words, text).select(F.col("id").alias(other), F.col("version").alias(its), F.col("places").alias(places))
-    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), version: F.hash(text)})
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), version: F.xxhash64(text)})
     joined = keyed.join(marked, (F.col(key) == F.col(other)) & (F.col(version) == F.col(its)), "left").drop(key, other, version, its)
     pair = F.struct(F.col(text).alias("t"), F.col(places).alias("p"))
     both = fresh(joined, "_both")[0]

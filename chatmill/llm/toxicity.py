@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatmill.llm.common import ALNUM, LOWER, append_columns, blocks, bounded_labels, class_counts, fresh, mix64, words, words_of_rows
+from chatmill.llm.common import ALNUM, LOWER, append_columns, blocks, bounded_labels, class_counts, fresh, mix64, one_text_each, words, words_of_rows
 
 MAX_ROWS = 8000
 TABLE_BITS = 18
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", max_
         return none
     ids = bounded_labels(labels, label, max_rows, seed)
     # equal texts count once: a group of copies must not pass for evidence on its words
-    sample = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").withColumn("_key", F.xxhash64(text)).dropDuplicates(["_key", "label"])
+    sample = one_text_each(docs.select("doc_id", text).join(F.broadcast(ids), "doc_id"), text).withColumn("_key", F.xxhash64(text)).dropDuplicates(["_key", "label"])
     for_counts, for_curve = (sample.filter(F.pmod(F.col("_key"), F.lit(3)).isin(*k)) for k in ((0, 1), (2,)))
     tokens = _counts(for_counts, text)
     sums = tokens.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
@@ -203,7 +203,7 @@ def _calibrate(model: SegmentModel, sample: DataFrame, text: str, share: float)
 
 
 def _solve_lambda(p: np.ndarray, s: np.ndarray) -> float:
-    """The positive root of sum p exp(lambda s) = 1; 1 to 4 at least and at most, as the sample may lack rare positive scores."""
+    """The positive root of sum p exp(lambda s) = 1; 0.5 to 2 at least and at most, as the sample may lack rare positive scores."""
     lo, hi = 0.5, 2.0
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -235,6 +235,7 @@ def evidence(model: SegmentModel, n: int, segments: list[tuple[int, int, float]]
 
 def score(docs: DataFrame, model: SegmentModel, text: str = "text", names: tuple[str, ...] = ("score", "passages")) -> DataFrame:
     """``docs`` plus the probability of label 1 and the passages: array of (start byte, end byte, score, expected number)."""
+    names = tuple(fresh(docs, *names))
     passage = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
     fields = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(passage))]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # max_tokens hashes and scores at most

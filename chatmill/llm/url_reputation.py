@@ -108,9 +108,10 @@ def judge(pages: DataFrame, rules: list[Rule], outcome: str, url: str = "url", l
     has proven small, or split where one host is hot.
     """
     host, path, rule, verdict, mean, low = fresh(pages, "host", "path", "rule", "verdict", "bad_rate", "bad_rate_low")
-    rep = reputation(pages, outcome, url).select(F.col("host").alias("_rep_host"), F.col("mean").alias(mean), F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd")).alias(low))
+    (its,) = fresh(pages, "_rep_host")
+    rep = reputation(pages, outcome, url).select(F.col("host").alias(its), F.col("mean").alias(mean), F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd")).alias(low))
     with_host = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
-    joined = with_host.join(rep, F.col(host) == F.col("_rep_host"), "left").drop("_rep_host")
+    joined = with_host.join(rep, F.col(host) == F.col(its), "left").drop(its)
     by_rule = longest_rule(F.col(host), F.col(path), rules, "verdict")
     return joined.withColumns(
         {

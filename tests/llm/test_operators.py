@@ -331,3 +331,69 @@ def test_pipeline(spark, tmp_path):
         assert set(kept) <= ids and (name in ("mixing", "sharding") or len(kept) == len(set(kept)) > 0.5 * len(ids))
     assert docs.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
     assert zlib.crc32(b"7") % 3 == spark.sql("select crc32(cast('7' as binary)) % 3 as x").first()["x"]
+
+
+def test_nearest_of_huge_numbers_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((120, 6))
+    rows = [(i % 60, [float(x) for x in v[i] * s]) for i, s in zip(range(120), [1e200, 1e-200, 1.0] * 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = binary_codes.nearest(df, F.col("vec_id") % 20 == 0, 3).collect()
+    u = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    want = []
+    for q in (i for i in range(120) if i % 60 % 20 == 0):
+        order = sorted((-(u[q] @ u[j]), j % 60) for j in range(120) if j != q)[:3]
+        want += [(q % 60, k + 1, j, round(-s, 12)) for k, (s, j) in enumerate(order)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got) == sorted(want) and len(got) == 18
+
+
+def test_dropping_near_duplicates_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+    near = a.replace(a.split()[30], "zz")
+    rows = [(1, a), (1, b), (1, a), (2, near), (3, b.upper()), (4, None), (4, None), (4, ""), (None, a), (None, a), (5, "own text"), (6, b), (6, prose(rng, 50, 10**6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2, 0.5, 9) for i, t in rows], DOCS).repartition(4)
+    got = near_duplicates.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert left == sorted([(1, a), (1, b), (4, None), (4, None), (4, ""), (None, a), (None, a), (5, "own text"), rows[-1]], key=str)
+    assert near_duplicates.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_mixing_deals_repeated_rows(spark):
+    rows = [(i, f"t{i} x", "big") for i in range(600)] + [(None, f"n{i} x", "big") for i in range(300)] + [(7, "t7 x", "big")] * 100 + [(10_000 + i, "y z", "other") for i in range(2000)]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, 2, 0.5, 9) for i, t, s in rows], DOCS).repartition(5)
+    got = mixing.taken(docs).collect()
+    target = {r["source"]: r["target"] for r in got}
+    assert len(got) == len(rows)
+    for source in target:
+        assert abs(sum(r["taken"] for r in got if r["source"] == source) - target[source]) <= 2
+    out = mixing.mix(docs).collect()
+    words = lambda s: sum(len(r["text"].split()) for r in out if r["source"] == s)
+    assert {s: words(s) for s in target} == {s: sum(r["taken"] for r in got if r["source"] == s) for s in target}
+    times = {}
+    for r in out:
+        if r["doc_id"] is None:
+            times[r["text"]] = times.get(r["text"], 0) + 1
+    assert max(times.values()) <= 2 and max(times.values()) - min([times.get(f"n{i} x", 0) for i in range(300)]) <= 1
+
+
+def test_clashing_names(spark, docs):
+    clash = docs.withColumns({c: F.lit("own") for c in ("passages", "n_words", "spans", "items", "n_hit", "items_sha256", "kept_text", "n_removed", "_rep_host", "_row", "_n", "_copies")})
+    rows, labels = labelled(200)
+    df, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    outs = [
+        toxicity.score(clash, toxicity.fit(df, marks, "toxic")), quality.score(clash, quality.fit(df, marks, "quality")), sentence_spans.remove(clash), mixing.mix(clash),
+        decontamination.digest(decontamination.find_hits(clash, bench), "_n_words", "_spans", "_items"), url_reputation.judge(clash.withColumnsRenamed({"text": "url", "size": "outcome"}), [], "outcome"),
+        near_duplicates.drop_near_duplicates(clash),
+    ]
+    for out in outs:
+        assert len(set(out.columns)) == len(out.columns) and all(r["passages"] == r["_copies"] == "own" for r in out.collect())
+
+
+def test_samples_hold_one_row_for_each_id(spark):
+    docs = spark.createDataFrame([(i % 10, f"text {i}") for i in range(500)], "doc_id long, text string")
+    from chatmill.llm.common import one_text_each
+
+    assert one_text_each(docs.withColumn("label", F.col("doc_id") % 2), "text").count() == 10
