@@ -1,13 +1,16 @@
 """Quality classifier: supervised subword embeddings.
 
-Features of a text are hashed words (runs of bytes that are not white space), hashed byte 3- and 4-grams inside them,
-and a marker for each word that repeats the one before it in the same text. Each has a learned vector; a text is the average of its features' vectors and a softmax over two classes reads
-it. Vectors and output are trained by numpy stochastic gradient descent on a bounded sample (``max_rows`` labelled
-rows, half of each class, whole texts). Since the average is linear, scoring needs one number per feature.
+Features of a text are hashed words (runs of bytes that are not white space), hashed pairs of neighbouring words, and
+hashed byte 3- and 4-grams inside words. A pair's hash is the exclusive or of its words' hashes: the order of the two does
+not count, and all pairs of a word with itself have one hash, so that a learned vector can stand for repetition whatever the
+word. (With pairs hashed in order, only repetitions of words seen in training can be learned.) Each feature has a learned
+vector; a text is the average of its features' vectors and a softmax over two classes reads it. Vectors and output are
+trained by numpy stochastic gradient descent on a bounded sample (``max_rows`` labelled rows, half of each class, whole
+texts). Since the average is linear, scoring needs one number per feature.
 
 Null, empty and blank texts have no feature and score by the intercept alone. With fewer than two classes in the labels
-every score is the share of label 1 (0 without labels). Repeated rows are scored one by one. Clashing extra columns are
-kept, working names avoid them.
+every score is the share of label 1 (0 without labels). Repeated rows are scored one by one. Extra columns are kept; where one
+is named as the score, the score's name gets an underscore.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ from pyspark.sql import types as T
 from chatmill.llm.common import NOT_SPACE, append_columns, blocks, bounded_labels, class_counts, fresh, one_text_each, words
 
 MAX_ROWS = 3000
-BUCKET_BITS = 14
+BUCKET_BITS = 16
 GRAMS = (3, 4)
-REPEAT = 77  # bucket of the marker
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(32)).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(byte position, bucket) of the words, of the words that repeat the last one, and of the byte n-grams of each length."""
+    """(byte position, bucket) of the words, of the pairs of neighbours in a row, and of the byte n-grams of each length."""
     shift = np.uint32(32 - BUCKET_BITS)
     starts, _, hashes = words(data, NOT_SPACE)
-    yield starts, ((hashes >> np.uint64(32)).astype(np.uint32) * np.uint32(2654435761)) >> shift
-    opens = np.diff(np.searchsorted(offsets, starts, "right")) > 0  # the first word of a row repeats none
-    again = starts[1:][(hashes[1:] == hashes[:-1]) & ~opens]
-    yield again, np.full(len(again), REPEAT, dtype=np.uint32)
+    yield starts, _bucket(hashes)
+    same_row = np.diff(np.searchsorted(offsets, starts, "right")) == 0
+    yield starts[1:][same_row], _bucket((hashes[1:] ^ hashes[:-1])[same_row])
     inside, wide = NOT_SPACE[data], data.astype(np.uint32)
     run, rolling = inside.copy(), wide * np.uint32(0x85EBCA6B)
     for n in range(2, max(GRAMS) + 1):
