@@ -120,14 +120,15 @@ def prompts_short_of_models(spark, sf):
 
 @query(
     "collect_candidates",
-    """WITH d AS (SELECT o_custkey, o_orderpriority AS model, o_orderkey::VARCHAR AS text, o_orderstatus AS query FROM orders)
- SELECT o_custkey, string_agg(model, ',' ORDER BY model, text) AS models, string_agg(text, ',' ORDER BY model, text) AS completions, arg_min(query, {'m': model, 't': text}) AS query FROM d GROUP BY 1""",
+    """WITH d AS (SELECT o_custkey, o_orderpriority AS model, o_orderkey::VARCHAR AS text, o_orderstatus AS query FROM orders),
+ r AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY model, text) - 1) // 8 AS part, first(query) OVER (PARTITION BY o_custkey ORDER BY model, text) AS q FROM d)
+ SELECT o_custkey, part, string_agg(model, ',' ORDER BY model, text) AS models, string_agg(text, ',' ORDER BY model, text) AS completions, q AS query FROM r GROUP BY o_custkey, part, q""",
 )
 def collect_candidates(spark, sf):
-    """AGG19."""
+    """AGG19, in parts of eight."""
     d = table(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("model"), F.col("o_orderkey").cast("string").alias("text"), F.col("o_orderstatus").alias("query"))
-    c = R.collect_candidates(d, "o_custkey", "model", "text", "query")
-    return c.select("o_custkey", F.array_join("models", ",").alias("models"), F.array_join("completions", ",").alias("completions"), "query")
+    c = R.collect_candidates(d, "o_custkey", "model", "text", "query", 8)
+    return c.select("o_custkey", "part", F.array_join("models", ",").alias("models"), F.array_join("completions", ",").alias("completions"), "query")
 
 
 @query(

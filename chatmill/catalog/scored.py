@@ -165,6 +165,20 @@ def merge_metrics(spark, sf):
     return R.merge_metrics(table(spark, sf, "events"), "event_type", "event_id", number="value", text="props")
 
 
+@query(
+    "merge_metric_lists",
+    """WITH e AS (SELECT event_type, event_id, unnest([user_id, event_id % 7]) AS v, unnest([0, 1]) AS i FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id, i) - 1 AS rank FROM e)
+ SELECT event_type, rank // 1000 AS part, count(*) AS n, sha256(string_agg(v::VARCHAR, ',' ORDER BY rank)) AS list FROM r GROUP BY 1, 2""",
+    cast={"part": "BIGINT"},
+)
+def merge_metric_lists(spark, sf):
+    """AGG15: lists concatenated in step order, in parts of 1 000; one event type has a large share of all rows."""
+    df = table(spark, sf, "events").select("event_type", "event_id", F.array(F.col("user_id").cast("long"), F.col("event_id") % 7).alias("v"))
+    parts = R.merge_metric_lists(df, "event_type", "event_id", "v", 1000)
+    return parts.select("event_type", "part", F.size("v").cast("long").alias("n"), F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("list"))
+
+
 @query(
     "masked_mean",
     """SELECT sum(l_quantity * m) / nullif(sum(m), 0) AS masked_mean FROM (SELECT l_quantity, (l_returnflag = 'R')::INTEGER AS m FROM lineitem)""",

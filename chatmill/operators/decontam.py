@@ -159,7 +159,7 @@ class NgramOverlap:
             .withColumn("sig", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64("grams", F.lit(1)).alias("b"))),
             "overlap",
         )
-        signatures = self.units.groupBy("sig").agg(F.first("grams").alias("grams"), F.count("*").alias("n_units"))
+        signatures = self.units.groupBy("sig").agg(F.first("grams").alias("grams"))
         per_field = (
             signatures.select("sig", F.explode("grams").alias("g"))
             .select("sig", "g.*")
@@ -170,7 +170,7 @@ class NgramOverlap:
             .agg(F.collect_set("p").alias("at"))
         )
         pairs = per_field.groupBy("sig", "item").agg((F.sum(covered_tokens(F.col("at"), n) / F.col("len")) / len(fields)).alias("score"))
-        self.pairs, self.signatures = pairs, signatures
+        self.pairs = pairs
 
     def item_scores(self) -> DataFrame:
         best = self.pairs.groupBy("item").agg(F.max("score").alias("score"))
@@ -178,8 +178,7 @@ class NgramOverlap:
 
     def train_scores(self) -> DataFrame:
         best = self.pairs.groupBy("sig").agg(F.max("score").alias("score"))
-        stats = best.join(self.signatures.select("sig", "n_units"), "sig")
-        scored = join_stats(self.units.select(self.ids, "sig"), stats, "sig", "n_units")
+        scored = join_stats(self.units.select(self.ids, "sig"), best, "sig")
         return scored.groupBy(self.ids).agg(F.max("score").alias("score"))
 
 

@@ -39,8 +39,7 @@ def lookup_multi_source(refs: DataFrame, sources: dict[str, DataFrame], keys=("s
 def expand_one_to_many(base: DataFrame, long: DataFrame, ids: str) -> DataFrame:
     """Every long row of an id, with the number of rows the id has."""
     counts = long.groupBy(ids).agg(F.count("*").alias("num_outputs"))
-    rows = join_stats(long, counts, ids, "num_outputs")
-    return rows.join(base, ids)
+    return join_stats(long, counts.join(base, ids), ids)
 
 
 def rows_common_to_all(tables: dict[str, DataFrame], key: str) -> DataFrame:
@@ -59,11 +58,9 @@ def attach_ratings(ratings: DataFrame, reference: DataFrame, ids: str = "id") ->
 
 
 def rollouts_with_prompts(rollouts: DataFrame, prompts: DataFrame, index: str = "index", per_prompt: DataFrame | None = None) -> DataFrame:
-    """Query, ground truth and verifier for every sample, by data set index. With per-prompt counts
-    given, prompts with very many samples are served by broadcast instead of one shuffle partition."""
-    if per_prompt is None:
-        return rollouts.join(prompts, index)
-    return join_stats(rollouts, prompts.join(per_prompt, index), index, "n")
+    """Query, ground truth and verifier for every sample, by data set index, and what is known per prompt, if given. Prompts are
+    broadcast only if their written bytes allow it; one with very many samples is split by the join."""
+    return join_stats(rollouts, prompts if per_prompt is None else prompts.join(per_prompt, index), index)
 
 
 def include_reference_candidate(completions: DataFrame, prompt: str = "prompt_id", sample: str = "sample_idx", text: str = "model_completion", reference: str = "reference_completion") -> DataFrame:
@@ -123,7 +120,7 @@ def passed_tests(results: DataFrame, ids: str, passed: str = "passed", ratio: fl
     """The same over one row per test: the passed tests of ids that pass at least ``ratio`` of theirs."""
     ok = F.col(passed).cast("double") == 1
     rate = results.groupBy(ids).agg(F.count("*").alias("_n"), F.count_if(ok).alias("_ok")).filter((F.col("_ok") >= ratio * F.col("_n")) & (F.col("_ok") > 0))
-    return join_stats(results.filter(ok), rate, ids, "_n").drop("_n", "_ok")
+    return join_stats(results.filter(ok), rate, ids).drop("_n", "_ok")
 
 
 def tree_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:

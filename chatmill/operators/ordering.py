@@ -211,19 +211,40 @@ def top_n_per_key(df: DataFrame, keys, n: int, order_by, min_rows: int = 0) -> D
     return ranked.drop("_rn")
 
 
-def join_stats(df: DataFrame, stats: DataFrame, keys, count: str, how: str = "inner", hot_rows: int = 2_000_000) -> DataFrame:
-    """Attach one-row-per-key ``stats`` to every row of a possibly skewed ``df``.
+def join_stats(df: DataFrame, stats: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Attach one-row-per-key ``stats`` to every row of a possibly skewed ``df`` in one join. A null key is a key.
 
-    Keys holding at least ``hot_rows`` rows number at most rows/hot_rows, so their stats are broadcast;
-    all other keys go through a shuffle join whose partitions are bounded by construction. A null key is a key.
+    The statistics are written first, so Spark knows their bytes: it broadcasts them if they are few, and no row of
+    ``df`` moves. Otherwise both sides are plain shuffles (the statistics no longer carry their aggregate's
+    partitioning, which would forbid it), so adaptive execution splits a key with a third of all rows over many tasks.
     """
+    return _null_safe_join(df, materialise(stats, "stats"), [keys] if isinstance(keys, str) else list(keys), how)
+
+
+def rank_in_key(df: DataFrame, keys, order_by, name: str = "rank") -> DataFrame:
+    """0-based rank of each row among the rows of its key, whatever a key's size. A null key is a key.
+
+    Rows are range-partitioned by (keys, order) and written with their place; a key that spans partitions is put together
+    from one count for each partition. ``order_by`` should end in a unique column, so that a hot key can be cut anywhere.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in ([order_by] if isinstance(order_by, (str, Column)) else order_by)]
+    line = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the low 33 bits of monotonically_increasing_id are the row's place inside its partition
+    line = materialise(line.withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranks")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    heads = line.groupBy(*keys, "_part").agg(F.min("_pos").alias("_start"), F.count("*").alias("_n"))
+    heads = heads.select(*keys, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"))
+    return _null_safe_join(line, materialise(heads, "heads"), [*keys, "_part"]).withColumn(name, F.col("_shift") + F.col("_pos")).drop("_part", "_pos", "_shift")
+
+
+def segmented_lists(df: DataFrame, keys, order_by, values: dict[str, Column], size: int, part: str = "part") -> DataFrame:
+    """(keys, part, one array for each of ``values``): a key's elements in order, in arrays of ``size`` elements at most."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = stats.filter(F.col(count) >= hot_rows)
-    cold = stats.filter(F.col(count) < hot_rows)
-    hot_keys = F.broadcast(hot.select(*keys))
-    hot_part = _null_safe_join(df, F.broadcast(hot), keys, "inner")
-    cold_part = _null_safe_join(_null_safe_join(df, hot_keys, keys, "left_anti"), cold, keys, how)
-    return hot_part.unionByName(cold_part)
+    ranked = rank_in_key(df, keys, order_by, "_rank")
+    row = F.struct("_rank", *[c.alias(n) for n, c in values.items()])
+    grouped = ranked.groupBy(*keys, F.floor(F.col("_rank") / size).alias(part)).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return grouped.select(*keys, part, *[F.col(f"_rows.{n}").alias(n) for n in values])
 
 
 def epoch_shards(

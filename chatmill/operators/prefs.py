@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chatmill.functions.arrays import let
 from chatmill.functions.rand import hash_key, hash_pick
-from chatmill.operators.ordering import first_per_key, top_n_per_key
+from chatmill.operators.ordering import first_per_key, join_stats, segmented_lists, top_n_per_key
 
 
 def mean_of(columns: list[str]) -> Column:
@@ -155,13 +155,13 @@ def prompts_short_of_models(df: DataFrame, prompt: str, model: str, k: int = 4)
     return df.groupBy(prompt).agg(F.countDistinct(model).alias("n_models")).filter(F.col("n_models") < k)
 
 
-def collect_candidates(df: DataFrame, prompt: str, model: str, text: str, query: str) -> DataFrame:
-    """Per prompt all completions and their models, in the order of model and completion, and the prompt text. A
-    list is as long as the prompt has completions; ``mixing.distinct_by_id`` picks one per model before, if wanted."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(model).alias("m"), F.col(text).alias("t"))))
-    return df.groupBy(prompt).agg(rows.alias("_r"), F.min_by(query, F.struct(model, text)).alias(query)).select(
-        prompt, query, F.transform("_r", lambda x: x["t"]).alias("completions"), F.transform("_r", lambda x: x["m"]).alias("models")
-    )
+def collect_candidates(df: DataFrame, prompt: str, model: str, text: str, query: str, size: int = 1000) -> DataFrame:
+    """(prompt, query, part, completions, models): all completions of a prompt and their models in the order of model and
+    completion, in parts of ``size`` at most, and the prompt's text. A prompt with any share of all rows is many parts;
+    ``mixing.distinct_by_id`` picks one per model before, if wanted."""
+    asked = df.groupBy(prompt).agg(F.min_by(query, F.struct(model, text)).alias(query))
+    parts = segmented_lists(df.select(prompt, model, text), prompt, [model, text], {"completions": F.col(text), "models": F.col(model)}, size)
+    return join_stats(parts, asked, prompt).select(prompt, query, "part", "completions", "models")
 
 
 def pivot_aspects(df: DataFrame, ids: str, aspect: str, output: str, aspects: list[str]) -> DataFrame:

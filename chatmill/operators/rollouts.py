@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatmill.operators.ordering import join_stats
+from chatmill.operators.ordering import join_stats, segmented_lists
 
 
 def group_reward_stats(df: DataFrame, prompt: str = "prompt_id", reward: str = "reward") -> DataFrame:
@@ -20,7 +20,7 @@ def group_reward_stats(df: DataFrame, prompt: str = "prompt_id", reward: str = "
 
 
 def with_group_stats(df: DataFrame, prompt: str = "prompt_id", reward: str = "reward") -> DataFrame:
-    return join_stats(df, group_reward_stats(df, prompt, reward), prompt, "n")
+    return join_stats(df, group_reward_stats(df, prompt, reward), prompt)
 
 
 def advantage(mode: str = "standard", reward: str = "reward") -> Column:
@@ -50,7 +50,7 @@ def zero_std(max_score: float | None = None) -> Column:
 def zero_std_filter(df: DataFrame, max_score: float | None = None, prompt: str = "prompt_id", reward: str = "reward") -> DataFrame:
     """Rollouts of prompts whose rewards differ."""
     varied = group_reward_stats(df, prompt, reward).filter(zero_std(max_score).isNull())
-    return join_stats(df, varied.select(prompt, "n"), prompt, "n").drop("n")
+    return join_stats(df, varied.select(prompt), prompt)
 
 
 def annotate_passrate(prompts: DataFrame, scores: DataFrame, key: str, score: str) -> DataFrame:
@@ -145,8 +145,16 @@ def rubric_metrics(df: DataFrame, kind: str = "type", score: str = "score", weig
     )
 
 
+def merge_metric_lists(df: DataFrame, key: str, step: str, values: str, size: int = 100_000) -> DataFrame:
+    """(key, part, values): the lists of a key concatenated in step order, in parts of ``size`` elements at most, so that a key
+    with any share of all records is never one array."""
+    elements = df.select(key, step, F.posexplode(values).alias("_at", "_value"))
+    return segmented_lists(elements, key, [step, "_at"], {values: F.col("_value")}, size)
+
+
 def merge_metrics(df: DataFrame, key: str, step: str, number: str | None = None, values: str | None = None, text: str | None = None) -> DataFrame:
-    """Merge metric records by key: numbers averaged, lists concatenated in step order, others last."""
+    """Merge metric records by key: numbers averaged, lists concatenated in step order, others last. A key's list is one
+    array here; where it may be long, ``merge_metric_lists`` gives it in parts."""
     aggs = []
     if number:
         aggs.append(F.avg(number).alias(number))

@@ -1,5 +1,7 @@
 """Literal cases for converters, filters, ordering, mixing, preferences and joins."""
 
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -200,8 +202,16 @@ def test_ordering(spark):
 def test_join_stats_hot_and_cold(spark):
     df = spark.range(100).withColumn("k", F.when(F.col("id") < 80, 0).otherwise(F.col("id")))
     stats = df.groupBy("k").agg(F.count("*").alias("n"))
-    a = O.join_stats(df, stats, "k", "n", hot_rows=10)
-    assert a.count() == 100 and sorted(r["n"] for r in a.collect()) == [1] * 20 + [80] * 80
+    threshold, given = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for size, kind in ((given, "BroadcastHashJoin"), ("-1", "SortMergeJoin")):
+        spark.conf.set(threshold, size)
+        try:
+            a = O.join_stats(df, stats, "k")
+            assert a.count() == 100 and sorted(r["n"] for r in a.collect()) == [1] * 20 + [80] * 80
+            plan = a._jdf.queryExecution().sparkPlan().toString()
+        finally:
+            spark.conf.set(threshold, given)
+        assert plan.count("Join") == plan.count(kind) == 1 and "Aggregate" not in plan  # one join with what was written
 
 
 def test_mixing_rules(spark):
@@ -281,5 +291,26 @@ def test_tree_paths_deeper_than_any_fixed_bound(spark):
 def test_join_stats_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
     stats = df.groupBy("k").agg(F.count("*").alias("n"))
-    for hot in (1, 2, 100):
-        assert O.join_stats(df, stats, "k", "n", hot_rows=hot).count() == 3
+    assert O.join_stats(df, stats, "k").count() == 3
+
+
+def test_rank_in_key_and_segmented_lists(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, "a", "a", "a", "b", "c"]), i, rng.randrange(5)) for i in rng.sample(range(3000), 3000)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(7)
+    want = {}
+    for k, i, v in sorted(rows, key=lambda r: (r[2], r[1])):
+        want.setdefault(k, []).append((v, i))
+    got = O.rank_in_key(df, "k", ["v", "i"]).collect()
+    assert len(got) == 3000 and all(want[r["k"]][r["rank"]] == (r["v"], r["i"]) for r in got)
+    parts = O.segmented_lists(df, "k", ["v", "i"], {"v": F.col("v"), "i": F.col("i")}, 100).collect()
+    assert len(parts) == sum(-(-len(x) // 100) for x in want.values())
+    for r in parts:
+        assert list(zip(r["v"], r["i"])) == want[r["k"]][100 * r["part"] : 100 * r["part"] + 100]
+    assert O.segmented_lists(df.limit(0), "k", "i", {"v": F.col("v")}, 10).count() == 0
+
+
+def test_lists_of_metrics_in_parts(spark):
+    df = spark.createDataFrame([("m", 2, [3, 4]), ("m", 1, [1, 2]), ("m", 3, []), ("n", 1, None), ("o", 1, [9])], "key string, step int, v array<int>")
+    got = sorted((r["key"], r["part"], r["v"]) for r in RO.merge_metric_lists(df, "key", "step", "v", 3).collect())
+    assert got == [("m", 0, [1, 2, 3]), ("m", 1, [4]), ("o", 0, [9])]
