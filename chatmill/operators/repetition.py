@@ -1,13 +1,19 @@
 """Repeated paragraphs, sentences and n-grams inside one text.
 
 Everything is computed inside the row that holds the text: units are sorted with their positions, units
-that occur once are dropped at once, and only the repeated ones reach the rules. No shuffle.
+that occur once are dropped at once, and only the repeated ones reach the rules; a text without enough repeats is told by
+one hash pass. N-grams are compared as numbers, a batch of texts at a time. No shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatmill.functions import text as X
 from chatmill.functions.arrays import computed_once, group_starts, indices, last, let
@@ -43,6 +49,16 @@ CODE_WORDS = "import|from|return|def|class|if|for|while"
 TRANSITION_WORDS = ["alternatively,", "therefore,", "however,"]
 
 
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finaliser that spreads every input bit over the word."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def is_math_or_code(c: Column) -> Column:
     # every code pattern of the rule contains one of the symbols, so the symbol test decides
     return c.rlike(MATH_SYMBOLS)
@@ -77,7 +93,7 @@ def is_structured_list(c: Column) -> Column:
 
 def repeated_units(units: Column, min_length: int, min_count: int = 2) -> Column:
     """array<struct<unit, total, run, first, positions>> of units seen at least ``min_count`` times,
-    ordered by first occurrence. ``run`` is the longest stretch of adjacent positions."""
+    ordered by first occurrence; null where there is none. ``run`` is the longest stretch of adjacent positions."""
     occurrences = F.filter(
         F.transform(units, lambda u, i: F.struct(u.alias("u"), i.alias("p"))), lambda o: F.length(o["u"]) >= min_length
     )
@@ -114,8 +130,14 @@ def repeated_units(units: Column, min_length: int, min_count: int = 2) -> Column
 
         return let(group_starts(F.transform(r, lambda x: x["u"])), group)
 
-    found = let(let(F.sort_array(occurrences), repeated), summarise)
-    return F.sort_array(F.filter(found, lambda f: f["total"] >= min_count))
+    def found(o):
+        # a unit seen min_count times leaves as many less one copies over: one hash pass spares most texts the rest
+        spare = F.size(o) - F.size(F.array_distinct(F.transform(o, lambda x: x["u"])))
+        units = let(let(F.sort_array(o), repeated), summarise)
+        some = F.sort_array(F.filter(units, lambda f: f["total"] >= min_count))
+        return F.when(spare >= min_count - 1, some)
+
+    return let(occurrences, found)
 
 
 def repetition_reason(
@@ -184,15 +206,66 @@ def repetition_filter(df: DataFrame, messages: str = "messages", **thresholds) -
     return flag_repetition(df, last_assistant(F.col(messages)), **thresholds).filter("repetition_reason is null").drop("repetition_reason")
 
 
-def repeated_ngrams(df: DataFrame, ids: str, text: Column, n: int = 3, min_occurrences: int = 2) -> DataFrame:
-    """(id, ngram, occurrences, first, positions) of n-grams repeated inside a text. N-grams seen once
-    never leave their row."""
-    from chatmill.functions.arrays import ngrams
+def _unlike(codes: np.ndarray, rows: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Whether each run differs from the one listed before it."""
+    out = rows[places[1:]] != rows[places[:-1]]
+    for i in range(n):
+        out |= codes[places[1:] + i] != codes[places[:-1] + i]
+    return out
+
+
+def equal_runs(codes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, cuts): where runs of ``n`` codes inside a row begin, equal runs of one row side by side and in order; a
+    group begins at each cut. Runs are hashed by doubling, from runs of 1, 2, 4 ... codes, sorted once by hash, and
+    neighbours are compared code by code."""
+    with np.errstate(over="ignore"):
+        power, width = mix64(codes.astype(np.uint64) + np.uint64(1)), 1
+        run, done = np.zeros(len(codes) + 1, dtype=np.uint64), 0
+        while done < n:
+            if n & width:  # the run so far, and the next ``width`` codes behind it
+                ahead = power[done:]
+                run = mix64(run[: len(ahead)] * MULTIPLIER + ahead)
+                done += width
+            power, width = mix64(power[: max(len(power) - width, 0)] * MULTIPLIER + power[width:]), 2 * width
+        places = np.flatnonzero(rows[: len(run)] == rows[n - 1 :][: len(run)])
+        key = mix64(run[places] + mix64(rows[places].astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    places, key = places[order], key[order]
+    apart = _unlike(codes, rows, places, n)
+    if (apart & (key[1:] == key[:-1])).any():  # unlike runs of one hash: sorted by their codes instead
+        places = np.sort(places)
+        places = places[np.lexsort([codes[places + i] for i in reversed(range(n))] + [rows[places]])]
+        apart = _unlike(codes, rows, places, n)
+    return places, np.concatenate([[0], np.flatnonzero(apart) + 1, [len(places)]]) if len(places) else np.zeros(1, dtype=np.int64)
 
-    found = repeated_units(ngrams(X.words(F.lower(text)), n), 0, min_occurrences)
-    return df.select(ids, F.explode(found).alias("f")).select(
-        ids, F.col("f.unit").alias("ngram"), F.col("f.total").alias("occurrences"), F.col("f.first").alias("first"), F.col("f.positions").alias("positions")
+
+def repeated_ngrams(df: DataFrame, ids: str, text: Column, n: int = 3, min_occurrences: int = 2) -> DataFrame:
+    """(id, ngram, occurrences, first, positions) of n-grams repeated inside a text. Words are numbered by a dictionary of
+    their batch and n-grams compared as numbers; those seen once never leave their row, and no text is shuffled."""
+    kind = df.schema[ids].dataType
+    schema = T.StructType(
+        [T.StructField(ids, kind), T.StructField("ngram", T.StringType()), T.StructField("occurrences", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]
     )
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            words = lists.flatten()
+            codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            places, cuts = equal_runs(codes, rows, n)
+            sizes = np.diff(cuts)
+            some = np.flatnonzero(sizes >= min_occurrences)
+            firsts = places[cuts[some]]
+            grams = [" ".join(words.slice(p, n).to_pylist()) for p in firsts.tolist()]
+            inside = (places - offsets[rows[places]]).astype(np.int32)
+            positions = [inside[cuts[g] : cuts[g + 1]] for g in some.tolist()]
+            columns = [b.column(0).take(pa.array(rows[firsts])), pa.array(grams, pa.string()), pa.array(sizes[some].astype(np.int32)), pa.array([int(x[0]) for x in positions], pa.int32()), pa.array(positions, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.select(ids, computed_once(F.coalesce(X.words(F.lower(text)), F.array().cast("array<string>"))).alias("_words")).mapInArrow(run, schema)
 
 
 def run_report(df: DataFrame, ids: str, text: Column, kind: str = "line") -> DataFrame:
