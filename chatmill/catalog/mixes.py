@@ -78,12 +78,19 @@ def sample_exact(spark, sf):
     return O.sample_exact(documents(spark, sf).select("doc_id"), 333, 9, "doc_id")
 
 
+# by the number of the source: half as much again, twenty rows, or two and a quarter times as much
+_AMOUNTS = ["1.5", "20", "2.25"]
+_KIND = "substr(source, 4)::INTEGER % {n}"
 _MIX = f"""WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_h(42)}) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
- t AS (SELECT *, CASE source WHEN 'src0' THEN (1.5 * n)::BIGINT WHEN 'src1' THEN 20 ELSE (2.25 * n)::BIGINT END AS target FROM s WHERE source IN ('src0', 'src1', 'src2')),
- f AS (SELECT *, floor(target / n)::BIGINT AS k FROM (SELECT doc_id, source, r, n, CASE source WHEN 'src0' THEN floor(1.5 * n)::BIGINT WHEN 'src1' THEN 20 ELSE floor(2.25 * n)::BIGINT END AS target FROM t))
+ f AS (SELECT *, floor(target / n)::BIGINT AS k FROM (SELECT doc_id, source, r, n, CASE {_KIND.format(n=3)} WHEN 0 THEN floor(1.5 * n)::BIGINT WHEN 1 THEN 20 ELSE floor(2.25 * n)::BIGINT END AS target FROM s))
  SELECT doc_id, source, unnest(range(1, k + 1)) AS copy FROM f WHERE k > 0 UNION ALL SELECT doc_id, source, k + 1 FROM f WHERE r < target % n"""
 
 
+def _names(spark, sf) -> list[str]:
+    """The sources of the table, as a mix list names them."""
+    return sorted((r["source"] for r in documents(spark, sf).select("source").distinct().collect()), key=lambda x: int(x[3:]))
+
+
 def _sources(spark, sf, names):
     d = documents(spark, sf).select("doc_id", "source")
     return {n: d.filter(F.col("source") == n) for n in names}
@@ -92,7 +99,8 @@ def _sources(spark, sf, names):
 @query("mix_by_amounts", _MIX, cast={"copy": "INTEGER"})
 def mix_by_amounts(spark, sf):
     """ORD1 and ORD2: proportions and counts, up- and downsampling."""
-    out, _ = M.mix(_sources(spark, sf, ["src0", "src1", "src2"]), ["src0", "1.5", "src1", "20", "src2", "2.25"], "doc_id")
+    names = _names(spark, sf)
+    out, _ = M.mix_table(documents(spark, sf).select("doc_id", "source"), [x for n in names for x in (n, _AMOUNTS[int(n[3:]) % 3])], "doc_id")
     return out.select("doc_id", "source", "copy")
 
 
@@ -112,21 +120,23 @@ def resample_by_source(spark, sf):
 @query(
     "mix_fixed",
     f"""WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_h(42)}) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
- SELECT doc_id, source FROM s WHERE (source = 'src3' AND r <= floor(0.5 * n)) OR (source = 'src4' AND r <= floor(0.25 * n))""",
+ SELECT doc_id, source FROM s WHERE r <= floor(CASE {_KIND.format(n=2)} WHEN 0 THEN 0.25 ELSE 0.5 END * n)""",
 )
 def mix_fixed(spark, sf):
     """ORD3."""
-    return M.mix_fixed(_sources(spark, sf, ["src3", "src4"]), {"src3": 0.5, "src4": 0.25}, "doc_id")
+    names = _names(spark, sf)
+    return M.mix_fixed(_sources(spark, sf, names), {n: (0.25, 0.5)[int(n[3:]) % 2] for n in names}, "doc_id")
 
 
 @query(
     "combine",
     f"""WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_h(42)}) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
- SELECT doc_id, source FROM s WHERE (source = 'src5' AND r <= 15) OR (source = 'src6' AND r <= floor(0.75 * n)) OR source = 'src7'""",
+ SELECT doc_id, source FROM s WHERE CASE {_KIND.format(n=3)} WHEN 2 THEN r <= 15 WHEN 0 THEN r <= floor(0.75 * n) ELSE true END""",
 )
 def combine(spark, sf):
-    """ORD4: a count, a fraction and a test source that is never subsampled."""
-    return M.combine(_sources(spark, sf, ["src5", "src6", "src7"]), {"src5": 15.0, "src6": 0.75, "src7": 0.1}, "doc_id", splits={"src7": "test"})
+    """ORD4: counts, fractions and test sources, which are never subsampled."""
+    names = _names(spark, sf)
+    return M.combine(_sources(spark, sf, names), {n: (0.75, 0.1, 15.0)[int(n[3:]) % 3] for n in names}, "doc_id", splits={n: "test" for n in names if int(n[3:]) % 3 == 1})
 
 
 @query(
@@ -239,8 +249,8 @@ def mix_statistics(spark, sf):
 
 @query(
     "built_mix",
-    f"""WITH s AS (SELECT doc_id, source, text, n_chars, row_number() OVER (PARTITION BY source ORDER BY {_h(42)}) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IN ('src0', 'src1')),
- f AS (SELECT *, CASE source WHEN 'src0' THEN floor(1.5 * n)::BIGINT ELSE 20 END AS target FROM s),
+    f"""WITH s AS (SELECT doc_id, source, text, n_chars, row_number() OVER (PARTITION BY source ORDER BY {_h(42)}) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
+ f AS (SELECT *, CASE {_KIND.format(n=3)} WHEN 0 THEN floor(1.5 * n)::BIGINT WHEN 1 THEN 20 ELSE floor(2.25 * n)::BIGINT END AS target FROM s),
  c AS (SELECT doc_id, source, n_chars, unnest(range(1, target // n + 1)) AS copy FROM f UNION ALL SELECT doc_id, source, n_chars, target // n + 1 FROM f WHERE r < target % n)
  SELECT doc_id, source, copy::INTEGER AS copy, row_number() OVER (ORDER BY source, copy, doc_id) - 1 AS index FROM c WHERE n_chars <= 5000""",
 )
@@ -253,8 +263,8 @@ def built_mix(spark, sf):
 
     root = f"{shared_dir(spark).rstrip('/')}/mix-{uuid.uuid4().hex}"
     d = documents(spark, sf).select("doc_id", "source", "n_chars")
-    sources = {n: d.filter(F.col("source") == n) for n in ("src0", "src1")}
-    spec = MixSpec(("src0", "1.5", "src1", "20"), steps=(("max_length", {"n_chars": 5000}),), keep=("n_chars",), ids="doc_id")
+    sources = {n: d.filter(F.col("source") == n) for n in _names(spark, sf)}
+    spec = MixSpec(tuple(x for n in sources for x in (n, _AMOUNTS[int(n[3:]) % 3])), steps=(("max_length", {"n_chars": 5000}),), keep=("n_chars",), ids="doc_id")
     build_mix(spark, spec, sources, root=root)
     rows, _ = build_mix(spark, spec, {}, root=root)
     return rows.select("doc_id", "source", "copy", "index")

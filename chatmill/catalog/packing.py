@@ -107,14 +107,18 @@ _VOCAB = f"""t AS (SELECT unnest({_TOKENS}) AS token FROM conversations), cn AS
 _HEAD = r"""CASE role WHEN 'system' THEN ['<','|','system','|','>',chr(10)] WHEN 'user' THEN ['<','|','user','|','>',chr(10)] ELSE ['<','|','assistant','|','>',chr(10)] END"""
 
 
-@query(
-    "encode_chat",
-    f"""WITH {_VOCAB}, m AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS before, lead(role) OVER w AS after, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+# the tokens of every conversation in order, and whether they are trained on
+CHAT_TOKENS = f"""WITH m AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS before, lead(role) OVER w AS after, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
  p AS (SELECT conv_id, turn, 0 AS part, {_HEAD} AS k, role = 'assistant' AND (before IS NULL OR before = 'assistant') AS train FROM m
   UNION ALL SELECT conv_id, turn, 1, {_TOKENS} || CASE WHEN role = 'assistant' THEN ['<', 'eos', '>'] ELSE [chr(10)] END, role = 'assistant' FROM m
   UNION ALL SELECT conv_id, turn, 2, CASE WHEN role = 'assistant' AND turn < top THEN [chr(10)] ELSE [] END, role = 'assistant' AND coalesce(after, 'assistant') = 'assistant' FROM m),
  x AS (SELECT conv_id, turn, part, unnest(range(len(k))) AS j, unnest(k) AS token, train FROM p),
- o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part, j) AS pos, token, train FROM x),
+ o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part, j) AS pos, token, train FROM x)"""
+
+
+@query(
+    "encode_chat",
+    f"""{CHAT_TOKENS.replace('WITH ', 'WITH ' + _VOCAB + ', ', 1)},
  e AS (SELECT conv_id, pos, coalesce(id, 0) AS id, train FROM o LEFT JOIN v USING (token) WHERE pos <= 300)
  SELECT conv_id, count(*)::INTEGER AS n, count(*) FILTER (WHERE train)::INTEGER AS n_train, string_agg(id, ' ' ORDER BY pos) AS ids, string_agg(CASE WHEN train THEN id ELSE -100 END, ' ' ORDER BY pos) AS labels FROM e GROUP BY 1""",
 )

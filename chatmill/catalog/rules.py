@@ -11,27 +11,15 @@ from chatmill.catalog.registry import query
 from chatmill.functions import constraints as K
 from chatmill.plans.tables import documents
 
-# around the whole text, by doc_id modulo their number; {t} is the text, {i} the document's number
+# around every document's text, by doc_id modulo their number; each keeps the text. {t} is the text, {i} the document's number
 DRESS = [
-    "{t}",
     "<<A title>>\n{t}\nP.S. the end",
     "* one\n* two\n- three\n{t}",
     '"{t}"',
     "{t} ****** {t}",
     "{t}\nMy answer is yes. Section 1",
     "{t} *** second [a] [b] *bold* **strong** now",
-    '{{"a": {i}}}',
-    "Say *{i}* now",
     "{t}******other",
-    "Twice******twice ",
-    "[{i}] [two]",
-    "one * * * two THREE FOUR",
-    "Now zero or now",
-    "the fact.",
-    "<<a b>> <<c d>>",
-]
-# around every document's text in the second of its two rows, by doc_id modulo their number; each keeps the text
-DRESS_WHOLE = [d for d in DRESS[1:] if "{t}" in d] + [
     '{{"a": "{t}"}}',
     "Say *{t}* now",
     "Twice******{t}",
@@ -166,7 +154,7 @@ def _units(rows: str, more: str = "") -> str:
 
 
 _UNITS = _units(_dressed_sql())
-_WHOLE = _units(f"SELECT doc_id, false AS dressed, text AS t FROM documents UNION ALL SELECT doc_id, true AS dressed, t FROM ({_dressed_sql(DRESS_WHOLE)})", "dressed, ")
+_WHOLE = _units(f"SELECT doc_id, false AS dressed, text AS t FROM documents UNION ALL SELECT doc_id, true AS dressed, t FROM ({_dressed_sql()})", "dressed, ")
 
 
 def _judged(d, keys: list[str]):
@@ -188,7 +176,7 @@ def _judged(d, keys: list[str]):
 )
 def constraint_rules(spark, sf):
     """2.9.1: the rules that no other query holds, in one pass over the texts; which documents meet a rule shows in the sum of
-    their numbers. Half of the documents are replaced by fixed strings here; ``constraint_rules_whole`` judges all texts."""
+    their numbers. Every document's whole text is judged, with something around it that makes more rules meet both outcomes."""
     return _judged(documents(spark, sf).select("doc_id", _dressed().alias("t")).filter("t is not null"), [])
 
 
@@ -199,6 +187,6 @@ def constraint_rules(spark, sf):
     + ") GROUP BY 1, 2",
 )
 def constraint_rules_whole(spark, sf):
-    """2.9.1: every document's whole text by the same rules, and once more with something around it."""
-    rows = F.array(F.struct(F.lit(False).alias("dressed"), F.col("text").alias("t")), F.struct(F.lit(True).alias("dressed"), _dressed(DRESS_WHOLE).alias("t")))
+    """2.9.1: every document's text as it is by the same rules, and once more with something around it."""
+    rows = F.array(F.struct(F.lit(False).alias("dressed"), F.col("text").alias("t")), F.struct(F.lit(True).alias("dressed"), _dressed().alias("t")))
     return _judged(documents(spark, sf).select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").filter("t is not null"), ["dressed"])

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chatmill.catalog import sqlparts as S
+from chatmill.catalog.packing import CHAT_TOKENS
 from chatmill.catalog.registry import query
 from chatmill.functions import text as X
 from chatmill.functions import wordlists as L
@@ -87,14 +88,15 @@ def valid_pair(spark, sf):
 
 @query(
     "has_trainable_label",
-    f"""WITH t AS (SELECT conv_id, sum({S.n_words('text')}) FILTER (WHERE turn = 0) AS masked, sum({S.n_words('text')}) AS n FROM conversations GROUP BY 1)
- SELECT conv_id FROM t WHERE least(n, 25) > masked""",
+    f"{CHAT_TOKENS} SELECT DISTINCT conv_id FROM o WHERE pos <= 4096 AND train",
 )
 def has_trainable_label(spark, sf):
-    """FLT15: the first message is masked and sequences end after 25 words, so a long first message leaves nothing to train on."""
-    m = chat(spark, sf)
-    words = F.flatten(F.transform("messages", lambda x, i: F.transform(X.words(x["content"]), lambda w: F.when(i == 0, -100).otherwise(1))))
-    return m.withColumn("labels", F.slice(words, 1, 25)).filter(P.has_trainable_label()).select("conv_id")
+    """FLT15 behind PK3: labels of whole conversations, encoded up to 4 096 tokens."""
+    from chatmill.operators import pack as K
+    from chatmill.plans.tables import turns
+
+    vocab = K.build_vocab(turns(spark, sf), K.tokens(F.col("content")), 400)
+    return K.encode_chat(chat(spark, sf), K.encoder(vocab), template="tags", eos="<eos>", max_len=4096).filter(P.has_trainable_label()).select("conv_id")
 
 
 @query("keep_equal", "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1'")

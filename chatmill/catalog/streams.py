@@ -282,14 +282,13 @@ def kept_and_removed_files(spark, sf):
     return spark.read.parquet(work).withColumn("kept", F.col("kept").cast("boolean")).groupBy("kept").agg(F.count("*").alias("n"))
 
 
-@query(
-    "score_matrix",
-    """SELECT lang, format('{:.4f}', avg(n_chars) FILTER (WHERE source = 'src1')) AS src1, format('{:.4f}', avg(n_chars) FILTER (WHERE source = 'src2')) AS src2 FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1""",
-)
+_SOURCES = [f"src{i}" for i in range(20)]
+
+
+@query("score_matrix", f"SELECT lang, {', '.join(f"format('{{:.4f}}', avg(n_chars) FILTER (WHERE source = '{s}')) AS {s}" for s in _SOURCES)} FROM documents GROUP BY 1")
 def score_matrix(spark, sf):
-    """SNK3's matrix."""
-    d = table(spark, sf, "documents").filter("source in ('src1', 'src2')")
-    return writers.score_matrix(d, "lang", "source", "n_chars", ["src1", "src2"])
+    """SNK3's matrix, a column for each source."""
+    return writers.score_matrix(table(spark, sf, "documents"), "lang", "source", "n_chars", _SOURCES)
 
 
 @query("conversation_schema", "SELECT conv_id::VARCHAR AS id, count(*) AS n FROM conversations GROUP BY 1")

@@ -62,8 +62,12 @@ def resample_by_source(df: DataFrame, sizes: DataFrame, source: str, seed, ids)
     """``resample`` of every source of one table at once. ``sizes``: (source, size, target), one row per source;
     a null source is a source. One pass gives every row its whole copies and, where its bucket lies under the
     quota of extras, one more; only the bucket that fills the quota is read again and ranked."""
-    j = _null_safe_join(df, materialise(sizes.select(source, "size", "target"), "sizes"), [source])
-    cut = with_cut(j, F.col("target") % F.col("size"), seed, ids, [source])
+    return _resampled(_null_safe_join(df, materialise(sizes.select(source, "size", "target"), "sizes"), [source]), source, seed, ids)
+
+
+def _resampled(sized: DataFrame, source: str, seed, ids) -> DataFrame:
+    """The same for rows that carry their source's size and target."""
+    cut = with_cut(sized, F.col("target") % F.col("size"), seed, ids, [source])
     copies = F.floor(F.col("target") / F.col("size")).cast("int")
     whole = copies + F.coalesce(F.col(BUCKET) < F.col("_last"), F.lit(False)).cast("int")
     repeated = cut.withColumn("_k", whole).filter("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
@@ -86,7 +90,36 @@ def mix(sources: dict[str, DataFrame], items: list, ids: str, seed=42, splits: l
     """Build a mix from an alternating name/amount list: (rows, one record of sizes per source)."""
     wanted = parse_mix(items, splits)
     tables = [_of_split(sources[name], split) for name, _, split in wanted]
-    counts, sizes = _counts(tables), []
+    counts = _counts(tables)
+    sizes = _sizes(wanted, counts, column)
+    named = [df if column in df.columns else df.withColumn(column, F.lit(name)) for df, (name, _, _) in zip(tables, wanted)]
+    tagged = _with_sizes(_tagged(named, "_at"), "_at", {i: (n, s["initial_instances"]) for i, (n, s) in enumerate(zip(counts, sizes)) if n})
+    return _resampled(tagged, "_at", seed, ids).drop("_at"), sizes
+
+
+def mix_table(df: DataFrame, items: list, ids: str, seed=42, column: str = "source") -> tuple[DataFrame, list[dict]]:
+    """The same mix out of one table that holds all sources, told apart by ``column``: its passes do not grow with their number.
+    Every source is named once."""
+    wanted = parse_mix(items)
+    if len({name for name, _, _ in wanted}) < len(wanted):
+        raise ValueError("a source is named twice")
+    part = df.filter(F.col(column).isin([name for name, _, _ in wanted]))
+    found = {r[column]: r["count"] for r in part.groupBy(column).count().collect()}  # one row for each name
+    counts = [found.get(name, 0) for name, _, _ in wanted]
+    sizes = _sizes(wanted, counts, column)
+    part = _with_sizes(part, column, {name: (n, s["initial_instances"]) for (name, _, _), n, s in zip(wanted, counts, sizes) if n})
+    return _resampled(part, column, seed, ids), sizes
+
+
+def _with_sizes(df: DataFrame, source: str, sizes: dict) -> DataFrame:
+    """``df`` plus size and target of its source, out of a mix list; no join is needed for so few values."""
+    look = lambda k: F.element_at(F.create_map(*[F.lit(x) for key, v in sizes.items() for x in (key, v[k])]), F.col(source)).cast("long")
+    return df.withColumns({"size": look(0), "target": look(1)}) if sizes else df.withColumns({c: F.lit(None).cast("long") for c in ("size", "target")})
+
+
+def _sizes(wanted: list[tuple], counts: list[int], column: str) -> list[dict]:
+    """One record of sizes per source of a mix list."""
+    sizes = []
     for (name, amount, split), n in zip(wanted, counts):
         want = target_size(amount, n)
         check_amount(name, amount, n)
@@ -98,10 +131,7 @@ def mix(sources: dict[str, DataFrame], items: list, ids: str, seed=42, splits: l
                 "is_upsampled": want > n, "upsampling_factor": want / n if n else 1.0,
             }
         )
-    named = [df if column in df.columns else df.withColumn(column, F.lit(name)) for df, (name, _, _) in zip(tables, wanted)]
-    rows = [(i, n, s["initial_instances"]) for i, (n, s) in enumerate(zip(counts, sizes)) if n]
-    targets = named[0].sparkSession.createDataFrame(rows, "_at int, size long, target long")
-    return resample_by_source(_tagged(named, "_at"), targets, "_at", seed, ids).drop("_at"), sizes
+    return sizes
 
 
 def _of_split(df: DataFrame, split: str) -> DataFrame:

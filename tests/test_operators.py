@@ -218,6 +218,12 @@ def test_mixing_rules(spark):
     a, b = spark.range(100).withColumnRenamed("id", "i"), spark.range(1000, 1050).withColumnRenamed("id", "i")
     src = {"a": a, "b": b}
     count = lambda items: {r["source"]: r["count"] for r in M.mix(src, items, "i")[0].groupBy("source").count().collect()}
+    both = a.withColumn("source", F.lit("a")).unionByName(b.withColumn("source", F.lit("b")))
+    for items in (["a", "0.5", "b", "10"], ["b", "130", "a", "2.25"]):
+        (x, s), (y, t) = M.mix(src, items, "i"), M.mix_table(both, items, "i")
+        assert s == t and sorted((r["i"], r["source"], r["copy"]) for r in x.collect()) == sorted((r["i"], r["source"], r["copy"]) for r in y.collect())
+    with pytest.raises(ValueError, match="named twice"):
+        M.mix_table(both, ["a", "1", "a", "2"], "i")
     assert count(["a", "0.5", "b", "10"]) == {"a": 50, "b": 10}
     assert count(["a", "2.25", "b", "130"]) == {"a": 225, "b": 130}
     out, sizes = M.mix(src, ["a", "1.0", "b", "1"], "i")
