@@ -1,4 +1,4 @@
-"""Built tables kept under a hash of their configuration."""
+"""Built tables kept under a hash of their configuration and of the data they were built from."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CACHE_VERSION = 1
 
@@ -26,6 +28,17 @@ def config_hash(*configs) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:10]
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Names the content of a table: its schema and its rows as a multiset, whatever their order and partitions.
+
+    One aggregate: the number of rows, the sum of one row hash and the exclusive or of another."""
+    columns = [F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    r = df.select(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b")).agg(
+        F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.bit_xor("b").alias("b")
+    ).first()
+    return config_hash(df.schema.simpleString(), r["n"], str(r["a"]), r["b"])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatmill.operators import filters, mixing, pack
 from chatmill.operators.ordering import dense_index
-from chatmill.plans.cache import cached
+from chatmill.plans.cache import cached, config_hash, fingerprint
 
 Transform = Callable[..., DataFrame]
 REGISTRY: dict[str, tuple[Transform, str]] = {}
@@ -97,18 +98,43 @@ class MixSpec:
 
 
 def build_mix(spark: SparkSession, spec: MixSpec, sources: dict[str, DataFrame], step_args: dict[str, dict] | None = None, root: str | None = None, skip_cache: bool = False):
-    """(rows with a dense index, statistics per source): resample, transform, index, keep under its hash."""
+    """(rows with a dense index, statistics per source): resample, transform, index, keep under its hash.
 
-    def build():
-        mixed, sizes = mixing.mix(sources, list(spec.items), spec.ids, spec.seed, list(spec.splits))
+    With a cache folder every source's resampled and transformed rows are a part of their own, named by the content of the
+    source: when one source has changed only its part is built again, and the index over all parts. Without ``sources`` the
+    table built last for this specification is read.
+    """
+
+    def part(items: list, splits: list[str], given: dict[str, DataFrame]):
+        mixed, sizes = mixing.mix(given, items, spec.ids, spec.seed, splits)
         steps = [(name, {**args, **(step_args or {}).get(name, {})}) for name, args in spec.steps]
-        done = apply_transforms(mixed, steps, list(spec.keep) + ["copy"] if spec.keep else None, (spec.ids, "source"))
+        return apply_transforms(mixed, steps, list(spec.keep) + ["copy"] if spec.keep else None, (spec.ids, "source"), False), spark.createDataFrame(sizes)
+
+    def whole(done: DataFrame, sizes: DataFrame):
+        if done.isEmpty():
+            raise ValueError("no rows are left after the transforms")
         rows = dense_index(done, ["source", "copy", spec.ids])
-        stats = spark.createDataFrame(sizes)
         final = rows.groupBy("source").agg(F.count("*").alias("final_instances"))
-        stats = stats.join(final, "source", "left").na.fill(0, ["final_instances"])
+        stats = sizes.join(final, "source", "left").na.fill(0, ["final_instances"])
         return rows, stats.withColumn("instances_filtered", F.col("initial_instances") - F.col("final_instances"))
 
-    if root is None:
-        return build()
-    return cached(spark, root, spec, build, skip_cache)
+    if root is None or skip_cache:
+        return whole(*part(list(spec.items), list(spec.splits), sources))
+    home = f"{root.rstrip('/')}/{config_hash(spec)}"
+    if not sources:
+        prints = [r["value"] for r in spark.read.text(f"{home}/current").orderBy("value").collect()]  # a line for each source
+        return cached(spark, home, prints, lambda: (_ for _ in ()).throw(ValueError("this mix has not been built")))
+    wanted = mixing.parse_mix(list(spec.items), list(spec.splits))
+    known = {name: fingerprint(sources[name]) for name in {name for name, _, _ in wanted}}
+    prints = [f"{i:06d} {name} {known[name]}" for i, (name, _, _) in enumerate(wanted)]
+
+    def build():
+        parts = [
+            cached(spark, f"{home}/parts", mark, lambda i=i, name=name, split=split: part([name, spec.items[2 * i + 1]], [split], {name: sources[name]}))
+            for i, (mark, (name, _, split)) in enumerate(zip(prints, wanted))
+        ]
+        return whole(*[reduce(DataFrame.unionByName, x) for x in zip(*parts)])
+
+    out = cached(spark, home, prints, build)
+    spark.createDataFrame([(p,) for p in prints], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/current")
+    return out

@@ -190,6 +190,19 @@ def test_cache_and_mix(spark, tmp_path):
     assert {r["source"]: (r["final_instances"], r["is_upsampled"]) for r in stats.collect()} == {"x": (10, False), "y": (10, True)}
     again, _ = transforms.build_mix(spark, spec, {}, calls, root=str(tmp_path / "c"))  # sources are not needed any more
     assert again.count() == 20
+    part_files = lambda: {f for f in (tmp_path / "c").glob("*/parts/*/data/part-*")}
+    before = part_files()
+    transforms.build_mix(spark, spec, {k: v.repartition(3) for k, v in src.items()}, calls, root=str(tmp_path / "c"))
+    assert part_files() == before  # the same rows in another order are the same data
+    changed = {"x": src["x"], "y": src["y"].withColumn("messages", F.reverse("messages"))}
+    new, _ = transforms.build_mix(spark, spec, changed, calls, root=str(tmp_path / "c"))
+    built = {f.parts[-3] for f in part_files() - before}
+    assert len(built) == 1 and before <= part_files() and new.count() == 20  # only the part of the changed source
+    both, _ = transforms.build_mix(spark, spec, changed, calls)
+    order = lambda df: sorted((r["index"], r["id"], r["source"], r["copy"], r["input_ids"]) for r in df.collect())
+    assert order(new) == order(both) == order(transforms.build_mix(spark, spec, {}, calls, root=str(tmp_path / "c"))[0]) != order(rows)
+    m = spark.createDataFrame([({"a": 1, "b": 2}, 1), (None, 2), (None, 2)], "m map<string,int>, v int")
+    assert cache.fingerprint(m) == cache.fingerprint(m.repartition(2)) != cache.fingerprint(m.limit(2))
     with pytest.raises(ValueError, match="unknown transform"):
         transforms.apply_transforms(src["x"], [("nope", {})])
     with pytest.raises(ValueError, match="no rows"):
