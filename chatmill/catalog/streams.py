@@ -71,6 +71,26 @@ def stream_group_counts(spark, sf):
     return spark.read.parquet(f"{work}/out").groupBy("prompt_id").agg(F.count_distinct("group_no").alias("groups"))
 
 
+@query(
+    "stream_unfinished_groups",
+    """SELECT user_id::VARCHAR AS prompt_id, count(*) % 5 AS waiting, sum(event_id)::BIGINT AS ids, count(*) // 5 AS groups FROM events GROUP BY 1 HAVING count(*) % 5 > 0""",
+)
+def stream_unfinished_groups(spark, sf):
+    """STR2 with STR1: groups of five whose samples come in several micro-batches; when a row of long after has moved the
+    watermark on, prompts that stay incomplete give their waiting samples as unfinished. Every sample comes out once."""
+    work = _work(spark, "unfinished")
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("prompt_id"), F.col("event_id").alias("rollout_id"), F.col("value").alias("reward"), "ts")
+    e.repartition(3, "rollout_id").write.parquet(f"{work}/in")
+    late = e.agg((F.max("ts") + F.expr("interval 8000 days")).alias("ts")).select(F.lit("end").alias("prompt_id"), F.lit(-1).cast(e.schema["rollout_id"].dataType).alias("rollout_id"), F.lit(0.0).alias("reward"), "ts")
+    late.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    s = readers.read_stream(spark, f"{work}/in", e.schema, files_per_trigger=1)
+    ST.run_available(ST.assemble_groups(s, 5, watermark="3650 days"), f"{work}/ckpt", f"{work}/out")
+    out = spark.read.parquet(f"{work}/out").groupBy("prompt_id").agg(
+        F.count_if(~F.col("complete")).alias("waiting"), F.sum("rollout_id").cast("long").alias("ids"), F.count_distinct(F.when(F.col("complete"), F.col("group_no"))).alias("groups")
+    )
+    return out.filter("waiting > 0")
+
+
 @query("stream_length_filter", "SELECT doc_id, n_chars FROM documents WHERE n_chars <= 2000")
 def stream_length_filter(spark, sf):
     """STR10 and SRC5."""
