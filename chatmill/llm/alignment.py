@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,16 @@ def _blocks(pair: TokenizerPair, texts: list[bytes | None]) -> Iterator[list[tup
         yield block
 
 
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about a block of text, so that few rows' links are held at once."""
+    upto = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _align_block(pair: TokenizerPair, block: list[tuple[int, bytes]], rows: dict[int, _Row], with_groups: bool) -> None:
     found, number, part = pair.distinct([p for _, p in block])
     n = found.n_links[number]
@@ -98,20 +109,21 @@ def encode(docs: DataFrame, files: tuple[bytes, bytes], text: str = "text", name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizer_pair(*shared.value)
-        for b in batches:
-            rows: dict[int, _Row] = {}
-            for block in _blocks(pair, b.column(at).cast(pa.large_binary()).to_pylist()):
-                _align_block(pair, block, rows, with_groups)
-            out: list[list] = [[] for _ in fields]
-            for i in range(b.num_rows):
-                r = rows.get(i)
-                r = r if r is not None and r.fits else None
-                links = np.concatenate(r.links) if r else np.zeros(0, dtype=np.int64)
-                made = [r.n_a if r else 0, r.n_b if r else 0, len(links), r.sha.hexdigest() if r else "", pack(links)]
-                for o, v in zip(out, [*made, *([b"".join(r.groups).decode() if r else ""] if with_groups else [])]):
-                    o.append(v)
-            kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[pa.array(o, k) for o, k in zip(out, kinds_)]], names=labels)
+        for batch in batches:
+            for b in _slices(batch, at):
+                rows: dict[int, _Row] = {}
+                for block in _blocks(pair, b.column(at).cast(pa.large_binary()).to_pylist()):
+                    _align_block(pair, block, rows, with_groups)
+                out: list[list] = [[] for _ in fields]
+                for i in range(b.num_rows):
+                    r = rows.get(i)
+                    r = r if r is not None and r.fits else None
+                    links = np.concatenate(r.links) if r else np.zeros(0, dtype=np.int64)
+                    made = [r.n_a if r else 0, r.n_b if r else 0, len(links), r.sha.hexdigest() if r else "", pack(links)]
+                    for o, v in zip(out, [*made, *([b"".join(r.groups).decode() if r else ""] if with_groups else [])]):
+                        o.append(v)
+                arrow = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[pa.array(o, k) for o, k in zip(out, arrow)]], names=labels)
 
     return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in kept], *fields]))
 

@@ -25,10 +25,10 @@ import numpy as np
 
 from chatmill.llm.common import MULTIPLIER, mix64
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10  # of text worked on at once
 JOINED_BYTES = 16 << 10  # new chunks that are encoded in one call
 LONG_CHUNK = 512  # longer ones are encoded alone and not kept
-KEPT_CHUNKS = 600_000  # some 60 MB, up to twice that while arrays grow
+KEPT_CHUNKS = 400_000  # some 40 MB
 UNDERLINE = "▁".encode()
 GUARD = b" a"
 ID_AND_END = attrgetter("id", "end")
@@ -95,7 +95,7 @@ class Grown:
     def add(self, more: np.ndarray) -> None:
         n = self.n + len(more)
         if n > len(self.room):
-            room = np.zeros((n + n // 2, *self.room.shape[1:]), dtype=self.room.dtype)
+            room = np.zeros((n + n // 4, *self.room.shape[1:]), dtype=self.room.dtype)
             room[: self.n] = self.room[: self.n]
             self.room = room
         self.room[self.n : n] = more
