@@ -22,8 +22,7 @@ def _work(spark, name):
 
 
 def _events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return readers.read_stream(spark, sf, schema, pattern="events.parquet")
+    return readers.read_table_stream(spark, sf, "events", table(spark, sf, "events").schema)
 
 
 def _rollouts(spark, sf, size=8):
@@ -95,7 +94,7 @@ def stream_unfinished_groups(spark, sf):
 def stream_length_filter(spark, sf):
     """STR10 and SRC5."""
     work = _work(spark, "stream")
-    s = readers.read_stream(spark, sf, table(spark, sf, "documents").schema, pattern="documents.parquet")
+    s = readers.read_table_stream(spark, sf, "documents", table(spark, sf, "documents").schema)
     ST.run_available(ST.length_filter(s, {"n_chars": 2000}).select("doc_id", "n_chars"), f"{work}/ckpt", f"{work}/out")
     return spark.read.parquet(f"{work}/out")
 

@@ -70,3 +70,9 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     return r.load(path)
+
+
+def read_table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """Streaming read of one table of a folder, which is a file or a folder of files. The source takes a file only as the
+    match of a pattern, and a pattern that matches a folder stands for its files."""
+    return read_stream(spark, f"{folder.rstrip('/')}/[{name[0]}]{name[1:]}.{fmt}", schema, fmt)

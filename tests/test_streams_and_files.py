@@ -215,3 +215,17 @@ def test_fixed_checkpoint_dir(spark):
     assert shared_dir(spark) == spark.conf.get(CHECKPOINT_CONF)
     m = materialise(spark.range(5))
     assert m.count() == 5 and all(shared_dir(spark) in f for f in m.inputFiles())
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from chatmill.catalog import queries
+
+    for kind, files in (("one", 1), ("many", 3)):
+        d = tmp_path / kind
+        d.mkdir()
+        docs = spark.createDataFrame([(i, 500 * i) for i in range(9)], "doc_id long, n_chars long")
+        docs.repartition(files).write.parquet(f"{d}/documents.parquet" if files > 1 else f"{d}/written")
+        if files == 1:
+            next((d / "written").glob("part-*.parquet")).rename(d / "documents.parquet")
+        got = queries()["stream_length_filter"](spark, str(d)).collect()
+        assert sorted((r["doc_id"], r["n_chars"]) for r in got) == [(i, 500 * i) for i in range(5)]
