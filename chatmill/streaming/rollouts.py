@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,7 +15,9 @@ from chatmill.operators.ordering import dense_index
 from chatmill.plans.cache import exists
 
 GROUP_SCHEMA = "prompt_id string, group_no long, complete boolean, rollout_id long, reward double, advantage double"
-STATE_SCHEMA = "ids array<long>, rewards array<double>, latest long"
+STATE_SCHEMA = "waiting binary"
+WAITING = pa.schema([("prompt_id", pa.string()), ("rollout_id", pa.int64()), ("reward", pa.float64()), ("latest", pa.int64()), ("due", pa.int64())])
+BUCKETS = 1024  # of prompts; a stream keeps its number as long as its checkpoint
 
 
 def group_advantages(rewards: np.ndarray, mode: str = "standard") -> np.ndarray:
@@ -23,58 +26,99 @@ def group_advantages(rewards: np.ndarray, mode: str = "standard") -> np.ndarray:
     return centred / (rewards.std(axis=-1, keepdims=True) + 1e-8) if mode == "standard" else centred
 
 
+def _packed(waiting: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WAITING) as out:
+        out.write_table(pa.Table.from_pandas(waiting, WAITING, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(state: bytes | None) -> pd.DataFrame:
+    return (WAITING.empty_table() if state is None else pa.ipc.open_stream(pa.py_buffer(bytes(state))).read_all()).to_pandas()
+
+
 def assemble_groups(
-    stream: DataFrame, n: int, mode: str = "standard", watermark: str | None = None, drop_zero_std: bool = False, salts: int = 1
+    stream: DataFrame, n: int, mode: str = "standard", watermark: str | None = None, drop_zero_std: bool = False, salts: int = 1, buckets: int = BUCKETS
 ) -> DataFrame:
     """Emit the samples of a prompt, with their advantages, as soon as ``n`` have arrived.
 
     ``stream``: prompt_id string, rollout_id long (unique within a prompt), reward double, ts timestamp.
     ``group_no`` is the group's first rollout_id, so it stays unique when a prompt returns after its state is
-    gone. State per prompt is at most n - 1 waiting samples and is removed when none waits; samples are taken
-    batch by batch, so a busy prompt is not held in memory. With a watermark, waiting samples of a prompt that
-    stays incomplete for that long are emitted with ``complete = false``. ``drop_zero_std`` leaves out complete
-    groups whose rewards are all equal. ``salts`` spreads a prompt that returns in huge numbers over several
-    tasks; any n of its samples make a group, so groups stay valid and only the number of waiting samples grows.
+    gone. State is kept by bucket of prompts, so a call of the function serves many prompts: at most n - 1 waiting
+    samples for each prompt of the bucket, and none where none waits; samples are taken batch by batch, so a busy
+    prompt is not held in memory. With a watermark, waiting samples of a prompt that stays incomplete for that long are
+    emitted with ``complete = false``. ``drop_zero_std`` leaves out complete groups whose rewards are all equal.
+    ``salts`` spreads a prompt that returns in huge numbers over several buckets; any n of its samples make a group,
+    so groups stay valid and only the number of waiting samples grows.
     """
+    wait = int(pd.Timedelta(watermark).total_seconds() * 1000) if watermark else 0
 
-    def rows(key, complete, ids, rewards):
-        """``ids`` and ``rewards``: a row per group."""
-        adv = group_advantages(rewards, mode) if complete else np.full(rewards.shape, np.nan)
-        return pd.DataFrame(
-            {"prompt_id": key, "group_no": np.repeat(ids[:, 0], ids.shape[1]), "complete": complete, "rollout_id": ids.ravel(), "reward": rewards.ravel(), "advantage": adv.ravel()}
-        )
+    def groups(prompts, complete, numbers, ids, rewards, advantages):
+        return pd.DataFrame({"prompt_id": prompts, "group_no": numbers, "complete": complete, "rollout_id": ids, "reward": rewards, "advantage": advantages})
+
+    def take(waiting: pd.DataFrame, new: list[pd.DataFrame], now: int) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+        """What waits after the new samples, and the rows of the groups they complete."""
+        fresh = sum(map(len, new))
+        columns = {c: np.concatenate([f[c].to_numpy() for f in (waiting, *new)]) for c in ("rollout_id", "reward")}
+        columns = {"rollout_id": columns["rollout_id"].astype(np.int64), "reward": columns["reward"].astype(float)}
+        prompt, names = pd.factorize(np.concatenate([f["prompt_id"].to_numpy(dtype=object) for f in (waiting, *new)]), use_na_sentinel=False)
+        seen = np.concatenate([waiting["latest"].to_numpy(np.int64), *[f["ts_ms"].fillna(0).to_numpy(np.int64) for f in new]])
+        latest = np.zeros(len(names), np.int64)
+        np.maximum.at(latest, prompt, seen)
+        due = np.zeros(len(names), np.int64)
+        due[prompt[: len(waiting)]] = waiting["due"].to_numpy(np.int64)
+        touched = prompt[len(prompt) - fresh :]
+        due[touched] = np.maximum(latest[touched] + wait, now + 1)
+        order = np.argsort(prompt, kind="stable")  # in order of arrival inside a prompt
+        prompt, ids, rewards = prompt[order], columns["rollout_id"][order], columns["reward"][order]
+        sizes = np.bincount(prompt, minlength=len(names))
+        full = np.arange(len(prompt)) - (np.cumsum(sizes) - sizes)[prompt] < (sizes // n * n)[prompt]
+        g_prompt, g_ids, g_rewards = prompt[full].reshape(-1, n)[:, 0], ids[full].reshape(-1, n), rewards[full].reshape(-1, n)
+        if drop_zero_std:
+            varied = g_rewards.min(axis=1) != g_rewards.max(axis=1)
+            g_prompt, g_ids, g_rewards = g_prompt[varied], g_ids[varied], g_rewards[varied]
+        left = pd.DataFrame({"prompt_id": names[prompt[~full]], "rollout_id": ids[~full], "reward": rewards[~full], "latest": latest[prompt[~full]], "due": due[prompt[~full]]})
+        if not len(g_ids):
+            return left, None
+        return left, groups(names[np.repeat(g_prompt, n)], True, np.repeat(g_ids[:, 0], n), g_ids.ravel(), g_rewards.ravel(), group_advantages(g_rewards, mode).ravel())
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, rewards, latest = state.get if state.exists else ([], [], 0)
-        ids, rewards = np.asarray(waiting, np.int64), np.asarray(rewards, float)
-        if state.hasTimedOut:
-            state.remove()
-            yield rows(key[0], False, ids[None, :], rewards[None, :])
-            return
-        for b in batches:
-            ids, rewards = np.concatenate([ids, b["rollout_id"].to_numpy(np.int64)]), np.concatenate([rewards, b["reward"].to_numpy(float)])
-            latest = max(latest, int(b["ts_ms"].max()))
-            full = len(ids) // n * n
-            g_ids, g_rewards = ids[:full].reshape(-1, n), rewards[:full].reshape(-1, n)
-            ids, rewards = ids[full:], rewards[full:]
-            if drop_zero_std:
-                varied = g_rewards.min(axis=1) != g_rewards.max(axis=1)
-                g_ids, g_rewards = g_ids[varied], g_rewards[varied]
-            if len(g_ids):
-                yield rows(key[0], True, g_ids, g_rewards)
-        if len(ids):
-            state.update((ids.tolist(), rewards.tolist(), latest))
+        waiting = _unpacked(state.get[0] if state.exists else None)
+        now = state.getCurrentWatermarkMs() if watermark else 0
+        new: list[pd.DataFrame] = []
+        for b in () if state.hasTimedOut else batches:
+            new.append(b)
+            if sum(map(len, new)) >= len(waiting):  # so that what waits is sorted as often as its size allows
+                waiting, done = take(waiting, new, now)
+                new = []
+                if done is not None:
+                    yield done
+        if new:
+            waiting, done = take(waiting, new, now)
+            if done is not None:
+                yield done
+        if watermark:
+            late = waiting["due"].to_numpy() < now
+            gone, waiting = waiting[late], waiting[~late]
+            if len(gone):
+                prompt, names = pd.factorize(gone["prompt_id"].to_numpy(dtype=object), use_na_sentinel=False)
+                ids = gone["rollout_id"].to_numpy()
+                first = ids[np.unique(prompt, return_index=True)[1]]
+                yield groups(names[prompt], False, first[prompt], ids, gone["reward"].to_numpy(), np.full(len(ids), np.nan))
+        if len(waiting):
+            state.update((_packed(waiting),))
             if watermark:
-                state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
+                state.setTimeoutTimestamp(max(int(waiting["due"].min()), now + 1))
         elif state.exists:
             state.remove()
 
-    wait = int(pd.Timedelta(watermark).total_seconds() * 1000) if watermark else 0
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     s = (s.withWatermark("ts", watermark) if watermark else s).withColumn("ts_ms", F.unix_millis("ts"))
-    s = s.withColumn("_salt", F.pmod(F.xxhash64("rollout_id"), F.lit(salts)))
-    return s.groupBy("prompt_id", "_salt").applyInPandasWithState(step, GROUP_SCHEMA, STATE_SCHEMA, "append", timeout)
+    salt = F.pmod(F.xxhash64("rollout_id"), F.lit(salts))
+    s = s.withColumn("_bucket", F.pmod(F.xxhash64("prompt_id", salt), F.lit(buckets)))
+    s = s.select("_bucket", "prompt_id", "rollout_id", "reward", "ts_ms", *(["ts"] if watermark else []))
+    return s.groupBy("_bucket").applyInPandasWithState(step, GROUP_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def dedup(stream: DataFrame, key: str, watermark: str, ts: str = "ts") -> DataFrame:

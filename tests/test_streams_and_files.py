@@ -229,3 +229,21 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
             next((d / "written").glob("part-*.parquet")).rename(d / "documents.parquet")
         got = queries()["stream_length_filter"](spark, str(d)).collect()
         assert sorted((r["doc_id"], r["n_chars"]) for r in got) == [(i, 500 * i) for i in range(5)]
+
+
+def test_a_call_of_the_stream_serves_many_prompts(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    s = lambda: ST.assemble_groups(readers.read_stream(spark, src, spark.createDataFrame([], SCHEMA).schema), 3, "centered", buckets=2)
+    rows = [(None if p == 7 else f"p{p}", 100 * p + i, float(i * i), at(i)) for p in range(40) for i in range(5)]
+    for part in (rows[::2], rows[1::2]):
+        feed(spark, src, "", part)
+        ST.run_available(s(), ck, out)
+    got = {}
+    for r in spark.read.parquet(out).collect():
+        got.setdefault((r["prompt_id"], r["group_no"]), []).append(r)
+    assert len(got) == 40 and {k[0] for k in got} == {r[0] for r in rows}
+    for group in got.values():
+        mean = sum(r["reward"] for r in group) / 3
+        assert len({r["rollout_id"] for r in group}) == 3 and all(r["complete"] and abs(r["advantage"] - r["reward"] + mean) < 1e-9 for r in group)
+    states = spark.read.format("statestore").load(ck).collect()
+    assert len(states) == 2 and sum(ST._unpacked(r["value"]["groupState"]["waiting"]).shape[0] for r in states) == 80
