@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from chatmill.operators import decontam as D
+from chatmill.operators import metric_index as M
 from chatmill.operators.metric_index import MetricIndex
 
 
@@ -76,3 +77,34 @@ def test_nearest_uses_the_index_over_the_limit(spark):
     queries = spark.createDataFrame(list(enumerate(cloud(5)[::20].tolist())), "item int, embedding array<double>")
     small, large = (rounded(D.nearest(train, queries, 3, half_open=True, broadcast_bytes=n)) for n in (1 << 30, 0))
     assert small == large and len(small) == 24
+
+
+def test_a_query_is_copied_for_blocks_not_for_rings(spark, monkeypatch):
+    rng = np.random.default_rng(6)  # no clusters: the bounds exclude little
+    train = list(enumerate(rng.normal(size=(600, 8)).tolist()))
+    vectors = spark.createDataFrame(train, "vec_id int, embedding array<double>")
+    written = {}
+    kept = M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, name: written.setdefault(name, []).append(kept(df, name)) or written[name][-1])
+    index = MetricIndex(vectors, block_rows=200)
+    hits, reads = index.search(vectors.withColumnRenamed("vec_id", "item"), 5)
+    assert rounded(hits) == brute(train, train, 5)
+    assert np.mean([r["rings_read"] for r in reads.collect()]) > 2 * sum(index.run_salts)
+    assert sum(d.count() for d in written["metric-visits"]) == len(train)  # one row a query
+    assert sum(index.run_salts) <= 6
+
+
+def test_best_of_tile_equals_a_full_sort(monkeypatch):
+    monkeypatch.setattr(M, "HEAD", 8)
+    monkeypatch.setattr(M, "FEW", 20)
+    rng = np.random.default_rng(7)
+    t = np.round(rng.normal(size=(90, 3)), 1)
+    t[30:] = t[rng.integers(0, 6, 60)]  # many equal vectors
+    q, ids, floor = np.round(rng.normal(size=(40, 3)), 1), rng.permutation(90), np.repeat([-9.0, 0.5], 20)
+    who, which, score = M.best_of_tile(q @ t.T, floor, q, t, ids, 4)
+    for i in range(40):
+        exact = (t * q[i]).sum(axis=1)
+        want = [j for j in np.lexsort((ids, -exact))[:4] if exact[j] >= floor[i] - 1e-9]
+        assert which[who == i].tolist() == want and np.array_equal(score[who == i], exact[want])
+    worst = np.array([[3.0, 1.0, 1.0, 0.5, 1.0], [2.0, 2.0, 2.0, 2.0, 2.0]])
+    assert M.nearest_rings(worst, 3).tolist() == np.argsort(worst, axis=1, kind="stable")[:, :3].tolist()
