@@ -51,6 +51,8 @@ TRANSITION_WORDS = ["alternatively,", "therefore,", "however,"]
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+SLICE_WORDS = 200_000  # whose n-grams are compared at once
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the word."""
@@ -239,31 +241,45 @@ def equal_runs(codes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
     return places, np.concatenate([[0], np.flatnonzero(apart) + 1, [len(places)]]) if len(places) else np.zeros(1, dtype=np.int64)
 
 
+def row_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive rows with at most ``most`` elements, or one row; row i's elements begin at offset i."""
+    lo, rows = 0, len(offsets) - 1
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def repeated_ngrams(df: DataFrame, ids: str, text: Column, n: int = 3, min_occurrences: int = 2) -> DataFrame:
     """(id, ngram, occurrences, first, positions) of n-grams repeated inside a text. Words are numbered by a dictionary of
-    their batch and n-grams compared as numbers; those seen once never leave their row, and no text is shuffled."""
+    their slice of a batch and n-grams compared as numbers; those seen once never leave their row, and no text is shuffled.
+    A slice has ``SLICE_WORDS`` words or one text, so memory does not follow the words of a full batch."""
     kind = df.schema[ids].dataType
     schema = T.StructType(
         [T.StructField(ids, kind), T.StructField("ngram", T.StringType()), T.StructField("occurrences", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]
     )
     names = schema.fieldNames()
 
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(1)
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = lists.flatten()
+        codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        places, cuts = equal_runs(codes, rows, n)
+        sizes = np.diff(cuts)
+        some = np.flatnonzero(sizes >= min_occurrences)
+        firsts = places[cuts[some]]
+        grams = [" ".join(words.slice(p, n).to_pylist()) for p in firsts.tolist()]
+        inside = (places - offsets[rows[places]]).astype(np.int32)
+        positions = [inside[cuts[g] : cuts[g + 1]] for g in some.tolist()]
+        columns = [b.column(0).take(pa.array(rows[firsts])), pa.array(grams, pa.string()), pa.array(sizes[some].astype(np.int32)), pa.array([int(x[0]) for x in positions], pa.int32()), pa.array(positions, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            words = lists.flatten()
-            codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            places, cuts = equal_runs(codes, rows, n)
-            sizes = np.diff(cuts)
-            some = np.flatnonzero(sizes >= min_occurrences)
-            firsts = places[cuts[some]]
-            grams = [" ".join(words.slice(p, n).to_pylist()) for p in firsts.tolist()]
-            inside = (places - offsets[rows[places]]).astype(np.int32)
-            positions = [inside[cuts[g] : cuts[g + 1]] for g in some.tolist()]
-            columns = [b.column(0).take(pa.array(rows[firsts])), pa.array(grams, pa.string()), pa.array(sizes[some].astype(np.int32)), pa.array([int(x[0]) for x in positions], pa.int32()), pa.array(positions, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lo, hi in row_slices(b.column(1).offsets.to_numpy(), SLICE_WORDS):
+                yield of(b.slice(lo, hi - lo))
 
     return df.select(ids, computed_once(F.coalesce(X.words(F.lower(text)), F.array().cast("array<string>"))).alias("_words")).mapInArrow(run, schema)
 

@@ -41,3 +41,16 @@ def test_ngrams_of_long_and_hostile_texts(spark):
         for k in range(len(w) - 2):
             want.setdefault(" ".join(w[k : k + 3]), []).append(k)
         assert got.get(i, {}) == {g: p for g, p in want.items() if len(p) > 1}
+
+
+def test_a_batch_is_read_in_slices_of_bounded_words(spark, monkeypatch):
+    assert list(R.row_slices(np.array([7, 7, 9, 12, 40, 41, 42]), 5)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(R.row_slices(np.array([0]), 5)) == []
+    df = spark.createDataFrame([(i, "a b c " * (i % 7)) for i in range(60)], "id int, text string").coalesce(1)
+    rows = lambda: sorted(map(str, R.repeated_ngrams(df, "id", F.col("text"), 3, 2).collect()))
+    whole, seen = rows(), []
+    assert len(whole) == sum(1 if i % 7 == 2 else 3 for i in range(60) if i % 7 > 1)
+    equal_runs = R.equal_runs
+    monkeypatch.setattr(R, "SLICE_WORDS", 20)
+    monkeypatch.setattr(R, "equal_runs", lambda codes, r, n: equal_runs(codes, r, n) if len(codes) <= 20 else 1 / 0)
+    assert rows() == whole
