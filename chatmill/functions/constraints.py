@@ -134,7 +134,7 @@ def _(t, a):
 def _(t, a):
     def body(p):
         n = F.size(F.filter(p, lambda x: ~X.is_blank(x)))
-        word = F.get(X.words(F.get(p, a("nth_paragraph") - 1)), F.lit(0))
+        word = X.first_word(F.get(p, a("nth_paragraph") - 1))
         first = F.regexp_extract(F.lower(word), r"""^'*"*([^.,?!'"]*)""", 1)
         return (a("nth_paragraph") <= n) & (n == a("num_paragraphs")) & (first == F.lower(a("first_word")))
 
@@ -244,11 +244,13 @@ def _(t, a):
 
 @rule("detectable_content:rephrase_paragraph")
 def _(t, a):
-    words = lambda c: token_counts(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0)
+    original = words(a("original_paragraph"))
     shared = lambda v: F.aggregate(
-        F.map_entries(words(a("original_paragraph"))), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(v, e["key"]), F.lit(0)))
+        F.map_entries(token_counts(original)), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(v, e["key"]), F.lit(0)))
     )
-    return let(words(t), shared).between(a("low"), a("high"))
+    # only words of the original are counted
+    return let(token_counts(F.filter(words(t), lambda w: F.array_contains(original, w))), shared).between(a("low"), a("high"))
 
 
 @rule("combination:two_responses")

@@ -30,6 +30,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, f"(?U)[{WS}]+"), lambda w: w != "")
 
 
+def first_word(c: Column) -> Column:
+    """The first of ``words``, null when there is none."""
+    return F.nullif(F.regexp_extract(c, f"(?U)[^{WS}]+", 0), F.lit(""))
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"(?U)[^{WS}]+"))
 

@@ -193,3 +193,19 @@ def test_every_document_is_judged_whole(spark, tmp_path):
     for rule in ("detectable_format:constrained_response", "detectable_content:number_placeholders"):
         plain = got[rule, False]
         assert (plain["n_met"], plain["met_ids"]) == (n // 2, sum(range(1, n, 2))) and got[rule, True]["n_met"] >= n // 2
+
+
+def test_first_word_is_the_first_of_words(spark):
+    from chatmill.functions import text as X
+
+    texts = [None, "", " \t\x1c\u3000", "one", " \u2003'The' end", "\n\nÉ x", "a\x1fb", "\u200bz w"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.first_word(F.col("t")).alias("a"), F.get(X.words(F.col("t")), F.lit(0)).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[4]["a"] == "'The'"
+
+
+def test_rephrased_words_are_counted_among_others(spark):
+    t = spark.createDataFrame([("x " * 50 + "The the the of z",), ("and",), ("",)], "t string")
+    for low, high, want in ((3, 3, [True, False, False]), (1, 2, [False, True, False]), (0, 0, [False, False, True])):
+        args = F.from_json(F.lit(json.dumps({"original_paragraph": "the of and The", "low": low, "high": high})), K.ARGS)
+        met = K.check(F.lit("detectable_content:rephrase_paragraph"), F.col("t"), args, ["detectable_content:rephrase_paragraph"])
+        assert [r["met"] for r in t.select(met.alias("met")).collect()] == want
