@@ -130,9 +130,12 @@ def tree_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:
     ``top_k`` best children. Nodes under a missing parent or on a cycle reach no root and give no path; a message_id that
     occurs twice is an error.
 
-    Ancestors are found by pointer doubling: after round j every node knows its ancestor 2 ** j steps up, or the end of its
-    chain, so a tree of depth d takes log2(d) rounds of one join, each written once. Leaves that reach a root then list their
-    ancestors by the binary digits of the distance, through the same tables, as many rows as the paths have messages.
+    Paths are shortened first: rounds that cut out a quarter of the inner nodes each, see ``_cut_out``, until a sixteenth of the
+    rows is left or inner nodes are under three quarters of them, so that these rounds together write a few times the table.
+    Ancestors among the nodes left are found by pointer doubling: after round j every node knows its ancestor 2 ** j steps up, or
+    the end of its chain, so a depth of d takes log2(d) rounds of one join, each written once. Leaves that reach a root then list
+    their ancestors by the binary digits of the distance, through the same tables, and get the nodes cut out back, last round
+    first, as many rows as the paths have messages.
     Texts are joined to those rows at the end; a node on many paths is a hot key of that join, which adaptive execution splits.
     """
     from chatmill.session import materialise
@@ -148,38 +151,77 @@ def tree_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:
     live = live.join(parents, "message_id", "left").withColumn("has_child", F.coalesce("has_child", F.lit(False)))
     msg = F.struct(F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), F.col("text").alias("content"))
     live = materialise(live.select("message_id", "parent_id", "has_child", "role", msg.alias("m")), "tree")
-    size = live.agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("ids")).first()
+    on_path = F.col("has_child") | (F.col("role") == "assistant")  # other leaves are on no path
+    inner = F.col("has_child") & F.col("parent_id").isNotNull()
+    size = live.agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("ids"), F.count_if(on_path).alias("rows"), F.count_if(inner).alias("inner")).first()
     if size["n"] != size["ids"]:
         raise ValueError("a message_id occurs twice")
-    up = _doubled_pointers(live.select("message_id", F.col("parent_id").alias("far")), size["n"])
+    ids = F.array("message_id", "parent_id")  # both of one type, so that they hash alike
+    edges = live.filter(on_path).select(ids[0].alias("message_id"), ids[1].alias("far"), F.lit(1).cast("long").alias("dist"), inner.alias("inner"), F.col("parent_id").isNotNull().alias("open"))
+    cut, rows = _cut_out(edges, size["rows"], size["inner"])
+    up = _doubled_pointers((cut[-1] if cut else edges).select("message_id", "far", "dist", "open"), rows)
     # the last table holds the end of every chain: a node whose own parent is null
     ends = up[-1].filter("not open").select(F.col("message_id").alias("leaf"), F.coalesce("far", "message_id").alias("root"))
     leaves = live.filter("not has_child and role = 'assistant'").select(F.col("message_id").alias("leaf"))
     roots = live.filter("parent_id is null").select(F.col("message_id").alias("root"))
     line = leaves.join(ends, "leaf").join(roots, "root", "left_semi").select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
-    for j in reversed(range(len(up) - 1)):
-        step = up[j].filter(F.col("steps") == 1 << j).select(F.col("message_id").alias("node"), "far")
+    steps = [up[j].filter(F.col("steps") == 1 << j).select(F.col("message_id").alias("node"), "far", "dist") for j in range(len(up))]
+    vias = [t.filter("via is not null").select(F.col("message_id").alias("node"), F.col("via").alias("far"), F.col("via_dist").alias("dist")) for t in cut]
+    for step in reversed(vias + steps):
         line = line.join(step, "node", "left").select(
-            "leaf", F.explode(F.array(F.struct("node", "above"), F.struct(F.col("far").alias("node"), (F.col("above") + (1 << j)).alias("above")))).alias("x")
+            "leaf", F.explode(F.array(F.struct("node", "above"), F.struct(F.col("far").alias("node"), (F.col("above") + F.col("dist")).alias("above")))).alias("x")
         ).filter("x.node is not null").select("leaf", "x.node", "x.above")
     texts = live.select(F.col("message_id").alias("node"), "m")
     path = F.sort_array(F.collect_list(F.struct(-F.col("above"), "m")))
     return line.join(texts, "node").groupBy("leaf").agg(F.transform(path, lambda x: x["m"]).alias("messages"))
 
 
+def _cut_out(edges: DataFrame, rows: int, inner: int) -> tuple[list[DataFrame], int]:
+    """Shorter chains, one written table a round, and the rows of the last: (message_id, far, dist, inner, open, via, via_dist).
+    ``edges`` has the first five: ``far`` is the next node up that is left, ``dist`` steps away; ``open`` says that it may have
+    a next one itself; only ``inner`` nodes may go.
+
+    Each round tosses a coin for every id. An inner node whose coin is 1 and whose ``far`` has 0 goes, so never two in a row,
+    and the nodes below it point past it, with it in ``via`` and the way to it in ``via_dist``. Only nodes below a coin of 1
+    are joined, and only with nodes that go or are roots."""
+    from chatmill.session import materialise
+
+    tables, now, start, before = [], edges, rows, None
+    while 4 * inner >= 3 * rows and 16 * rows > start and (before is None or 16 * (before - rows) >= before):
+
+        def coin(node, salt=len(tables)):
+            return F.xxhash64(F.col(node), F.lit(salt)).bitwiseAND(1) == 1
+
+        goes, asks = F.col("inner") & coin("message_id") & ~coin("far"), F.col("open") & coin("far")
+        to = now.filter(goes | (F.col("far").isNull() & coin("message_id"))).select(F.col("message_id").alias("_at"), F.col("far").alias("_far"), F.col("dist").alias("_dist"), F.col("open").alias("_open"))
+        past, seen = F.col("_far").isNotNull(), Observation()
+        moved = now.filter(asks).join(to, F.col("far") == F.col("_at"), "left").select(
+            "message_id", F.coalesce("_far", "far").alias("far"), (F.col("dist") + F.when(past, F.col("_dist")).otherwise(0)).alias("dist"), "inner",
+            F.coalesce("_open", F.lit(True)).alias("open"), F.when(past, F.col("_at")).alias("via"), F.when(past, F.col("dist")).alias("via_dist"),
+        )
+        rest = now.filter(~goes & ~asks).select("message_id", "far", "dist", "inner", "open")
+        both = moved.unionByName(rest, allowMissingColumns=True).observe(seen, F.count("*").alias("rows"), F.count_if("inner").alias("inner"))
+        now = materialise(both, "tree-cut")
+        tables.append(now)
+        before, rows, inner = rows, seen.get["rows"], seen.get["inner"]
+    return tables, rows
+
+
 def _doubled_pointers(parents: DataFrame, rows: int) -> list[DataFrame]:
-    """Tables (message_id, far, steps, open): ``far`` is the ancestor ``steps`` up, 2 ** j in table j or all there are. ``open``
-    says that there may be more; in the last table only nodes on or under a cycle are open. The first table is ``parents``
-    as it is, the others are written. A parent that is no node of the table ends its chain and stays in ``far``."""
+    """Tables (message_id, far, steps, dist, open): ``far`` is the ancestor ``steps`` up, 2 ** j in table j or all there are, and
+    ``dist`` the sum of the steps' own. ``open`` says that there may be more; in the last table only nodes on or under a cycle
+    are open. The first table is ``parents`` as it is, the others are written. A parent that is no node of the table ends its
+    chain and stays in ``far``."""
     from chatmill.session import materialise
 
-    has = F.col("far").isNotNull()
-    tables, left = [parents.select("message_id", "far", has.cast("long").alias("steps"), has.alias("open"))], 1
+    tables, left = [parents.select("message_id", "far", F.col("far").isNotNull().cast("long").alias("steps"), "dist", "open")], 1
     while left and (1 << (len(tables) - 1)) <= rows:
         now, seen = tables[-1], Observation()
-        to = now.select(F.col("message_id").alias("_at"), F.col("far").alias("_far"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
+        to = now.select(F.col("message_id").alias("_at"), F.col("far").alias("_far"), F.col("steps").alias("_steps"), F.col("dist").alias("_dist"), F.col("open").alias("_open"))
+        further = F.col("_far").isNotNull()
         moved = now.filter("open").join(to, F.col("far") == F.col("_at"), "left").select(
-            "message_id", F.coalesce("_far", "far").alias("far"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_open", F.lit(False)).alias("open")
+            "message_id", F.coalesce("_far", "far").alias("far"), (F.col("steps") + F.when(further, F.col("_steps")).otherwise(0)).alias("steps"),
+            (F.col("dist") + F.when(further, F.col("_dist")).otherwise(0)).alias("dist"), F.coalesce("_open", F.lit(False)).alias("open"),
         )
         both = moved.unionByName(now.filter("not open")).observe(seen, F.count_if("open").alias("open"))
         tables.append(materialise(both, "tree-up"))

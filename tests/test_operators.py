@@ -294,6 +294,49 @@ def test_tree_paths_deeper_than_any_fixed_bound(spark):
     assert [(r["leaf"], len(r["messages"])) for r in J.tree_paths(nodes).collect()] == [("69", 70)]
 
 
+def test_tree_paths_of_every_length_and_shape(spark):
+    rng, parent = random.Random(5), {}
+    for length in (*range(1, 41), 300, 500, 900):  # chains
+        parent.update({1000 * length + i: 1000 * length + i - 1 if i else None for i in range(length)})
+    parent.update({1_000_000 + i: 1_000_000 + rng.randrange(max(0, i - 6), i) if i else None for i in range(600)})  # deep tree
+    parent.update({2_000_000 + i: 2_000_000 if i else None for i in range(300)})  # one parent of many
+    parent.update({3_000_000 + i: 3_000_000 + (i + 1) % 7 for i in range(7)} | {3_000_010: 3_000_000, 3_000_020: 3_000_020, 3_000_021: 3_000_020})  # cycles
+    parent.update({4_000_000 + i: 4_000_000 + i - 1 for i in range(30)})  # under a missing parent
+    inner = set(parent.values())
+    role = {i: "assistant" if i in inner or i % 3 else "user" for i in parent}
+    want = {}
+    for leaf in parent.keys() - inner:
+        path, at = [], leaf
+        while at in parent and len(path) <= len(parent):
+            path.append(at)
+            at = parent[at]
+        if at is None and role[leaf] == "assistant":
+            want[leaf] = path[::-1]
+    nodes = spark.createDataFrame([(i, p, role[i], str(i), False, 0.0) for i, p in parent.items()], "message_id long, parent_id long, role string, text string, deleted boolean, quality double")
+    for ids in (nodes.withColumn("parent_id", F.col("parent_id").cast("int")), nodes.withColumns({c: F.col(c).cast("string") for c in ("message_id", "parent_id")})):
+        got = J.tree_paths(ids.repartition(5)).collect()
+        assert len(got) == len(want) and {int(r["leaf"]): [int(m["content"]) for m in r["messages"]] for r in got} == want
+
+
+def test_rounds_of_tree_paths_write_a_few_times_the_table(spark, monkeypatch):
+    from chatmill import session
+
+    n, written, write = 1024, {}, session.materialise
+
+    def counted(df, name="stage"):
+        out = write(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(session, "materialise", counted)
+    nodes = spark.range(n).select(
+        F.col("id").alias("message_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("assistant").alias("role"),
+        F.lit("t").alias("text"), F.lit(False).alias("deleted"), F.lit(0.0).alias("quality"),
+    )
+    assert [(r["leaf"], len(r["messages"])) for r in J.tree_paths(nodes).collect()] == [(n - 1, n)]
+    assert sum(map(sum, written.values())) < 6 * n, written  # doubled pointers of all nodes alone: 11 n
+
+
 def test_join_stats_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
     stats = df.groupBy("k").agg(F.count("*").alias("n"))
