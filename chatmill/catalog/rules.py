@@ -159,10 +159,10 @@ _WHOLE = _units(f"SELECT doc_id, false AS dressed, text AS t FROM documents UNIO
 
 def _judged(d, keys: list[str]):
     """Per rule and ``keys``: rows, those that meet the rule, and the sum of their numbers."""
-    checks = [
-        F.struct(F.lit(r).alias("rule"), K.check(F.lit(r), F.col("t"), F.from_json(F.lit(json.dumps(a)), K.ARGS), [r]).alias("met")) for r, a, _ in RULES
-    ]
-    flat = d.select(*keys, "doc_id", F.explode(F.array(*checks)).alias("c")).select(*keys, "doc_id", "c.*")
+    units = K.units(F.col("t"))
+    check = lambda r, a: K.check(F.lit(r), F.col("t"), F.from_json(F.lit(json.dumps(a)), K.ARGS), [r], {k: F.col(k) for k in units})
+    checks = [F.struct(F.lit(r).alias("rule"), check(r, a).alias("met")) for r, a, _ in RULES]
+    flat = d.withColumns(units).select(*keys, "doc_id", F.explode(F.array(*checks)).alias("c")).select(*keys, "doc_id", "c.*")
     return flat.groupBy("rule", *keys).agg(
         F.count("*").alias("n"), F.count_if("met").alias("n_met"), F.coalesce(F.sum(F.when(F.col("met"), F.col("doc_id"))), F.lit(0).cast("long")).alias("met_ids")
     )

@@ -35,6 +35,12 @@ def first_word(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, f"(?U)[^{WS}]+", 0), F.lit(""))
 
 
+def last_word(c: Column) -> Column:
+    """The last of ``words``, null when there is none; looked for behind the last space first."""
+    end = lambda c: F.nullif(F.regexp_extract(c, rf"(?Us)\A.*(?<![^{WS}])([^{WS}]+)[{WS}]*\z", 1), F.lit(""))
+    return F.coalesce(end(F.substring_index(c, " ", -1)), end(c))
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"(?U)[^{WS}]+"))
 
@@ -133,8 +139,13 @@ def salvage_json(c: Column) -> Column:
     return F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+# Fixed value. How a JSON value begins.
+JSON_START = r'(?:[\[{"0-9-]|true|false|null)'
+
+
 def is_json(c: Column) -> Column:
     """Whether the whole text is one JSON value. The parser stops after the first value, so the text is set in an array
-    and in an object: what closes one of them early is an error in the other."""
+    and in an object: what closes one of them early is an error in the other. A text that does not begin as a value, most
+    prose, is not parsed: an error costs the parser far more than a look."""
     inside = lambda before, after: F.try_parse_json(F.concat(F.lit(before), c, F.lit(after))).isNotNull()
-    return inside("[", "]") & inside('{"v":', "}")
+    return F.when(c.rlike(rf"\A[\x00-\x20]*{JSON_START}"), inside("[", "]") & inside('{"v":', "}")).otherwise(F.lit(False))

@@ -209,3 +209,92 @@ def test_rephrased_words_are_counted_among_others(spark):
         args = F.from_json(F.lit(json.dumps({"original_paragraph": "the of and The", "low": low, "high": high})), K.ARGS)
         met = K.check(F.lit("detectable_content:rephrase_paragraph"), F.col("t"), args, ["detectable_content:rephrase_paragraph"])
         assert [r["met"] for r in t.select(met.alias("met")).collect()] == want
+
+
+# (rule, arguments, text, met): texts whose first words do not decide, and characters whose case or width is odd
+_LONG = "Go on. " * 80
+LONG_CASES = [
+    ("length_constraints:number_sentences", {"num_sentences": 81, "relation": "at least"}, _LONG + "End.", True),
+    ("length_constraints:number_sentences", {"num_sentences": 82, "relation": "at least"}, _LONG + "End.", False),
+    ("length_constraints:number_sentences", {"num_sentences": 2, "relation": "at least"}, "One.　 \x1c", False),
+    ("first_word:first_word_sent", {"first_word": "go"}, _LONG + "Go", True),
+    ("first_word:first_word_sent", {"first_word": "go"}, _LONG + "We go", False),
+    ("last_word:last_word_sent", {"last_word": "on"}, _LONG + "Go (on)", True),
+    ("last_word:last_word_sent", {"last_word": "on"}, _LONG + "Go off", False),
+    ("last_word:last_word_answer", {"last_word": "end"}, _LONG + "the end. \x1f", True),
+    ("keywords:keyword_specific_position", {"keyword": "late", "n": 81, "m": 2}, _LONG + "So late", True),
+    ("keywords:keyword_specific_position", {"keyword": "late", "n": 82, "m": 2}, _LONG + "So late", False),
+    ("keywords:key_sentences", {"key_sentences": ["So late", "on."], "num_sentences": 1}, _LONG + "So\nlate", True),
+    ("detectable_format:sentence_hyphens", {}, "One is here.-Two is here.-" + "Go on.", True),
+    ("detectable_format:sentence_hyphens", {}, _LONG + "-End.", False),
+    ("detectable_format:sentence_hyphens", {}, "-One.", False),
+    ("keywords:no_adjacent_consecutive", {}, "apple cat " * 60 + "egg", True),
+    ("keywords:no_adjacent_consecutive", {}, "apple cat " * 60 + "Dog", False),
+    ("keywords:no_adjacent_consecutive", {}, "ж з", False),
+    ("detectable_format:square_brackets", {}, "[a] " * 200 + "\U0001f600", False),
+    ("detectable_format:square_brackets", {}, "[a]　[\U0001f600]", True),
+    ("detectable_format:square_brackets", {}, "[", False),
+    ("detectable_format:bigram_wrapping", {}, "<<a b>> " * 100 + "<<a b", False),
+    ("detectable_format:bigram_wrapping", {}, "<<a", True),
+    ("count:count_unique", {}, " ".join(f"w{i}" for i in range(200)), True),
+    ("count:count_unique", {}, " ".join(f"w{i}" for i in range(200)) + " w0", False),
+    ("keywords:start_end", {}, "Well-known it is, " * 30 + "well-known", True),
+    ("keywords:start_end", {}, "known it is well-known", False),
+    ("keywords:start_end", {}, "\U0001d400 \U0001d400-x", False),
+    ("keywords:start_end", {}, "Σ x σ", True),
+    ("change_case:capital_word_frequency", {"capital_frequency": 1, "capital_relation": "at least"}, "a-BC \U00010428-BC b'C xA Ax", False),
+    ("change_case:capital_word_frequency", {"capital_frequency": 3, "capital_relation": "at least"}, "\U0001f600-BC A-B' 1 2É 3", True),
+    ("copy:copy", {"prompt_to_repeat": "İ end"}, " İ END 　", True),
+    ("copy:copy", {"prompt_to_repeat": "the end"}, "the end" + " " * 300 + "x", False),
+    ("copy:copy", {"prompt_to_repeat": "the end"}, "the end" + " " * 300, True),
+    ("combination:repeat_prompt", {"prompt_to_repeat": "ΑΣ"}, "ΑΣΑ", False),
+    ("combination:repeat_prompt", {"prompt_to_repeat": "ΑΣ"}, "ΑΣ Α", True),
+    ("keywords:word_count_different_numbers", {"keyword": "kiss", "frequency": 2, "relation": "at least"}, "KIſS, kıss", True),
+    ("keywords:word_once", {"keyword": "a.c"}, "xABCx", True),
+    ("count:count_increment_word", {"keyword1": "one", "keyword2": "two"}, "ONE Two tWo" + " x" * 400, True),
+    ("keywords:forbidden_words", {"forbidden_words": ["kiss"]}, "a Kiss", False),
+    ("keywords:forbidden_words", {"forbidden_words": ["cat"]}, "Cat́", True),
+    ("letters:letter_counting2", {"letter": "É", "let_frequency": 2, "let_relation": "less than"}, "é É", False),
+    ("letters:letter_counting2", {"letter": "", "let_frequency": 1, "let_relation": "less than"}, "any", True),
+    ("detectable_content:rephrase_paragraph", {"original_paragraph": "the then été", "low": 3, "high": 3}, "other then, The ÉTÉ the", True),
+    ("detectable_content:rephrase_paragraph", {"original_paragraph": "the", "low": 0, "high": 0}, "thé bathe \U0001d400the the_", True),
+    ("detectable_content:rephrase_paragraph", {"original_paragraph": "...", "low": 0, "high": 0}, "any text", True),
+    ("detectable_format:multiple_sections", {"section_spliter": "S.c", "num_sections": 1}, "Sec 1", True),
+    ("detectable_format:number_bullet_lists", {"num_bullets": 2}, "\n\n- a - b\n *\n* c", True),
+    ("detectable_format:json_format", {}, "　```json {}", True),
+    ("change_case:english_lowercase", {}, "été İ", False),
+    ("change_case:english_capital", {}, "ÉTÉ é", False),
+    ("validate_frequency_capital_words", {"N": 2, "quantifier": "at least"}, "AB \U0001d400C D_ ÉE x F", True),
+    ("validate_frequency_capital_words", {"N": 3, "quantifier": "at least"}, "AB \U0001d400C D_ ÉE x F", False),
+]
+
+
+def test_rules_beyond_the_first_words(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, _, t, _) in enumerate(LONG_CASES)], "i int, t string").withColumns(K.units(F.col("t")))
+    of = lambda r, a, given: K.check(F.lit(r), F.col("t"), F.from_json(F.lit(json.dumps(a)), K.ARGS), [r], given)
+    for given in (None, {"low": F.col("low"), "begin": F.col("begin")}):
+        checks = F.array(*(F.when(F.col("i") == i, of(r, a, given)) for i, (r, a, _, _) in enumerate(LONG_CASES)))
+        got = {r["i"]: r["met"] for r in df.select("i", F.get(checks, F.col("i")).alias("met")).collect()}
+        assert [LONG_CASES[i][:3] for i in got if got[i] is not LONG_CASES[i][3]] == []
+
+
+def test_a_text_is_gone_through_once(spark, tmp_path):
+    from chatmill.catalog import queries
+
+    planned = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    args = F.from_json(F.lit(json.dumps({"original_paragraph": "the of", "low": 1, "high": 2})), K.ARGS)
+    name = "detectable_content:rephrase_paragraph"
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "The end.")], "doc_id long, text string").write.parquet(path)
+    # its words are looked for once, though their number is held against two bounds
+    assert planned(spark.read.parquet(path).select(K.check(F.lit(name), F.col("text"), args, [name]))).count("regexp_extract_all(lower(text#") == 1
+    # what many rules need of a text is a column below them
+    for q in ("constraint_rules", "constraint_rules_whole"):
+        plan = planned(queries()[q](spark, str(tmp_path)))
+        assert plan.count(" AS low#") == plan.count(" AS begin#") == 1
+
+
+def test_last_word_is_the_last_of_words(spark):
+    texts = [None, "", " \t\x1c　", "one", "a  'The' ", "x y　z\x1f", "x y　 ", "a \U0001f600", "a\x1fb"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.last_word(F.col("t")).alias("a"), F.get(F.slice(X.words(F.col("t")), -1, 1), F.lit(0)).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[5]["a"] == "z"
