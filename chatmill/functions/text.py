@@ -139,8 +139,8 @@ def salvage_json(c: Column) -> Column:
     return F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-# Fixed value. How a JSON value begins.
-JSON_START = r'(?:[\[{"0-9-]|true|false|null)'
+# Fixed value. How a JSON value begins, and how many characters tell.
+JSON_START, JSON_LOOK = r'(?:[\[{"0-9-]|true|false|null)', 5
 
 
 def is_json(c: Column) -> Column:
@@ -148,4 +148,5 @@ def is_json(c: Column) -> Column:
     and in an object: what closes one of them early is an error in the other. A text that does not begin as a value, most
     prose, is not parsed: an error costs the parser far more than a look."""
     inside = lambda before, after: F.try_parse_json(F.concat(F.lit(before), c, F.lit(after))).isNotNull()
-    return F.when(c.rlike(rf"\A[\x00-\x20]*{JSON_START}"), inside("[", "]") & inside('{"v":', "}")).otherwise(F.lit(False))
+    begin = F.substring(F.ltrim(c, F.lit(" \t\n\r")), 1, JSON_LOOK)
+    return F.when(begin.rlike(rf"\A{JSON_START}"), inside("[", "]") & inside('{"v":', "}")).otherwise(F.lit(False))

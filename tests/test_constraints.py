@@ -252,6 +252,7 @@ LONG_CASES = [
     ("keywords:word_count_different_numbers", {"keyword": "kiss", "frequency": 2, "relation": "at least"}, "KIſS, kıss", True),
     ("keywords:word_once", {"keyword": "a.c"}, "xABCx", True),
     ("count:count_increment_word", {"keyword1": "one", "keyword2": "two"}, "ONE Two tWo" + " x" * 400, True),
+    ("count:count_increment_word", {"keyword2": "the"}, "THE the", False),
     ("keywords:forbidden_words", {"forbidden_words": ["kiss"]}, "a Kiss", False),
     ("keywords:forbidden_words", {"forbidden_words": ["cat"]}, "Cat́", True),
     ("letters:letter_counting2", {"letter": "É", "let_frequency": 2, "let_relation": "less than"}, "é É", False),
